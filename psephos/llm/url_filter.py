@@ -35,12 +35,12 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rule_index(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
-    """Place in rules of the longest rule that fits; null if none does."""
-    found = F.lit(None).cast("int")
+def of_rule(host: Column, path: Column, rules: tuple[Rule, ...], what: str) -> Column:
+    """The attribute `what` of the longest rule that fits; null if none does."""
+    found = F.lit(None).cast("string")
     for i in sorted(range(len(rules)), key=lambda i: (len(rules[i].text), len(rules[i].host))):
         r = rules[i]
-        found = F.when(((host == r.host) | host.endswith(f".{r.host}")) & path.startswith(r.path), F.lit(i)).otherwise(found)
+        found = F.when(((host == r.host) | host.endswith(f".{r.host}")) & path.startswith(r.path), F.lit(getattr(r, what))).otherwise(found)
     return found
 
 
@@ -151,9 +151,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, page_id: str =
     if len(rules) > 10_000:
         raise ValueError("rules are compiled into the plan: 10,000 at most; put long lists into the host list")
     split = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    at = rule_index(F.col("host"), F.col("path"), rules)
-    rule_of = lambda what: F.element_at(F.array(*[F.lit(what(r)) for r in rules]), at + 1) if rules else F.lit(None).cast("string")
-    ruled = split.withColumn("rule", rule_of(lambda r: r.text)).withColumn("action", rule_of(lambda r: r.action))
+    ruled = split.withColumns({to: of_rule(F.col("host"), F.col("path"), rules, what) for to, what in (("rule", "text"), ("action", "action"))})
     votes = ruled.groupBy("host").agg(F.count("action").alias("n"), F.count(F.when(F.col("action") == "block", 1)).alias("blocked"))
     hosts = votes.select("host", ((F.col("n") > 0) & (F.col("blocked") >= F.lit(listed_share) * F.col("n"))).alias("is_listed"))
     levels = build_cascade(hosts, "host", "is_listed", most_bytes=most_bytes)
