@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from psephos.llm import mixing, url_filter
+from psephos.llm import mixing, packing, tokens, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op7_token_output": tokens.op7_token_output,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
