@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from psephos.llm import embeddings, mixing, packing, simhash, tokens, url_filter
+from psephos.llm import embeddings, mixing, packing, quality, simhash, tokens, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op5_embedding_near_dedup": embeddings.op5_embedding_near_dedup,
+    "op6_quality_rules": quality.op6_quality_rules,
     "op7_token_output": tokens.op7_token_output,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
