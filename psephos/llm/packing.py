@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from psephos.llm.common import table, written
-from psephos.llm.tokens import Encoder, crc, text_runs
+from psephos.llm.tokens import crc, encoder, text_runs
 
 _SHIFT = 44  # bits of a rank beside a length
 
@@ -62,10 +62,10 @@ def plan(counts: dict[int, int], room: int) -> tuple[np.ndarray, int]:
 
 def _pieces(path: str, kind: str, end: int, room: int):
     def run(batches):
-        encoder, part, seen = Encoder(path, kind), TaskContext.get().partitionId(), np.zeros(room + 1, np.int64)
+        coder, part, seen = encoder(path, kind), TaskContext.get().partitionId(), np.zeros(room + 1, np.int64)
         for b in batches:
             for first, texts in text_runs(b.column(1)):
-                flat, n = encoder.encode(texts)
+                flat, n = coder.encode(texts)
                 ids = np.insert(flat, np.cumsum(n), end)
                 n += 1
                 doc = np.repeat(np.arange(len(n)), -(-n // room))

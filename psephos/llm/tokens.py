@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -19,75 +20,210 @@ _WHOLE = {
     "byte": re.compile(rb"<\||\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"),
     "word": re.compile(rb"<\|"),
 }
-_CHUNKS = {"byte": re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+").findall, "word": bytes.split}
+#: Chunks of one word of Latin-1 letters, with punctuation after it: they need no normaliser, and their pre-tokens are plain.
+_PLAIN = {
+    "byte": re.compile(rb"([ \n]?)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([!-&(-/:-@\[-`{-~]*)"),
+    "word": re.compile(rb"()((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*)([!-&(-/:-@\[-`{-~]*)"),
+}
+#: Byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+_NEVER = "\xff"  # stands for the byte 255, which no UTF-8 text holds
+
+_SPACE, _LETTER, _STOP = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\v\f\r", bytes(range(65, 91)) + bytes(range(97, 123)), rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""))
+_rng = np.random.default_rng(20240229)
+_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+_BASE = int(_rng.integers(1, 2**63)) | 1
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse, modulo 2**64, as far as asked for."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            n = max(n, 2 * len(self.up))
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 2**64)))
+        return self.up, self.down
+
+
+_POWERS = _Powers()
+
+
+def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of the bytes, alike wherever the span stands."""
+    up, down = _POWERS.upto(len(buffer) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[buffer] * up[: len(buffer)])])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    h ^= (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
 
 
 class Encoder:
-    """Encodes texts chunk by chunk, each new chunk once.
+    """Encodes texts chunk by chunk; a chunk that is known needs no second encoding.
 
     kind "byte": byte-level BPE whose pre-tokens take white space at their start only, so a text may be cut wherever white
-    space follows other characters.  kind "word": BPE with word ends that drops white space, so a text may be cut at any
-    white space.  Either way the ids are those of the whole text; texts where that could fail are encoded whole.
-    The chunks known at a time are bounded by most_chunks and most_bytes.
+    space follows other characters.  kind "word": BPE with word ends that drops white space and case, so a text may be cut at any
+    white space, and A-Z lower-cased.  Both also end a pre-token where punctuation follows a letter.  So the ids are those of the
+    whole text; texts where that could fail are encoded whole.  Chunks are known by 64-bit hashes, those over `longest` bytes not at all.
+    Beyond most_chunks, the quarter that was met most often stays known.
     """
 
-    def __init__(self, path: str, kind: str, most_chunks: int = 400_000, most_bytes: int = 48 << 20):
+    def __init__(self, path: str, kind: str, most_chunks: int = 1_500_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.most_chunks, self.most_bytes = Tokenizer.from_file(path), kind, most_chunks, most_bytes
-        self.forget()
-
-    def forget(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.bytes, self.n, self.flat_n = 0, 0, 0
-        self.starts, self.lengths, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32)
-
-    def _ids(self, texts: list[bytes]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-
-    def _learn(self, chunks: list[bytes], at_once: int = 2000) -> None:
-        runs = [[c.decode("utf-8", "replace") for c in chunks[i : i + at_once]] for i in range(0, len(chunks), at_once)]
-        found = self.tokenizer.encode_batch(runs, is_pretokenized=True, add_special_tokens=False)
-        lengths = np.concatenate([np.bincount(np.array(x.word_ids, np.int64), minlength=len(r)) for x, r in zip(found, runs)])
-        flat = np.concatenate([np.array(x.ids, np.int32) for x in found])
-        for name, own, new in (("starts", self.n, self.flat_n + np.cumsum(lengths) - lengths), ("lengths", self.n, lengths), ("flat", self.flat_n, flat)):
-            held = getattr(self, name)
-            if own + len(new) > len(held):
-                held = np.concatenate([held[:own], np.zeros(own + 2 * len(new), held.dtype)])
-                setattr(self, name, held)
-            held[own : own + len(new)] = new
-        self.at.update(zip(chunks, range(self.n, self.n + len(chunks))))
-        self.n, self.flat_n, self.bytes = self.n + len(chunks), self.flat_n + len(flat), self.bytes + sum(map(len, chunks))
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids on end, and the number of ids of each text."""
-        if self.n > self.most_chunks or self.bytes > self.most_bytes:
-            self.forget()
-        cut, whole, chunks, counts = _CHUNKS[self.kind], _WHOLE[self.kind], [], np.zeros(len(texts), np.int64)
-        odd = {i for i, t in enumerate(texts) if whole.search(t)}
-        for i, t in enumerate(texts):
-            if i not in odd:
-                own = cut(t)
-                counts[i] = len(own)
-                chunks += own
-        if new := list(set(chunks).difference(self.at)):
-            self._learn(new)
-        at = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        flat = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
-        last = np.concatenate([[0], ends])[np.cumsum(counts)]
-        n = np.diff(last, prepend=0)
-        if odd:
-            parts = np.split(flat, last[:-1])
-            for i, ids in zip(sorted(odd), self._ids([texts[i] for i in sorted(odd)])):
-                parts[i] = np.array(ids, np.int32)
-            flat, n = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
-        return flat, n
-
-
-def text_runs(column: pa.Array, most_bytes: int = 4 << 20):
+        self.tokenizer, self.kind, self.most_chunks, self.longest = Tokenizer.from_file(path), kind, most_chunks, longest
+        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
+        self.never = self.bare.encode(_NEVER, add_special_tokens=False).ids
+        assert len(self.never) == 1, "the vocabulary lacks single bytes"
+        self.keys, self.starts, self.lengths, self.hits = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+        self.flat = np.zeros(0, np.int32)
+
+    def _cut(self, buffer: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the chunks; firsts: where texts start."""
+        space, begins = _SPACE[buffer], np.zeros(len(buffer) + 1, bool)
+        begins[firsts] = True
+        stop = np.zeros(len(buffer), bool)
+        stop[1:] = _STOP[buffer[1:]] & _LETTER[buffer[:-1]]
+        before = np.concatenate([[True], space[:-1]])
+        if self.kind == "byte":
+            cuts = begins[:-1] | space & ~before | stop
+            starts = np.nonzero(cuts)[0]
+            return starts, np.append(starts[1:], len(buffer))
+        starts = np.nonzero(~space & (before | begins[:-1] | stop))[0]
+        after = np.concatenate([space[1:], [True]])
+        ends = np.nonzero(~space & (after | begins[1:] | np.concatenate([stop[1:], [True]])))[0] + 1
+        return starts, ends
+
+    def _encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and each chunk's start and length there.  Plain chunks are spelled in the byte-level alphabet and told apart by a token that no text has."""
+        plain, whole, spelled = _PLAIN[self.kind].fullmatch, [], []
+        for i, c in enumerate(chunks):
+            if m := plain(c):
+                space, word, stop = m.groups()
+                word, stop = word.decode("latin-1").translate(_ALPHABET), stop.decode()
+                if space == b" ":
+                    spelled.append(f"{_ALPHABET[32]}{word} {stop}" if word else f"{_ALPHABET[32]}{stop}")
+                else:
+                    spelled.append(f"{_ALPHABET[10]} {word} {stop}" if space else f"{word} {stop}")
+            else:
+                whole.append(i)
+                spelled.append("")
+        ids = []
+        for i in range(0, len(spelled), 5000):
+            ids += self.bare.encode_batch_fast([f" {_NEVER} ".join([*spelled[i : i + 5000], ""])], add_special_tokens=False)[0].ids
+        ids = np.array(ids, np.int32)
+        ends = np.nonzero(ids == self.never[0])[0]
+        lengths, flat = np.diff(ends, prepend=-1) - 1, ids[ids != self.never[0]]
+        starts = np.cumsum(lengths) - lengths
+        if whole:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([chunks[i].decode("utf-8", "replace") for i in whole], add_special_tokens=False)]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            starts[whole], lengths[whole] = len(flat) + np.cumsum(n) - n, n
+            flat = np.concatenate([flat, np.fromiter((i for x in found for i in x), np.int32, int(n.sum()))])
+        return flat, starts, lengths
+
+    def _known(self, buffer: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The place of each chunk among the known ones; those not known yet are learned."""
+        unique, first, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        if len(self.keys) > self.most_chunks:
+            kept = np.sort(np.argsort(-self.hits, kind="stable")[: self.most_chunks // 4])
+            lengths = self.lengths[kept]
+            ends_ = np.cumsum(lengths)
+            self.flat = self.flat[np.repeat(self.starts[kept] - (ends_ - lengths), lengths) + np.arange(int(lengths.sum()))]
+            self.keys, self.starts, self.lengths, self.hits = self.keys[kept], ends_ - lengths, lengths, self.hits[kept] // 2
+        at = np.searchsorted(self.keys, unique)
+        new = np.ones(len(unique), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != unique[inside]
+        if new.any():
+            flat, own, lengths = self._encode_chunks([buffer[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            own += len(self.flat)
+            self.flat = np.concatenate([self.flat, flat])
+            for name, x in (("starts", own), ("lengths", lengths), ("hits", np.zeros(len(own), np.int64)), ("keys", unique[new])):
+                setattr(self, name, np.insert(getattr(self, name), at[new], x))
+            at = np.searchsorted(self.keys, unique)
+        self.hits[at] += counts
+        return at[inverse]
+
+    def _encode_run(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        joined = b"".join(texts)
+        joined = joined.lower() if self.kind == "word" else joined
+        buffer, sizes = np.frombuffer(joined, np.uint8), np.fromiter(map(len, texts), np.int64, len(texts))
+        if not len(buffer):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        firsts = np.cumsum(sizes) - sizes
+        starts, ends = self._cut(buffer, firsts)
+        owner = np.searchsorted(firsts, starts, "right") - 1
+        lengths, offsets, flat = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), None
+        short = ends - starts <= self.longest
+        if short.any():
+            s, e = starts[short], ends[short]
+            at = self._known(joined, span_hashes(buffer, s, e), s, e)
+            lengths[short], offsets[short] = self.lengths[at], self.starts[at]
+        flat = self.flat
+        if not short.all():
+            more, own, n = self._encode_chunks([joined[s:e] for s, e in zip(starts[~short].tolist(), ends[~short].tolist())])
+            lengths[~short], offsets[~short] = n, len(flat) + own
+            flat = np.concatenate([flat, more])
+        total = np.cumsum(lengths)
+        ids = flat[np.repeat(offsets - (total - lengths), lengths) + np.arange(int(lengths.sum()))]
+        return ids, np.bincount(owner, lengths, len(texts)).astype(np.int64)
+
+    def encode(self, texts: list[bytes], part: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """All ids on end, and the number of ids of each text.  Texts over `part` bytes are taken in parts, cut at white space where possible."""
+        whole, space = _WHOLE[self.kind], re.compile(rb"[^\t-\r ][\t-\r ]")
+        ids, counts, run, held = [], [], [], 0
+
+        def flush():
+            nonlocal run, held
+            flat, n = self._encode_run(run)
+            ids.append(flat)
+            counts.append(n)
+            run, held = [], 0
+
+        parts = []
+        for t in texts:
+            if whole.search(t):
+                flush()
+                found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
+                ids.append(np.array(found, np.int32))
+                counts.append(np.array([len(found)], np.int64))
+                parts.append(1)
+                continue
+            at, own = 0, 0
+            while len(t) - at > part and (m := space.search(t, at + part)):
+                run.append(t[at : m.start() + 1])
+                at, own = m.start() + 1, own + 1
+                flush()
+            run.append(t[at:])
+            held += len(run[-1])
+            parts.append(own + 1)
+            if held >= part:
+                flush()
+        flush()
+        n = np.concatenate(counts)
+        ends = np.cumsum(parts)
+        sums = np.concatenate([[0], np.cumsum(n)])
+        return np.concatenate(ids), np.diff(sums[np.concatenate([[0], ends])])
+
+
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(path: str, kind: str) -> Encoder:
+    """This worker's encoder: what it has learned serves its later tasks as well."""
+    if (path, kind) not in _ENCODERS:
+        _ENCODERS[path, kind] = Encoder(path, kind)
+    return _ENCODERS[path, kind]
+
+
+def text_runs(column: pa.Array, most_bytes: int = 1 << 20):
     """(first row, texts as bytes) in runs of about most_bytes; null is empty."""
     run, first, held = [], 0, 0
     for i, t in enumerate(column.cast(pa.large_binary())):
@@ -111,10 +247,10 @@ PARQUET = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary":
 
 def _encoded(path: str, kind: str, end: int):
     def run(batches):
-        encoder, part, start = Encoder(path, kind), TaskContext.get().partitionId(), 0
+        own, part, start = encoder(path, kind), TaskContext.get().partitionId(), 0
         for b in batches:
             for first, texts in text_runs(b.column(1)):
-                flat, n = encoder.encode(texts)
+                flat, n = own.encode(texts)
                 ids = np.insert(flat, np.cumsum(n), end).astype(np.int32, copy=False)
                 n += 1
                 ends = np.cumsum(n)
