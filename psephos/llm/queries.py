@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from psephos.llm import embeddings, mixing, packing, quality, simhash, tokens, url_filter
+from psephos.llm import embeddings, langid, lm, mixing, packing, quality, secrets, simhash, tokens, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op4_language_id": langid.op4_language_id,
     "op5_embedding_near_dedup": embeddings.op5_embedding_near_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_token_output": tokens.op7_token_output,
+    "op8_lm_score": lm.op8_lm_score,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_secret_scan": secrets.op10_secret_scan,
 }
 SQL = {
     "op1_mix_sources": mixing.OP1_SQL,

@@ -1,0 +1,47 @@
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from psephos.llm import secrets
+
+KEY = hashlib.sha1(b"k").hexdigest()
+TEXTS = [(1, f'the garden token = "{KEY}" and more'), (2, None), (3, ""), (4, "plain words only, none of them long"), (5, "x" * 200_000), (6, f"commit {KEY} fixes the handler"), (7, f"a/b secret={KEY} secret={KEY[::-1]} end"), (1, f'token = "{KEY}"'), (None, f"api_key: {KEY}")]
+
+
+def test_candidates_against_re(spark):
+    df = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    for r in df.select("text", secrets.candidates(F.col("text")).alias("x")).collect():
+        want = re.findall(r"[A-Za-z0-9+/_-]{20,}={0,2}", r.text or "")
+        assert [x.c for x in r.x] == want
+        assert all(len(x.b) <= 40 for x in r.x)
+
+
+def test_scan_and_redact(spark):
+    df = spark.createDataFrame([(i, t, "q", len(t or "")) for i, t in TEXTS], "doc_id long, text string, found string, n_chars long")
+    out = secrets.redacted(df)
+    assert out.columns == df.columns
+    rows = out.orderBy(F.col("doc_id").asc_nulls_first(), F.desc(F.length("text"))).collect()
+    by = {r.doc_id: r for r in rows if r.doc_id != 1}
+    assert len(rows) == len(TEXTS)
+    assert "[SECRET]" in by[None].text and by[7].text == "a/b secret=[SECRET] secret=[SECRET] end" and by[7].n_chars == len(by[7].text)
+    assert by[2].text is None and by[3].text == "" and by[5].text == "x" * 200_000 and KEY in by[6].text and by[4].text == TEXTS[3][1]
+    assert secrets.redacted(df.where("false")).count() == 0
+
+
+def test_held_out_accuracy(spark):
+    rows = secrets.labelled_findings(spark, 3600)
+    words = ["the", "and", "station", "tion"]
+    forest = secrets.fit_forest(rows.where("pmod(xxhash64(c, b), 3) > 0"), words)
+    test = rows.where("pmod(xxhash64(c, b), 3) = 0").select("secret", F.expr(f"transform(array(struct(c, b)), x -> {secrets._features(words)})").alias("f"))
+    scored = test.select("secret", F.expr(f"transform(f, f -> {forest})[0]").alias("score")).collect()
+    assert sum((r.score >= 0.5) == (r.secret == 1) for r in scored) >= 0.97 * len(scored)
+
+
+def test_planted_secrets_of_the_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = secrets.redacted(docs).join(docs.select("doc_id", F.col("text").alias("old")), "doc_id")
+    key = r'token = "[0-9a-f]{40}"'
+    assert out.where(F.col("text").rlike(key)).count() == 0
+    changed = out.where("text <> old").select("text", "old").collect()
+    assert len(changed) == docs.where(F.col("text").rlike(key)).count()
