@@ -47,18 +47,25 @@ def of_rule(host: Column, path: Column, rules: tuple[Rule, ...], what: str) -> C
 # --- the cascade --------------------------------------------------------------------------------
 
 
+def _places(h1: np.ndarray, h2: np.ndarray, level: int, hashes: int, bits: int):
+    """The bits of each key (two int64 hashes) in the filter of a level; every level mixes the hashes anew."""
+    a, b = (x.view(np.uint64) ^ np.uint64((level + 1) * 0x9E3779B97F4A7C15 % 2**64) for x in (h1, h2))
+    a, b = ((x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) for x in (a, b))
+    a, b = (x ^ (x >> np.uint64(32)) for x in (a, b))
+    for i in range(hashes):
+        yield (a + np.uint64(i) * (b | np.uint64(1))) % np.uint64(bits)
+
+
 @dataclass(frozen=True)
 class Level:
+    number: int
     bits: int
     hashes: int
     words: np.ndarray  # uint64
 
     def holds(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """h1, h2: the two int64 hashes of each key."""
-        a, b = h1.view(np.uint64) >> np.uint64(8), h2.view(np.uint64) >> np.uint64(8) | np.uint64(1)
-        found = np.ones(len(a), bool)
-        for i in range(self.hashes):
-            at = (a + np.uint64(i) * b) % np.uint64(self.bits)
+        found = np.ones(len(h1), bool)
+        for at in _places(h1, h2, self.number, self.hashes, self.bits):
             found &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
         return found
 
@@ -73,18 +80,25 @@ def cascade_holds(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.nda
     return listed
 
 
-def _filter(keys: DataFrame, n: int, rate: float, most_bytes: int) -> Level:
-    """A Bloom filter of the n keys (columns h1, h2).  Bits are set by grouped aggregation; only the filter itself comes to the driver, and its size is checked."""
+def _filter(keys: DataFrame, level: int, n: int, rate: float, most_bytes: int) -> Level:
+    """A Bloom filter of the n keys (columns h1, h2).  Tasks set bits in words, words meet in a grouped aggregation; only the filter itself comes to the driver, and its size is checked."""
     bits = max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2))
-    hashes = max(1, round(bits / n * math.log(2)))
+    hashes = max(1, round(bits / n * math.log(2))) if n * 64 > bits else 8
     if bits > 8 * most_bytes:
         raise MemoryError(f"a level of {bits // 8} bytes is over the bound of {most_bytes}")
-    step = F.shiftrightunsigned("h1", 8) + F.col("i") * F.shiftrightunsigned("h2", 8).bitwiseOR(F.lit(1))  # 56 bits: no overflow
-    at = keys.select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))).alias("i")).select((step % F.lit(bits)).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask")).toArrow()
+
+    def run(batches):
+        for b in batches:
+            at = np.concatenate([*_places(b.column("h1").to_numpy(), b.column("h2").to_numpy(), level, hashes, bits)])
+            words, own = np.unique(at >> np.uint64(6), return_inverse=True)
+            masks = np.zeros(len(words), np.uint64)
+            np.bitwise_or.at(masks, own, np.uint64(1) << (at & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(masks.view(np.int64))], names=["word", "mask"])
+
+    words = keys.mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     out = np.zeros(bits // 64 + 1, np.uint64)
     out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
-    return Level(bits, hashes, out)
+    return Level(level, bits, hashes, out)
 
 
 def _tested(level):
@@ -111,7 +125,7 @@ def build_cascade(universe: DataFrame, key: str, listed: str, rate: float = 0.02
         if len(levels) == most_levels:
             raise RuntimeError("the cascade does not end: two keys agree in 128 hash bits")
         try:
-            levels.append(_filter(inside, n, rate, most_bytes))
+            levels.append(_filter(inside, len(levels), n, rate, most_bytes))
         except MemoryError:
             return None
         level = spark.sparkContext.broadcast(levels[-1])
