@@ -159,8 +159,77 @@ def overlay(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def straight_angle(image: np.ndarray, dark: float, most: float = 4.0, step: float = 0.25) -> float:
     """The angle in degrees whose sheared row sums of dark pixels vary most."""
     ys, xs = np.nonzero(image < dark)
-    best = (-1.0, 0.0)
-    for angle in np.arange(-most, most + step / 2, step):
+    if not len(xs):
+        return 0.0
+    angles = sorted(np.arange(-most, most + step / 2, step), key=abs)
+
+    def peaks(angle):
         rows = np.round(ys - xs * np.tan(np.radians(angle))).astype(int)
-        best = max(best, (float(np.bincount(rows - rows.min()).var()), -abs(float(angle)), float(angle))[:1] + (float(angle),)) if len(rows) else best
-    return best[1]
+        return np.bincount(rows - rows.min()).var()
+
+    return float(max(angles, key=peaks))
+
+
+def grid_image(h: int, w: int, boxes: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """A white image with the outlines of boxes (x1, y1, x2, y2) in black; for tests and samples."""
+    a = np.ones((h, w))
+    for x1, y1, x2, y2 in boxes:
+        a[y1, x1 : x2 + 1] = a[y2, x1 : x2 + 1] = 0
+        a[y1 : y2 + 1, x1] = a[y1 : y2 + 1, x2] = 0
+    return a
+
+
+def lines(image: np.ndarray, dark: float = 0.5, least: int = 10) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Horizontal lines (y, x1, x2) and vertical lines (x, y1, y2): dark runs of `least` pixels or more."""
+    def find(a):
+        out = []
+        for k, row in enumerate(a < dark):
+            edge = np.diff(np.concatenate([[0], row.astype(int), [0]]))
+            out += [(k, int(s), int(e) - 1) for s, e in zip(np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]) if e - s >= least]
+        return out
+
+    return find(image), find(image.T)
+
+
+def perturbed(image: np.ndarray, dx: float, dy: float, degrees: float, brightness: float, noise: float, seed: int) -> np.ndarray:
+    """A shifted, turned, lightened and noisy copy, for testing alignment."""
+    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    out = affine(image, np.array([[c, -s, dx], [s, c, dy], [0, 0, 1.0]]), fill=1.0)
+    return np.clip(out + brightness + np.random.default_rng(seed).normal(0, noise, image.shape), 0, 1)
+
+
+def decompose(h: np.ndarray) -> tuple[float, float, float]:
+    """Shift (x, y) and rotation in degrees of a rigid matrix."""
+    return float(h[0, 2]), float(h[1, 2]), float(np.degrees(np.arctan2(h[1, 0], h[0, 0])))
+
+
+def variable_difference(image: np.ndarray, patch: np.ndarray) -> float:
+    """Mean difference after taking each one's background (its commonest light level) as white."""
+    def lifted(a):
+        n, edges = np.histogram(a, bins=64, range=(0, 1))
+        level = edges[32 + n[32:].argmax() + 1]
+        return np.minimum(a / level, 1)
+
+    return float(np.abs(lifted(image) - lifted(patch)).mean())
+
+
+def decode_or_flip(image: np.ndarray, decode) -> tuple[str | None, bool]:
+    """What `decode` reads, or reads after a rotation by 180 degrees; and whether that was needed."""
+    found = decode(image)
+    if found is not None:
+        return found, False
+    found = decode(flip(image))
+    return found, found is not None
+
+
+def bars_on_line(line: np.ndarray, mark: int, gap: int, tolerance: float = 0.5, n: int | None = None) -> str | None:
+    """Bits of a row of marks `mark` wide and `gap` apart on a scan line: 1 where most of a mark's place is dark.  None if there are not n."""
+    cut = on_off(line) if line.max() > line.min() else 0.5
+    dark = line < cut
+    if not dark.any():
+        return None
+    first, step, bits = int(np.nonzero(dark)[0][0]), mark + gap, ""
+    for at in range(first, len(line) - int(mark * (1 - tolerance)) + 1, step):
+        bits += "1" if dark[at : at + mark].mean() >= tolerance else "0"
+    bits = bits if n is None else bits[:n]
+    return bits if n is None or len(bits) == n else None
