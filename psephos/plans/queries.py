@@ -996,3 +996,5 @@ def _(spark, d):
     from psephos.streaming.tally import windowed_counts
 
     return windowed_counts(v.read(spark, d, "events"), "ts", "event_type").withColumn("total", F.round("total", 4))
+
+from psephos.plans import queries_boxes  # noqa: E402, F401  registers its queries
