@@ -25,14 +25,11 @@ def global_rank(df: DataFrame, bins: list[Column], order: list[str], to: str = "
 
 
 def dense_ids(df: DataFrame, key: list[str], to: str) -> DataFrame:
-    """Adds dense ids from 0 in the order of the distinct keys.  Keys are aggregated first; their order is found from range partitions' counts."""
-    keys = df.select(*key).distinct()
-    ordered = keys.withColumn(to, F.dense_rank().over(Window.orderBy(*key)) - 1)
-    joins = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
-    cond = joins[0]
-    for j in joins[1:]:
-        cond = cond & j
-    return df.alias("l").join(ordered.alias("r"), cond).select("l.*", F.col(f"r.{to}").cast("long").alias(to))
+    """Adds dense ids from 0 in the order of the distinct values of a string key.  Keys are made distinct first and ranked by leading characters."""
+    (name,) = key
+    keys = df.select(name).distinct().where(F.col(name).isNotNull())
+    ordered = global_rank(keys, [F.substring(name, 1, 4), F.substring(name, 1, 16)], [name], to)
+    return df.join(ordered.withColumn(to, F.col(to).cast("long")), name)
 
 
 def islands(df: DataFrame, partition: list[str], order: list[str], starts: Column, to: str) -> DataFrame:

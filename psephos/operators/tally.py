@@ -8,13 +8,38 @@ from pyspark.sql import functions as F
 from psephos.operators.ranking import global_rank
 
 
+_PLACE = ("intensity", "ballot_id", "page", "target_id")
+
+
+def ranked(marks: DataFrame) -> DataFrame:
+    """Every mark's rank by intensity, then ballot, page and target."""
+    return global_rank(marks, [F.col("intensity"), F.shiftright("ballot_id", 12)], ["ballot_id", "page", "target_id"])
+
+
+def cut(marks: DataFrame, threshold: int) -> DataFrame:
+    """One row: the mark of rank `threshold` as a struct; null if there are fewer marks.
+
+    Counts by intensity say in which bin it lies; only that bin's marks are ranked.
+    """
+    bins = marks.groupBy("intensity").agg(F.count(F.lit(1)).alias("_n"))
+    up_to = F.sum("_n").over(Window.orderBy("intensity"))  # as many rows as there are intensities
+    edge = bins.select("intensity", (up_to - F.col("_n")).alias("_before"), up_to.alias("_after")).where((F.col("_before") <= threshold) & (F.col("_after") > threshold))
+    own = marks.select(*_PLACE).join(F.broadcast(edge.select("intensity", "_before")), "intensity")  # one row
+    found = global_rank(own, [F.shiftright("ballot_id", 12)], ["ballot_id", "page", "target_id"])
+    return found.where(F.col("rnk") + F.col("_before") == threshold).agg(F.first(F.struct(*_PLACE)).alias("_cut"))
+
+
 def classify(marks: DataFrame, threshold: int, wrong: DataFrame | None = None) -> DataFrame:
-    """is_filled: the mark's rank by intensity is under the threshold, exclusive-or a human override (ballot_id, page, target_id)."""
-    ranked = global_rank(marks, [F.col("intensity"), F.shiftright("ballot_id", 12)], ["ballot_id", "page", "target_id"])
+    """is_filled: the mark's rank by intensity is under the threshold, exclusive-or a human override (ballot_id, page, target_id).
+
+    A mark is under it if it sorts before the mark of that rank, so marks are not moved.
+    """
+    under = F.coalesce(F.struct(*_PLACE) < F.col("_cut"), F.lit(True))
+    out = marks.join(F.broadcast(cut(marks, threshold))).withColumn("is_filled", under).drop("_cut")  # one row
     if wrong is None:
-        return ranked.withColumn("is_filled", F.col("rnk") < threshold)
+        return out
     flagged = wrong.select("ballot_id", "page", "target_id").distinct().withColumn("_wrong", F.lit(True))
-    return ranked.join(flagged, ["ballot_id", "page", "target_id"], "left").withColumn("is_filled", (F.col("rnk") < threshold) != F.coalesce("_wrong", F.lit(False))).drop("_wrong")
+    return out.join(flagged, ["ballot_id", "page", "target_id"], "left").withColumn("is_filled", F.col("is_filled") != F.coalesce("_wrong", F.lit(False))).drop("_wrong")
 
 
 def contest_status(results: DataFrame, contests: DataFrame) -> DataFrame:
@@ -22,7 +47,8 @@ def contest_status(results: DataFrame, contests: DataFrame) -> DataFrame:
 
     Several marks on one choice are one vote.  Returns ballot_id, cid, upto, choice, filled, votes, status; filled is 0 unless OK.
     """
-    one = results.groupBy("ballot_id", "cid", "choice").agg(F.max(F.col("is_filled").cast("int")).alias("filled"))
+    by_ballot = results.repartition("ballot_id")  # the one shuffle of all marks: choices, contests and later joins by ballot all keep to it
+    one = by_ballot.groupBy("ballot_id", "cid", "choice").agg(F.max(F.col("is_filled").cast("int")).alias("filled"))
     votes = F.sum("filled").over(Window.partitionBy("ballot_id", "cid"))
     known = one.join(F.broadcast(contests.select("cid", "upto")), "cid")  # as many rows as there are contests on paper
     status = F.when(F.col("votes") > F.col("upto"), "OVERVOTED").when(F.col("votes") == 0, "UNDERVOTED").otherwise("OK")

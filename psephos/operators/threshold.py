@@ -63,7 +63,8 @@ def outliers(errors: DataFrame, by: list[str], value: str, order: list[str], n:
 
 def view(results: DataFrame, which: str) -> DataFrame:
     """What a reviewer looks at: all, every second mark, filled ones."""
-    return {"all": results, "even": results.where("rnk % 2 = 0"), "filled": results.where("is_filled")}[which]
+    conditions = {"all": "true", "even": "rnk % 2 = 0", "filled": "is_filled"}
+    return results.where(conditions[which])
 
 
 def lonely(values: DataFrame, by: list[str], value: str, height: float, c: float = 2.0) -> DataFrame:

@@ -59,7 +59,7 @@ def _(spark, d):
 def _(spark, d):
     r = results(spark, d)
     over = tally.by_contest(tally.contest_status(r, v.contests(spark))).where("status = 'OVERVOTED'")
-    parts = {"even": threshold.view(r, "even"), "filled": threshold.view(r, "filled"), "all": r, "overvotes": r.join(over, ["ballot_id", "cid"], "left_semi")}
+    parts = {"even": threshold.view(tally.ranked(v.marks(spark, d)), "even"), "filled": threshold.view(r, "filled"), "all": r, "overvotes": r.join(over, ["ballot_id", "cid"], "left_semi")}
     out = None
     for k, x in parts.items():
         row = x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("which"), "n")
@@ -303,7 +303,7 @@ def _(spark, d):
 
 @query("e9_intensity_rank", f"WITH {v.FILLED} SELECT ballot_id, page, target_id, CAST(rnk AS BIGINT) AS rnk FROM filled")
 def _(spark, d):
-    return results(spark, d).select("ballot_id", "page", "target_id", "rnk")
+    return tally.ranked(v.marks(spark, d)).select("ballot_id", "page", "target_id", "rnk")
 
 
 @query("f7_most_common", "SELECT o_custkey, CAST(COUNT(*) AS BIGINT) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 15")
