@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -78,6 +79,17 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def give_back_memory() -> None:
+    """Returns what this worker has freed to the system: workers are used again by stages of other needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+_LIBC = ctypes.CDLL(None)
+
+
 # --- components ---------------------------------------------------------------------------------
 
 

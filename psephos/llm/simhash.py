@@ -8,10 +8,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from psephos.llm.common import components, forest, free_name, table, utf8, written
+from psephos.llm.common import components, forest, free_name, give_back_memory, table, utf8, written
 
 #: Runs of up to so many sketches are compared in one task; longer ones are dealt out as pairs of blocks of this size.
 BLOCK = 4096
+#: Copies of a large group's name that are dealt out.
+SALTS = 16
 
 
 def sketch(text: str | bytes | None, shingle: int, words: int = 1, at_once: int = 1 << 16) -> np.ndarray:
@@ -94,13 +96,13 @@ def links_in_run(s: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.
 
 
 def _edges(words: list[str], radius: int, most: int):
-    """Rows clustered by (mask, key), each with the size n of its run -> (a, b): links as nodes; or, for runs over BLOCK, the row itself with its mask and key."""
-    names = ["mask", "key", "n", "node", *[w for w in words if w != "node"]]
+    """Rows clustered by key, each with the size n of its run -> (a, b): links as nodes; or, for runs over BLOCK, the row itself with its key."""
+    carried = ["node", *[w for w in words if w != "node"]]
 
     def out(a, b, hot=None):
         none = lambda kind: pa.nulls(len(a), kind)
-        rest = hot or [none(pa.int32()), *[none(pa.int64()) for _ in range(1 + len(names) - 3)]]
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *rest], names=["a", "b", "mask", "key", *names[3:]])
+        rest = hot or [none(pa.int64()) for _ in ("key", *carried)]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *rest], names=["a", "b", "key", *carried])
 
     def run(batches):
         held = None
@@ -111,12 +113,12 @@ def _edges(words: list[str], radius: int, most: int):
             n = batch.column("n").to_numpy()
             if (hot := n > BLOCK).any():
                 own = batch.filter(pa.array(hot))
-                yield out(own.column("node").to_numpy(), own.column("node").to_numpy(), [own.column(c) for c in ("mask", "key", *names[3:])])
+                yield out(own.column("node").to_numpy(), own.column("node").to_numpy(), [own.column(c) for c in ("key", *carried)])
                 batch, n = batch.filter(pa.array(~hot)), n[~hot]
             if not len(n):
                 continue
-            mask, key = batch.column("mask").to_numpy(), batch.column("key").to_numpy()
-            first = np.nonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]))[0]
+            key = batch.column("key").to_numpy()
+            first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
             if len(n) - first[-1] < n[-1]:  # the last run goes on
                 held = batch.slice(first[-1])
                 first, n = first[:-1], n[: first[-1]]
@@ -137,33 +139,29 @@ def _edges(words: list[str], radius: int, most: int):
             if out_a and sum(map(len, out_a)):
                 yield out(node[np.concatenate(out_a)], node[np.concatenate(out_b)])
 
-    return run, names[3:]
+    return run, carried
 
 
 def links(sketches: DataFrame, words: list[str], radius: int, most: int, segments: int = 1) -> DataFrame:
     """(a, b): a spanning set of the links among distinct sketches (a long column node, and words; with one word, words is [node]).
 
     Sketches link if they differ in at most `radius` bits of the first word, and in at most `most` bits over all.  Every pair within the
-    radius meets under one mask at least.  Sketches under the same masked word are compared where they meet, and only a forest of
+    radius meets under one mask at least.  Sketches with the same mask and masked word (known by a hash) are compared where they meet, and only a forest of
     their links leaves the task, so neither rows nor edges grow with the square of a group.  A run over BLOCK is dealt out again as pairs of blocks.
     """
     masks = all_masks(radius, segments)
     first = F.col(words[0])
-    keys = F.posexplode(F.array(*[first.bitwiseAND(F.lit(signed(m))) for m in masks])).alias("mask", "key")
-    keep = ["node", *[w for w in words if w != "node"]]
-    rows = sketches.select(keys, *keep)
-    met = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("mask", "key"))).where("n > 1").select("mask", "key", "n", *keep)
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(i), first.bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)])).alias("key")
     fn, carried = _edges(words, radius, most)
-    schema = "a long, b long, mask int, key long, " + ", ".join(f"{c} long" for c in carried)
-    found = written(met.mapInArrow(fn, schema), "links")
-    hot = found.where("mask is not null").select("mask", "key", *carried)
-    size = F.count(F.lit(1)).over(Window.partitionBy("mask", "key"))
+    met = sketches.select(keys, *carried).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("key", "n", *carried)
+    found = written(met.mapInArrow(fn, "a long, b long, key long, " + ", ".join(f"{c} long" for c in carried)), "links")
+    hot = found.where("key is not null").select("key", *carried)
+    size = F.count(F.lit(1)).over(Window.partitionBy("key"))
     blocks = hot.withColumn("blocks", F.ceil(size * F.lit(2) / F.lit(BLOCK)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.expr("explode(transform(sequence(0, blocks - 1), x -> named_struct('lo', least(x, own), 'hi', greatest(x, own))))").alias("pair")
-    dealt = blocks.select("mask", "key", *carried, pairs).select("mask", "key", "pair.lo", "pair.hi", *carried)
-    dealt = dealt.withColumn("key", F.xxhash64("mask", "key", "lo", "hi")).repartition("mask", "key").sortWithinPartitions("mask", "key")
-    again = dealt.mapInArrow(_hot(words, radius, most), "a long, b long")
-    return found.where("mask is null").select("a", "b").unionByName(again)
+    dealt = blocks.select("key", *carried, pairs).withColumn("key", F.xxhash64("key", "pair")).select("key", *carried)
+    again = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_hot(words, radius, most), "a long, b long")
+    return found.where("key is null").select("a", "b").unionByName(again)
 
 
 def _hot(words: list[str], radius: int, most: int):
@@ -192,20 +190,28 @@ def _hot(words: list[str], radius: int, most: int):
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, w0, w1, ...: the sketch of every document, as a written table."""
+def with_sketches(docs: DataFrame, shingle: int, names: list[str], text: str) -> DataFrame:
+    """docs with the words of each text's sketch as columns `names`."""
 
     def run(batches):
         for b in batches:
-            s = np.stack([sketch(t.as_py(), shingle, words) for t in b.column(1).cast(pa.large_binary())] or [np.zeros(words, np.uint64)])[: b.num_rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(s[:, k].view(np.int64)) for k in range(words)]], names=["doc_id", *[f"w{k}" for k in range(words)]])
+            texts = b.column(b.schema.get_field_index(text)).cast(pa.large_binary())
+            s = np.array([sketch(t.as_py(), shingle, len(names)) for t in texts], np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(np.ascontiguousarray(s[:, k])) for k in range(len(names))]], names=[*b.schema.names, *names])
+        give_back_memory()
+
+    kinds = [f"`{c}` {k}" for c, k in docs.dtypes]
+    return docs.mapInArrow(run, ", ".join([*kinds, *[f"`{n}` long" for n in names]]))
 
-    schema = "doc_id long, " + ", ".join(f"w{k} long" for k in range(words))
-    return written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(run, schema), "fingerprints")
+
+def fingerprints(docs: DataFrame, shingle: int, words: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, w0, w1, ...: the sketch of every document, as a written table."""
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
+    return written(with_sketches(narrow, shingle, [f"w{k}" for k in range(words)], "_text").drop("_text"), "fingerprints")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, words: int = 1, most: int | None = None, segments: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, w0, ..., component_id for every document: component_id is the smallest doc_id reachable by links, itself included.
+    """doc_id, w0, ..., group, component_id for every document: component_id is the smallest doc_id reachable by links, itself included; group numbers components.
 
     Equal sketches are one class, so copies meet no further than one grouped aggregation.  A null text is empty; an empty text has the zero
     sketch and links like any other.  A null doc_id names no component; documents without an id get the smallest id of
@@ -217,23 +223,42 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, words: i
     classes = written(prints.groupBy(*all_words).agg(F.min("doc_id").alias("least")).withColumn("node", node), "classes")
     nodes = classes.select("node", *(all_words if words > 1 else []))
     linked = components(links(nodes, all_words if words > 1 else ["node"], radius, radius if most is None else most, segments), "simhash")
-    rooted = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(rooted.join(ids, "root").select(*all_words, "component_id"), "classes")
-    return prints.join(named, all_words).select("doc_id", *all_words, "component_id")
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents that stay: of each group the one with the smallest doc_id; of rows with that same id, the first by text; all columns as they are."""
-    groups = near_duplicates(docs, doc_id=doc_id, **options)
-    mark, rank = free_name(docs, "kept_id"), free_name(docs, "kept_rank")
-    kept = written(groups.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias(mark)).agg(F.count(F.lit(1)).alias(rank)), "kept")
-    once = docs.join(kept.where(F.col(rank) == 1), docs[doc_id].eqNullSafe(F.col(mark)), "left_semi")
-    if kept.where(F.col(rank) > 1).isEmpty():
+    rooted = classes.join(linked, "node", "left")
+    alone = rooted.where("root is null").select(*all_words, F.col("node").alias("root"), F.col("least").alias("component_id"))
+    # a root with many nodes: its name goes out in SALTS copies, and each node asks one of them
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))
+    members = rooted.where("root is not null").unionByName(classes.join(linked.select(F.col("root").alias("node")).distinct(), "node").withColumn("root", F.col("node")))
+    ids = members.groupBy("root").agg(F.min("least").alias("component_id")).select("root", "component_id", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])).alias("salt"))
+    grouped = members.withColumn("salt", salt).join(ids, ["root", "salt"]).select(*all_words, "root", "component_id")
+    lone = alone.join(ids.select("root").distinct(), "root", "left_anti").select(*all_words, "root", "component_id")
+    named = written(lone.unionByName(grouped), "classes")
+    return prints.join(named, all_words).select("doc_id", *all_words, F.col("root").alias("group"), "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, words: int = 1, most_gone: int = 2_000_000, **options) -> DataFrame:
+    """The documents that stay: of each group the one with the smallest doc_id; of its rows with that same id, the first by text; all columns as they are.
+
+    Ids that go are few beside the texts: up to most_gone of them (16 MB) are sent to where the texts are read; more are joined.
+    Ids that several rows share are told apart by their sketches.
+    """
+    groups = written(near_duplicates(docs, shingle=shingle, words=words, doc_id=doc_id, text=text, **options), "groups")
+    id_, rank, times = (free_name(docs, n) for n in ("kept_id", "kept_rank", "kept_times"))
+    repeated = groups.groupBy(F.col("doc_id").alias(id_)).agg(F.count(F.lit(1)).alias(times), F.min(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias(rank))
+    repeated = written(repeated.where((F.col(times) > 1) | ~F.col(rank)), "kept")
+    few = repeated.count() <= most_gone
+    gone = repeated.select(id_)
+    once = docs.join(F.broadcast(gone) if few else gone, docs[doc_id].eqNullSafe(F.col(id_)), "left_anti")
+    shared = repeated.where(F.col(times) > 1).select(id_)
+    if shared.isEmpty():
         return once
-    more = docs.join(kept.where(F.col(rank) > 1), docs[doc_id].eqNullSafe(F.col(mark)), "left_semi")
-    first = more.withColumn(rank, F.row_number().over(Window.partitionBy(doc_id).orderBy("text"))).where(F.col(rank) == 1).select(*docs.columns)
-    return once.unionByName(first)
+    names = [free_name(docs, f"w{k}") for k in range(words)]
+    rows = with_sketches(docs.join(shared, docs[doc_id].eqNullSafe(F.col(id_)), "left_semi"), shingle, names, text)
+    best = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias(id_), F.col("group").alias(rank), *[F.col(f"w{k}").alias(f"_{times}{k}") for k in range(words)]).distinct()
+    same = rows[doc_id].eqNullSafe(best[id_])
+    for k, n in enumerate(names):
+        same = same & (rows[n] == best[f"_{times}{k}"])
+    first = rows.join(best, same).withColumn(times, F.row_number().over(Window.partitionBy(rank).orderBy(text))).where(F.col(times) == 1)
+    return once.unionByName(first.select(*docs.columns))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

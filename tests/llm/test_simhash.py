@@ -116,9 +116,32 @@ def test_components(spark):
     assert all(out.get(x, x) == nodes[root[i]] for i, x in enumerate(nodes))
 
 
-def test_one_of_each_keeps_columns(spark):
+def test_one_of_each(spark):
     rows, df = docs(spark)
-    out = simhash.one_of_each(df, shingle=5, radius=12, words=4, most=39, segments=3)
-    assert out.columns == df.columns
-    ids = [r.doc_id for r in out.collect()]
-    assert ids.count(7) <= 1 and len(ids) < len(rows)
+    rows = rows + [(1000, "another text under an id that is taken " * 5), (1000, "another text under an id that is taken " * 5)]
+    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, node string, kept_id int, w0 int")
+    prints = [(i, brute_print(t)) for i, t in rows]
+    parts = {}
+    for (i, t), (_, p) in zip(rows, prints):
+        parts.setdefault(p, []).append((i, t))
+    roots = sorted(parts)
+    root = list(range(len(roots)))
+    for x in range(len(roots)):
+        for y in range(x):
+            if (roots[x] ^ roots[y]).bit_count() <= 4:
+                a, b = root[x], root[y]
+                root = [b if r == a else r for r in root]
+    groups = {}
+    for r, p in zip(root, roots):
+        groups.setdefault(r, []).extend(parts[p])
+    want = []
+    for own in groups.values():
+        ids = [i for i, _ in own if i is not None]
+        least = min(ids) if ids else None
+        want.append((least, min((t for i, t in own if i == least), key=lambda t: (t is not None, t or ""))))
+    for most in (2_000_000, 0):
+        out = simhash.one_of_each(df, shingle=4, radius=4, most_gone=most)
+        assert out.columns == df.columns
+        assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, want))
+    wide = simhash.one_of_each(df, shingle=5, radius=12, words=4, most=39, segments=3).collect()
+    assert 0 < len(wide) < len(rows)
