@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.llm.common import free_name, table, utf8
+from psephos.llm.common import free_name, give_back_memory, table, utf8
 
 _SYMBOLS, _UPPER, _DIGIT, _SPACE = (np.isin(np.arange(256), list(x)) for x in (b"#*$%&|<>", bytes(range(65, 91)), b"0123456789", b" \t\n\v\f\r"))
 _WINDOW = 8
@@ -70,6 +70,7 @@ def with_counts(docs: DataFrame, text: str, to: str) -> DataFrame:
             rows = np.array([count(t.as_py()) for t in b.column(at).cast(pa.large_binary())], np.int64).reshape(-1, len(COUNTS))
             counts = pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(COUNTS))], names=list(COUNTS))
             yield pa.RecordBatch.from_arrays([*b.columns, counts], names=[*b.schema.names, to])
+        give_back_memory()
 
     kinds = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
     return docs.mapInArrow(run, f"{kinds}, `{to}` struct<{', '.join(f'{c}: bigint' for c in COUNTS)}>")

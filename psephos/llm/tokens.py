@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import zlib
@@ -13,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from psephos.llm.common import shared_path, table
+from psephos.llm.common import give_back_memory, shared_path, table
 
 #: White space beyond ASCII, and the start of special tokens: a text with one of these is encoded in one piece.
 _WHOLE = {
@@ -72,13 +71,13 @@ class Encoder:
     Beyond most_chunks, the quarter that was met most often stays known.
     """
 
-    def __init__(self, path: str, kind: str, most_chunks: int = 1_500_000, longest: int = 64):
+    def __init__(self, path: str, kind: str, most_chunks: int = 600_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.kind, self.most_chunks, self.longest = Tokenizer.from_file(path), kind, most_chunks, longest
-        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
-        self.bare = Tokenizer.from_str(json.dumps(bare))
+        self.bare = Tokenizer(self.tokenizer.model)  # the same vocabulary, held once
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.never = self.bare.encode(_NEVER, add_special_tokens=False).ids
         assert len(self.never) == 1, "the vocabulary lacks single bytes"
         self.keys, self.starts, self.lengths, self.hits = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
@@ -175,7 +174,7 @@ class Encoder:
         ids = flat[np.repeat(offsets - (total - lengths), lengths) + np.arange(int(lengths.sum()))]
         return ids, np.bincount(owner, lengths, len(texts)).astype(np.int64)
 
-    def encode(self, texts: list[bytes], part: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[bytes], part: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
         """All ids on end, and the number of ids of each text.  Texts over `part` bytes are taken in parts, cut at white space where possible."""
         whole, space = _WHOLE[self.kind], re.compile(rb"[^\t-\r ][\t-\r ]")
         ids, counts, run, held = [], [], [], 0
@@ -223,7 +222,7 @@ def encoder(path: str, kind: str) -> Encoder:
     return _ENCODERS[path, kind]
 
 
-def text_runs(column: pa.Array, most_bytes: int = 1 << 20):
+def text_runs(column: pa.Array, most_bytes: int = 1 << 19):
     """(first row, texts as bytes) in runs of about most_bytes; null is empty."""
     run, first, held = [], 0, 0
     for i, t in enumerate(column.cast(pa.large_binary())):
@@ -234,6 +233,7 @@ def text_runs(column: pa.Array, most_bytes: int = 1 << 20):
             run, first, held = [], i + 1, 0
     if run:
         yield first, run
+    give_back_memory()
 
 
 def crc(ids: np.ndarray) -> int:
