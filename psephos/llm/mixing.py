@@ -58,16 +58,16 @@ def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "so
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, whole, each as often as it is taken; the columns stay as they are.
 
-    Documents are taken by distinct (doc_id, source, size): rows that agree in these are taken alike.
+    Rows that agree in doc_id and size are taken alike, as often as the one taken most.
     Documents without a word are never taken.
     """
-    doc_id, source = options.get("doc_id", "doc_id"), options.get("source", "source")
-    size, times = free_name(docs, "mix_size"), free_name(docs, "mix_times")
+    doc_id = options.get("doc_id", "doc_id")
+    id_, size, own, times = (free_name(docs, n) for n in ("mix_id", "mix_size", "mix_own", "mix_times"))
     sized = docs.withColumn(size, n_words("text"))
     taken = mix(sized, F.col(size), whole=True, **options).where("taken > 0")
-    counts = taken.groupBy(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size")).agg(F.max(F.floor(F.col("taken") / F.col("size"))).alias(times))
-    kept = sized.join(counts, sized[doc_id].eqNullSafe(counts["_mix_id"]) & (sized[size] == counts["_mix_size"]))
-    return kept.select(*[kept[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(times)).select(*docs.columns)
+    counts = taken.groupBy(F.col("doc_id").alias(id_), F.col("size").alias(own)).agg(F.max(F.floor(F.col("taken") / F.col("size"))).alias(times))
+    kept = sized.join(counts, F.col(doc_id).eqNullSafe(F.col(id_)) & (F.col(size) == F.col(own)))
+    return kept.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(times)).select(*docs.columns)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
