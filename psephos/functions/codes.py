@@ -29,7 +29,7 @@ def hart_weights(n: int = 12) -> list[int]:
 
 def hart_checksum(code: Column, seed: int = 1) -> Column:
     """The check number of the first 12 digits: the weighted sum with a seed modulo 97, 1 written as 98 and 0 as 97."""
-    total = reduce(lambda a, b: a + b, [_sub(code, i, i + 1).cast("int") * w for i, w in enumerate(hart_weights())], F.lit(seed)) % 97
+    total = reduce(lambda a, b: a + b, [_sub(code, i, i + 1).try_cast("int") * w for i, w in enumerate(hart_weights())], F.lit(seed)) % 97
     return F.when(total == 1, 98).when(total == 0, 97).otherwise(total)
 
 

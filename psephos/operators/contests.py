@@ -108,3 +108,26 @@ def agglomerate(pairs: DataFrame, ids: DataFrame, block: str, linkage: float) ->
 
     kind = dict(ids.dtypes)[block]
     return ids.groupBy(block).cogroup(pairs.groupBy(block)).applyInPandas(run, f"{block} {kind}, id long, cluster long")
+
+
+#: How alike texts must be, by language.
+LINKAGE = {"eng": 0.2, "spa": 0.2, "chi_sim": 0.25, "vie": 0.3, "kor": 0.3}
+
+
+def equivalence_classes(texts: DataFrame, most_in_block: int = 1000) -> DataFrame:
+    """Contests (id, language code, title, choices) -> id, class: the smallest id of the texts found to be one contest.
+
+    Blocks are language and number of choices; within, contests with close titles lie next to each other in order of length, and blocks over
+    most_in_block are cut along that order, as the pairing is quadratic.  Pairs of a block are then joined by average linkage.
+    """
+    sized = texts.withColumns({"n": F.size("choices"), "size": F.aggregate("choices", F.lit(0), lambda s, t: s + F.length(t))})
+    w = Window.partitionBy("language", "n").orderBy(F.length("title") + F.col("size"), "title", "id")
+    cut = F.floor((F.row_number().over(w) - 1) / most_in_block)
+    blocked = sized.withColumn("block", F.concat_ws("/", "language", F.col("n").cast("string"), cut.cast("string")))
+    known = F.lit(0.2)
+    for code, c in LINKAGE.items():
+        known = F.when(F.col("language") == code, c).otherwise(known)
+    pairs = pairs_in_blocks(blocked, ["block"], 1.0).join(blocked.select(F.col("id").alias("a_id"), "block", known.alias("linkage")), "a_id")
+    # distances in units of the language's constant, so that one linkage serves all blocks
+    scaled = pairs.withColumn("distance", F.col("distance") / F.col("linkage"))
+    return agglomerate(scaled.select("block", "a_id", "b_id", "distance"), blocked.select("block", "id"), "block", 1.0).select("id", F.col("cluster").alias("class"))

@@ -64,22 +64,30 @@ def matches(image: np.ndarray, patch: np.ndarray, least: float, most: int = 50,
 
 
 def align_shift(image: np.ndarray, reference: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Translation (x, y) that brings an image onto a reference: Lucas-Kanade, coarse to fine."""
+    """Translation (x, y) that brings an image onto a reference: Lucas-Kanade, coarse to fine; a step that does not lessen the error ends a level."""
+    def moved(a, t):
+        return affine(a, np.array([[1, 0, t[0]], [0, 1, t[1]], [0, 0, 1.0]]))
+
+    def error(m, r):
+        ok = ~np.isnan(m)
+        return ((m - r)[ok] ** 2).mean() if ok.mean() > 0.3 else np.inf
+
     shift = np.zeros(2)
     for scale in (4, 2, 1):
         shape = tuple(max(4, s // scale) for s in reference.shape)
         a, r = resize(image, shape), resize(reference, shape)
         ratio = np.array([(reference.shape[1] - 1) / (shape[1] - 1), (reference.shape[0] - 1) / (shape[0] - 1)])
         t = shift / ratio
+        m = moved(a, t)
+        least = error(m, r)
         for _ in range(rounds):
-            moved = affine(a, np.array([[1, 0, t[0]], [0, 1, t[1]], [0, 0, 1.0]]))
-            gy, gx = np.gradient(moved)
-            ok = ~np.isnan(moved) & ~np.isnan(gx) & ~np.isnan(gy)
-            g = np.stack([gx[ok], gy[ok]], axis=1)
-            step, *_ = np.linalg.lstsq(g, (moved - r)[ok], rcond=None)
-            t = t + step
-            if np.abs(step).max() < 1e-3:
+            gy, gx = np.gradient(m)
+            ok = ~np.isnan(m) & ~np.isnan(gx) & ~np.isnan(gy)
+            step, *_ = np.linalg.lstsq(np.stack([gx[ok], gy[ok]], axis=1), (m - r)[ok], rcond=None)
+            m = moved(a, t + step)
+            if not error(m, r) < least:
                 break
+            t, least = t + step, error(m, r)
         shift = t * ratio
     return shift
 

@@ -70,7 +70,9 @@ class Sequoia:
 
 
 class DirectoryName:
-    """The style is the name of the directory."""
+    """The style is the name of the directory of the ballot's first image."""
+
+    first_only = True
 
     def decode(self, images: DataFrame) -> DataFrame:
         return _status(images.withColumn("raw", paths.parent_name(F.col("image_path"))), F.lit(True), F.col("raw"))
@@ -82,6 +84,8 @@ class DirectoryName:
 class SingleTemplate:
     """All ballots are of one style."""
 
+    first_only = True
+
     def decode(self, images: DataFrame) -> DataFrame:
         return _status(images.withColumn("raw", F.lit("0")), F.lit(True), F.col("raw"))
 
@@ -104,4 +108,7 @@ def partition(images: DataFrame, vendor: str, manual: DataFrame | None = None) -
         decoded = decoded.join(given, "image_path", "left").withColumn("code", F.coalesce("_given", "code")).withColumn("status", F.when(F.col("_given").isNotNull(), "ok").otherwise(F.col("status"))).drop("_given")
     bad = decoded.where("status <> 'ok'")
     good = decoded.join(bad.select("ballot_id").distinct(), "ballot_id", "left_anti")
-    return partition_by_code(good.select("ballot_id", "page", v.tag(F.col("code")).alias("code"))), bad
+    tags = good.select("ballot_id", "page", v.tag(F.col("code")).alias("code"))
+    if getattr(v, "first_only", False):
+        tags = tags.groupBy("ballot_id").agg(F.min("page").alias("page"), F.min_by("code", "page").alias("code"))
+    return partition_by_code(tags), bad

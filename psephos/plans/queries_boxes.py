@@ -102,7 +102,7 @@ def _(spark, d):
     return vendors.VENDORS["hart"]().decode(rows).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("l_d8_directory_partitions", f"WITH {v.IMAGE}, t AS (SELECT ballot_id, string_agg(split_part(dir_path, '/', 2), '_' ORDER BY page) AS tag FROM image GROUP BY 1) SELECT ballot_id, tag, CAST(DENSE_RANK() OVER (ORDER BY tag) - 1 AS BIGINT) AS partition_id FROM t")
+@query("l_d8_directory_partitions", f"WITH {v.IMAGE}, t AS (SELECT ballot_id, arg_min(split_part(dir_path, '/', 2), page) AS tag FROM image GROUP BY 1) SELECT ballot_id, tag, CAST(DENSE_RANK() OVER (ORDER BY tag) - 1 AS BIGINT) AS partition_id FROM t")
 def _(spark, d):
     parts, _ = vendors.partition(v.images(spark, d), "dirname")
     return parts.select("ballot_id", "tag", "partition_id")
@@ -171,3 +171,20 @@ def _(spark, d):
             yield pd.DataFrame(rows, columns=["dx", "dy", "dt"])
 
     return bx.alignment_grid(_patches(spark, d).mapInPandas(run, "dx double, dy double, dt double"), [0.5, 1, 2])
+
+
+@query("d15_target_extraction", "SELECT vec_id, CAST(t AS INT) AS target_id, ROUND(255 * (embedding[t * 4 + 1]::DOUBLE + embedding[t * 4 + 2]::DOUBLE + embedding[t * 4 + 9]::DOUBLE + embedding[t * 4 + 10]::DOUBLE) / 4, 3) + 0.0::DOUBLE AS intensity FROM embeddings, range(2) g(t)")
+def _(spark, d):
+    """Mean intensity of two 2 by 2 targets of every 8 by 8 patch."""
+    from psephos.operators import patches
+
+    p = patches.from_array(_patches(spark, d).withColumnRenamed("patch", "values"), "values", 8).select("vec_id", "patch")
+    return patches.extract(p, [(0, 0, 2, 2), (4, 0, 6, 2)]).select("vec_id", "target_id", (F.round("intensity", 3) + 0.0).alias("intensity"))
+
+
+@query("i11_equivalence_classes")
+def _(spark, d):
+    from psephos.operators.contests import equivalence_classes
+    from psephos.plans.queries import texts
+
+    return equivalence_classes(texts(spark, d).select("id", F.lit("eng").alias("language"), "title", "choices"))

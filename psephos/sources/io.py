@@ -151,3 +151,31 @@ class Catalog:
 
     def has(self, name: str, table: str) -> bool:
         return (self.root / name / table).exists()
+
+
+def write_boxes(boxes: DataFrame, path: str) -> None:
+    """Boxes as CSV, a folder per group and side."""
+    boxes.write.mode("overwrite").partitionBy("group_id", "side").option("header", "true").csv(path)
+
+
+def read_boxes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", "true").schema("kind string, box_id int, contest_local_id int, x int, y int, w int, h int, group_id int, side int").csv(path)
+
+
+def write_patches(patches: DataFrame, path: str) -> None:
+    """Patches range-split and sorted by intensity, so that a reader of an intensity range or a place opens few files."""
+    patches.repartitionByRange("intensity").sortWithinPartitions("intensity", "ballot_id", "page", "target_id").write.mode("overwrite").parquet(path)
+
+
+def read_patches(spark: SparkSession, path: str, low: int, high: int) -> DataFrame:
+    """Patches with low <= intensity <= high; the bounds reach the files' statistics."""
+    return spark.read.parquet(path).where(F.col("intensity").between(low, high))
+
+
+def save_text(project: str, name: str, text: str) -> None:
+    Path(project).mkdir(parents=True, exist_ok=True)
+    Path(project, name).write_text(text)
+
+
+def load_text(project: str, name: str) -> str:
+    return Path(project, name).read_text()

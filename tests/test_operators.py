@@ -176,3 +176,60 @@ def test_streaming_equals_batch(spark, sf, tmp_path):
     q.awaitTermination()
     got = {(r.start, r.event_type): r.n for r in spark.table("tallied").collect()}
     assert got == {(r.start, r.event_type): r.n for r in windowed_counts(events, "ts", "event_type").collect()}
+
+
+def test_patches(spark):
+    from psephos.operators import patches
+
+    rng = np.random.default_rng(3)
+    images = [pixels.resize(rng.random((6, 6)), (24, 24)) for _ in range(3)]
+    rows = [(i, i % 2, im.ravel().tolist()) for i, im in enumerate(images)]
+    df = patches.from_array(spark.createDataFrame(rows, "id long, g int, a array<double>"), "a", 24).drop("a")
+    got = {r.id: r for r in patches.match_exemplars(df, {str(k): im[4:14, 6:16] for k, im in enumerate(images)}).collect()}
+    assert {i: (r.label, r.x, r.y, r.status) for i, r in got.items()} == {i: (str(i), 6, 4, "ok") for i in range(3)}
+    bad = patches.map_patch(df, lambda a: {"v": 1 // int(a[0, 0] > 2)}, "v long").collect()
+    assert {(r.v, r.status) for r in bad} == {(None, "err")}
+    over = {r.g: r for r in patches.overlays(df, "g").collect()}
+    assert np.allclose(over[0].low, np.minimum(images[0], images[2]).ravel()) and np.allclose(over[0].high, np.maximum(images[0], images[2]).ravel())
+    means = {(r.id, r.target_id): r.intensity for r in patches.extract(df, [(0, 0, 4, 4), (2, 3, 9, 8)]).collect()}
+    assert means[1, 1] == pytest.approx(images[1][3:8, 2:9].mean() * 255)
+    made = patches.testset(spark, images[:1], [0, 2], [0, -1], [0.0], noise=0.0).withColumn("g", F.lit(1)).withColumn("k", F.col("dx") * 10 - F.col("dy"))
+    shifts = {r.k: (r.dx, r.dy) for r in patches.aligned(made, "g", "k").collect()}
+    assert max(abs(shifts[20][0] + 2), abs(shifts[20][1])) < 0.5 and max(abs(shifts[1][0]), abs(shifts[1][1] - 1)) < 0.5
+
+
+def test_boxes_patches_and_texts_on_disk(spark, tmp_path):
+    b = spark.createDataFrame([("contest", 1, 1, 0, 0, 5, 5, 0, 0), ("target", 2, 1, 1, 1, 2, 2, 0, 1)], "kind string, box_id int, contest_local_id int, x int, y int, w int, h int, group_id int, side int")
+    io.write_boxes(b, str(tmp_path / "b"))
+    assert sorted(map(tuple, io.read_boxes(spark, str(tmp_path / "b")).collect())) == sorted(map(tuple, b.collect()))
+    p = spark.range(50).select(F.col("id").alias("ballot_id"), F.lit(0).alias("page"), F.lit(1).alias("target_id"), (F.col("id") * 5).cast("int").alias("intensity"))
+    io.write_patches(p, str(tmp_path / "p"))
+    assert sorted(r.intensity for r in io.read_patches(spark, str(tmp_path / "p"), 10, 25).collect()) == [10, 15, 20, 25]
+    io.save_text(str(tmp_path / "x"), "t", "é\n")
+    assert io.load_text(str(tmp_path / "x"), "t") == "é\n"
+
+
+def test_equivalence_classes(spark):
+    rows = [(1, "eng", "Mayor of the town", ["Ann Smith", "Bob Jones"]), (2, "eng", "Mayor of tne town", ["Bob Jones", "Ann Smith"]), (3, "eng", "School board", ["Cy Young", "Di Old"]), (4, "spa", "Mayor of the town", ["Ann Smith", "Bob Jones"]), (5, "eng", "Mayor of the town", ["Ann Smith", "Bob Jones", "Third"])]
+    df = spark.createDataFrame(rows, "id long, language string, title string, choices array<string>")
+    assert {r.id: r["class"] for r in contests.equivalence_classes(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
+def test_vendors(spark):
+    from psephos.operators import vendors
+
+    body = "123456001020"
+    total = (1 + sum(int(d) * w for d, w in zip(body, codes.hart_weights()))) % 97
+    good = f"{body}{({1: 98, 0: 97}.get(total, total)):02d}"
+    rows = [("a/1", 1, 0, good), ("a/2", 1, 1, good), ("b/1", 2, 0, good), ("b/2", 2, 1, "junk"), ("c/1", 3, 0, None)]
+    df = spark.createDataFrame(rows, "image_path string, ballot_id long, page int, raw string")
+    parts, bad = vendors.partition(df, "hart")
+    assert [r.ballot_id for r in parts.collect()] == [1] and {(r.image_path, r.status) for r in bad.collect()} == {("b/2", "err"), ("c/1", "ioerr")}
+    parts, bad = vendors.partition(df, "hart", spark.createDataFrame([("b/2", good)], "image_path string, code string"))
+    assert {r.ballot_id: r.partition_id for r in parts.collect()} == {1: 0, 2: 0} and bad.count() == 1
+    assert {r.partition_id for r in vendors.partition(df, "single")[0].collect()} == {0}
+    assert {r.ballot_id: r.partition_id for r in vendors.partition(df, "dirname")[0].collect()} == {1: 0, 2: 1, 3: 2}
+    seq = spark.createDataFrame([("s/1", 1, 0, "11110000,10101010"), ("s/2", 1, 1, None)], "image_path string, ballot_id long, page int, raw string")
+    assert vendors.partition(seq, "sequoia")[0].count() == 1
+    for v in vendors.VENDORS:
+        assert "code" in vendors.VENDORS[v]().decode(df).columns
