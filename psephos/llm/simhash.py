@@ -60,22 +60,19 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _near(s: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, most: int) -> np.ndarray:
+def _near(s: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Which pairs of rows a, b of the sketches s (n x words, uint64) link."""
-    ok = np.bitwise_count(s[a, 0] ^ s[b, 0]) <= radius
-    if s.shape[1] > 1:
-        ok[ok] = np.bitwise_count(s[a[ok]] ^ s[b[ok]]).sum(axis=1, dtype=np.int64) <= most
-    return ok
+    return np.bitwise_count(s[a] ^ s[b]).sum(axis=1, dtype=np.int64) <= most
 
 
-def links_in_run(s: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def links_in_run(s: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among the sketches s, as row numbers; fewer than len(s) edges whatever the number of links."""
     n = len(s)
     if n <= 512:
-        a, b = np.nonzero(np.triu(np.bitwise_count(s[:, None, 0] ^ s[None, :, 0]) <= radius, 1))
-        if s.shape[1] > 1:
-            ok = _near(s, a, b, radius, most)
-            a, b = a[ok], b[ok]
+        d = np.zeros((n, n), np.int16)
+        for k in range(s.shape[1]):
+            d += np.bitwise_count(s[:, None, k] ^ s[None, :, k])
+        a, b = np.nonzero(np.triu(d <= most, 1))
         if len(a) >= n:
             root = forest(n, a, b)
             b = np.nonzero(root != np.arange(n))[0]
@@ -86,7 +83,7 @@ def links_in_run(s: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            ok = _near(s, np.full(len(left), at), left, radius, most)
+            ok = _near(s, np.full(1, at), left, most)
             found = left[ok]
             from_.append(np.full(len(found), at))
             to.append(found)
@@ -95,7 +92,7 @@ def links_in_run(s: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.
     return (np.concatenate(from_), np.concatenate(to)) if from_ else (left, left)
 
 
-def _edges(words: list[str], radius: int, most: int):
+def _edges(words: list[str], most: int):
     """Rows clustered by key, each with the size n of its run -> (a, b): links as nodes; or, for runs over BLOCK, the row itself with its key."""
     carried = ["node", *[w for w in words if w != "node"]]
 
@@ -129,11 +126,11 @@ def _edges(words: list[str], radius: int, most: int):
                 own = first[size == k]
                 for i in range(k):
                     for j in range(i + 1, k):
-                        ok = _near(s, own + i, own + j, radius, most)
+                        ok = _near(s, own + i, own + j, most)
                         out_a.append(own[ok] + i)
                         out_b.append(own[ok] + j)
             for f, k in zip(first[size > 3].tolist(), size[size > 3].tolist()):
-                a, b = links_in_run(s[f : f + k], radius, most)
+                a, b = links_in_run(s[f : f + k], most)
                 out_a.append(a + f)
                 out_b.append(b + f)
             if out_a and sum(map(len, out_a)):
@@ -142,17 +139,16 @@ def _edges(words: list[str], radius: int, most: int):
     return run, carried
 
 
-def links(sketches: DataFrame, words: list[str], radius: int, most: int, segments: int = 1) -> DataFrame:
+def links(sketches: DataFrame, words: list[str], radius: int, most: int, segments: int = 1, tries: int = 1) -> DataFrame:
     """(a, b): a spanning set of the links among distinct sketches (a long column node, and words; with one word, words is [node]).
 
-    Sketches link if they differ in at most `radius` bits of the first word, and in at most `most` bits over all.  Every pair within the
-    radius meets under one mask at least.  Sketches with the same mask and masked word (known by a hash) are compared where they meet, and only a forest of
+    Sketches link if they differ in at most `most` bits over all words.  Every pair that differs in at most `radius` bits of one of the first
+    `tries` words meets under one mask at least.  Sketches with the same mask and masked word (known by a hash) are compared where they meet, and only a forest of
     their links leaves the task, so neither rows nor edges grow with the square of a group.  A run over BLOCK is dealt out again as pairs of blocks.
     """
     masks = all_masks(radius, segments)
-    first = F.col(words[0])
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(i), first.bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)])).alias("key")
-    fn, carried = _edges(words, radius, most)
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(k * len(masks) + i), F.col(w).bitwiseAND(F.lit(signed(m)))) for k, w in enumerate(words[:tries]) for i, m in enumerate(masks)])).alias("key")
+    fn, carried = _edges(words, most)
     met = sketches.select(keys, *carried).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("key", "n", *carried)
     found = written(met.mapInArrow(fn, "a long, b long, key long, " + ", ".join(f"{c} long" for c in carried)), "links")
     hot = found.where("key is not null").select("key", *carried)
@@ -160,11 +156,11 @@ def links(sketches: DataFrame, words: list[str], radius: int, most: int, segment
     blocks = hot.withColumn("blocks", F.ceil(size * F.lit(2) / F.lit(BLOCK)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.expr("explode(transform(sequence(0, blocks - 1), x -> named_struct('lo', least(x, own), 'hi', greatest(x, own))))").alias("pair")
     dealt = blocks.select("key", *carried, pairs).withColumn("key", F.xxhash64("key", "pair")).select("key", *carried)
-    again = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_hot(words, radius, most), "a long, b long")
+    again = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_hot(words, most), "a long, b long")
     return found.where("key is null").select("a", "b").unionByName(again)
 
 
-def _hot(words: list[str], radius: int, most: int):
+def _hot(words: list[str], most: int):
     """Runs of two blocks each: (a, b)."""
 
     def run(batches):
@@ -172,7 +168,7 @@ def _hot(words: list[str], radius: int, most: int):
 
         def linked(batch):
             s = np.stack([batch.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
-            a, b = links_in_run(s, radius, most)
+            a, b = links_in_run(s, most)
             node = batch.column("node").to_numpy()
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
@@ -210,7 +206,7 @@ def fingerprints(docs: DataFrame, shingle: int, words: int = 1, doc_id: str = "d
     return written(with_sketches(narrow, shingle, [f"w{k}" for k in range(words)], "_text").drop("_text"), "fingerprints")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, words: int = 1, most: int | None = None, segments: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, words: int = 1, most: int | None = None, segments: int = 1, tries: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, w0, ..., group, component_id for every document: component_id is the smallest doc_id reachable by links, itself included; group numbers components.
 
     Equal sketches are one class, so copies meet no further than one grouped aggregation.  A null text is empty; an empty text has the zero
@@ -222,7 +218,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, words: i
     node = F.col("w0") if words == 1 else F.xxhash64(*all_words)
     classes = written(prints.groupBy(*all_words).agg(F.min("doc_id").alias("least")).withColumn("node", node), "classes")
     nodes = classes.select("node", *(all_words if words > 1 else []))
-    linked = components(links(nodes, all_words if words > 1 else ["node"], radius, radius if most is None else most, segments), "simhash")
+    linked = components(links(nodes, all_words if words > 1 else ["node"], radius, radius if most is None else most, segments, tries), "simhash")
     rooted = classes.join(linked, "node", "left")
     alone = rooted.where("root is null").select(*all_words, F.col("node").alias("root"), F.col("least").alias("component_id"))
     # a root with many nodes: its name goes out in SALTS copies, and each node asks one of them

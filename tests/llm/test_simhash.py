@@ -143,5 +143,5 @@ def test_one_of_each(spark):
         out = simhash.one_of_each(df, shingle=4, radius=4, most_gone=most)
         assert out.columns == df.columns
         assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, want))
-    wide = simhash.one_of_each(df, shingle=5, radius=12, words=4, most=39, segments=3).collect()
+    wide = simhash.one_of_each(df, shingle=5, radius=12, words=4, most=39, segments=3, tries=2).collect()
     assert 0 < len(wide) < len(rows)
