@@ -17,9 +17,10 @@ SALTS = 16
 
 
 def sketch(text: str | bytes | None, shingle: int, words: int = 1, at_once: int = 1 << 16) -> np.ndarray:
-    """`words` 64-bit words: bit b of word k is set if it is set in over half of the shingles' XXH64 with seed 42 + k.
+    """`words` 64-bit words; a bit is set if it is set in over half of the shingles' hashes.
 
-    Words are runs without ASCII white space, A-Z lower-cased; shingles are `shingle` words joined by spaces, repeats included; fewer words are
+    One word has XXH64 with seed 42; more, an even number, have XXH3-128 with seeds 0, 1, ..., two words each.  Words of text are runs without
+    ASCII white space, A-Z lower-cased; shingles are `shingle` of them joined by spaces, repeats included; fewer are
     one shingle; a text without words has zero.  Long texts are counted in runs of at_once shingles.
     """
     w = (text if isinstance(text, bytes) else utf8(text)).lower().split()
@@ -30,14 +31,21 @@ def sketch(text: str | bytes | None, shingle: int, words: int = 1, at_once: int
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     stops = ends[min(shingle, len(w)) - 1 :].tolist()
-    out = np.zeros(words, np.uint64)
-    for k in range(words):
-        ones = np.zeros(64, np.int64)
-        for i in range(0, n, at_once):
-            h = np.array([xxhash.xxh64_intdigest(joined[s:e], 42 + k) for s, e in zip(starts[i : i + at_once], stops[i : i + at_once])], "<u8")
-            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0]
-    return out
+    ones = np.zeros(64 * words, np.int64)
+    for i in range(0, n, at_once):
+        own = [joined[s:e] for s, e in zip(starts[i : i + at_once], stops[i : i + at_once])]
+        if words == 1:
+            ones += _ones(np.array([xxhash.xxh64_intdigest(x, 42) for x in own], "<u8").view(np.uint8).reshape(-1, 8))
+        else:
+            for k in range(0, words, 2):
+                digests = b"".join([xxhash.xxh3_128_digest(x, k // 2) for x in own])
+                ones[64 * k : 64 * (k + 2)] += _ones(np.frombuffer(digests, np.uint8).reshape(-1, 16))
+    return np.packbits(ones * 2 > n, bitorder="little").view("<u8").astype(np.uint64)
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How often each bit is set in rows of bytes."""
+    return np.unpackbits(h, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
 def covering_masks(radius: int, first: int = 0, bits: int = 64) -> list[int]:

@@ -48,6 +48,11 @@ def test_sketch():
     for t in ("", " \n", "a", "A b", "The quick brown fox jumps over the lazy dog " * 9, "É é ß x y z Q"):
         assert int(simhash.sketch(t, 4)[0]) == brute_print(t)
         assert int(simhash.sketch(t, 4, at_once=3)[0]) == brute_print(t)
+        wide, w = simhash.sketch(t, 5, words=4), t.encode().lower().split()
+        assert wide.tolist() == simhash.sketch(t, 5, words=4, at_once=2).tolist()
+        if w:
+            h = [int.from_bytes(xxhash.xxh3_128_digest(b" ".join(w[i : i + 5]), 1), "little") for i in range(max(1, len(w) - 4))]
+            assert int(wide[2]) | int(wide[3]) << 64 == sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
 def docs(spark):
