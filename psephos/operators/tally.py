@@ -96,15 +96,18 @@ def _all_known(columns: list[str]) -> Column:
     return ok
 
 
+def with_winner(tallied: DataFrame, keys: list[str], none: str = "N/A", tie: str = "Tie") -> DataFrame:
+    """Adds the plurality winner of each group: the label with most votes; tie if several have them; none if nobody has a vote."""
+    w = Window.partitionBy(*keys)
+    top = F.when(F.col("votes") == F.max("votes").over(w), F.col("label"))
+    out = tallied.withColumns({"_most": F.max("votes").over(w), "_top": top})
+    name = F.when(F.col("_most") == 0, none).when(F.count("_top").over(w) > 1, tie).otherwise(F.min("_top").over(w))
+    return out.withColumn("winner", name).drop("_most", "_top")
+
+
 def winners(tallied: DataFrame, keys: list[str], none: str = "N/A", tie: str = "Tie") -> DataFrame:
-    """The plurality winner of each group: the label with most votes; tie if several have them; none if nobody has a vote."""
-    t = tallied.alias("t")
-    best = tallied.groupBy(*keys).agg(F.max("votes").alias("most")).alias("best")
-    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"best.{k}")) for k in keys]
-    top = t.join(best, same).where(F.col("votes") == F.col("most")).select(*[f"t.{k}" for k in keys], "label", "most")
-    found = top.groupBy(*keys, "most").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("label"))
-    name = F.when(F.col("most") == 0, none).when(F.col("n") > 1, tie).otherwise(F.col("label"))
-    return found.select(*keys, F.col("most").alias("votes"), name.alias("winner"))
+    """One row per group: its most votes and its winner."""
+    return with_winner(tallied, keys, none, tie).groupBy(*keys).agg(F.max("votes").alias("votes"), F.first("winner").alias("winner"))
 
 
 def ancestors(path: Column) -> Column:

@@ -135,10 +135,7 @@ FROM w JOIN x ON w.level = x.level AND w.precinct IS NOT DISTINCT FROM x.precinc
 def _(spark, d):
     s = labelled(spark, d).join(v.attributes(spark, d).select("ballot_id", "precinct", "mode"), "ballot_id")
     t = tally.tally(s, ["precinct", "mode"], SETS)
-    keys = ["level", "precinct", "mode", "cid"]
-    w = tally.winners(t, keys)
-    joined = t.alias("t").join(w.alias("w"), [F.col(f"t.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys])
-    return joined.select(*[f"t.{k}" for k in keys], "t.label", "t.votes", "w.winner")
+    return tally.with_winner(t, ["level", "precinct", "mode", "cid"]).select("level", "precinct", "mode", "cid", "label", "votes", "winner")
 
 
 @query("d13_counters", f"WITH {STATUS}, {v.ATTR} SELECT CASE WHEN GROUPING(precinct) = 1 THEN 'TOTAL' WHEN GROUPING(mode) = 1 THEN 'precinct' ELSE 'precinct/mode' END AS level, precinct, mode, cid, CAST(COUNT(*) FILTER (WHERE bc.status = 'OVERVOTED') AS BIGINT) AS over, CAST(COUNT(*) FILTER (WHERE bc.status = 'UNDERVOTED') AS BIGINT) AS under, CAST(COUNT(*) AS BIGINT) AS ballots FROM bc JOIN attr USING (ballot_id) GROUP BY GROUPING SETS ((cid), (precinct, cid), (precinct, mode, cid))")
