@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from psephos.sources.io import shared_path, shared_root, written  # noqa: F401  shared with the operators here
+
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,26 +29,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), one of our own, removed at exit."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = _OWN.get("root")
-        if root is None:
-            path = tempfile.mkdtemp(prefix="psephos-")
-            atexit.register(shutil.rmtree, path, ignore_errors=True)
-            root = _OWN["root"] = f"file://{path}"
-    return root.rstrip("/")
-
-
-_OWN: dict[str, str] = {}
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; never used twice."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def local_mount(path: str) -> str:
     """The same path for open() and mmap; the shared folder must be a mounted file system where workers map files."""
     if path.startswith("file:"):
@@ -60,13 +38,6 @@ def local_mount(path: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and outlives executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """name, or a variant of it that df does not have as a column (Spark's names ignore case)."""
     taken = {c.lower() for c in df.columns}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -10,6 +12,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from psephos.operators.ranking import global_rank
+from psephos.sources.io import written
+
 
 def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
@@ -88,18 +93,89 @@ def split_mid(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("half", F.ntile(2).over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def exemplars(items: DataFrame, rounds: int = 20, most: int = 2000) -> DataFrame:
-    """Exemplar growth: the lightest item of each label is a seed; then, round by round, every item whose nearest exemplar has another label lends its label's lightest such item.
+def _nearest(x: np.ndarray, e: np.ndarray, e_id: list) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of x its nearest row of e, by the distance to 9 digits and then by id: (distance, row).  NaN is infinitely far."""
+    by_id = np.array(sorted(range(len(e_id)), key=e_id.__getitem__))
+    e = e[by_id]
+    best, at = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+    square = (x * x).sum(axis=1)
+    for f in range(0, len(e), 1024):
+        own = e[f : f + 1024]
+        # products find who may be nearest; the distance itself is summed up from differences
+        rough = np.nan_to_num(square[:, None] + (own * own).sum(axis=1) - 2 * (x @ own.T), nan=np.inf)
+        least = rough.min(axis=1)
+        slack = 1e-9 * (1 + np.nan_to_num(square) + np.nan_to_num((own * own).sum(axis=1)).max()) + 1e-8 * np.sqrt(np.maximum(np.where(np.isfinite(least), least, 0.0), 0.0))
+        i, j = np.nonzero(rough <= (least + slack)[:, None])
+        d = _distances(x[i], own[j])
+        order = np.lexsort((j, d, i))
+        first = order[np.concatenate([[True], i[order][1:] != i[order][:-1]])]
+        better = (d[first] < best[i[first]]) | ((f == 0) & np.isinf(d[first]))
+        k = first[better]
+        best[i[k]], at[i[k]] = d[k], f + j[k]
+    return best, by_id[at]
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.nan_to_num(np.round(np.sqrt(((x - y) ** 2).sum(axis=-1)), 9), nan=np.inf)
+
+
+#: Items whose turn comes together; their growth runs on the driver, their distances to earlier exemplars where those are.
+TURN = 4096
+
+
+def exemplars(items: DataFrame, most: int | None = None, turn: int = TURN) -> DataFrame:
+    """Exemplar growth: the lightest item of each label is a seed; then items take turns, label by label and lightest first, and each one whose nearest exemplar has
+    another label becomes an exemplar at once; passes over the rest are repeated until one adds none.  So no other item's nearest exemplar has a wrong label.
 
-    items: id, label, light, embedding.  The exemplars are a bounded set (most); items are compared with them where they are read.
+    items: id, label, light, embedding.  Nearest is by the distance to 9 digits and then by id.  most: exemplars of a label beside its seed, no bound if None.  The result
+    does not depend on `turn`, so many items at a time come to the driver; exemplars are a written table.
     """
-    chosen = {r.label: [r.id] for r in items.groupBy("label").agg(F.min_by("id", F.struct(-F.col("light"), "id")).alias("id")).collect()}
-    ids = [i for x in chosen.values() for i in x]
-    for _ in range(rounds):
-        table = items.where(F.col("id").isin(ids)).select(F.col("label").alias("e_label"), F.col("id").alias("e_id"), F.col("embedding").alias("e_vec"))
-        near = items.join(F.broadcast(table)).groupBy("id", "label", "light").agg(F.min(F.struct(F.round(l2(F.col("embedding"), F.col("e_vec")), 9).alias("d"), "e_id", "e_label")).alias("n"))
-        wrong = near.where("n.e_label <> label").groupBy("label").agg(F.min_by("id", F.struct(-F.col("light"), "id")).alias("id")).collect()
-        if not wrong or len(ids) + len(wrong) > most:
-            break
-        ids += [r.id for r in wrong]
-    return items.where(F.col("id").isin(ids)).select("id", "label")
+    spark = items.sparkSession
+    lightest = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("light"), "id"))
+    placed = written(items.select("id", "label", "light", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("k", lightest), "growth")
+    shape = placed.select("id", "label", "embedding").schema
+    parts = [written(placed.where("k = 1").select("id", "label", "embedding"), "exemplars")]
+    chosen = lambda: functools.reduce(DataFrame.unionByName, parts)
+    added: dict = {}
+    while True:
+        rest = placed.join(chosen().select("id"), "id", "left_anti")
+        rest = written(global_rank(rest, [F.floor(F.col("k") / 1000), F.col("k")], ["label"], "turn"), "growth")
+        n, before = rest.count(), sum(added.values())
+        for f in range(0, n, turn):
+            own = rest.where(F.col("turn").between(f, f + turn - 1)).orderBy("turn").select("id", "label", "embedding").collect()
+            x = np.array([r.embedding for r in own], np.float64)
+            found = chosen().mapInPandas(_nearest_of_part(x), "i long, d double, e_id " + shape["id"].dataType.simpleString() + ", e_label " + shape["label"].dataType.simpleString())
+            near = {r.i: r.n for r in found.groupBy("i").agg(F.min(F.struct("d", "e_id", "e_label")).alias("n")).collect()}
+            new = _grow(own, x, [near[i] for i in range(len(own))], most, added)
+            if new:
+                parts.append(written(spark.createDataFrame([own[i] for i in new], shape).coalesce(1), "exemplars"))
+                if len(parts) > 32:  # plans stay short
+                    parts = [written(chosen(), "exemplars")]
+        if sum(added.values()) == before:
+            return chosen().select("id", "label")
+
+
+def _nearest_of_part(x: np.ndarray):
+    def run(batches):
+        for b in batches:
+            if len(b):
+                ids = b["id"].tolist()
+                d, at = _nearest(x, np.array(b["embedding"].tolist(), np.float64), ids)
+                yield pd.DataFrame({"i": np.arange(len(x)), "d": d, "e_id": [ids[k] for k in at], "e_label": b["label"].iloc[at].tolist()})
+
+    return run
+
+
+def _grow(own: list, x: np.ndarray, near: list, most: int | None, added: dict) -> list[int]:
+    """Items whose turn has come, in order, and the nearest earlier exemplar of each -> those that become exemplars."""
+    d, who, new = np.array([r.d for r in near]), [(r.e_id, r.e_label) for r in near], []
+    for i, r in enumerate(own):
+        if who[i][1] == r.label or (most is not None and added.get(r.label, 0) >= most):
+            continue
+        new.append(i)
+        added[r.label] = added.get(r.label, 0) + 1
+        to = _distances(x[i + 1 :], x[i])
+        for j in (np.nonzero(to <= d[i + 1 :])[0] + i + 1).tolist():
+            if (to[j - i - 1], r.id) < (d[j], who[j][0]):
+                d[j], who[j] = to[j - i - 1], (r.id, r.label)
+    return new

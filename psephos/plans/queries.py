@@ -979,7 +979,7 @@ def _(spark, d):
 @query("i8_exemplar_growth")
 def _(spark, d):
     e = v.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
-    return cluster.exemplars(e.withColumn("light", F.round(threshold.mean_intensity(F.col("embedding")), 9)), rounds=3)
+    return cluster.exemplars(e.withColumn("light", F.round(threshold.mean_intensity(F.col("embedding")), 9)))
 
 
 @query("i9_agglomerate")

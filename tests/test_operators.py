@@ -108,6 +108,38 @@ def test_clusters(spark):
     assert {r.label for r in cluster.exemplars(items).collect()} == {0, 1}
 
 
+def grown(rows, most=None):
+    """rows: (id, label, light, vector).  The growth of the reference, one item at a time."""
+    by = {}
+    for r in sorted(rows, key=lambda r: (-r[2], r[0])):
+        by.setdefault(r[1], []).append(r)
+    chosen = [x.pop(0) for _, x in sorted(by.items())]
+    tasks = [x[k] for k in range(max(map(len, by.values()))) for _, x in sorted(by.items()) if k < len(x)]
+    count, done = dict.fromkeys(by, 0), False
+    nearest = lambda r: min((round(float(np.linalg.norm(np.subtract(r[3], e[3]))), 9), e[0], e[1]) for e in chosen)[2]
+    while not done:
+        done = True
+        for r in list(tasks):
+            if nearest(r) != r[1] and (most is None or count[r[1]] < most):
+                tasks.remove(r)
+                chosen.append(r)
+                count[r[1]] += 1
+                done = False
+    return chosen, [r for r in tasks if nearest(r) != r[1]]
+
+
+def test_exemplars_grow_to_the_end(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 3, float(rng.integers(0, 20)), rng.standard_normal(3).round(1).tolist()) for i in range(120)]
+    rows += [(200, 0, 1.0, rows[4][3]), (201, 1, 1.0, rows[5][3])]  # equal vectors of other labels
+    items = spark.createDataFrame(rows, "id long, label long, light double, embedding array<double>")
+    want, wrong = grown(rows)
+    assert not wrong and len(want) > 3 + 3 * 20
+    for turn in (4096, 17):
+        assert sorted(map(tuple, cluster.exemplars(items, turn=turn).collect())) == sorted((r[0], r[1]) for r in want)
+    assert sorted(map(tuple, cluster.exemplars(items, most=2).collect())) == sorted((r[0], r[1]) for r in grown(rows, 2)[0])
+
+
 def test_pixels():
     rng = np.random.default_rng(2)
     image = pixels.resize(rng.random((12, 15)), (60, 75))
