@@ -16,6 +16,38 @@ BLOCK = 4096
 SALTS = 16
 
 
+def _spans(text: str | bytes | None, shingle: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words joined by spaces, and where each shingle of them starts and stops."""
+    w = (text if isinstance(text, bytes) else utf8(text)).lower().split()
+    if not w:
+        return b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    return b" ".join(w), np.concatenate([[0], ends[:-1] + 1])[: max(1, len(w) - shingle + 1)], ends[min(shingle, len(w)) - 1 :]
+
+
+def shingle_set(text: str | bytes | None, shingle: int) -> np.ndarray:
+    """XXH3-64 of each different shingle, sorted."""
+    joined, starts, stops = _spans(text, shingle)
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(starts.tolist(), stops.tolist())), np.uint64, len(starts)))
+
+
+def set_id(hashes: np.ndarray) -> int:
+    return signed(xxhash.xxh3_64_intdigest(hashes.tobytes()))
+
+
+def set_sketch(text: str | bytes | None, shingle: int, words: int, at_once: int = 1 << 16) -> np.ndarray:
+    """The wide sketch of the different shingles, each counted once, and the id of their set as one word more."""
+    joined, starts, stops = _spans(text, shingle)
+    hashes, first = np.unique(np.fromiter((xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(starts.tolist(), stops.tolist())), np.uint64, len(starts)), return_index=True)
+    starts, stops, ones = starts[first].tolist(), stops[first].tolist(), np.zeros(64 * words, np.int64)
+    for i in range(0, len(starts), at_once):
+        own = [joined[a:b] for a, b in zip(starts[i : i + at_once], stops[i : i + at_once])]
+        for k in range(0, words, 2):
+            ones[64 * k : 64 * (k + 2)] += _ones(np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, k // 2) for x in own]), np.uint8).reshape(-1, 16))
+    out = np.packbits(ones * 2 > len(starts), bitorder="little").view("<u8").astype(np.uint64)
+    return np.append(out, np.uint64(set_id(hashes) & (1 << 64) - 1))
+
+
 def sketch(text: str | bytes | None, shingle: int, words: int = 1, at_once: int = 1 << 16) -> np.ndarray:
     """`words` 64-bit words; a bit is set if it is set in over half of the shingles' hashes.
 
@@ -194,13 +226,13 @@ def _hot(words: list[str], most: int):
     return run
 
 
-def with_sketches(docs: DataFrame, shingle: int, names: list[str], text: str) -> DataFrame:
-    """docs with the words of each text's sketch as columns `names`."""
+def with_sketches(docs: DataFrame, shingle: int, names: list[str], text: str, sets: bool = False) -> DataFrame:
+    """docs with the words of each text's sketch as columns `names`; with `sets` those of set_sketch."""
 
     def run(batches):
         for b in batches:
             texts = b.column(b.schema.get_field_index(text)).cast(pa.large_binary())
-            s = np.array([sketch(t.as_py(), shingle, len(names)) for t in texts], np.uint64).reshape(-1, len(names)).view(np.int64)
+            s = np.array([set_sketch(t.as_py(), shingle, len(names) - 1) if sets else sketch(t.as_py(), shingle, len(names)) for t in texts], np.uint64).reshape(-1, len(names)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(np.ascontiguousarray(s[:, k])) for k in range(len(names))]], names=[*b.schema.names, *names])
         give_back_memory()
 
@@ -208,25 +240,108 @@ def with_sketches(docs: DataFrame, shingle: int, names: list[str], text: str) ->
     return docs.mapInArrow(run, ", ".join([*kinds, *[f"`{n}` long" for n in names]]))
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, w0, w1, ...: the sketch of every document, as a written table."""
+def fingerprints(docs: DataFrame, shingle: int, words: int = 1, doc_id: str = "doc_id", text: str = "text", sets: bool = False) -> DataFrame:
+    """doc_id, w0, w1, ...: the sketch of every document, as a written table; with `sets` the last word is the set's id."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    return written(with_sketches(narrow, shingle, [f"w{k}" for k in range(words)], "_text").drop("_text"), "fingerprints")
+    return written(with_sketches(narrow, shingle, [f"w{k}" for k in range(words + sets)], "_text", sets).drop("_text"), "fingerprints")
+
+
+def _similar_in_run(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among sets of hashes, as row numbers; a link is a Jaccard similarity of `least` or more."""
+    n, size = len(sets), np.array([len(x) for x in sets], np.int64)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    starts, owner = np.cumsum(size) - size, np.repeat(np.arange(n), size)
+    left, from_, to = np.ones(n, bool), [], []
+    for first in range(n):
+        queue = [first] if left[first] else []
+        left[first] = False
+        while queue and left.any():
+            at = queue.pop()
+            flag = np.zeros(int(token.max(initial=-1)) + 1, bool)
+            flag[token[starts[at] : starts[at] + size[at]]] = True
+            both = np.bincount(owner[flag[token]], minlength=n)
+            found = np.nonzero(left & (both >= least * (size + size[at] - both) - 1e-9))[0]
+            left[found] = False
+            from_.append(np.full(len(found), at))
+            to.append(found)
+            queue += found.tolist()
+            if len(token) > 2 * int(size[left].sum() + sum(size[q] for q in queue)):  # those that are done are left out
+                keep = left.copy()
+                keep[queue] = True
+                held = keep[owner]
+                token, owner = token[held], owner[held]
+                own = np.bincount(owner, minlength=n)
+                starts = np.cumsum(own) - own
+    return (np.concatenate(from_), np.concatenate(to)) if from_ else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, words: int = 1, most: int | None = None, segments: int = 1, tries: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def confirmed(docs: DataFrame, classes: DataFrame, proposed: DataFrame, shingle: int, least: float, sets_word: str, doc_id: str, text: str, few: int = 2_000_000) -> DataFrame:
+    """(a, b): a spanning set of the links whose sets of shingles have a Jaccard similarity of `least` or more, within the components (node, root) of what sketches propose.
+
+    Every pair within a component is compared, also pairs that sketches did not propose.  A class (node, least, set id) sends the set of one document; components over
+    BLOCK are dealt out as pairs of blocks.
+    """
+    members = proposed.unionByName(proposed.select(F.col("root").alias("node"), "root").distinct())
+    size = F.count(F.lit(1)).over(Window.partitionBy("root"))
+    at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.expr("explode(transform(sequence(0, blocks - 1), x -> named_struct('lo', least(x, own), 'hi', greatest(x, own))))").alias("pair")
+    blocks = members.withColumn("size", size).withColumn("blocks", F.when(F.col("size") > BLOCK, F.ceil(F.col("size") * F.lit(2) / F.lit(BLOCK))).otherwise(1).cast("int")).withColumn("own", at)
+    dealt = blocks.select("node", F.col("root"), pairs).withColumn("key", F.xxhash64("root", "pair")).select("node", "key")
+    reps = written(classes.select("node", "least", F.col(sets_word).alias("set_id")).join(members.select("node"), "node"), "proposed")
+    ids = reps.select(F.col("least").alias("_id")).distinct()
+    narrow = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text"))
+    own = narrow.join(F.broadcast(ids) if ids.count() <= few else ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("_text")
+
+    def run(batches):
+        for b in batches:
+            x = [shingle_set(t.as_py(), shingle) for t in b.column(0).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in x], pa.int64()), pa.array([h.tobytes() for h in x], pa.binary())], names=["set_id", "hashes"])
+        give_back_memory()
+
+    sets = own.mapInArrow(run, "set_id long, hashes binary").join(reps.select("node", "set_id"), "set_id").dropDuplicates(["node"]).select("node", "hashes")
+
+    def compare(batches):
+        key, nodes, held = None, [], []
+
+        def linked():
+            a, b = _similar_in_run(held, least)
+            node = np.array(nodes, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+        for batch in batches:
+            for k, n, h in zip(batch.column("key").to_pylist(), batch.column("node").to_pylist(), batch.column("hashes")):
+                if k != key and held:
+                    yield linked()
+                    nodes, held = [], []
+                key = k
+                nodes.append(n)
+                held.append(np.frombuffer(h.as_py(), np.uint64))
+        if held:
+            yield linked()
+        give_back_memory()
+
+    return dealt.join(sets, "node").select("key", "node", "hashes").repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, words: int = 1, most: int | None = None, segments: int = 1, tries: int = 1, doc_id: str = "doc_id", text: str = "text", jaccard: float | None = None) -> DataFrame:
     """doc_id, w0, ..., group, component_id for every document: component_id is the smallest doc_id reachable by links, itself included; group numbers components.
 
     Equal sketches are one class, so copies meet no further than one grouped aggregation.  A null text is empty; an empty text has the zero
     sketch and links like any other.  A null doc_id names no component; documents without an id get the smallest id of
     their component, null if there is none.  Repeated rows are repeated.  Other columns are ignored; an empty table gives no rows.
+
+    With `jaccard`, sketches (of the sets of shingles) only propose; a link is a Jaccard similarity of the sets of that much or more.  A class is then one set.
     """
-    prints = fingerprints(docs, shingle, words, doc_id, text)
-    all_words = [f"w{k}" for k in range(words)]
+    sets = jaccard is not None
+    prints = fingerprints(docs, shingle, words, doc_id, text, sets)
+    sketched = [f"w{k}" for k in range(words)]
+    all_words = [*sketched, f"w{words}"] if sets else sketched
     node = F.col("w0") if words == 1 else F.xxhash64(*all_words)
     classes = written(prints.groupBy(*all_words).agg(F.min("doc_id").alias("least")).withColumn("node", node), "classes")
     nodes = classes.select("node", *(all_words if words > 1 else []))
-    linked = components(links(nodes, all_words if words > 1 else ["node"], radius, radius if most is None else most, segments, tries), "simhash")
+    linked = components(links(nodes, sketched if words > 1 else ["node"], radius, radius if most is None else most, segments, tries), "simhash")
+    if sets:
+        linked = components(confirmed(docs, classes, linked, shingle, jaccard, all_words[-1], doc_id, text), "similar")
     rooted = classes.join(linked, "node", "left")
     alone = rooted.where("root is null").select(*all_words, F.col("node").alias("root"), F.col("least").alias("component_id"))
     # a root with many nodes: its name goes out in SALTS copies, and each node asks one of them
@@ -245,7 +360,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     Ids that go are few beside the texts: up to most_gone of them (16 MB) are sent to where the texts are read; more are joined.
     Ids that several rows share are told apart by their sketches.
     """
+    sets = options.get("jaccard") is not None
     groups = written(near_duplicates(docs, shingle=shingle, words=words, doc_id=doc_id, text=text, **options), "groups")
+    words += sets
     id_, rank, times = (free_name(docs, n) for n in ("kept_id", "kept_rank", "kept_times"))
     repeated = groups.groupBy(F.col("doc_id").alias(id_)).agg(F.count(F.lit(1)).alias(times), F.min(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias(rank))
     repeated = written(repeated.where((F.col(times) > 1) | ~F.col(rank)), "kept")
@@ -256,7 +373,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     if shared.isEmpty():
         return once
     names = [free_name(docs, f"w{k}") for k in range(words)]
-    rows = with_sketches(docs.join(shared, docs[doc_id].eqNullSafe(F.col(id_)), "left_semi"), shingle, names, text)
+    rows = with_sketches(docs.join(shared, docs[doc_id].eqNullSafe(F.col(id_)), "left_semi"), shingle, names, text, sets)
     best = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias(id_), F.col("group").alias(rank), *[F.col(f"w{k}").alias(f"_{times}{k}") for k in range(words)]).distinct()
     same = rows[doc_id].eqNullSafe(best[id_])
     for k, n in enumerate(names):

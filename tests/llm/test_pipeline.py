@@ -49,3 +49,28 @@ def test_empty(spark, sf):
     for _, stage in cp.STAGES:
         out = stage(spark, df, sf)
         assert out.count() == 0
+
+
+def test_near_duplicates_against_jaccard(spark, sf):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    texts = []
+    for k in range(60):  # one run replaced, on both sides of 0.8
+        w = [word() for _ in range(400)]
+        own, n = list(w), (34, 36, 38, 40, 41, 42, 44, 48, 60, 70)[k % 10]
+        own[100 : 100 + n] = [word() for _ in range(n)]
+        texts += [" ".join(w), " ".join(own)]
+    line = " ".join(word() for _ in range(12))
+    for _ in range(2):  # alike only by a line that is repeated
+        texts.append(" ".join([line] * 60 + [word() for _ in range(60)]))
+    more = [word() for _ in range(120)]  # alike but for how often a line is repeated
+    texts += [" ".join([*more, *[line] * 2]), " ".join([*more, *[line] * 50])]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root = [root[b] if r == root[a] else r for r in root]
+    want = {min(i for i, r in enumerate(root) if r == own) for own in set(root)}
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in cp.near_duplicates(spark, df, sf).collect()} == want
