@@ -12,12 +12,23 @@ from pyspark.sql import functions as F
 
 from psephos.llm.common import table, written
 
-#: A candidate is a run of 20 such characters or more, with up to two signs of padding; up to 40 characters before it are its neighbourhood.
+#: Candidates: a run of 20 such characters or more with up to two signs of padding; any value of 6 characters or more that is given to a name like password or token;
+#: the password in an address; a private key's block.  What stands before a value is part of the match, so that a run cannot swallow a name.
 _RUN = "A-Za-z0-9+/_"
 _CANDIDATE = rf"[{_RUN}-]{{20,}}={{0,2}}"
-_WITH_BEFORE = rf"(?s)(.{{0,40}}?(?<![{_RUN}-]){_CANDIDATE})"
+_NAME = "(?i:passw(?:or)?d|passphrase|pwd|secret|token|auth|credential|key)"
+_GIVEN = rf"(?<![{_RUN}.-])[{_RUN}.-]*?{_NAME}[{_RUN}.-]{{0,40}}[\"'`]?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}(?:(?i:bearer|basic)\s{{1,3}})?[\"'`]?"
+_VALUE = r"(?<=[\"'`])[^\s\"'`]{6,}(?=[\"'`])|[^\s\"'`]{5,}[^\s\"'`,;.)\]}>]"
+_ADDRESS = r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@\"'`]{0,64}:"
+_BLOCK = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?s:.+?)-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_ANY = rf"({_BLOCK})|({_GIVEN})({_VALUE})|({_ADDRESS})([^\s/@\"'`]{{3,}}(?=@))|({_CANDIDATE})"
+#: Groups 1-6 are those of _ANY, looked at ahead; 7 is 40 characters before the match, whatever was matched earlier; 8-13 again those of _ANY; 14 is 40 characters after it.
+_AROUND = rf"(?={_ANY})(?<=((?s:\A.{{0,39}}|.{{40}})))(?:{_ANY})(?=((?s:.{{0,40}})))"
 
-FEATURES = ("length", "digits", "upper", "lower", "marks", "turns", "hex", "known_pairs", "dictionary", "slashes", "in_path", "assigned", "near_secret", "near_other")
+FEATURES = (
+    "length", "digits", "upper", "lower", "marks", "turns", "hex", "known_pairs", "dictionary", "slashes", "in_path", "assigned", "near_secret", "near_other",
+    "specials", "placeholder", "given", "address", "block", "named", "other_after",
+)
 
 
 def _quoted(values) -> str:
@@ -31,8 +42,8 @@ def dictionary(docs: DataFrame, text: str = "text", words: int = 2000, least: in
     return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(words).collect()]
 
 
-def _features(words: list[str]) -> str:
-    """SQL for a struct of FEATURES of x, a struct of c (the candidate) and b (what stands before it)."""
+def _features(words: list[str], after: bool = False) -> str:
+    """SQL for a struct of FEATURES of x, a struct of c (the candidate), b (what stands before it) and, with `after`, a (what follows)."""
     pairs = Counter(w[i : i + 2] for w in words for i in range(len(w) - 1))
     common = sorted(p for p, _ in pairs.most_common(150))
     n = "length(x.c)"
@@ -50,23 +61,33 @@ def _features(words: list[str]) -> str:
         "slashes": share("/"),
         "in_path": "cast(x.b rlike '(://|[/.~])[^ ]*$' as double)",
         "assigned": r"cast(x.b rlike '[:=] {0,2}[\\x22\\x27\\x60]?$' as double)",
-        "near_secret": "cast(x.b rlike '(?i)(token|secret|passw|api.?key|access.?key|auth|bearer|credential|private|signing)' as double)",
+        "near_secret": "cast(x.b rlike '(?i)(token|secret|passw|api.?key|access.?key|auth|bearer|credential|private|signing|pwd|passphrase)' as double)",
         "near_other": "cast(x.b rlike '(?i)(sha-?[0-9]|commit|hash|uuid|digest|checksum|md5|integrity|etag|revision|example)' as double)",
+        "specials": share("[^A-Za-z0-9+/_=-]"),
+        "placeholder": r"cast(x.c rlike '^[$<{%(*\\[]|[(\\[{<]|^[A-Za-z_]+([.:][A-Za-z_]+)+$' as double)",
+        "given": r"cast(x.b rlike '(?i)(passw|pwd|passphrase|secret|token|auth|credential|key)[a-z0-9_.-]*[\x22\x27\x60]? {0,3}(:=|=>|[:=])[^:=]*$' as double)",
+        "address": "cast(x.b rlike '://[^ /@]*:$' as double)",
+        "block": "cast(x.c rlike '^-----BEGIN ' as double)",
+        "named": r"cast(x.c rlike '[A-Za-z]=$' and x.c not rlike '[0-9]' or x.a rlike '^[\x22\x27\x60]? {0,3}[:=]' as double)" if after else "0.0D",
+        "other_after": "cast(x.a rlike '(?i)^[^a-z0-9]{0,4}(is |was |as )?(the )?(sha-?[0-9]|commit|hash|uuid|digest|checksum|md5|revision|example)' as double)" if after else "0.0D",
     }
     return "named_struct(" + ", ".join(f"'{k}', {f[k]}" for k in FEATURES) + ")"
 
 
 def candidates(text: Column) -> Column:
-    """Array of structs c, b: every candidate of the whole text, in order; empty for null."""
-    found = F.when(text.rlike(_CANDIDATE), F.regexp_extract_all(text, F.lit(_WITH_BEFORE), F.lit(1)))
-    split = F.transform(found, lambda m: F.struct(F.regexp_extract(m, rf"({_CANDIDATE})$", 1).alias("c"), F.regexp_replace(m, rf"{_CANDIDATE}$", "").alias("b")))
-    return F.coalesce(split, F.array().cast("array<struct<c:string,b:string>>"))
+    """Array of structs c, b, a: every candidate of the whole text, in order, with up to 40 characters before and after it; empty for null."""
+    part = lambda k: F.when(text.rlike(_ANY), F.regexp_extract_all(text, F.lit(_AROUND), F.lit(k)))
+    made = F.transform(
+        F.arrays_zip(*[part(k).alias(f"g{k}") for k in (7, 8, 9, 10, 11, 12, 13, 14)]),
+        lambda m: F.struct(F.concat(*[m[f"g{k}"] for k in (8, 10, 12, 13)]).alias("c"), F.substring(F.concat(m["g7"], m["g9"], m["g11"]), -40, 40).alias("b"), m["g14"].alias("a")),
+    )
+    return F.coalesce(made, F.array().cast("array<struct<c:string,b:string,a:string>>"))
 
 
 def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """n findings with their labels (c, b, secret), from a rule: keys in the usual forms and places, and what is taken for keys.
+    """n findings with their labels (c, b, a, secret), from a rule: keys in the usual forms and places, and what is taken for keys.
 
-    A site with findings that people have judged passes those instead; the columns are the same.
+    A site with findings that people have judged passes those instead; the columns are the same, a (what follows) may be missing.
     """
     h = lambda salt: f"sha2(concat('{salt}', id), 256)"
     mixed = lambda salt: f"regexp_replace(base64(unhex({h(salt)})), '[+/=]', '')"
@@ -75,6 +96,9 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     place = pick("p", "token = \"", "api_key: ", "secret=", "password: \"", "Authorization: Bearer ", "access_key = \"", "auth_token: \"", "client_secret = ")
     word = lambda salt: pick(salt, "garden", "value", "handler", "request", "index", "config", "station", "render", "update", "window", "listen", "component")
     words = f"concat({word('w1')}, initcap({word('w2')}), initcap({word('w3')}), initcap({word('w4')}))"
+    sign, digit, char_quote = pick("sign", "!", "@", "#", "-", ".", "$", "%"), "cast(pmod(xxhash64('digit', id), 90) + 10 as string)", '"'
+    given = pick("given", "password = \"", "password: ", "db_password=", "secret: ", "api_key = \"", "token: ", "key = ", "DB_PASSWORD=", "pwd=", "auth_token: \"", "client_secret = ")
+    name = pick("name", "aws_secret_access_key", "AWS_SECRET_ACCESS_KEY", "GITHUB_PERSONAL_ACCESS_TOKEN", "stripe_live_secret_key", "DATABASE_MASTER_PASSWORD", "google_client_secret_value", "azure_storage_account_key", "SLACK_BOT_USER_OAUTH_TOKEN")
     kinds = {
         0: (f"substring({h('a')}, 1, {size(32, 64)})", place, 1),
         1: (f"substring(concat({mixed('b')}, {mixed('b2')}), 1, {size(24, 60)})", place, 1),
@@ -85,9 +109,21 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         6: (f"concat(substring({h('e')}, 1, 8), '-', substring({h('e')}, 9, 4), '-', substring({h('e')}, 13, 4), '-', substring({h('e')}, 17, 4), '-', substring({h('e')}, 21, 12))", pick("i", "uuid ", "id: ", "request-id ", "session "), 0),
         7: (f"repeat({pick('r', '=', '-', '_', 'x', 'ha', 'no')}, {size(20, 40)})", pick("s", "", " ", "token ", "line "), 0),
         8: (f"concat(repeat({word('l1')}, 2), {word('l2')}, {word('l3')})", pick("t", "le ", "of ", "der ", "token: ", "secret "), 0),
+        9: (f"concat(substring({mixed('f')}, 1, 3), {sign}, {digit}, substring({mixed('f2')}, 1, {size(2, 12)}))", given, 1),
+        10: (f"concat(initcap({word('v1')}), {pick('x1', '', '-', '_', '.')}, {digit}, {pick('x2', '42', '7', '2024', '!', '9!', 'xYz')})", given, 1),
+        11: (f"concat({pick('y1', '', 'pw', 'Pass')}, substring({mixed('g')}, 1, {size(4, 16)}), {digit})", f"concat({pick('y2', 'postgres', 'https', 'mysql', 'amqp', 'redis')}, '://', {word('v2')}, ':')", 1),
+        12: (f"concat('-----BEGIN ', {pick('y3', '', 'RSA ', 'EC ', 'OPENSSH ')}, 'PRIVATE KEY-----', char(10), {mixed('k')}, {mixed('k2')}, char(10), '-----END PRIVATE KEY-----')", pick("y4", "", "key: ", "the file "), 1),
+        13: (f"concat({word('v3')}, {pick('x3', '', '', 's', '-only')})", given, 0),
+        14: (f"concat({pick('x4', '${', 'os.environ[', 'get_', 'config.', 'self.', '<your-', 'settings.')}, {word('v4')}, {pick('x5', '()', '}', '>', '', ']', '_name')})", given, 0),
+        15: (f"concat({name}, {pick('x6', '', '', '=')})", pick("x7", "", "export ", "set ", "the ", "secret "), 0),
+        16: (f"substring({h('m')}, 1, {size(32, 64)})", f"substring(concat({name}, {pick('x8', '=', ' = ', ': ', ':')}, {pick('x9', '', char_quote)}), -40, 40)", 1),
+        17: (f"substring(concat({mixed('n')}, {mixed('n2')}), 1, {size(24, 60)})", f"substring(concat({name}, {pick('x8', '=', ' = ', ': ', ':')}, {pick('x9', '', char_quote)}), -40, 40)", 1),
+        18: (f"substring({h('o')}, 1, {size(32, 40)})", pick("z1", "in ", "see ", "", "("), 0),
     }
+    later = {11: "'@db.example.org/x'", 15: f"if({kinds[15][0]} like '%=', '4f2a', {pick('z2', ' = ', '=', ': ', ' ')})", 18: pick("z3", " is the commit", " commit", " (sha1)", " checksum of it")}
+    after = "case " + " ".join(f"when id % {len(kinds)} = {k} then {v}" for k, v in later.items()) + f" else {pick('z4', ' ', '', ' and more', ' end')} end"
     case = lambda i: "case " + " ".join(f"when id % {len(kinds)} = {k} then {v[i]}" for k, v in kinds.items()) + " end"
-    return spark.range(n).selectExpr(f"{case(0)} as c", f"{case(1)} as b", f"{case(2)} as secret")
+    return spark.range(n).selectExpr(f"{case(0)} as c", f"{case(1)} as b", f"{after} as a", f"{case(2)} as secret")
 
 
 def _tree_sql(lines: list[str]) -> str:
@@ -104,7 +140,8 @@ def _tree_sql(lines: list[str]) -> str:
 
 def fit_forest(findings: DataFrame, words: list[str], trees: int = 24, depth: int = 6, seed: int = 11) -> str:
     """SQL for the share of trees that call f, a struct of FEATURES, a secret.  Trained from labelled findings (c, b, secret)."""
-    rows = findings.select(F.expr(f"transform(array(struct(c, b)), x -> {_features(words)})[0]").alias("f"), F.col("secret").cast("double").alias("label")).select("f.*", "label")
+    after = "a" in findings.columns
+    rows = findings.select(F.expr(f"transform(array(struct({'c, b, a' if after else 'c, b'})), x -> {_features(words, after)})[0]").alias("f"), F.col("secret").cast("double").alias("label")).select("f.*", "label")
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(written(rows, "findings"))
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(data)
     votes = [_tree_sql([x.strip() for x in t.toDebugString.splitlines()[1:]]) for t in model.trees]
@@ -112,7 +149,7 @@ def fit_forest(findings: DataFrame, words: list[str], trees: int = 24, depth: in
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, text: str = "text", words: int = 2000, to: str = "findings") -> DataFrame:
-    """docs with an array column `to`: for every candidate of the whole text a struct c, b, score.  No row moves: all is computed where the text is read.
+    """docs with an array column `to`: for every candidate of the whole text a struct c, b, a, score.  No row moves: all is computed where the text is read.
 
     The dictionary is the corpus's own most frequent words; the forest becomes conditional expressions.  Null and empty texts have an empty array.
     """
@@ -123,8 +160,8 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, text: str = "text",
 
 def with_findings(docs: DataFrame, known: list[str], forest: str, text: str, to: str) -> DataFrame:
     found = docs.withColumn(to, candidates(F.col(text)))
-    found = found.withColumn(to, F.expr(f"transform(`{to}`, x -> named_struct('c', x.c, 'b', x.b, 'f', {_features(known)}))"))
-    return found.withColumn(to, F.expr(f"transform(`{to}`, y -> named_struct('c', y.c, 'b', y.b, 'score', transform(array(y.f), f -> {forest})[0]))"))
+    found = found.withColumn(to, F.expr(f"transform(`{to}`, x -> named_struct('c', x.c, 'b', x.b, 'a', x.a, 'f', {_features(known, True)}))"))
+    return found.withColumn(to, F.expr(f"transform(`{to}`, y -> named_struct('c', y.c, 'b', y.b, 'a', y.a, 'score', transform(array(y.f), f -> {forest})[0]))"))
 
 
 def redacted(docs: DataFrame, text: str = "text", threshold: float = 0.5, mark: str = "[SECRET]", **options) -> DataFrame:
@@ -133,7 +170,9 @@ def redacted(docs: DataFrame, text: str = "text", threshold: float = 0.5, mark:
     while to in docs.columns:
         to = f"_{to}"
     out = scan(docs, text=text, to=to, **options)
-    clean = F.expr(f"aggregate(filter(`{to}`, s -> s.score >= {threshold}), `{text}`, (t, s) -> replace(t, s.c, '{mark}'))")
+    # a short secret may be part of other words
+    alone = f"regexp_replace(t, concat('(?<![A-Za-z0-9])', '\\\\Q', s.c, '\\\\E', '(?![A-Za-z0-9])'), '{mark}')"
+    clean = F.expr(f"aggregate(filter(`{to}`, s -> s.score >= {threshold}), `{text}`, (t, s) -> if(length(s.c) >= 20 or contains(s.c, '\\\\E'), replace(t, s.c, '{mark}'), {alone}))")
     out = out.withColumn(text, clean)
     if "n_chars" in docs.columns:
         hit = F.exists(F.col(to), lambda s: s["score"] >= threshold)
