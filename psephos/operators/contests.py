@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from psephos.operators.ranking import islands
+from psephos.operators.ranking import global_rank, running_sum
 
 #: The factor of distances by language (English, Spanish, French, German, others).
 LANGUAGE_CODES = {"english": "eng", "spanish": "spa", "french": "fra", "german": "deu", "chinese": "chi_sim", "vietnamese": "vie", "korean": "kor"}
@@ -49,18 +49,27 @@ def pairs_in_blocks(texts: DataFrame, block: list[str], most: float) -> DataFram
     return a.join(b, cond).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), d.alias("distance")).where(F.col("distance") <= most)
 
 
-def neighbours(texts: DataFrame, by: list[str]) -> DataFrame:
-    """Sorted neighbourhood of one: each text with the next longer one, and their distance."""
-    w = Window.partitionBy(*by).orderBy(F.length("text"), "id")
-    n = texts.withColumns({"next_id": F.lead("id").over(w), "next_text": F.lead("text").over(w)}).where("next_id is not null")
-    return n.select(*by, "id", "next_id", F.levenshtein("text", "next_text").alias("distance"), F.greatest(F.length("text"), F.length("next_text")).alias("longest"))
+def _next_longer(texts: DataFrame, by: str) -> DataFrame:
+    """id, text, place and the next longer text of the same `by` (next_id, next_text; null for the last): rows are placed by counts, so a key of any size has many tasks."""
+    placed = global_rank(texts.select(by, "id", "text"), [F.col(by), F.length("text")], ["id"], "place")
+    after = placed.select(F.col(by).alias("_by"), (F.col("place") - 1).alias("_place"), F.col("id").alias("next_id"), F.col("text").alias("next_text"))
+    return placed.join(after, (F.col("place") == F.col("_place")) & F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by", "_place")
 
 
-def chains(near: DataFrame, by: list[str], c: float) -> DataFrame:
-    """Texts joined along the sorted neighbourhood where distance is under c / 2 of the longer text; a path, so runs are enough (by, id, text)."""
-    w = Window.partitionBy(*by).orderBy(F.length("text"), "id")
-    far = F.levenshtein("text", F.lag("text").over(w)) >= c / 2 * F.greatest(F.length("text"), F.length(F.lag("text").over(w)))
-    return islands(near.withColumn("_len", F.length("text")), by, ["_len", "id"], far, "chain").drop("_len")
+def neighbours(texts: DataFrame, by: str) -> DataFrame:
+    """Sorted neighbourhood of one: each text with the next longer one (equally long ones by id), and their distance.  texts: by, id, text."""
+    n = _next_longer(texts, by).where("next_id is not null")
+    return n.select(by, "id", "next_id", F.levenshtein("text", "next_text").alias("distance"), F.greatest(F.length("text"), F.length("next_text")).alias("longest"))
+
+
+def chains(texts: DataFrame, by: str, c: float) -> DataFrame:
+    """by, id, chain: texts joined along the sorted neighbourhood where distance is under c / 2 of the longer text; a path, so running numbers from 0 within `by` are enough."""
+    near = _next_longer(texts, by).where("next_id is not null")
+    far = (F.levenshtein("text", "next_text") >= c / 2 * F.greatest(F.length("text"), F.length("next_text"))).cast("long")
+    begins = near.select(by, F.col("next_id").alias("_id"), far.alias("_far"))
+    own = texts.select(by, "id", F.length("text").alias("_length"))
+    joined = own.join(begins.withColumnRenamed(by, "_by"), (F.col("id") == F.col("_id")) & F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "id", "_length", F.coalesce("_far", F.lit(0)).alias("_far"))
+    return running_sum(joined, by, [F.col("_length")], ["id"], "_far", "chain").drop("_length", "_far")
 
 
 def same_labels(labels: DataFrame) -> DataFrame:
@@ -73,13 +82,32 @@ def is_writein(c: Column) -> Column:
     return F.lower(c).startswith("write")
 
 
-def fix_phrases(text: Column, phrases: list[str], near: float = 0.2, length: float = 0.1) -> Column:
-    """A text close to a known phrase becomes the phrase: length within `length`, distance under `near` of it."""
-    out = text
+#: Phrases whose misread forms are mended.
+PHRASES = ("Party Preference: Republican", "Party Preference: Democratic", "MEMBER OF THE STATE ASSEMBLY")
+
+
+def fix_phrases(text: Column, phrases: tuple[str, ...] = PHRASES) -> Column:
+    """Runs of words close to a known phrase of as many words become the phrase: the length differs by less than a tenth of the phrase's, the edit distance is less
+    than a fifth of it (both divided down to whole numbers).  Phrases in order, places from the left; a place is judged after the places before it are mended.
+    Words are joined by single spaces; null stays null.
+    """
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     for p in phrases:
-        close = (F.abs(F.length(text) - len(p)) <= length * len(p)) & (F.levenshtein(text, F.lit(p)) < near * len(p))
-        out = F.when(close, p).otherwise(out)
-    return out
+        n = len(p.split())
+        places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (n - 1)))).otherwise(F.array().cast("array<int>"))
+        words = F.aggregate(places, words, _mended(p, n))
+    return F.array_join(words, " ")
+
+
+def _mended(phrase: str, n: int):
+    known, size = F.array(*[F.lit(w) for w in phrase.split()]), len(phrase)
+
+    def step(own: Column, i: Column) -> Column:
+        run = F.array_join(F.slice(own, i, n), " ")
+        close = (F.abs(F.length(run) - size) < size // 10) & (F.levenshtein(run, F.lit(phrase)) < size // 5)
+        return F.when(close, F.concat(F.slice(own, F.lit(1), i - 1), known, F.slice(own, i + n, F.size(own)))).otherwise(own)
+
+    return step
 
 
 def language_code(language: Column) -> Column:

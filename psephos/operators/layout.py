@@ -37,10 +37,13 @@ def expanded(share: float, width: int, height: int, c=F.col) -> dict[str, Column
 
 
 def assign_targets(targets: DataFrame, contests: DataFrame, on: list[str], slack: float = 0.1) -> DataFrame:
-    """The first contest (by contest_id) whose box, with a slack of its size, holds the target's centre.  Both have x, y, w, h; `on` keeps the join a hash join."""
+    """The first contest (by contest_id) that holds the whole target, each side eased by the target's own width or height times slack, rounded.
+
+    Both have x, y, w, h; `on` keeps the join a hash join.
+    """
     t, c = targets.alias("t"), contests.alias("c")
-    cx, cy = F.col("t.x") + F.col("t.w") / 2, F.col("t.y") + F.col("t.h") / 2
-    inside = (cx >= F.col("c.x") - slack * F.col("c.w")) & (cx <= F.col("c.x") + (1 + slack) * F.col("c.w")) & (cy >= F.col("c.y") - slack * F.col("c.h")) & (cy <= F.col("c.y") + (1 + slack) * F.col("c.h"))
+    dx, dy = (F.round(F.col(f"t.{k}").cast("double") * slack) for k in "wh")
+    inside = (F.col("t.x") + dx >= F.col("c.x")) & (F.col("t.y") + dy >= F.col("c.y")) & (F.col("t.x") + F.col("t.w") - dx <= F.col("c.x") + F.col("c.w")) & (F.col("t.y") + F.col("t.h") - dy <= F.col("c.y") + F.col("c.h"))
     cond = inside
     for k in on:
         cond = cond & (F.col(f"t.{k}") == F.col(f"c.{k}"))
@@ -49,13 +52,19 @@ def assign_targets(targets: DataFrame, contests: DataFrame, on: list[str], slack
 
 
 def adjacent(boxes: DataFrame, on: list[str], c: float = 0.2) -> DataFrame:
-    """Pairs of boxes that touch: the gap between facing edges is under c times the lesser size, and the sides overlap."""
+    """Pairs of boxes side by side or one above the other: from the far edge of the one that begins first to the near edge of the other it is
+    less than c times the lesser size, and their other sides overlap or just touch."""
     a, b = boxes.alias("a"), boxes.alias("b")
-    gap_x = F.greatest(F.col("a.x"), F.col("b.x")) - F.least(F.col("a.x") + F.col("a.w"), F.col("b.x") + F.col("b.w"))
-    gap_y = F.greatest(F.col("a.y"), F.col("b.y")) - F.least(F.col("a.y") + F.col("a.h"), F.col("b.y") + F.col("b.h"))
-    near_x = (F.abs(gap_x) < c * F.least("a.w", "b.w")) & (gap_y < 0)
-    near_y = (F.abs(gap_y) < c * F.least("a.h", "b.h")) & (gap_x < 0)
-    cond = (F.col("a.contest_id") < F.col("b.contest_id")) & (near_x | near_y)
+
+    def facing(x: str, w: str):
+        a_first = (F.col(f"a.{x}") < F.col(f"b.{x}")) | (F.col(f"a.{x}") == F.col(f"b.{x}")) & (F.col("a.x") <= F.col("b.x"))  # begun alike: the one further left
+        first = F.when(a_first, F.col(f"a.{x}") + F.col(f"a.{w}")).otherwise(F.col(f"b.{x}") + F.col(f"b.{w}"))
+        return F.abs(first - F.greatest(F.col(f"a.{x}"), F.col(f"b.{x}"))) < c * F.least(f"a.{w}", f"b.{w}")
+
+    def level(x: str, w: str):
+        return F.greatest(F.col(f"a.{x}"), F.col(f"b.{x}")) <= F.least(F.col(f"a.{x}") + F.col(f"a.{w}"), F.col(f"b.{x}") + F.col(f"b.{w}"))
+
+    cond = (F.col("a.contest_id") < F.col("b.contest_id")) & (facing("x", "w") & level("y", "h") | facing("y", "h") & level("x", "w"))
     for k in on:
         cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     return a.join(b, cond).select(*[F.col(f"a.{k}") for k in on], F.col("a.contest_id").alias("a_id"), F.col("b.contest_id").alias("b_id"))

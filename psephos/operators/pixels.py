@@ -142,12 +142,26 @@ def runs(line: np.ndarray, on: float) -> list[tuple[bool, int]]:
     return [(bool(dark[a]), int(b - a)) for a, b in zip(cuts, cuts[1:])]
 
 
-def on_off(values: np.ndarray, bins: int = 10) -> float:
-    """The level halfway between the commonest dark and the commonest light value of a 10-bin histogram."""
-    n, edges = np.histogram(values, bins=bins, range=(values.min(), values.max() or 1))
+def two_levels(values: np.ndarray) -> tuple[float, float]:
+    """The dark and the light level: middles of the two fullest of ten bins from least to greatest value (of equally full ones, the higher)."""
+    n, edges = np.histogram(values)
+    a, b = sorted(np.argsort(n, kind="stable")[-2:])
     mid = (edges[1:] + edges[:-1]) / 2
-    half = bins // 2
-    return float((mid[:half][n[:half].argmax()] + mid[half:][n[half:].argmax()]) / 2)
+    return float(mid[a]), float(mid[b])
+
+
+def on_off(values: np.ndarray) -> float:
+    """The level halfway between the dark and the light one: what is nearer the dark one is on."""
+    return sum(two_levels(values)) / 2
+
+
+def narrow_wide(lengths: list[int]) -> tuple[float, float]:
+    """Lengths of narrow and wide bars: the fullest of ten bins on each side of the middle one of the empty bins (of the fifth edge if none is empty);
+    the narrow one's lower edge, the wide one's upper edge."""
+    n, edges = np.histogram(lengths)
+    empty = np.nonzero(n == 0)[0]
+    middle = int(empty[len(empty) // 2]) if len(empty) else len(n) // 2
+    return float(edges[n[:middle].argmax()]), float(edges[middle + n[middle:].argmax() + 1])
 
 
 def bar_widths(lengths: list[int], ambiguous: float = 0.04) -> list[str]:

@@ -24,6 +24,23 @@ def global_rank(df: DataFrame, bins: list[Column], order: list[str], to: str = "
     return placed.withColumn(to, F.col("_start") + F.row_number().over(Window.partitionBy(*names).orderBy(*order)) - 1).drop(*names, "_start")
 
 
+def running_sum(df: DataFrame, by: str, bins: list[Column], order: list[str], value: str, to: str) -> DataFrame:
+    """Adds the sum of `value` over the rows of the same `by` up to each row, in the order of `bins` and then `order`.
+
+    As with global_rank, sums by bin are small, and only rows of one bin are sorted together.
+    """
+    names = [f"_bin{i}" for i in range(len(bins))]
+    binned = df.withColumns(dict(zip(names, bins)))
+    sums = binned.groupBy(by, *names).agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(by).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(F.col(by).alias("_by"), *[F.col(n).alias(f"{n}_") for n in names], F.coalesce(before, F.lit(0)).alias("_start"))
+    same = F.col(by).eqNullSafe(F.col("_by"))
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}_"))
+    own = F.sum(value).over(Window.partitionBy(by, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return binned.join(starts, same).withColumn(to, F.col("_start") + own).drop(*names, *[f"{n}_" for n in names], "_by", "_start")
+
+
 def dense_ids(df: DataFrame, key: list[str], to: str) -> DataFrame:
     """Adds dense ids from 0 in the order of the distinct values of a string key.  Keys are made distinct first and ranked by leading characters."""
     (name,) = key

@@ -16,20 +16,18 @@ def histogram(marks: DataFrame, bins: int = 256) -> DataFrame:
 
 
 def threshold_errors(hist: DataFrame) -> DataFrame:
-    """Error of a cut at each line from 1 to 254: how far the bins on either side are from a Gaussian of their mean and variance.
+    """Error of a cut at each line from 1 to 254: how far all bins on either side, empty ones too, are from a Gaussian of their mean and variance.
 
-    A side that is empty, or has one bin only, has no error; so a degenerate cut can win, and callers may override the line.
+    A side that is empty, or has one bin with marks only, has no error; so a degenerate cut can win, and callers may override the line.
     """
     last = 254
     lines = hist.sparkSession.range(1, last + 1).select(F.col("id").cast("int").alias("line"))
-    h = hist.where("n > 0")
-    both = lines.join(F.broadcast(h)).withColumn("side", (F.col("intensity") >= F.col("line")).cast("int"))  # 254 lines by 256 bins
-    stats = both.groupBy("line", "side").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("bins"), (F.sum(F.col("intensity") * F.col("n")) / F.sum("n")).alias("mean"), F.sum(F.col("intensity").cast("double") * F.col("intensity") * F.col("n")).alias("sq"))
-    stats = stats.withColumn("var", F.col("sq") / F.col("total") - F.col("mean") * F.col("mean"))
+    both = lines.join(F.broadcast(hist)).withColumn("side", (F.col("intensity") >= F.col("line")).cast("int"))  # 254 lines by 256 bins
+    stats = both.groupBy("line", "side").agg(F.sum("n").alias("total"), F.count(F.when(F.col("n") > 0, 1)).alias("bins"), (F.sum(F.col("intensity") * F.col("n")) / F.sum("n")).alias("mean"), F.sum(F.col("intensity").cast("double") * F.col("intensity") * F.col("n")).alias("sq"))
+    stats = stats.where("bins > 1").withColumn("var", F.col("sq") / F.col("total") - F.col("mean") * F.col("mean"))
     joined = both.join(stats, ["line", "side"])
     gauss = F.pow(F.lit(E), -((F.col("intensity") - F.col("mean")) * (F.col("intensity") - F.col("mean"))) / (2 * F.col("var"))) / F.sqrt(2 * PI * F.col("var"))
-    error = F.when(F.col("bins") > 1, F.abs(F.col("n") / F.col("total") - gauss)).otherwise(F.lit(0.0))
-    sums = joined.groupBy("line").agg(F.sum(error).alias("error"))
+    sums = joined.groupBy("line").agg(F.sum(F.abs(F.col("n") / F.col("total") - gauss)).alias("error"))
     return lines.join(sums, "line", "left").withColumn("error", F.coalesce("error", F.lit(0.0)))
 
 
@@ -49,11 +47,11 @@ def otsu(hist: DataFrame) -> DataFrame:
 
 
 def outliers(errors: DataFrame, by: list[str], value: str, order: list[str], n: int) -> DataFrame:
-    """Values in falling order; one is an outlier if any of the next n + 1 differs by more than half the range, and all before it are outliers."""
+    """Values in falling order; one is an outlier if any of the next n differs by more than half the range, and all before it are outliers."""
     w = Window.partitionBy(*by).orderBy(F.desc(value), *order)
     whole = Window.partitionBy(*by)
     half = (F.max(value).over(whole) - F.min(value).over(whole)) / 2
-    gaps = [F.coalesce(F.col(value) - F.lead(value, k).over(w) > half, F.lit(False)) for k in range(1, n + 2)]
+    gaps = [F.coalesce(F.col(value) - F.lead(value, k).over(w) > half, F.lit(False)) for k in range(1, n + 1)]
     hit = gaps[0]
     for g in gaps[1:]:
         hit = hit | g

@@ -189,10 +189,10 @@ def _(spark, d):
     return io.parse_classified(io.classified_lines(v.marks(spark, d)))
 
 
-@query("a11_quarantine_lines", f"WITH {v.MARK} SELECT 'b' || ballot_id AS image_path, ASCII(cid) AS cid, string_agg(CASE WHEN intensity < 60 THEN 'T' ELSE 'F' END, '' ORDER BY target_id) AS bits FROM mark WHERE ballot_id % 3 = 0 GROUP BY ALL")
+@query("a11_quarantine_lines", f"WITH {v.MARK} SELECT 'b' || ballot_id AS image_path, ASCII(cid) AS cid, string_agg(CASE WHEN intensity < 60 THEN 'T' ELSE 'F' END, '' ORDER BY target_id) AS bits FROM mark GROUP BY ALL")
 def _(spark, d):
     own = F.transform(F.array_sort(F.collect_list(F.struct("target_id", (F.col("intensity") < 60).alias("t")))), lambda x: x["t"])
-    manual = v.marks(spark, d).where("ballot_id % 3 = 0").groupBy(F.concat(F.lit("b"), "ballot_id").alias("image_path"), F.ascii("cid").alias("cid")).agg(own.alias("votes"))
+    manual = v.marks(spark, d).groupBy(F.concat(F.lit("b"), "ballot_id").alias("image_path"), F.ascii("cid").alias("cid")).agg(own.alias("votes"))
     back = io.parse_quarantine(io.quarantine_lines(manual))
     return back.select("image_path", "cid", F.array_join(F.transform("votes", lambda t: F.when(t, "T").otherwise("F")), "").alias("bits"))
 
@@ -285,9 +285,9 @@ def _(spark, d):
     return pairing.distinct_pages(v.marks(spark, d))
 
 
-@query("f1_natural_sort", "SELECT o_orderkey, CAST(ROW_NUMBER() OVER (ORDER BY o_custkey, o_orderkey) AS BIGINT) AS place FROM orders WHERE o_orderkey < 3000")
+@query("f1_natural_sort", "SELECT o_orderkey, CAST(ROW_NUMBER() OVER (ORDER BY o_custkey, o_orderkey) AS BIGINT) AS place FROM orders")
 def _(spark, d):
-    o = v.read(spark, d, "orders").where("o_orderkey < 3000").withColumn("name", F.concat(F.lit("c"), "o_custkey", F.lit("_o"), "o_orderkey"))
+    o = v.read(spark, d, "orders").withColumn("name", F.concat(F.lit("c"), "o_custkey", F.lit("_o"), "o_orderkey"))
     placed = global_rank(o.withColumn("key", paths.natural_key(F.col("name"))), [F.substring("key", 1, 16)], ["key"], "place")
     return placed.select("o_orderkey", (F.col("place") + 1).alias("place"))
 
@@ -695,10 +695,11 @@ def _(spark, d):
     return threshold.histogram(v.marks(spark, d)).select("intensity", "n")
 
 
-GAUSS = f"""h AS (SELECT intensity AS i, COUNT(*) AS n FROM mark WHERE intensity < 100 OR intensity > 190 GROUP BY 1),
+GAUSS = f"""h AS (SELECT CAST(k AS INT) AS i, COALESCE(m.n, 0) AS n FROM range(256) t(k) LEFT JOIN (SELECT intensity, COUNT(*) AS n FROM mark WHERE intensity < 100 OR intensity > 190 GROUP BY 1) m ON m.intensity = k),
 b AS (SELECT CAST(l AS INT) AS line, i, n, i >= l AS side FROM range(1, 255) t(l), h),
-s AS (SELECT line, side, SUM(n) AS total, COUNT(*) AS bins, SUM(i * n) / SUM(n) AS mean, SUM(CAST(i AS DOUBLE) * i * n) AS sq FROM b GROUP BY ALL),
-e AS (SELECT b.line, SUM(CASE WHEN bins > 1 THEN ABS(n / total - pow(2.71, -((i - mean) * (i - mean)) / (2 * (sq / total - mean * mean))) / sqrt(2 * 3.14 * (sq / total - mean * mean))) ELSE 0.0 END) AS error FROM b JOIN s USING (line, side) GROUP BY 1)"""
+s AS (SELECT line, side, SUM(n) AS total, SUM(i * n) / SUM(n) AS mean FROM b GROUP BY ALL HAVING COUNT(*) FILTER (WHERE n > 0) > 1),
+d AS (SELECT b.line, b.side, total, mean, sqrt(SUM((mean - i) * (mean - i) * (n / total))) AS dev FROM b JOIN s USING (line, side) GROUP BY ALL),
+e AS (SELECT b.line, COALESCE(SUM(ABS(n / total - pow(2.71, -((i - mean) * (i - mean)) / (2 * dev * dev)) / sqrt(2 * 3.14 * dev * dev))), 0) AS error FROM b LEFT JOIN d USING (line, side) GROUP BY 1)"""
 
 
 def _split_marks(spark, d):
@@ -723,7 +724,7 @@ def _(spark, d):
 @query("e11_outliers", "WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice AS x, (MAX(o_totalprice) OVER (PARTITION BY o_custkey) - MIN(o_totalprice) OVER (PARTITION BY o_custkey)) / 2 AS h FROM orders), f AS (SELECT *, CAST(COALESCE(x - LEAD(x, 1) OVER w > h, FALSE) OR COALESCE(x - LEAD(x, 2) OVER w > h, FALSE) AS INT) AS hit FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY x DESC, o_orderkey)) SELECT o_custkey, o_orderkey, MIN(hit) OVER (PARTITION BY o_custkey ORDER BY x DESC, o_orderkey ROWS UNBOUNDED PRECEDING) = 1 AS outlier FROM f")
 def _(spark, d):
     o = v.read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    return threshold.outliers(o, ["o_custkey"], "o_totalprice", ["o_orderkey"], 1).select("o_custkey", "o_orderkey", "outlier")
+    return threshold.outliers(o, ["o_custkey"], "o_totalprice", ["o_orderkey"], 2).select("o_custkey", "o_orderkey", "outlier")
 
 
 @query("e12_column_islands", "WITH f AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey - LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 500 THEN 0 ELSE 1 END AS s FROM orders) SELECT o_custkey, o_orderkey, CAST(SUM(s) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS col_no FROM f")
@@ -770,7 +771,7 @@ def boxes(spark, d) -> DataFrame:
     return v.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("g"), F.row_number().over(own).cast("long").alias("target_id"), (F.col("l_partkey") % 200).cast("int").alias("x"), (F.col("l_suppkey") % 100).cast("int").alias("y"), F.col("l_quantity").cast("int").alias("w"), (F.col("l_linenumber") * 4).alias("h"))
 
 
-BIG = f"{BOX}, t AS (SELECT * FROM bx WHERE target_id % 2 = 0), c AS (SELECT g, target_id AS contest_id, x, y, w * 3 AS w, h * 3 AS h FROM bx WHERE target_id % 2 = 1), asg AS (SELECT t.g, t.target_id, MIN(c.contest_id) AS contest_id FROM t LEFT JOIN c ON t.g = c.g AND t.x + t.w / 2 BETWEEN c.x - 0.1 * c.w AND c.x + 1.1 * c.w AND t.y + t.h / 2 BETWEEN c.y - 0.1 * c.h AND c.y + 1.1 * c.h GROUP BY ALL)"
+BIG = f"{BOX}, t AS (SELECT * FROM bx WHERE target_id % 2 = 0), c AS (SELECT g, target_id AS contest_id, x, y, w * 3 AS w, h * 3 AS h FROM bx WHERE target_id % 2 = 1), asg AS (SELECT t.g, t.target_id, MIN(c.contest_id) AS contest_id FROM t LEFT JOIN c ON t.g = c.g AND c.x <= t.x + round(0.1::DOUBLE * t.w) AND c.y <= t.y + round(0.1::DOUBLE * t.h) AND t.x + t.w - round(0.1::DOUBLE * t.w) <= c.x + c.w AND t.y + t.h - round(0.1::DOUBLE * t.h) <= c.y + c.h GROUP BY ALL)"
 
 
 def big(spark, d):
@@ -792,7 +793,12 @@ def _(spark, d):
     return t.join(c, (F.col("t.g") == F.col("c.g")) & inside).groupBy("c.g", "c.contest_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c15_adjacent", f"WITH {BIG}, p AS (SELECT a.g, a.contest_id AS a_id, b.contest_id AS b_id, GREATEST(a.x, b.x) - LEAST(a.x + a.w, b.x + b.w) AS gx, GREATEST(a.y, b.y) - LEAST(a.y + a.h, b.y + b.h) AS gy, LEAST(a.w, b.w) AS mw, LEAST(a.h, b.h) AS mh FROM c a JOIN c b ON a.g = b.g AND a.contest_id < b.contest_id) SELECT g, a_id, b_id FROM p WHERE (ABS(gx) < 0.2 * mw AND gy < 0) OR (ABS(gy) < 0.2 * mh AND gx < 0)")
+@query(
+    "c15_adjacent",
+    f"""WITH {BIG}, p AS (SELECT a.g, a.contest_id AS a_id, b.contest_id AS b_id, CASE WHEN a.x <= b.x THEN a ELSE b END AS lf, CASE WHEN a.x > b.x THEN a ELSE b END AS rg, 0.2 * LEAST(a.w, b.w) AS mw, 0.2 * LEAST(a.h, b.h) AS mh FROM c a JOIN c b ON a.g = b.g AND a.contest_id < b.contest_id),
+q AS (SELECT *, CASE WHEN lf.y <= rg.y THEN lf ELSE rg END AS tp, CASE WHEN lf.y > rg.y THEN lf ELSE rg END AS bt FROM p)
+SELECT g, a_id, b_id FROM q WHERE (ABS(tp.y + tp.h - bt.y) < mh AND NOT (lf.x < rg.x AND lf.x + lf.w < rg.x)) OR (ABS(lf.x + lf.w - rg.x) < mw AND NOT (tp.y < bt.y AND tp.y + tp.h < bt.y))""",
+)
 def _(spark, d):
     return layout.adjacent(big(spark, d)[1], ["g"])
 
@@ -873,40 +879,31 @@ def _(spark, d):
 
 # --- contest identity -------------------------------------------------------------------------------
 
-TEXTS = "tx AS (SELECT item_id AS id, item_id % 3 AS block, substr(text, 1, 30) AS title, [substr(text, 31, 12), substr(text, 43, 12), substr(text, 55, 12)] AS choices FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM benchmark))"
+#: Contest texts: the whole of each text in quarters, a title and three choices.  Characters beyond ASCII are one sign, as DuckDB's levenshtein counts bytes.
+TEXTS = "tx AS (SELECT item_id AS id, item_id % 3 AS block, text[1:q] AS title, [text[q + 1:2 * q], text[2 * q + 1:3 * q], text[3 * q + 1:]] AS choices, text FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '~', 'g') AS text, length(text) // 4 AS q FROM benchmark))"
 
 
 def texts(spark, d) -> DataFrame:
-    part = lambda a, n: F.substring("text", a, n)
-    ascii_text = v.read(spark, d, "benchmark").withColumn("text", F.regexp_replace("text", "[^ -~]", ""))  # DuckDB's levenshtein counts bytes
-    b = ascii_text.select(F.col("item_id").alias("id"), (F.col("item_id") % 3).alias("block"), part(1, 30).alias("title"), F.array(part(31, 12), part(43, 12), part(55, 12)).alias("choices"))
+    q = F.floor(F.length("text") / 4).cast("int")
+    part = lambda k, n: F.col("text").substr(q * k + 1, n)
+    ascii_text = v.read(spark, d, "benchmark").withColumn("text", F.regexp_replace("text", "[^ -~]", "~"))
+    b = ascii_text.select(F.col("item_id").alias("id"), (F.col("item_id") % 3).alias("block"), part(0, q).alias("title"), F.array(part(1, q), part(2, q), part(3, F.length("text"))).alias("choices"), "text")
     return b.withColumn("size", F.aggregate("choices", F.lit(0), lambda s, t: s + F.length(t)))
 
 
-@query("c16_c17_h15_h16_contest_distance", f"WITH {TEXTS}, p AS (SELECT a.id AS a_id, b.id AS b_id, levenshtein(a.title, b.title) AS t, a.choices AS x, b.choices AS y, length(a.title) + length(b.title) + length(a.choices[1]) + length(a.choices[2]) + length(a.choices[3]) + length(b.choices[1]) + length(b.choices[2]) + length(b.choices[3]) AS n FROM tx a JOIN tx b ON a.block = b.block AND a.id < b.id), q AS (SELECT a_id, b_id, (t + LEAST(levenshtein(x[1], y[1]) + levenshtein(x[2], y[2]) + levenshtein(x[3], y[3]), levenshtein(x[1], y[2]) + levenshtein(x[2], y[3]) + levenshtein(x[3], y[1]), levenshtein(x[1], y[3]) + levenshtein(x[2], y[1]) + levenshtein(x[3], y[2]))) / GREATEST(1, n) AS distance FROM p) SELECT a_id, b_id, ROUND(distance, 6) AS distance FROM q WHERE distance <= 0.5")
+@query("c16_c17_h15_h16_contest_distance", f"WITH {TEXTS}, p AS (SELECT a.id AS a_id, b.id AS b_id, levenshtein(a.title, b.title) AS t, a.choices AS x, b.choices AS y, length(a.title) + length(b.title) + length(a.choices[1]) + length(a.choices[2]) + length(a.choices[3]) + length(b.choices[1]) + length(b.choices[2]) + length(b.choices[3]) AS n FROM tx a JOIN tx b ON a.block = b.block AND a.id < b.id), q AS (SELECT a_id, b_id, (t + LEAST(levenshtein(x[1], y[1]) + levenshtein(x[2], y[2]) + levenshtein(x[3], y[3]), levenshtein(x[1], y[2]) + levenshtein(x[2], y[3]) + levenshtein(x[3], y[1]), levenshtein(x[1], y[3]) + levenshtein(x[2], y[1]) + levenshtein(x[3], y[2]))) / GREATEST(1, n) AS distance FROM p) SELECT a_id, b_id, ROUND(distance, 6) AS distance FROM q")
 def _(spark, d):
-    return contests.pairs_in_blocks(texts(spark, d), ["block"], 0.5).select("a_id", "b_id", F.round("distance", 6).alias("distance"))
-
-
-DOC = "dt AS (SELECT doc_id AS id, lang, substr(text, 1, 60) AS text FROM documents WHERE text IS NOT NULL)"
+    return contests.pairs_in_blocks(texts(spark, d), ["block"], 1.0).select("a_id", "b_id", F.round("distance", 6).alias("distance"))
 
 
-def doc_texts(spark, d) -> DataFrame:
-    return v.read(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "lang", F.substring("text", 1, 60).alias("text"))
-
-
-@query("c18_sorted_neighbourhood", f"WITH {DOC}, n AS (SELECT lang, id, text, LEAD(id) OVER w AS next_id, LEAD(text) OVER w AS next_text FROM dt WINDOW w AS (PARTITION BY lang ORDER BY length(text), id)) SELECT lang, id, next_id, CAST(levenshtein(text, next_text) AS BIGINT) AS distance FROM n WHERE next_id IS NOT NULL AND text = text AND length(text) = strlen(text) AND length(next_text) = strlen(next_text)")
+@query("c18_sorted_neighbourhood", f"WITH {TEXTS}, n AS (SELECT block, id, text, LEAD(id) OVER w AS next_id, LEAD(text) OVER w AS next_text FROM tx WINDOW w AS (PARTITION BY block ORDER BY length(text), id)) SELECT block, id, next_id, CAST(levenshtein(text, next_text) AS BIGINT) AS distance FROM n WHERE next_id IS NOT NULL")
 def _(spark, d):
-    n = doc_texts(spark, d)
-    w = Window.partitionBy("lang").orderBy(F.length("text"), "id")
-    ascii_only = (F.length("text") == F.octet_length("text")) & (F.length(F.lead("text").over(w)) == F.octet_length(F.lead("text").over(w)))
-    plain = n.withColumn("plain", ascii_only)
-    return contests.neighbours(plain.drop("plain"), ["lang"]).join(plain.where("plain").select("id"), "id", "left_semi").select("lang", "id", "next_id", F.col("distance").cast("long").alias("distance"))
+    return contests.neighbours(texts(spark, d), "block").select("block", "id", "next_id", *long("distance"))
 
 
-@query("i10_chains", f"WITH {DOC}, s AS (SELECT *, CASE WHEN levenshtein(text, LAG(text) OVER w) < 0.1 * GREATEST(length(text), length(LAG(text) OVER w)) THEN 0 ELSE 1 END AS s FROM dt WHERE lang = 'en' WINDOW w AS (PARTITION BY lang ORDER BY length(text), id)) SELECT id, CAST(SUM(s) OVER (PARTITION BY lang ORDER BY length(text), id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS chain FROM s")
+@query("i10_chains", f"WITH {TEXTS}, s AS (SELECT *, CASE WHEN levenshtein(text, LAG(text) OVER w) < 0.75 * GREATEST(length(text), length(LAG(text) OVER w)) THEN 0 ELSE 1 END AS s FROM tx WINDOW w AS (PARTITION BY block ORDER BY length(text), id)) SELECT block, id, CAST(SUM(s) OVER (PARTITION BY block ORDER BY length(text), id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS chain FROM s")
 def _(spark, d):
-    return contests.chains(doc_texts(spark, d).where("lang = 'en'"), ["lang"], 0.2).select("id", "chain")
+    return contests.chains(texts(spark, d), "block", 1.5).select("block", "id", "chain")
 
 
 @query("h18_same_labels", "WITH l AS (SELECT c_custkey AS id, [CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END, 'Nation ' || c_nationkey] AS labels FROM customer) SELECT id, MIN(id) OVER (PARTITION BY lower(array_to_string(labels, '|'))) AS global_id FROM l")
@@ -922,10 +919,22 @@ def _(spark, d):
     return v.read(spark, d, "part").select("p_partkey", F.array_join(contests.rotate(a, (F.col("p_partkey") % 4).cast("int"), 1), "").alias("rotated"))
 
 
-@query("h17_fix_phrases", "WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'vot for ane' WHEN c_custkey % 5 = 1 THEN 'vote for one' ELSE c_mktsegment END AS x FROM customer) SELECT c_custkey, CASE WHEN ABS(length(x) - 12) <= 0.1 * 12 AND levenshtein(x, 'vote for one') < 0.2 * 12 THEN 'vote for one' ELSE x END AS fixed FROM t")
+@query(
+    "h17_fix_phrases",
+    r"""WITH RECURSIVE t AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN c_custkey || '  Party Preferense: Republicen  list' WHEN 1 THEN 'MEMBER OF THE STATE ASEMBLY' WHEN 2 THEN 'Party Preference: Democratic' WHEN 3 THEN 'for Member of the State Assembly'
+  WHEN 4 THEN 'a Party Preferance Democratic b MEMBR OF THE STATE ASSEMBLY ' || c_mktsegment ELSE c_mktsegment END AS x FROM customer),
+ph AS (SELECT * FROM (VALUES (1, 'Party Preference: Republican', 3), (2, 'Party Preference: Democratic', 3), (3, 'MEMBER OF THE STATE ASSEMBLY', 5)) v(k, item, sep)),
+s AS (SELECT c_custkey, 1 AS k, 1 AS i, list_filter(string_split_regex(x, '\s+'), lambda w: w <> '') AS words FROM t
+ UNION ALL SELECT c_custkey, CASE WHEN i + 1 > len(words) - sep + 1 THEN s.k + 1 ELSE s.k END, CASE WHEN i + 1 > len(words) - sep + 1 THEN 1 ELSE i + 1 END,
+  CASE WHEN i <= len(words) - sep + 1 AND abs(length(array_to_string(words[i:i + sep - 1], ' ')) - length(item)) < length(item) // 10 AND levenshtein(array_to_string(words[i:i + sep - 1], ' '), item) < length(item) // 5
+   THEN list_concat(list_concat(words[1:i - 1], string_split(item, ' ')), words[i + sep:]) ELSE words END FROM s JOIN ph ON s.k = ph.k)
+SELECT c_custkey, array_to_string(words, ' ') AS fixed FROM s WHERE k = 4""",
+)
 def _(spark, d):
-    x = F.when(F.col("c_custkey") % 5 == 0, "vot for ane").when(F.col("c_custkey") % 5 == 1, "vote for one").otherwise(F.col("c_mktsegment"))
-    return v.read(spark, d, "customer").select("c_custkey", x.alias("x")).select("c_custkey", contests.fix_phrases(F.col("x"), ["vote for one"]).alias("fixed"))
+    k, name = F.col("c_custkey") % 6, F.col("c_mktsegment")
+    x = F.when(k == 0, F.concat("c_custkey", F.lit("  Party Preferense: Republicen  list"))).when(k == 1, "MEMBER OF THE STATE ASEMBLY").when(k == 2, "Party Preference: Democratic").when(k == 3, "for Member of the State Assembly")
+    x = x.when(k == 4, F.concat(F.lit("a Party Preferance Democratic b MEMBR OF THE STATE ASSEMBLY "), name)).otherwise(name)
+    return v.read(spark, d, "customer").select("c_custkey", contests.fix_phrases(x).alias("fixed"))
 
 
 @query("h27_o2_common_prefix", "WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS a, string_split(LEAD(p_name) OVER (ORDER BY p_partkey), ' ') AS b FROM part) SELECT p_partkey, CASE WHEN a[1] <> b[1] THEN 0 WHEN len(a) = 1 OR len(b) = 1 OR a[2] <> b[2] THEN 1 ELSE 2 END AS n FROM p WHERE b IS NOT NULL")
