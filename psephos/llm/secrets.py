@@ -10,20 +10,22 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.llm.common import table, written
+from psephos.llm.common import free_name, table, written
 
 #: Candidates: a run of 20 such characters or more with up to two signs of padding; any value of 6 characters or more that is given to a name like password or token;
 #: the password in an address; a private key's block.  What stands before a value is part of the match, so that a run cannot swallow a name.
 _RUN = "A-Za-z0-9+/_"
-_CANDIDATE = rf"[{_RUN}-]{{20,}}={{0,2}}"
+_CANDIDATE = rf"(?<![{_RUN}-])[{_RUN}-]{{20,}}={{0,2}}"
 _NAME = "(?i:passw(?:or)?d|passphrase|pwd|secret|token|auth|credential|key)"
-_GIVEN = rf"(?<![{_RUN}.-])[{_RUN}.-]*?{_NAME}[{_RUN}.-]{{0,40}}[\"'`]?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}(?:(?i:bearer|basic)\s{{1,3}})?[\"'`]?"
+_GIVEN = rf"(?<![{_RUN}.-])(?=[{_RUN}.-]*+[\"'`]?\s{{0,3}}[:=])[{_RUN}.-]*?{_NAME}[{_RUN}.-]{{0,40}}[\"'`]?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}(?:(?i:bearer|basic)\s{{1,3}})?[\"'`]?"
 _VALUE = r"(?<=[\"'`])[^\s\"'`]{6,}(?=[\"'`])|[^\s\"'`]{5,}[^\s\"'`,;.)\]}>]"
 _ADDRESS = r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@\"'`]{0,64}:"
-_BLOCK = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?s:.+?)-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_BLOCK = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?s:.{1,65536}?)-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
 _ANY = rf"({_BLOCK})|({_GIVEN})({_VALUE})|({_ADDRESS})([^\s/@\"'`]{{3,}}(?=@))|({_CANDIDATE})"
-#: Groups 1-6 are those of _ANY, looked at ahead; 7 is 40 characters before the match, whatever was matched earlier; 8-13 again those of _ANY; 14 is 40 characters after it.
-_AROUND = rf"(?={_ANY})(?<=((?s:\A.{{0,39}}|.{{40}})))(?:{_ANY})(?=((?s:.{{0,40}})))"
+#: Signs between matches and what lies between them, and within a match between what stands before the candidate and the candidate; in texts they count as spaces.
+_EDGE, _MID = "\x01", "\x02"
+#: A match has 9 characters at least, so so many pieces hold the 40 characters on either side of one.
+_NEAR = 11
 
 FEATURES = (
     "length", "digits", "upper", "lower", "marks", "turns", "hex", "known_pairs", "dictionary", "slashes", "in_path", "assigned", "near_secret", "near_other",
@@ -74,18 +76,53 @@ def _features(words: list[str], after: bool = False) -> str:
     return "named_struct(" + ", ".join(f"'{k}', {f[k]}" for k in FEATURES) + ")"
 
 
+def pieces(text: Column) -> Column:
+    """The whole text cut at its candidates: plain, match, plain, ..., plain; a match is what stands before the candidate, _MID, and the candidate.  One pass over the text."""
+    marked = F.regexp_replace(F.translate(text, _EDGE + _MID, "  "), F.lit(_ANY), F.lit(f"{_EDGE}$2$4{_MID}$1$3$5$6{_EDGE}"))
+    return F.split(marked, _EDGE, -1)
+
+
+def _matches(p: Column) -> Column:
+    """Places of the matches among the pieces."""
+    return F.when(F.size(p) > 2, F.sequence(F.lit(2), F.size(p) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+
+
+def _parts(match: Column) -> tuple[Column, Column]:
+    at = F.instr(match, _MID)
+    return F.substring(match, F.lit(1), at - 1), F.substring(match, at + 1, F.length(match))
+
+
 def candidates(text: Column) -> Column:
-    """Array of structs c, b, a: every candidate of the whole text, in order, with up to 40 characters before and after it; empty for null."""
-    part = lambda k: F.when(text.rlike(_ANY), F.regexp_extract_all(text, F.lit(_AROUND), F.lit(k)))
-    made = F.transform(
-        F.arrays_zip(*[part(k).alias(f"g{k}") for k in (7, 8, 9, 10, 11, 12, 13, 14)]),
-        lambda m: F.struct(F.concat(*[m[f"g{k}"] for k in (8, 10, 12, 13)]).alias("c"), F.substring(F.concat(m["g7"], m["g9"], m["g11"]), -40, 40).alias("b"), m["g14"].alias("a")),
-    )
-    return F.coalesce(made, F.array().cast("array<struct<c:string,b:string,a:string>>"))
+    """Array of structs c, b, a: every candidate of the whole text, in order, with up to 40 characters before and after it; empty for null.
+
+    U+0001 and U+0002 count as spaces.
+    """
+    def found(p: Column):
+        def one(i: Column) -> Column:
+            before, c = _parts(F.element_at(p, i))
+            first = F.greatest(F.lit(1), i - _NEAR)
+            near = lambda start, n: F.translate(F.array_join(F.slice(p, start, n), ""), _MID, "")
+            return F.struct(c.alias("c"), F.substring(F.concat(near(first, i - first), before), -40, 40).alias("b"), F.substring(near(i + 1, F.lit(_NEAR)), 1, 40).alias("a"))
+
+        return F.transform(_matches(p), one)
+
+    return F.coalesce(F.transform(F.array(pieces(text)), found)[0], F.array().cast("array<struct<c:string,b:string,a:string>>"))
+
+
+def without(text: Column, secrets: Column, mark: str) -> Column:
+    """The text with those of its candidates that are among `secrets` replaced where they were found."""
+    def joined(p: Column):
+        def one(piece: Column, i: Column) -> Column:
+            before, c = _parts(piece)
+            return F.when(i % 2 == 0, piece).otherwise(F.concat(before, F.when(F.array_contains(secrets, c), mark).otherwise(c)))
+
+        return F.array_join(F.transform(p, one), "")
+
+    return F.transform(F.array(pieces(text)), joined)[0]
 
 
 def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """n findings with their labels (c, b, a, secret), from a rule: keys in the usual forms and places, and what is taken for keys.
+    """n findings with their labels (c, b, a, secret, kind), from a rule: keys in the usual forms and places, and what is taken for keys.
 
     A site with findings that people have judged passes those instead; the columns are the same, a (what follows) may be missing.
     """
@@ -100,30 +137,31 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     given = pick("given", "password = \"", "password: ", "db_password=", "secret: ", "api_key = \"", "token: ", "key = ", "DB_PASSWORD=", "pwd=", "auth_token: \"", "client_secret = ")
     name = pick("name", "aws_secret_access_key", "AWS_SECRET_ACCESS_KEY", "GITHUB_PERSONAL_ACCESS_TOKEN", "stripe_live_secret_key", "DATABASE_MASTER_PASSWORD", "google_client_secret_value", "azure_storage_account_key", "SLACK_BOT_USER_OAUTH_TOKEN")
     kinds = {
-        0: (f"substring({h('a')}, 1, {size(32, 64)})", place, 1),
-        1: (f"substring(concat({mixed('b')}, {mixed('b2')}), 1, {size(24, 60)})", place, 1),
-        2: (f"concat({pick('q', 'AKIA', 'ghp_', 'xoxb-', 'sk_live_', 'glpat-')}, substring({mixed('c')}, 1, {size(20, 36)}))", f"concat({pick('z', 'see ', 'was ', 'use ')}, {pick('y', '', 'key ', 'with ')})", 1),
-        3: (f"substring({h('d')}, 1, {size(32, 40)})", pick("o", "commit ", "sha256:", "checksum ", "md5 ", "etag: ", "integrity=", "revision "), 0),
-        4: (words, pick("n", "the ", "call ", "in ", "and ", "token "), 0),
-        5: (f"concat_ws('/', {word('u1')}, {word('u2')}, {word('u3')}, {word('u4')})", pick("u", "https:/", "see ./", "http://a.b/", "path: "), 0),
-        6: (f"concat(substring({h('e')}, 1, 8), '-', substring({h('e')}, 9, 4), '-', substring({h('e')}, 13, 4), '-', substring({h('e')}, 17, 4), '-', substring({h('e')}, 21, 12))", pick("i", "uuid ", "id: ", "request-id ", "session "), 0),
-        7: (f"repeat({pick('r', '=', '-', '_', 'x', 'ha', 'no')}, {size(20, 40)})", pick("s", "", " ", "token ", "line "), 0),
-        8: (f"concat(repeat({word('l1')}, 2), {word('l2')}, {word('l3')})", pick("t", "le ", "of ", "der ", "token: ", "secret "), 0),
-        9: (f"concat(substring({mixed('f')}, 1, 3), {sign}, {digit}, substring({mixed('f2')}, 1, {size(2, 12)}))", given, 1),
-        10: (f"concat(initcap({word('v1')}), {pick('x1', '', '-', '_', '.')}, {digit}, {pick('x2', '42', '7', '2024', '!', '9!', 'xYz')})", given, 1),
-        11: (f"concat({pick('y1', '', 'pw', 'Pass')}, substring({mixed('g')}, 1, {size(4, 16)}), {digit})", f"concat({pick('y2', 'postgres', 'https', 'mysql', 'amqp', 'redis')}, '://', {word('v2')}, ':')", 1),
-        12: (f"concat('-----BEGIN ', {pick('y3', '', 'RSA ', 'EC ', 'OPENSSH ')}, 'PRIVATE KEY-----', char(10), {mixed('k')}, {mixed('k2')}, char(10), '-----END PRIVATE KEY-----')", pick("y4", "", "key: ", "the file "), 1),
-        13: (f"concat({word('v3')}, {pick('x3', '', '', 's', '-only')})", given, 0),
-        14: (f"concat({pick('x4', '${', 'os.environ[', 'get_', 'config.', 'self.', '<your-', 'settings.')}, {word('v4')}, {pick('x5', '()', '}', '>', '', ']', '_name')})", given, 0),
-        15: (f"concat({name}, {pick('x6', '', '', '=')})", pick("x7", "", "export ", "set ", "the ", "secret "), 0),
-        16: (f"substring({h('m')}, 1, {size(32, 64)})", f"substring(concat({name}, {pick('x8', '=', ' = ', ': ', ':')}, {pick('x9', '', char_quote)}), -40, 40)", 1),
-        17: (f"substring(concat({mixed('n')}, {mixed('n2')}), 1, {size(24, 60)})", f"substring(concat({name}, {pick('x8', '=', ' = ', ': ', ':')}, {pick('x9', '', char_quote)}), -40, 40)", 1),
-        18: (f"substring({h('o')}, 1, {size(32, 40)})", pick("z1", "in ", "see ", "", "("), 0),
+        "hex key in its place": (f"substring({h('a')}, 1, {size(32, 64)})", place, 1),
+        "mixed key in its place": (f"substring(concat({mixed('b')}, {mixed('b2')}), 1, {size(24, 60)})", place, 1),
+        "prefixed key": (f"concat({pick('q', 'AKIA', 'ghp_', 'xoxb-', 'sk_live_', 'glpat-')}, substring({mixed('c')}, 1, {size(20, 36)}))", f"concat({pick('z', 'see ', 'was ', 'use ')}, {pick('y', '', 'key ', 'with ')})", 1),
+        "digest": (f"substring({h('d')}, 1, {size(32, 40)})", pick("o", "commit ", "sha256:", "checksum ", "md5 ", "etag: ", "integrity=", "revision "), 0),
+        "joined words": (words, pick("n", "the ", "call ", "in ", "and ", "token "), 0),
+        "path": (f"concat_ws('/', {word('u1')}, {word('u2')}, {word('u3')}, {word('u4')})", pick("u", "https:/", "see ./", "http://a.b/", "path: "), 0),
+        "uuid": (f"concat(substring({h('e')}, 1, 8), '-', substring({h('e')}, 9, 4), '-', substring({h('e')}, 13, 4), '-', substring({h('e')}, 17, 4), '-', substring({h('e')}, 21, 12))", pick("i", "uuid ", "id: ", "request-id ", "session "), 0),
+        "repeated sign": (f"repeat({pick('r', '=', '-', '_', 'x', 'ha', 'no')}, {size(20, 40)})", pick("s", "", " ", "token ", "line "), 0),
+        "long word": (f"concat(repeat({word('l1')}, 2), {word('l2')}, {word('l3')})", pick("t", "le ", "of ", "der ", "token: ", "secret "), 0),
+        "short mixed password": (f"concat(substring({mixed('f')}, 1, 3), {sign}, {digit}, substring({mixed('f2')}, 1, {size(2, 12)}))", given, 1),
+        "word password": (f"concat(initcap({word('v1')}), {pick('x1', '', '-', '_', '.')}, {digit}, {pick('x2', '42', '7', '2024', '!', '9!', 'xYz')})", given, 1),
+        "password in an address": (f"concat({pick('y1', '', 'pw', 'Pass')}, substring({mixed('g')}, 1, {size(4, 16)}), {digit})", f"concat({pick('y2', 'postgres', 'https', 'mysql', 'amqp', 'redis')}, '://', {word('v2')}, ':')", 1),
+        "key block": (f"concat('-----BEGIN ', {pick('y3', '', 'RSA ', 'EC ', 'OPENSSH ')}, 'PRIVATE KEY-----', char(10), {mixed('k')}, {mixed('k2')}, char(10), '-----END PRIVATE KEY-----')", pick("y4", "", "key: ", "the file "), 1),
+        "word after a name": (f"concat({word('v3')}, {pick('x3', '', '', 's', '-only')})", given, 0),
+        "expression after a name": (f"concat({pick('x4', '${', 'os.environ[', 'get_', 'config.', 'self.', '<your-', 'settings.')}, {word('v4')}, {pick('x5', '()', '}', '>', '', ']', '_name')})", given, 0),
+        "long name": (f"concat({name}, {pick('x6', '', '', '=')})", pick("x7", "", "export ", "set ", "the ", "secret "), 0),
+        "hex key after a long name": (f"substring({h('m')}, 1, {size(32, 64)})", f"substring(concat({name}, {pick('x8', '=', ' = ', ': ', ':')}, {pick('x9', '', char_quote)}), -40, 40)", 1),
+        "mixed key after a long name": (f"substring(concat({mixed('n')}, {mixed('n2')}), 1, {size(24, 60)})", f"substring(concat({name}, {pick('x8', '=', ' = ', ': ', ':')}, {pick('x9', '', char_quote)}), -40, 40)", 1),
+        "bare digest": (f"substring({h('o')}, 1, {size(32, 40)})", pick("z1", "in ", "see ", "", "("), 0),
     }
-    later = {11: "'@db.example.org/x'", 15: f"if({kinds[15][0]} like '%=', '4f2a', {pick('z2', ' = ', '=', ': ', ' ')})", 18: pick("z3", " is the commit", " commit", " (sha1)", " checksum of it")}
-    after = "case " + " ".join(f"when id % {len(kinds)} = {k} then {v}" for k, v in later.items()) + f" else {pick('z4', ' ', '', ' and more', ' end')} end"
-    case = lambda i: "case " + " ".join(f"when id % {len(kinds)} = {k} then {v[i]}" for k, v in kinds.items()) + " end"
-    return spark.range(n).selectExpr(f"{case(0)} as c", f"{case(1)} as b", f"{after} as a", f"{case(2)} as secret")
+    later = {"password in an address": "'@db.example.org/x'", "long name": f"if({kinds['long name'][0]} like '%=', '4f2a', {pick('z2', ' = ', '=', ': ', ' ')})", "bare digest": pick("z3", " is the commit", " commit", " (sha1)", " checksum of it")}
+    after = "case " + " ".join(f"when id % {len(kinds)} = {k} then {later[name]}" for k, name in enumerate(kinds) if name in later) + f" else {pick('z4', ' ', '', ' and more', ' end')} end"
+    case = lambda xs: "case " + " ".join(f"when id % {len(kinds)} = {k} then {x}" for k, x in enumerate(xs)) + " end"
+    c, b, label = zip(*kinds.values())
+    return spark.range(n).selectExpr(f"{case(c)} as c", f"{case(b)} as b", f"{after} as a", f"{case(label)} as secret", f"{case([repr(k) for k in kinds])} as kind")
 
 
 def _tree_sql(lines: list[str]) -> str:
@@ -151,7 +189,9 @@ def fit_forest(findings: DataFrame, words: list[str], trees: int = 24, depth: in
 def scan(docs: DataFrame, findings: DataFrame | None = None, text: str = "text", words: int = 2000, to: str = "findings") -> DataFrame:
     """docs with an array column `to`: for every candidate of the whole text a struct c, b, a, score.  No row moves: all is computed where the text is read.
 
-    The dictionary is the corpus's own most frequent words; the forest becomes conditional expressions.  Null and empty texts have an empty array.
+    The dictionary is the corpus's own most frequent words; the forest becomes conditional expressions, trained from `findings` (labelled_findings if None).
+    Null and empty texts have an empty array; a text of any length is read once.  Equal candidates of a text are listed each, in order; repeated rows are scanned each.
+    Other columns, null or not, stay as they are, but a column named as `to` (whatever its case) is replaced.  An empty table gives no rows.
     """
     known = dictionary(docs, text, words)
     forest = fit_forest(labelled_findings(docs.sparkSession) if findings is None else findings, known)
@@ -165,17 +205,18 @@ def with_findings(docs: DataFrame, known: list[str], forest: str, text: str, to:
 
 
 def redacted(docs: DataFrame, text: str = "text", threshold: float = 0.5, mark: str = "[SECRET]", **options) -> DataFrame:
-    """docs with every secret found in text replaced by mark; the columns stay, and a column n_chars follows the text's new length."""
-    to = "found"
-    while to in docs.columns:
-        to = f"_{to}"
+    """docs with every secret found in text replaced by mark; the columns stay, and a column n_chars follows the text's new length.
+
+    A candidate goes where it was found if it, or an equal one of the same text, scores `threshold` or more; the same letters inside longer candidates or words stay.
+    A text without secrets, null and empty ones among them, stays as it is; in one with secrets, U+0001 and U+0002 become spaces.  Columns may have any names.
+    """
+    to = free_name(docs, "found")
     out = scan(docs, text=text, to=to, **options)
-    # a short secret may be part of other words
-    alone = f"regexp_replace(t, concat('(?<![A-Za-z0-9])', '\\\\Q', s.c, '\\\\E', '(?![A-Za-z0-9])'), '{mark}')"
-    clean = F.expr(f"aggregate(filter(`{to}`, s -> s.score >= {threshold}), `{text}`, (t, s) -> if(length(s.c) >= 20 or contains(s.c, '\\\\E'), replace(t, s.c, '{mark}'), {alone}))")
-    out = out.withColumn(text, clean)
+    hits = F.transform(F.filter(F.col(to), lambda s: s["score"] >= threshold), lambda s: s["c"])
+    out = out.withColumn(to, hits)
+    hit = F.size(to) > 0
+    out = out.withColumn(text, F.when(hit, without(F.col(text), F.col(to), mark)).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        hit = F.exists(F.col(to), lambda s: s["score"] >= threshold)
         out = out.withColumn("n_chars", F.when(hit, F.length(text)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*docs.columns)
 
