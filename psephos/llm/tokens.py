@@ -14,22 +14,21 @@ from pyspark.sql import functions as F
 
 from psephos.llm.common import give_back_memory, shared_path, table
 
-#: White space beyond ASCII, and the start of special tokens: a text with one of these is encoded in one piece.
-_WHOLE = {
-    "byte": re.compile(rb"<\||\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"),
-    "word": re.compile(rb"<\|"),
-}
-#: Chunks of one word of Latin-1 letters, with punctuation after it: they need no normaliser, and their pre-tokens are plain.
-_PLAIN = {
-    "byte": re.compile(rb"([ \n]?)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([!-&(-/:-@\[-`{-~]*)"),
-    "word": re.compile(rb"()((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*)([!-&(-/:-@\[-`{-~]*)"),
-}
+#: White space beyond ASCII: a space after it belongs to the same run of white space.
+_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 _NEVER = "\xff"  # stands for the byte 255, which no UTF-8 text holds
-
-_SPACE, _LETTER, _STOP = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\v\f\r", bytes(range(65, 91)) + bytes(range(97, 123)), rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""))
+_DIGIT = re.compile("[0-9]")
+
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: Classes of bytes between which pre-tokens end: 1 letters, 2 digits, 3 ASCII punctuation, 5 white space, 0 others.  Latin-1 letters of two bytes are letters as well.
+_CLASS = np.zeros(256, np.uint8)
+for _k, _b in ((1, b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), (2, b"0123456789"), (3, rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""), (5, b" \t\n\v\f\r")):
+    _CLASS[list(_b)] = _k
+#: Second bytes of letters that begin with the byte C3: all but the signs for times and divided by; and those that no lower-casing changes.
+_LATIN = {"byte": np.isin(np.arange(256), [*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]), "word": np.isin(np.arange(256), [0x9F, *range(0xA0, 0xB7), *range(0xB8, 0xC0)])}
 _rng = np.random.default_rng(20240229)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = int(_rng.integers(1, 2**63)) | 1
@@ -66,89 +65,152 @@ class Encoder:
 
     kind "byte": byte-level BPE whose pre-tokens take white space at their start only, so a text may be cut wherever white
     space follows other characters.  kind "word": BPE with word ends that drops white space and case, so a text may be cut at any
-    white space, and A-Z lower-cased.  Both also end a pre-token where punctuation follows a letter.  So the ids are those of the
-    whole text; texts where that could fail are encoded whole.  Chunks are known by 64-bit hashes, those over `longest` bytes not at all.
-    Beyond most_chunks, the quarter that was met most often stays known.
+    ASCII white space, and A-Z lower-cased.  Both also end a pre-token between letters, digits and punctuation, but for letters after an apostrophe.  So the ids are those of the
+    whole text; texts with a special token are encoded whole.  Chunks are known by 64-bit hashes, those over `longest` bytes not at all.
+
+    Known chunks lie in a table with two places for each; a new one takes the place of another if both are taken.  Beyond most_chunks, those that were not met since the last time are forgotten.
     """
 
-    def __init__(self, path: str, kind: str, most_chunks: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, kind: str, most_chunks: int = 1_200_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.kind, self.most_chunks, self.longest = Tokenizer.from_file(path), kind, most_chunks, longest
+        special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, special)) or rb"(?!)", re.IGNORECASE)
         self.bare = Tokenizer(self.tokenizer.model)  # the same vocabulary, held once
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.never = self.bare.encode(_NEVER, add_special_tokens=False).ids
         assert len(self.never) == 1, "the vocabulary lacks single bytes"
-        self.keys, self.starts, self.lengths, self.hits = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-        self.flat = np.zeros(0, np.int32)
-
-    def _cut(self, buffer: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the chunks; firsts: where texts start."""
-        space, begins = _SPACE[buffer], np.zeros(len(buffer) + 1, bool)
+        # how a chunk's bytes are spelled for `bare`: space only leads, digits of kind "word" are pre-tokens each
+        self.spelled = "".join("\0" if b == 0 else "\n" if b == 10 else _ALPHABET[b] for b in range(256))
+        self.bits = max(10, int(most_chunks * 1.7).bit_length())
+        self.key, self.at = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self._forget(np.zeros(0, np.int64))
+
+    # entries: starts and lengths in flat, met since the last forgetting; arrays grow by doubling
+
+    def _forget(self, kept: np.ndarray) -> None:
+        """Only the entries `kept` stay."""
+        if not len(kept):
+            self.n = self.used = 0
+            self.starts, self.lengths, self.met, self.flat = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(1024, bool), np.zeros(4096, np.int32)
+            self.key[:] = 0
+            return
+        lengths = self.lengths[kept]
+        ends = np.cumsum(lengths)
+        self.flat = self.flat[np.repeat(self.starts[kept] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
+        new = np.full(self.n, -1, np.int32)
+        new[kept] = np.arange(len(kept))
+        self.starts, self.lengths, self.met, self.n, self.used = (ends - lengths).astype(np.int32), lengths, np.zeros(len(kept), bool), len(kept), int(ends[-1])
+        taken = np.nonzero(self.key)[0]
+        self.at[taken] = new[self.at[taken]]
+        self.key[taken[self.at[taken] < 0]] = 0
+
+    def _add(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """New entries; their numbers."""
+        n, used = self.n + len(starts), self.used + len(flat)
+        if n > len(self.starts):
+            self.starts, self.lengths, self.met = (np.concatenate([x[: self.n], np.zeros(2 * n - self.n, x.dtype)]) for x in (self.starts, self.lengths, self.met))
+        if used > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(2 * used - self.used, np.int32)])
+        own = np.arange(self.n, n)
+        self.starts[own], self.lengths[own], self.met[own] = starts + self.used, lengths, True
+        self.flat[self.used : used] = flat
+        self.n, self.used = n, used
+        return own
+
+    def _cut(self, buffer: np.ndarray, firsts: np.ndarray, joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the chunks, and the bytes' classes; firsts: where texts start."""
+        kinds, begins = _CLASS[buffer], np.zeros(len(buffer) + 1, bool)
         begins[firsts] = True
-        stop = np.zeros(len(buffer), bool)
-        stop[1:] = _STOP[buffer[1:]] & _LETTER[buffer[:-1]]
+        lead = np.nonzero(buffer[:-1] == 0xC3)[0]
+        lead = lead[_LATIN[self.kind][buffer[lead + 1]]]
+        kinds[lead] = kinds[lead + 1] = 1
+        space = kinds == 5
         before = np.concatenate([[True], space[:-1]])
+        turn = np.zeros(len(buffer), bool)
+        turn[1:] = (kinds[1:] != kinds[:-1]) & (kinds[1:] % 5 > 0) & (kinds[:-1] % 5 > 0) & ~((buffer[:-1] == 39) & (kinds[1:] == 1))
         if self.kind == "byte":
-            cuts = begins[:-1] | space & ~before | stop
-            starts = np.nonzero(cuts)[0]
-            return starts, np.append(starts[1:], len(buffer))
-        starts = np.nonzero(~space & (before | begins[:-1] | stop))[0]
+            for m in _WIDE.finditer(joined):
+                if m.end() < len(before):
+                    before[m.end()] = True
+            starts = np.nonzero(begins[:-1] | space & ~before | turn)[0]
+            return starts, np.append(starts[1:], len(buffer)), kinds
+        starts = np.nonzero(~space & (before | begins[:-1] | turn))[0]
         after = np.concatenate([space[1:], [True]])
-        ends = np.nonzero(~space & (after | begins[1:] | np.concatenate([stop[1:], [True]])))[0] + 1
-        return starts, ends
-
-    def _encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and each chunk's start and length there.  Plain chunks are spelled in the byte-level alphabet and told apart by a token that no text has."""
-        plain, whole, spelled = _PLAIN[self.kind].fullmatch, [], []
-        for i, c in enumerate(chunks):
-            if m := plain(c):
-                space, word, stop = m.groups()
-                word, stop = word.decode("latin-1").translate(_ALPHABET), stop.decode()
-                if space == b" ":
-                    spelled.append(f"{_ALPHABET[32]}{word} {stop}" if word else f"{_ALPHABET[32]}{stop}")
-                else:
-                    spelled.append(f"{_ALPHABET[10]} {word} {stop}" if space else f"{word} {stop}")
-            else:
-                whole.append(i)
-                spelled.append("")
-        ids = []
-        for i in range(0, len(spelled), 5000):
-            ids += self.bare.encode_batch_fast([f" {_NEVER} ".join([*spelled[i : i + 5000], ""])], add_special_tokens=False)[0].ids
-        ids = np.array(ids, np.int32)
-        ends = np.nonzero(ids == self.never[0])[0]
-        lengths, flat = np.diff(ends, prepend=-1) - 1, ids[ids != self.never[0]]
-        starts = np.cumsum(lengths) - lengths
-        if whole:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([chunks[i].decode("utf-8", "replace") for i in whole], add_special_tokens=False)]
+        ends = np.nonzero(~space & (after | begins[1:] | np.concatenate([turn[1:], [True]])))[0] + 1
+        return starts, ends, kinds
+
+    def _encode_chunks(self, buffer: np.ndarray, kinds: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and each chunk's start and length there.
+
+        Plain chunks, one run of letters, digits or punctuation after at most one space or line end, are spelled in the byte-level alphabet and told apart by a token that no text has.
+        """
+        sizes = ends - starts
+        if not len(starts):
+            return np.zeros(0, np.int32), sizes, sizes
+        lead = np.zeros(len(starts), bool) if self.kind == "word" else (sizes > 1) & ((buffer[starts] == 32) | (buffer[starts] == 10))
+        firsts = np.cumsum(sizes) - sizes
+        places = np.repeat(starts - firsts, sizes) + np.arange(int(sizes.sum()))
+        own = kinds[places]
+        own[firsts[lead]] = own[firsts[lead] + 1]
+        low, high = np.minimum.reduceat(own, firsts), np.maximum.reduceat(own, firsts)
+        plain = (low == high) & (low % 5 > 0)
+        lengths, chunk, begin, outs = np.zeros(len(starts), np.int64), sizes[plain], starts[plain], []
+        for f in range(0, len(chunk), 5000):
+            n = chunk[f : f + 5000] + 1
+            at = np.cumsum(n)
+            text = buffer[np.minimum(np.repeat(begin[f : f + 5000] - (at - n), n) + np.arange(int(at[-1])), len(buffer) - 1)]
+            text[at - 1] = 0
+            text = text.tobytes().decode("latin-1").translate(self.spelled)
+            if self.kind == "word":
+                text = _DIGIT.sub(r"\g<0> ", text)
+            text = text.replace("\n", f"{_ALPHABET[10]} ").replace("\0", f" {_NEVER} ")
+            outs.append(np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32))
+        ids = np.concatenate([*outs, np.zeros(0, np.int32)])
+        stops = np.nonzero(ids == self.never[0])[0]
+        lengths[plain] = np.diff(stops, prepend=-1) - 1
+        flat = ids[ids != self.never[0]]
+        own = np.cumsum(lengths) - lengths
+        if not plain.all():
+            rest = np.nonzero(~plain)[0]
+            chunks = [buffer[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[rest].tolist(), ends[rest].tolist())]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
             n = np.fromiter(map(len, found), np.int64, len(found))
-            starts[whole], lengths[whole] = len(flat) + np.cumsum(n) - n, n
+            own[rest], lengths[rest] = len(flat) + np.cumsum(n) - n, n
             flat = np.concatenate([flat, np.fromiter((i for x in found for i in x), np.int32, int(n.sum()))])
-        return flat, starts, lengths
-
-    def _known(self, buffer: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The place of each chunk among the known ones; those not known yet are learned."""
-        unique, first, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-        if len(self.keys) > self.most_chunks:
-            kept = np.sort(np.argsort(-self.hits, kind="stable")[: self.most_chunks // 4])
-            lengths = self.lengths[kept]
-            ends_ = np.cumsum(lengths)
-            self.flat = self.flat[np.repeat(self.starts[kept] - (ends_ - lengths), lengths) + np.arange(int(lengths.sum()))]
-            self.keys, self.starts, self.lengths, self.hits = self.keys[kept], ends_ - lengths, lengths, self.hits[kept] // 2
-        at = np.searchsorted(self.keys, unique)
-        new = np.ones(len(unique), bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != unique[inside]
-        if new.any():
-            flat, own, lengths = self._encode_chunks([buffer[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
-            own += len(self.flat)
-            self.flat = np.concatenate([self.flat, flat])
-            for name, x in (("starts", own), ("lengths", lengths), ("hits", np.zeros(len(own), np.int64)), ("keys", unique[new])):
-                setattr(self, name, np.insert(getattr(self, name), at[new], x))
-            at = np.searchsorted(self.keys, unique)
-        self.hits[at] += counts
-        return at[inverse]
+        return flat, own, lengths
+
+    def _known(self, buffer: np.ndarray, kinds: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry of each chunk; those not known yet are learned."""
+        if self.n > self.most_chunks:
+            live = self.at[self.key != 0]
+            live = np.unique(live[self.met[live]])
+            self._forget(live if len(live) <= self.most_chunks // 2 else live[: self.most_chunks // 2])
+        hashes = hashes | np.uint64(1)  # 0 is an empty place
+        one = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        entry, missed = self.at[one].astype(np.int64), self.key[one] != hashes
+        miss = np.nonzero(missed)[0]
+        if len(miss):
+            two = (hashes[miss] & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+            hit = self.key[two] == hashes[miss]
+            entry[miss[hit]] = self.at[two[hit]]
+            miss = miss[~hit]
+        hits = entry[~missed]
+        self.met[hits] = True
+        if len(miss):
+            unique, first, inverse = np.unique(hashes[miss], return_index=True, return_inverse=True)
+            s, e = starts[miss[first]], ends[miss[first]]
+            own = self._add(*self._encode_chunks(buffer, kinds, s, e))
+            entry[miss] = own[inverse]
+            place = (unique >> np.uint64(64 - self.bits)).astype(np.int64)
+            free = self.key[place] == 0
+            self.key[place[free]], self.at[place[free]] = unique[free], own[free]
+            left = self.key[place] != unique
+            place = (unique[left] & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+            self.key[place], self.at[place] = unique[left], own[left]
+        return entry
 
     def _encode_run(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         joined = b"".join(texts)
@@ -157,26 +219,33 @@ class Encoder:
         if not len(buffer):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         firsts = np.cumsum(sizes) - sizes
-        starts, ends = self._cut(buffer, firsts)
-        owner = np.searchsorted(firsts, starts, "right") - 1
-        lengths, offsets, flat = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), None
-        short = ends - starts <= self.longest
-        if short.any():
+        starts, ends, kinds = self._cut(buffer, firsts, joined)
+        lengths, offsets = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        long = ends - starts > self.longest
+        if long.any():
+            short = ~long
             s, e = starts[short], ends[short]
-            at = self._known(joined, span_hashes(buffer, s, e), s, e)
+            at = self._known(buffer, kinds, span_hashes(buffer, s, e), s, e)
+            more, own, n = self._encode_chunks(buffer, kinds, starts[long], ends[long])
             lengths[short], offsets[short] = self.lengths[at], self.starts[at]
-        flat = self.flat
-        if not short.all():
-            more, own, n = self._encode_chunks([joined[s:e] for s, e in zip(starts[~short].tolist(), ends[~short].tolist())])
-            lengths[~short], offsets[~short] = n, len(flat) + own
-            flat = np.concatenate([flat, more])
+            lengths[long], offsets[long] = n, self.used + own
+            if self.used + len(more) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(len(more) + self.used, np.int32)])
+            self.flat[self.used : self.used + len(more)] = more  # beyond what is used: for this run only
+            flat = self.flat
+        else:
+            at = self._known(buffer, kinds, span_hashes(buffer, starts, ends), starts, ends)
+            lengths, offsets, flat = self.lengths[at].astype(np.int64), self.starts[at].astype(np.int64), self.flat
         total = np.cumsum(lengths)
-        ids = flat[np.repeat(offsets - (total - lengths), lengths) + np.arange(int(lengths.sum()))]
-        return ids, np.bincount(owner, lengths, len(texts)).astype(np.int64)
+        all_ = int(total[-1]) if len(total) else 0
+        ids = flat[np.repeat(offsets - (total - lengths), lengths) + np.arange(all_)]
+        sums = np.concatenate([[0], total])
+        edges = np.searchsorted(starts, np.append(firsts, len(buffer)))
+        return ids, np.diff(sums[edges])
 
     def encode(self, texts: list[bytes], part: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
         """All ids on end, and the number of ids of each text.  Texts over `part` bytes are taken in parts, cut at white space where possible."""
-        whole, space = _WHOLE[self.kind], re.compile(rb"[^\t-\r ][\t-\r ]")
+        space = re.compile(rb"[!-~][\t-\r ]")
         ids, counts, run, held = [], [], [], 0
 
         def flush():
@@ -188,7 +257,7 @@ class Encoder:
 
         parts = []
         for t in texts:
-            if whole.search(t):
+            if self.special.search(t):
                 flush()
                 found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
                 ids.append(np.array(found, np.int32))
