@@ -61,6 +61,29 @@ def give_back_memory() -> None:
 _LIBC = ctypes.CDLL(None)
 
 
+# --- joins that no key can make lopsided -----------------------------------------------------------
+
+#: Rows up to which a narrow table is sent to all tasks (some 16 MB); it is counted first, and joined by a shuffle beyond.
+FEW = 1_000_000
+
+
+def few_or_join(df: DataFrame, n: int) -> DataFrame:
+    """df, of n narrow rows, to be joined: sent to all tasks if n is at most FEW."""
+    return F.broadcast(df) if n <= FEW else df
+
+
+def spread_join(rows: DataFrame, names: DataFrame, on: list[str], n: str, most: int) -> DataFrame:
+    """rows joined with names (one row per key; column n: how many rows have the key).  Keys that over `most` rows have are sent to all tasks, so these rows are not moved;
+    there is at most one such key for `most` rows."""
+    big = names.where(F.col(n) > most).drop(n)
+    many = big.count()
+    small = names.drop(n)
+    if not 0 < many <= FEW:
+        return rows.join(small, on)
+    rest = rows.join(F.broadcast(big.select(*on)), on, "left_anti").join(small, on)
+    return rest.unionByName(rows.join(F.broadcast(big), on))
+
+
 # --- components ---------------------------------------------------------------------------------
 
 

@@ -3,6 +3,8 @@ import random
 import numpy as np
 import xxhash
 
+from pyspark.sql import functions as F
+
 from psephos.llm import simhash
 from psephos.llm.common import components, forest
 
@@ -46,13 +48,32 @@ def test_masks_cover_every_pair_within_the_radius():
 
 def test_sketch():
     for t in ("", " \n", "a", "A b", "The quick brown fox jumps over the lazy dog " * 9, "É é ß x y z Q"):
-        assert int(simhash.sketch(t, 4)[0]) == brute_print(t)
-        assert int(simhash.sketch(t, 4, at_once=3)[0]) == brute_print(t)
-        wide, w = simhash.sketch(t, 5, words=4), t.encode().lower().split()
-        assert wide.tolist() == simhash.sketch(t, 5, words=4, at_once=2).tolist()
-        if w:
-            h = [int.from_bytes(xxhash.xxh3_128_digest(b" ".join(w[i : i + 5]), 1), "little") for i in range(max(1, len(w) - 4))]
-            assert int(wide[2]) | int(wide[3]) << 64 == sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        assert simhash.sketch(t, 4) == brute_print(t)
+        assert simhash.sketch(t, 4, at_once=3) == brute_print(t)
+
+
+def test_set_sketch():
+    """Equal sets of shingles have equal hashes, however the text is cut; bits are majorities over the set."""
+    rnd = random.Random(8)
+    for _ in range(40):
+        w = [rnd.choice(["a", "bb", "ccc", "d", "É", "e" * 30]) for _ in range(rnd.choice([0, 1, 4, 5, 6, 400]))]
+        text = " ".join(w)
+        shingles = {tuple(x.encode().lower() for x in w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        h = simhash.shingle_set(text, 5)
+        assert len(h) == len(shingles) and (np.diff(h.astype(object)) > 0).all()
+        assert h.tolist() == simhash.shingle_set(f"  {text.upper() if text.isascii() else text}\n", 5, at_once=3).tolist()
+        assert all(x in h for x in simhash.shingle_set(" ".join(w[:7]), 5)) or len(w) < 5
+        wide = simhash.set_sketch(h, 4)
+        mixed = []
+        for x in h.tolist():
+            row = []
+            for k in range(4):
+                y = x * int(simhash._WORDS[k]) % 2**64
+                y = (y ^ y >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+                row.append(y ^ y >> 32)
+            mixed.append(row)
+        assert wide[:4].tolist() == [sum(1 << b for b in range(64) if 2 * sum(r[k] >> b & 1 for r in mixed) > len(mixed)) for k in range(4)]
+        assert wide.tolist()[4] == simhash.set_sketch(np.unique(h), 0)[0]
 
 
 def docs(spark):
@@ -79,32 +100,52 @@ def test_against_brute_force(spark, monkeypatch):
     assert simhash.near_duplicates(df.where("false")).count() == 0
 
 
-def test_long_runs_are_dealt_out_whole(spark):
+def roots(nodes, comps):
+    """Least node of each node's component; comps: (node, root) of the nodes that are not their own root."""
+    at = {r.node: r.root for r in comps}
+    groups = {}
+    for x in nodes:
+        groups.setdefault(at.get(x, x), []).append(x)
+    least = {k: min(own) for k, own in groups.items()}
+    return [least[at.get(x, x)] for x in nodes]
+
+
+def test_heavy_keys_are_dealt_out_whole(spark, monkeypatch):
+    """One dense group, chained, and a second group that meets the first under the same keys; the limits force blocks and the comparison of what lies outside."""
     rnd = random.Random(4)
     base, rows = rnd.getrandbits(64), []
-    for _ in range(700):  # one dense group, chained
+    for _ in range(700):
         x = base
         for b in rnd.sample(range(64), rnd.randint(0, 3)):
             x ^= 1 << b
         rows.append(x)
+    other = base ^ 0b1111111100000000
+    rows += [other ^ 1 << b for b in range(60)]
     rows = sorted(set(rows + [rnd.getrandbits(64) for _ in range(300)]))
-    df = spark.createDataFrame([(simhash.signed(x),) for x in rows], "node long").repartition(5)
-    keep = simhash.BLOCK
+    nodes = [simhash.signed(x) for x in rows]
+    df = spark.createDataFrame([(x,) for x in nodes], "node long").repartition(5)
     ids = brute_components([(simhash.signed(x), x) for x in rows])
-    for block in (keep, 60):
-        simhash.BLOCK = block
-        try:
-            found = simhash.links(df, ["node"], 4, 4).collect()
-        finally:
-            simhash.BLOCK = keep
-        at = {simhash.signed(x): i for i, x in enumerate(rows)}
-        a, b = (np.array([at[getattr(r, c)] for r in found]) for c in "ab")
-        assert len(found) <= 40 * len(rows)
-        root = forest(len(rows), a, b)
-        groups = {}
-        for i, r in enumerate(root):
-            groups.setdefault(r, []).append(simhash.signed(rows[i]))
-        assert [min(groups[r]) for r in root] == ids
+    for block in (4096, 60, 7):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert roots(nodes, simhash.proposed(df, ["node"], 4, 4).collect()) == ids
+
+
+def test_heavy_groups_of_sets(spark, monkeypatch):
+    """Jaccard links within one group of proposals, dealt out in blocks or not, against all pairs."""
+    rnd = random.Random(5)
+    base = [rnd.getrandbits(62) for _ in range(40)]
+    sets = [sorted({*rnd.sample(base, rnd.choice([30, 34, 36, 38])), *[rnd.getrandbits(62) for _ in range(rnd.randint(0, 4))]}) for _ in range(90)]
+    want = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = set(sets[a]), set(sets[b])
+            if 5 * len(x & y) >= 4 * len(x | y):
+                want = [min(want[a], want[b]) if r in (want[a], want[b]) else r for r in want]
+    assert 2 < len(set(want)) < len(want)
+    df = spark.createDataFrame([(7, i, bytearray(np.array(x, np.uint64).tobytes())) for i, x in enumerate(sets)], "key long, node long, hashes binary").repartition(3)
+    for limit in (1 << 21, 1000, 300):
+        found = simhash.linked(df, ["hashes"], simhash.Similar(0.8), limit, "t", F.octet_length("hashes") / 8)
+        assert roots(list(range(len(sets))), found.collect()) == want
 
 
 def test_components(spark):
@@ -148,5 +189,5 @@ def test_one_of_each(spark):
         out = simhash.one_of_each(df, shingle=4, radius=4, most_gone=most)
         assert out.columns == df.columns
         assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, want))
-    wide = simhash.one_of_each(df, shingle=5, radius=12, words=4, most=39, segments=3, tries=2).collect()
+    wide = simhash.one_of_each(df, shingle=5, radius=12, words=4, most=39, segments=3).collect()
     assert 0 < len(wide) < len(rows)
