@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline as cp
+from psephos.llm import simhash
 from psephos.llm.common import written
 
 KEY = hashlib.sha1(b"k").hexdigest()
@@ -74,3 +75,42 @@ def test_near_duplicates_against_jaccard(spark, sf):
     want = {min(i for i, r in enumerate(root) if r == own) for own in set(root)}
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in cp.near_duplicates(spark, df, sf).collect()} == want
+
+
+def true_links(sets, least=0.8):
+    """All pairs of sets with a Jaccard similarity of `least` or more, by an inverted list of all elements."""
+    holders, out = {}, []
+    for i, x in enumerate(sets):
+        both = Counter(j for e in x for j in holders.get(e, ()))
+        out += [(j, i) for j, n in both.items() if n >= least * (len(x) + len(sets[j]) - n) - 1e-9]
+        for e in x:
+            holders.setdefault(e, []).append(i)
+    return out
+
+
+def test_recall_on_a_whole_table(spark):
+    """All documents of the table: links of 0.8 or more that the stage's groups hold, and documents that it drops without such a link; both are printed."""
+    sf = "/root/testdata/sf0.01"
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = [(r.doc_id, (r.text or "").encode().lower().split()) for r in df.select("doc_id", "text").collect()]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for _, w in docs]
+    links = true_links(sets)
+    group = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, shingle=5, radius=7, segments=2, words=4, most=60, jaccard=0.8).collect()}
+    held = sum(group[docs[a][0]] == group[docs[b][0]] for a, b in links)
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        least[find(i)] = min(least.get(find(i), d), d)
+    wrong = sum(group[d] != least[find(i)] for i, (d, _) in enumerate(docs))
+    kept = {r.doc_id for r in cp.near_duplicates(spark, df, sf).collect()}
+    dropped = sum(d not in kept and least[find(i)] == d for i, (d, _) in enumerate(docs))
+    print("links", len(links), "held", held, "documents in another group than by all pairs", wrong, "dropped without a link", dropped)
+    assert len(links) > 100 and held >= 0.98 * len(links) and dropped == 0 and wrong <= 0.01 * len(docs)
