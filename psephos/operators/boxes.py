@@ -13,38 +13,69 @@ def score_filter(found: DataFrame, least: float) -> DataFrame:
     return found.where(F.col("score") >= least)
 
 
+def in_turn(df: DataFrame, by: str, order: list, columns: list[str], fn, schema: str) -> DataFrame:
+    """What fn makes of each group's rows, in order: rows are sorted by group within partitions and handed over in batches, so a style costs its rows and no table of its own.
+
+    fn takes lists of the columns and returns lists of what schema has after `by`.
+    """
+    def run(it):
+        held = None
+        for pdf in it:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            keys = pdf[by].to_numpy()
+            cuts = [0, *(np.nonzero(keys[1:] != keys[:-1])[0] + 1).tolist()]
+            held = pdf.iloc[cuts[-1] :].reset_index(drop=True)  # the last group may go on
+            if len(cuts) > 1:
+                yield made(pdf.iloc[: cuts[-1]], cuts)
+        if held is not None:
+            yield made(held, [0, len(held)])
+
+    def made(pdf, cuts):
+        values, keys, out = [pdf[c].tolist() for c in columns], pdf[by].tolist(), []
+        for f, e in zip(cuts[:-1], cuts[1:]):
+            out += [(keys[f], *row) for row in zip(*fn(*[x[f:e] for x in values]))]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return df.repartition(by).sortWithinPartitions(by, *order).select(by, *columns).mapInPandas(run, schema)
+
+
 def greedy_accept(found: DataFrame, by: str, apart: float = 0.5) -> DataFrame:
-    """Best first within a style, a match is taken unless its centre is within `apart` of its size of one taken before (style, id, x, y, w, h, score)."""
-    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["score", "id"], ascending=[False, True])
-        taken: list[tuple[float, float]] = []
-        keep = []
-        for r in own.itertuples():
-            cx, cy = r.x + r.w / 2, r.y + r.h / 2
-            free = all(abs(cx - a) >= apart * r.w or abs(cy - b) >= apart * r.h for a, b in taken)
+    """Best first within a style, a match is taken unless its centre is within `apart` of its size of one taken before (style, id, x, y, w, h, score).
+
+    Taken ones lie in a grid of the style's largest size, so each match is held against its neighbours only.
+    """
+    def run(ids, x, y, w, h):
+        taken: dict = {}
+        keep, sx, sy = [], max(max(w) * apart, 1e-9), max(max(h) * apart, 1e-9)
+        for a, b, u, v in zip(x, y, w, h):
+            cx, cy = a + u / 2, b + v / 2
+            i, j = int(cx // sx), int(cy // sy)
+            near = (t for p in (i - 1, i, i + 1) for q in (j - 1, j, j + 1) for t in taken.get((p, q), ()))
+            free = all(abs(cx - tx) >= apart * u or abs(cy - ty) >= apart * v for tx, ty in near)
             keep.append(free)
             if free:
-                taken.append((cx, cy))
-        return pd.DataFrame({by: key[0], "id": own["id"], "taken": keep})
+                taken.setdefault((i, j), []).append((cx, cy))
+        return ids, keep
 
-    return found.groupBy(by).applyInPandas(run, f"{by} {dict(found.dtypes)[by]}, id long, taken boolean")
+    return in_turn(found, by, [F.desc("score"), "id"], ["id", "x", "y", "w", "h"], run, f"{by} {dict(found.dtypes)[by]}, id long, taken boolean")
 
 
 def snap_columns(targets: DataFrame, by: str, share: float = 20.0) -> DataFrame:
-    """Reading order within a style: x is snapped to the first column within width / share, in order of id; then by column and y."""
-    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("id")
+    """Reading order within a style: x is snapped to the first column within width / share, in order of id; then by column and y (style, id, x, y, page_width)."""
+    def run(ids, x, y, width):
         columns: list[float] = []
         snapped = []
-        for r in own.itertuples():
-            near = next((c for c in columns if abs(c - r.x) < r.page_width / share), None)
+        for a, w in zip(x, width):
+            near = next((c for c in columns if abs(c - a) < w / share), None)
             if near is None:
-                columns.append(near := r.x)
-            snapped.append(near)
-        own = own.assign(col=snapped).sort_values(["col", "y", "id"])
-        return pd.DataFrame({by: key[0], "id": own["id"].to_numpy(), "col": own["col"].astype(float).to_numpy(), "place": np.arange(len(own))})
+                columns.append(near := a)
+            snapped.append(float(near))
+        order = sorted(range(len(ids)), key=lambda i: (snapped[i], y[i], ids[i]))
+        return [ids[i] for i in order], [snapped[i] for i in order], list(range(len(ids)))
 
-    return targets.groupBy(by).applyInPandas(run, f"{by} {dict(targets.dtypes)[by]}, id long, col double, place long")
+    return in_turn(targets, by, ["id"], ["id", "x", "y", "page_width"], run, f"{by} {dict(targets.dtypes)[by]}, id long, col double, place long")
 
 
 def crossings(horizontal: DataFrame, vertical: DataFrame, on: list[str]) -> DataFrame:
@@ -115,3 +146,65 @@ def alignment_grid(errors: DataFrame, tolerances: list[float]) -> DataFrame:
     rows = errors.select("dx", "dy", "dt", grid)
     good = (F.abs("dx") <= F.col("tolerance")) & (F.abs("dy") <= F.col("tolerance")) & (F.abs("dt") <= F.col("tolerance") / 100)
     return rows.groupBy("tolerance").agg(F.count(F.when(good, 1)).alias("good"), F.count(F.lit(1)).alias("n"))
+
+
+# --- contests from lines -------------------------------------------------------------------------
+
+
+def _same(a: str, b: str, on: list[str]):
+    cond = F.lit(True)
+    for k in on:
+        cond = cond & (F.col(f"{a}.{k}") == F.col(f"{b}.{k}"))
+    return cond
+
+
+def extended(horizontal: DataFrame, vertical: DataFrame, on: list[str], width: int) -> DataFrame:
+    """Horizontal lines that stop short of a vertical one, drawn on to it (both: on, id, x1, y1, x2, y2).
+
+    A vertical line that covers the row is looked for from a tenth before the right end to half the line's length beyond it, within the image.  If the first one lies beyond the end, the
+    line goes to it and a tenth of its length further; all by whole numbers.
+    """
+    h, v = horizontal.alias("h"), vertical.alias("v")
+    start, stop = F.floor((F.col("h.x1") + 9 * F.col("h.x2")) / 10), F.least(F.col("h.x2") + F.floor((F.col("h.x2") - F.col("h.x1")) / 2), F.lit(width))
+    cond = _same("h", "v", on) & (F.col("v.y1") <= F.col("h.y1")) & (F.col("h.y1") < F.col("v.y2")) & (F.greatest(start, "v.x1") < F.least(stop, F.col("v.x2")))
+    keys = [*on, "id"]
+    met = h.join(v, cond).groupBy(*[F.col(f"h.{k}").alias(k) for k in keys]).agg(F.min(F.greatest(start, "v.x1")).alias("_at"))
+    out = horizontal.join(met, keys, "left")
+    end = F.when(F.col("_at") >= F.col("x2"), F.col("_at") + F.floor((F.col("_at") - F.col("x1")) / 10)).otherwise(F.col("x2"))
+    return out.withColumn("x2", end.cast("long")).drop("_at")
+
+
+def beside_targets(lines: DataFrame, targets: DataFrame, on: list[str], axis: str) -> DataFrame:
+    """Lines along `axis` (x or y) that some target's centre (in whole numbers) lies beside: between the line's ends.  Both have x1, y1, x2, y2."""
+    centre = F.floor((F.col(f"t.{axis}1") + F.col(f"t.{axis}2")) / 2)
+    return lines.alias("l").join(targets.alias("t"), _same("l", "t", on) & centre.between(F.col(f"l.{axis}1"), F.col(f"l.{axis}2")), "left_semi")
+
+
+def large_squares(squares: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
+    """Squares of more than twice the mean area (in whole numbers) of their style's targets."""
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    mean = targets.groupBy(*on).agg(F.floor(F.avg(area)).alias("_mean"))
+    return squares.join(mean, on).where(area > 2 * F.col("_mean")).drop("_mean")
+
+
+def holding(squares: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
+    """Each target goes to the smallest square (ties by corner) that holds more than half of it and is more than twice as high; on, target_id, x1, y1, x2, y2.  Squares that get none are no contests."""
+    b, t = squares.alias("b"), targets.alias("t")
+    both = F.greatest(F.lit(0), F.least("b.x2", "t.x2") - F.greatest("b.x1", "t.x1")) * F.greatest(F.lit(0), F.least("b.y2", "t.y2") - F.greatest("b.y1", "t.y1"))
+    inside = (2 * both > (F.col("t.x2") - F.col("t.x1")) * (F.col("t.y2") - F.col("t.y1"))) & (F.col("b.y2") - F.col("b.y1") > 2 * (F.col("t.y2") - F.col("t.y1")))
+    area = (F.col("b.x2") - F.col("b.x1")) * (F.col("b.y2") - F.col("b.y1"))
+    best = F.min(F.struct(area.alias("area"), *[F.col(f"b.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])).alias("m")
+    return t.join(b, _same("b", "t", on) & inside).groupBy(*[F.col(f"t.{k}").alias(k) for k in [*on, "target_id"]]).agg(best).select(*on, "target_id", "m.x1", "m.y1", "m.x2", "m.y2")
+
+
+def extract_contests(horizontal: DataFrame, vertical: DataFrame, targets: DataFrame, on: list[str], width: int, height: int) -> DataFrame:
+    """The contest box of each target, from a style's lines: on, target_id, x1, y1, x2, y2.
+
+    Short lines go, horizontal ones are drawn on to vertical ones, lines that no target lies beside go, crossings make rectangles, small rectangles go, and each target takes the smallest that
+    holds it.  All by joins on the style, so styles of any number are spread over tasks.  Lines and targets: on, id or target_id, x1, y1, x2, y2.
+    """
+    long_ = (F.col("x2") - F.col("x1") > width // 10) | (F.col("y2") - F.col("y1") > height // 30)
+    h, v = horizontal.where(long_), vertical.where(long_)
+    h = beside_targets(extended(h, v, on, width), targets, on, "x").select(*on, "id", F.col("y1").alias("y"), "x1", "x2")
+    v = beside_targets(v, targets, on, "y").select(*on, "id", F.col("x1").alias("x"), "y1", "y2")
+    return holding(large_squares(rectangles(crossings(h, v, on), on, 1).distinct(), targets, on), targets, on)

@@ -21,12 +21,63 @@ def l2(a: Column, b: Column) -> Column:
 
 
 def l1(a: Column, b: Column) -> Column:
-    """Sum of absolute differences; a missing pixel (NaN) on either side does not count."""
-    d = F.zip_with(a, b, lambda x, y: F.when(F.isnan(x) | F.isnan(y), 0.0).otherwise(F.abs(x - y)))
-    return F.aggregate(d, F.lit(0.0), lambda s, x: s + x)
+    """Mean absolute difference; a missing pixel (NaN) on either side does not count."""
+    d = F.filter(F.zip_with(a, b, lambda x, y: F.abs(x - y)), lambda x: ~F.isnan(x))
+    return F.aggregate(d, F.lit(0.0), lambda s, x: s + x) / F.size(d)
 
 
-DISTANCES = {"L2": l2, "L1": l1}
+def _floor_level(a: Column) -> Column:
+    """Half the way from the least value to the background: the lower edge of the fullest of ten bins, the first of several."""
+    def level(x: Column) -> Column:
+        step = (x["high"] - x["low"]) / 10
+        places = F.transform(x["known"], lambda v: F.least(F.lit(9), F.floor((v - x["low"]) / step)))
+        counts = F.aggregate(places, F.array_repeat(F.lit(0), 10), lambda n, k: F.transform(n, lambda c, i: F.when(i == k, c + 1).otherwise(c)))
+        return F.struct(F.when(step > 0, F.transform(F.array(counts), lambda n: (F.array_position(n, F.array_max(n)) - 1) * step / 2)[0]).otherwise(F.lit(0.0)).alias("level"))
+
+    known = F.filter(a, lambda x: ~F.isnan(x))
+    bounds = F.transform(F.array(known), lambda k: F.struct(k.alias("known"), F.array_min(k).alias("low"), F.array_max(k).alias("high")))
+    return F.transform(bounds, level)[0]["level"]
+
+
+def vardiff(a: Column, b: Column) -> Column:
+    """Sum of the absolute differences above the lesser floor level of both, per known pixel of a: faint differences of the background do not count."""
+    pair = F.transform(F.array(F.least(_floor_level(a), _floor_level(b))), lambda t: F.filter(F.zip_with(a, b, lambda x, y: F.abs(x - y)), lambda d: ~F.isnan(d) & (d > t)))[0]
+    return F.aggregate(pair, F.lit(0.0), lambda s, x: s + x) / F.size(F.filter(a, lambda x: ~F.isnan(x)))
+
+
+def image_distortion(a: np.ndarray, b: np.ndarray, m: int = 3, clipped: bool = False) -> float:
+    """Sum over the pixels of a of the least difference from those of b up to m rows and columns before and less than m after, the last row and column left out; NaN does not count.
+
+    clipped: values below the lesser floor level of both are 0 first.
+    """
+    if clipped:
+        level = min(_numpy_level(a), _numpy_level(b))
+        a, b = (np.where(x < level, 0.0, x) for x in (a, b))
+    total = 0.0
+    for i, j in np.ndindex(a.shape):
+        near = np.abs(a[i, j] - b[max(0, i - m) : min(a.shape[0] - 1, i + m), max(0, j - m) : min(a.shape[1] - 1, j + m)])
+        near = near[~np.isnan(near)]
+        total += near.min() if len(near) else 0.0
+    return float(total)
+
+
+def _numpy_level(x: np.ndarray) -> float:
+    known = x[~np.isnan(x)]
+    n, edges = np.histogram(known, bins=10)
+    return float((edges[n.argmax()] - known.min()) / 2)
+
+
+def distortion(width: int, m: int = 3, clipped: bool = False):
+    """image_distortion as a function of two array columns of images `width` wide."""
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([image_distortion(np.reshape(np.asarray(x, float), (-1, width)), np.reshape(np.asarray(y, float), (-1, width)), m, clipped) for x, y in zip(a, b)])
+
+    return run
+
+
+#: Distances of array columns by name; the image distortion ones need the images' width.
+DISTANCES = {"L2": l2, "L1": l1, "vardiff": vardiff}
 
 
 def kmeans(vectors: DataFrame, k: int, vector: str = "embedding", seed: int = 1) -> DataFrame:
@@ -89,8 +140,77 @@ def kmedoids_in_groups(vectors: DataFrame, group: str, k: int, key: str, vector:
 
 
 def split_mid(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Two halves of each group."""
-    return df.withColumn("half", F.ntile(2).over(Window.partitionBy(*by).orderBy(*order)))
+    """Two halves of each group, the second the larger if they differ; a group of one stays whole (half 1)."""
+    w = Window.partitionBy(*by)
+    n, place = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(*order))
+    return df.withColumn("half", F.when((n == 1) | (place <= F.floor(n / 2)), 1).otherwise(2))
+
+
+def trimmed(df: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
+    """Groups of `most` members or more cut along the order into parts of `most`; adds part, from 0."""
+    w = Window.partitionBy(*by)
+    place = F.row_number().over(w.orderBy(*order)) - 1
+    return df.withColumn("part", F.when(F.count(F.lit(1)).over(w) >= most, F.floor(place / most)).otherwise(0).cast("long"))
+
+
+def trimmed_by_memory(df: DataFrame, by: list[str], order: list[str], kb_each: int, most_mb: int) -> DataFrame:
+    """Groups whose images (kb_each kilobytes) take most_mb megabytes or more, cut into as many parts as that is times most_mb, divided down, all of one size but the last; adds part, from 0."""
+    w = Window.partitionBy(*by)
+    n = F.count(F.lit(1)).over(w)
+    parts = F.least(F.floor(n * kb_each / (most_mb * 1000)), n)
+    size = F.floor(n / parts)
+    place = F.row_number().over(w.orderBy(*order)) - 1
+    return df.withColumn("part", F.when(n * kb_each >= most_mb * 1000, F.least(F.floor(place / size), parts - 1)).otherwise(0).cast("long"))
+
+
+def split(df: DataFrame, group: str, key: str, mode: str = "kmeans", vector: str = "embedding", most: int | None = None) -> DataFrame:
+    """Each group in two: group, part, key, cluster (0 or 1).  Groups of `most` or more are cut into parts first.
+
+    mode: mid, kmeans, pca (k-means of three principal components), kmeans2 (distances as vardiff has them), kmedoids (likewise).  Where fewer than two clusters come out, the group is halved
+    in the middle; groups of two become two of one; a group of one stays.
+    """
+    parts = trimmed(df, [group], [key], most) if most else df.withColumn("part", F.lit(0).cast("long"))
+    if mode == "mid":
+        return split_mid(parts, [group, "part"], [key]).select(group, "part", key, (F.col("half") - 1).cast("long").alias("cluster"))
+
+    def run(ids: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(key)
+        x = np.array(own[vector].tolist(), float)
+        found = np.zeros(len(x), np.int64) if len(x) < 3 else _two(x, mode)
+        if len(x) > 1 and len(np.unique(found)) < 2:
+            found = (np.arange(len(x)) >= len(x) // 2).astype(np.int64)
+        return pd.DataFrame({group: ids[0], "part": ids[1], key: own[key].to_numpy(), "cluster": found})
+
+    kinds = dict(df.dtypes)
+    return parts.groupBy(group, "part").applyInPandas(run, f"{group} {kinds[group]}, part long, {key} {kinds[key]}, cluster long")
+
+
+def _two(x: np.ndarray, mode: str, rounds: int = 200) -> np.ndarray:
+    """Two clusters of the rows of x, seeds the first and the last row; the cluster of the first row is 0."""
+    if mode == "pca":
+        filled = np.where(np.isnan(x), np.nanmean(x, axis=0), x)
+        u, s, _ = np.linalg.svd(filled - filled.mean(axis=0), full_matrices=False)
+        x = u[:, :3] * s[:3]
+    far = (lambda a, c: np.array([_vardiff(r, c) for r in a])) if mode in ("kmeans2", "kmedoids") else (lambda a, c: np.nansum((a - c) ** 2, axis=1))
+    centres, assign = [x[0], x[-1]], None
+    for _ in range(rounds):
+        new = np.argmin(np.stack([far(x, c) for c in centres], axis=1), axis=1)
+        if assign is not None and (new == assign).all():
+            break
+        assign = new
+        if len(np.unique(assign)) < 2:
+            break
+        if mode == "kmedoids":
+            centres = [x[own][np.argmin([far(x[own], r).sum() for r in x[own]])] for own in (assign == 0, assign == 1)]
+        else:
+            centres = [np.nanmean(x[assign == c], axis=0) for c in (0, 1)]
+    return (assign != assign[0]).astype(np.int64)
+
+
+def _vardiff(a: np.ndarray, b: np.ndarray) -> float:
+    d = np.abs(a - b)
+    d = d[~np.isnan(d)]
+    return float(d[d > min(_numpy_level(a), _numpy_level(b))].sum() / np.count_nonzero(~np.isnan(a)))
 
 
 def _nearest(x: np.ndarray, e: np.ndarray, e_id: list) -> tuple[np.ndarray, np.ndarray]:

@@ -120,18 +120,31 @@ def language_code(language: Column) -> Column:
 def agglomerate(pairs: DataFrame, ids: DataFrame, block: str, linkage: float) -> DataFrame:
     """Average-linkage groups within blocks: pairs from near to far, clusters join while their average distance is under `linkage`.
 
-    pairs: block, a_id, b_id, distance for all pairs of the block; ids: block, id.  Blocks are cut to a bounded size before (survey: 1000 contests).
+    pairs: block, a_id, b_id, distance for all pairs of the block (those not given count 1.0); ids: block, id.  Sums of distances between clusters are kept and added up when two join.
     """
     def run(key: tuple, members: pd.DataFrame, dist: pd.DataFrame) -> pd.DataFrame:
-        own = {i: {i} for i in sorted(members["id"])}
-        d = {(r.a_id, r.b_id): r.distance for r in dist.itertuples()}
-        at = {i: i for i in own}
-        for r in dist.sort_values(["distance", "a_id", "b_id"]).itertuples():
-            x, y = at[r.a_id], at[r.b_id]
-            if x != y and np.mean([d.get((min(p, q), max(p, q)), 1.0) for p in own[x] for q in own[y]]) < linkage:
+        at = {i: i for i in sorted(members["id"])}
+        own = {i: [i] for i in at}
+        # for clusters x, y: the sum of given distances and how many are given
+        between: dict[int, dict[int, tuple[float, int]]] = {i: {} for i in at}
+        rows = list(zip(*[dist.sort_values(["distance", "a_id", "b_id"])[c].tolist() for c in ("a_id", "b_id", "distance")]))
+        for a, b, d in rows:
+            between[a][b] = between[b][a] = (d, 1)
+        for a, b, _ in rows:
+            x, y = at[a], at[b]
+            if x == y:
+                continue
+            total, n = between[x][y]
+            if (total + len(own[x]) * len(own[y]) - n) / (len(own[x]) * len(own[y])) < linkage:
                 low, high = min(x, y), max(x, y)
-                own[low] |= own.pop(high)
-                at.update({i: low for i in own[low]})
+                for i in own[high]:
+                    at[i] = low
+                own[low] += own.pop(high)
+                for z, (s, k) in between.pop(high).items():
+                    del between[z][high]
+                    if z != low:
+                        t, m = between[low].get(z, (0.0, 0))
+                        between[low][z] = between[z][low] = (s + t, k + m)
         return pd.DataFrame({block: key[0], "id": list(at), "cluster": [at[i] for i in at]})
 
     kind = dict(ids.dtypes)[block]
@@ -142,20 +155,54 @@ def agglomerate(pairs: DataFrame, ids: DataFrame, block: str, linkage: float) ->
 LINKAGE = {"eng": 0.2, "spa": 0.2, "chi_sim": 0.25, "vie": 0.3, "kor": 0.3}
 
 
-def equivalence_classes(texts: DataFrame, most_in_block: int = 1000) -> DataFrame:
+def equivalence_classes(texts: DataFrame, most_in_block: int | None = None) -> DataFrame:
     """Contests (id, language code, title, choices) -> id, class: the smallest id of the texts found to be one contest.
 
-    Blocks are language and number of choices; within, contests with close titles lie next to each other in order of length, and blocks over
-    most_in_block are cut along that order, as the pairing is quadratic.  Pairs of a block are then joined by average linkage.
+    Blocks are language and number of choices.  Clusters join while their average distance is under the language's constant, so a join needs a pair that is nearer than that: such pairs
+    make components, and each component is clustered by itself, whatever the size of its block.  most_in_block, an option, cuts blocks along the order of length as a faster approximation.
     """
+    from psephos.operators.grouping import components
+
     sized = texts.withColumns({"n": F.size("choices"), "size": F.aggregate("choices", F.lit(0), lambda s, t: s + F.length(t))})
-    w = Window.partitionBy("language", "n").orderBy(F.length("title") + F.col("size"), "title", "id")
-    cut = F.floor((F.row_number().over(w) - 1) / most_in_block)
-    blocked = sized.withColumn("block", F.concat_ws("/", "language", F.col("n").cast("string"), cut.cast("string")))
     known = F.lit(0.2)
     for code, c in LINKAGE.items():
         known = F.when(F.col("language") == code, c).otherwise(known)
-    pairs = pairs_in_blocks(blocked, ["block"], 1.0).join(blocked.select(F.col("id").alias("a_id"), "block", known.alias("linkage")), "a_id")
+    cut = F.lit(0)
+    if most_in_block:
+        w = Window.partitionBy("language", "n").orderBy(F.length("title") + F.col("size"), "title", "id")
+        cut = F.floor((F.row_number().over(w) - 1) / most_in_block)
+    blocked = sized.withColumn("linkage", known).withColumn("block", F.concat_ws("/", "language", F.col("n").cast("string"), cut.cast("string")))
     # distances in units of the language's constant, so that one linkage serves all blocks
-    scaled = pairs.withColumn("distance", F.col("distance") / F.col("linkage"))
-    return agglomerate(scaled.select("block", "a_id", "b_id", "distance"), blocked.select("block", "id"), "block", 1.0).select("id", F.col("cluster").alias("class"))
+    near = pairs_in_blocks(blocked, ["block"], max(LINKAGE.values())).join(blocked.select(F.col("id").alias("a_id"), "linkage"), "a_id").where("distance < linkage")
+    group = components(near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    grouped = blocked.drop("block").join(group.select(F.col("node").alias("id"), F.col("root").alias("_root")), "id", "left").withColumn("block", F.coalesce("_root", "id"))
+    pairs = pairs_in_blocks(grouped, ["block"], 1.0).join(grouped.select(F.col("id").alias("a_id"), "block", "linkage"), "a_id")
+    return agglomerate(pairs.select("block", "a_id", "b_id", (F.col("distance") / F.col("linkage")).alias("distance")), grouped.select("block", "id"), "block", 1.0).select("id", F.col("cluster").alias("class"))
+
+
+def with_texts(stripes: DataFrame, known: DataFrame, on: list[str], recognise=None, image: str = "image") -> tuple[DataFrame, DataFrame]:
+    """(stripes with text, the texts to keep): what was read before (on, text) is joined; the rest is read by `recognise`, a function of the image, or stays null without one."""
+    joined = stripes.join(known.select(*on, "text"), on, "left")
+    if recognise is None:
+        return joined, known.select(*on, "text")
+    new = stripes.join(known.select(*on), on, "left_anti")
+    kinds = dict(stripes.dtypes)
+
+    def run(it):
+        for pdf in it:
+            yield pdf[[*on]].assign(text=[recognise(x) for x in pdf[image]])
+
+    read = new.select(*on, image).mapInPandas(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in on], "text string"]))
+    every = known.select(*on, "text").unionByName(read)
+    return stripes.join(every, on, "left"), every
+
+
+def in_order(files: Column, order: Column) -> Column:
+    """An array rearranged: place i has the element that `order` names there, from 0."""
+    return F.transform(order, lambda i: F.get(files, i))
+
+
+def multibox(contests: DataFrame, boxes: DataFrame, on: str) -> DataFrame:
+    """on, n, multibox: how many boxes a contest has, and whether it goes on in another."""
+    n = boxes.groupBy(on).agg(F.count(F.lit(1)).alias("n"))
+    return contests.select(on).join(n, on, "left").select(on, F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) > 1).alias("multibox"))

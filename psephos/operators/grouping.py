@@ -111,3 +111,88 @@ def common_prefix(a: Column, b: Column) -> Column:
     same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
     first = F.array_position(same, F.lit(False))
     return F.when(first == 0, F.least(F.size(a), F.size(b))).otherwise(first - 1).cast("int")
+
+
+def split_ranked(members: DataFrame, group: str, key: str, labels: str = "labels") -> DataFrame:
+    """Groups split by their members' ranked labels: group, key, part.
+
+    part is the label after the labels that all members of the group share, at least the second one.  Where all lists are the group's first one, or no second part comes out, the group is
+    halved in order of key, the first half the larger (parts 'first' and 'second'); a group with a list of one label, or none, stays (part null).
+    """
+    w = Window.partitionBy(group)
+    first = F.first(labels).over(w.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    seen = members.withColumn("_first", first).withColumn("_shared", F.min(common_prefix(F.col(labels), F.col("_first"))).over(w)).withColumn("_shortest", F.min(F.size(labels)).over(w))
+    seen = seen.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_place", F.row_number().over(w.orderBy(key))).withColumn("_part", F.get(labels, F.greatest(F.lit(1), F.col("_shared"))))
+    kinds = seen.withColumn("_kinds", F.size(F.collect_set("_part").over(w)) + F.max(F.col("_part").isNull().cast("int")).over(w))
+    half = F.when(F.col("_place") <= F.floor((F.col("_n") + 1) / 2), "first").otherwise("second")
+    naive = F.col("_shared") == F.size("_first")
+    part = F.when(naive, half).when(F.col("_shortest") <= 1, F.lit(None)).when(F.col("_kinds") == 1, half).otherwise(F.col("_part"))
+    return kinds.select(group, key, part.alias("part"))
+
+
+def current_label(labels: Column, index: Column) -> Column:
+    """The label that a reviewer is at: the ranked labels in a circle."""
+    return F.when(F.size(labels) > 0, F.get(labels, F.pmod(index, F.size(labels)).cast("int")))
+
+
+def combined_lists(parts: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """What parallel tasks found, put together: the lists of each key on end, in order of the tasks.  (A table of rows needs only a union; results that nobody asks for are not collected.)"""
+    own = F.array_sort(F.collect_list(F.struct(*order, value)))
+    return parts.groupBy(key).agg(F.flatten(F.transform(own, lambda x: x[value])).alias(value))
+
+
+def merged(first: DataFrame, later: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Two tables of values by key; where both have a key, the later value stands."""
+    both = first.select(*keys, F.lit(0).alias("_turn"), value).unionByName(later.select(*keys, F.lit(1).alias("_turn"), value))
+    return both.groupBy(*keys).agg(F.max_by(value, F.struct("_turn", value)).alias(value))
+
+
+def audited(everybody: DataFrame, known: DataFrame, value: str, excused: Column, on: str = "ballot_id") -> DataFrame:
+    """on, value, error: a missing value is an error unless it is excused."""
+    return everybody.join(known.select(on, value), on, "left").select(on, value, (F.col(value).isNull() & ~excused).alias("error"))
+
+
+def coloured(nodes: DataFrame, edges: DataFrame, on: str, colours: int = 5) -> DataFrame:
+    """A colour from 0 for each node (on, id), so that the ends of an edge (on, a_id, b_id) differ: a search within each style, whose contests are few.  Null where `colours` are not enough."""
+    import pandas as pd
+
+    def run(key: tuple, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        ids, near = sorted(own["id"]), {i: set() for i in own["id"]}
+        for a, b in zip(links["a_id"], links["b_id"]):
+            near[a].add(b)
+            near[b].add(a)
+        ids.sort(key=lambda i: (-len(near[i]), i))
+        found: dict = {}
+        at, tried = 0, [-1] * (len(ids) + 1)
+        while 0 <= at < len(ids):
+            taken = {found[j] for j in near[ids[at]] if j in found}
+            free = next((c for c in range(tried[at] + 1, colours) if c not in taken), None)
+            if free is None:
+                tried[at], at = -1, at - 1
+                if at >= 0:
+                    del found[ids[at]]
+            else:
+                found[ids[at]] = tried[at] = free
+                at += 1
+        return pd.DataFrame({on: key[0], "id": ids, "colour": pd.array([found.get(i) for i in ids], "Int64")})
+
+    kind = dict(nodes.dtypes)[on]
+    return nodes.select(on, "id").groupBy(on).cogroup(edges.select(on, "a_id", "b_id").groupBy(on)).applyInPandas(run, f"{on} {kind}, id long, colour long").where("id is not null")
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, root): the smallest node that each node of an edge (a, b) can reach.  Labels go to neighbours and are then looked up in themselves, so paths halve each round; every round is a written table."""
+    from psephos.sources.io import written
+
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = written(both, "edges")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")), "labels")
+    for _ in range(rounds):
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n")).agg(F.min("root").alias("r"))
+        step = labels.join(near, F.col("node") == F.col("n")).select("node", F.least("root", "r").alias("root"), F.col("root").alias("was"))
+        of = labels.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+        new = written(step.join(of, F.col("root") == F.col("_node")).select("node", F.least("root", "_root").alias("root"), "was"), "labels")
+        if new.where("root <> was").isEmpty():
+            return new.select("node", "root")
+        labels = new.select("node", "root")
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

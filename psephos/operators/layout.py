@@ -106,3 +106,23 @@ def box_checks(targets: DataFrame, contests: DataFrame, on: list[str]) -> DataFr
         row = bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule).alias("rule"), F.lit(fatal).alias("fatal"), "n", (F.col("n") == 0).alias("ok"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def targets_within(contests: DataFrame, targets: DataFrame, on: list[str], share: float = 1 / 3) -> DataFrame:
+    """on, contest_id, n: targets that lie in a contest's box, which they may overlap by a share of their size (x, y, w, h); contests without any are left out."""
+    t, c = targets.alias("t"), contests.alias("c")
+    dx, dy = F.col("t.w") * share, F.col("t.h") * share
+    cond = (F.col("t.x") >= F.col("c.x") - dx) & (F.col("t.y") >= F.col("c.y") - dy) & (F.col("t.x") + F.col("t.w") <= F.col("c.x") + F.col("c.w") + dx) & (F.col("t.y") + F.col("t.h") <= F.col("c.y") + F.col("c.h") + dy)
+    for k in on:
+        cond = cond & (F.col(f"t.{k}") == F.col(f"c.{k}"))
+    return t.join(c, cond).groupBy(*[F.col(f"c.{k}").alias(k) for k in [*on, "contest_id"]]).agg(F.count(F.lit(1)).alias("n"))
+
+
+def single_contests(targets: DataFrame) -> DataFrame:
+    """Every target as a contest of its own, with the target's box."""
+    return targets.withColumn("contest_id", F.col("target_id"))
+
+
+def slope_angle(points: DataFrame, by: Column, x: Column, y: Column) -> DataFrame:
+    """by, angle: the angle in degrees of the line through each group's points."""
+    return points.groupBy(by).agg(F.degrees(F.atan(F.regr_slope(y, x))).alias("angle"))

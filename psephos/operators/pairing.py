@@ -91,3 +91,13 @@ def sample(df: DataFrame, key: str, share: float, least: int, most: int, seed: i
     """A repeatable sample: share of the rows, but at least `least` and at most `most`, in hash order."""
     n = max(least, min(most, round(df.count() * share)))
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
+def page_sets(images: DataFrame) -> DataFrame:
+    """ballot_id, pages: the pages of each ballot in order, as text."""
+    return images.groupBy("ballot_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("page")), lambda p: p.cast("string")), ",").alias("pages"))
+
+
+def templates(images: DataFrame, exemplars: DataFrame, on: list[str], overridden: Column) -> DataFrame:
+    """image_path, template: the exemplar of its kind (on, exemplar) where that is to stand in, else the image itself."""
+    return images.join(exemplars.select(*on, "exemplar"), on, "left").select("image_path", F.when(overridden & F.col("exemplar").isNotNull(), F.col("exemplar")).otherwise(F.col("image_path")).alias("template"))

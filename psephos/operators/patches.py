@@ -108,3 +108,36 @@ def testset(spark, images: list[np.ndarray], dx: list[int], dy: list[int], degre
             yield pdf.assign(patch=[pack(pixels.perturbed(images[r.image_no], r.dx, r.dy, r.degrees, 0.0, noise, r.image_no)) for r in pdf.itertuples()])
 
     return grid.mapInPandas(run, f"image_no int, dx int, dy int, degrees double, patch {PATCH}")
+
+
+def find_attribute(df: DataFrame, exemplars: dict[str, np.ndarray], box: tuple[int, int, int, int], least: float = 0.0, expand: float = 0.5, patch: str = "patch") -> DataFrame:
+    """Label, x, y, score of the attribute exemplar that fits best near its box, coarse to fine; a score under `least` leaves the ballot to do (label null)."""
+    def best(a):
+        found = max(((*pixels.find_near(a, e, box, expand), k) for k, e in sorted(exemplars.items())), key=lambda m: m[2])
+        return {"x": found[0], "y": found[1], "score": round(found[2], 9), "label": found[3] if found[2] >= least else None}
+
+    return map_patch(df, best, "x long, y long, score double, label string", patch)
+
+
+def exemplar_map(exemplars: DataFrame, patches: DataFrame, by: str, key: str) -> DataFrame:
+    """by, label, place, patch: the exemplars of each attribute value, numbered, with their patches (exemplars: by, label, key; patches: key, patch)."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(by, "label").orderBy(key)) - 1
+    return exemplars.select(by, "label", key, place.alias("place")).join(patches.select(key, "patch"), key).select(by, "label", "place", key, "patch")
+
+
+def straightened(df: DataFrame, dark: float = 0.5, patch: str = "patch") -> DataFrame:
+    """df with each patch turned straight and the angle in degrees; what comes from outside is white."""
+    def run(it):
+        for pdf in it:
+            angles, out = [], []
+            for p in pdf[patch]:
+                a = unpack(p)
+                angle = pixels.straight_angle(a, dark)
+                angles.append(angle)
+                out.append(pack(pixels.affine(a, pixels.rigid(0, 0, -angle, a.shape), fill=1.0) if angle else a))
+            yield pdf.assign(**{patch: out, "angle": angles})
+
+    kinds = ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
+    return df.mapInPandas(run, f"{kinds}, angle double")

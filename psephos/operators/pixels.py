@@ -255,3 +255,78 @@ def bars_on_line(line: np.ndarray, mark: int, gap: int, tolerance: float = 0.5,
         bits += "1" if dark[at : at + mark].mean() >= tolerance else "0"
     bits = bits if n is None else bits[:n]
     return bits if n is None or len(bits) == n else None
+
+
+def align_rigid(image: np.ndarray, reference: np.ndarray, rounds: int = 40, starts: tuple[float, ...] = (0.0, -2.0, 2.0)) -> np.ndarray:
+    """Translation (x, y) and rotation in degrees about the middle that bring an image onto a reference: Lucas-Kanade from coarse to fine, from several turns to begin with; the least error wins.
+    A step that does not lessen the error ends a level."""
+    def error(m, r):
+        ok = ~np.isnan(m)
+        return ((m - r)[ok] ** 2).mean() if ok.mean() > 0.3 else np.inf
+
+    def descend(turn: float) -> tuple[float, np.ndarray]:
+        found = np.array([0.0, 0.0, turn])
+        for scale in (4, 2, 1):
+            shape = tuple(max(8, s // scale) for s in reference.shape)
+            a, r = resize(image, shape), resize(reference, shape)
+            ratio = np.array([(reference.shape[1] - 1) / (shape[1] - 1), (reference.shape[0] - 1) / (shape[0] - 1), 1.0])
+            ys, xs = np.mgrid[0 : shape[0], 0 : shape[1]]
+            t = found / ratio
+            m = affine(a, rigid(*t, shape))
+            least = error(m, r)
+            for _ in range(rounds):
+                gy, gx = np.gradient(m)
+                spin = np.radians(1) * ((xs - (shape[1] - 1) / 2) * gy - (ys - (shape[0] - 1) / 2) * gx)
+                ok = ~np.isnan(m) & ~np.isnan(gx) & ~np.isnan(gy)
+                step, *_ = np.linalg.lstsq(np.stack([gx[ok], gy[ok], spin[ok]], axis=1), (m - r)[ok], rcond=None)
+                while np.abs(step).max() > 0.02:  # a step too long is halved
+                    new = affine(a, rigid(*(t + step), shape))
+                    if error(new, r) < least:
+                        break
+                    step = step / 2
+                else:
+                    break
+                m, t, least = new, t + step, error(new, r)
+            found = t * ratio
+        return least, found
+
+    return min((descend(turn) for turn in starts), key=lambda x: x[0])[1]
+
+
+def rigid(dx: float, dy: float, degrees: float, shape: tuple[int, int]) -> np.ndarray:
+    """The matrix of a rotation about the middle and a translation."""
+    c, s, x, y = np.cos(np.radians(degrees)), np.sin(np.radians(degrees)), (shape[1] - 1) / 2, (shape[0] - 1) / 2
+    return np.array([[c, -s, x - c * x + s * y + dx], [s, c, y - s * x - c * y + dy], [0, 0, 1.0]])
+
+
+def greedy_digits(image: np.ndarray, digits: dict[str, np.ndarray], n: int) -> tuple[str, list[int]]:
+    """Reads n digits: the best place of any digit is taken and its surroundings are closed, n times; from left to right."""
+    names = sorted(digits)
+    maps, found = [ncc_map(image, digits[d]).copy() for d in names], []
+    for _ in range(n):
+        k = int(np.argmax([m.max() for m in maps]))
+        y, x = np.unravel_index(maps[k].argmax(), maps[k].shape)
+        found.append((int(x), names[k]))
+        near = digits[names[k]].shape[1] // 2
+        for m in maps:
+            m[:, max(0, x - near) : x + near + 1] = -np.inf
+    found.sort()
+    return "".join(d for _, d in found), [x for x, _ in found]
+
+
+def find_near(image: np.ndarray, patch: np.ndarray, box: tuple[int, int, int, int], expand: float = 0.5, coarse: int = 2) -> tuple[int, int, float]:
+    """x, y and score of a patch near its box (x1, y1, x2, y2): the box, larger by `expand` of its size on each side, is searched at a lower resolution, and the best place of that at full."""
+    dx, dy = int((box[2] - box[0]) * expand), int((box[3] - box[1]) * expand)
+    x1, y1 = max(0, box[0] - dx), max(0, box[1] - dy)
+    area = image[y1 : min(image.shape[0], box[3] + dy), x1 : min(image.shape[1], box[2] + dx)]
+    cx, cy = 0, 0
+    if min(patch.shape) >= 4 * coarse:
+        small = [resize(a, tuple(max(2, s // coarse) for s in a.shape)) for a in (area, patch)]
+        cx, cy, _ = (int(round(v * coarse)) for v in best_match(*small))
+        x, y = max(0, cx - 2 * coarse), max(0, cy - 2 * coarse)
+        part = area[y : y + patch.shape[0] + 4 * coarse, x : x + patch.shape[1] + 4 * coarse]
+        if all(p >= q for p, q in zip(part.shape, patch.shape)):
+            fx, fy, score = best_match(part, patch)
+            return x1 + x + fx, y1 + y + fy, score
+    fx, fy, score = best_match(area, patch)
+    return x1 + fx, y1 + fy, score

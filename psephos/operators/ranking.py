@@ -54,3 +54,18 @@ def islands(df: DataFrame, partition: list[str], order: list[str], starts: Colum
     w = Window.partitionBy(*partition).orderBy(*order)
     flagged = df.withColumn("_starts", F.coalesce(starts.cast("int"), F.lit(1)))
     return flagged.withColumn(to, F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_starts")
+
+
+def sorted_by_keys(rows: DataFrame, keys: DataFrame, on: list[str], key: str, to: str = "place") -> DataFrame:
+    """rows with their place, from 0, by a key that another table holds (on, key), then by `on`; rows without a key, or with a null one, are dropped."""
+    keyed = rows.join(keys.where(F.col(key).isNotNull()).select(*on, key), on)
+    return global_rank(keyed, [F.col(key)], on, to)
+
+
+def trimmed_mean(df: DataFrame, by: str, value: str, order: list[str], share: float = 0.25) -> DataFrame:
+    """Mean of each group's values without the least and the greatest share of them.  Places come from counts by value, so a large group has many tasks."""
+    placed = global_rank(df.select(by, value, *order), [F.col(by), F.col(value)], order, "_place")
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    firsts = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each group
+    r, cut = F.col("_place") - F.col("_first"), F.floor(F.col("_n") * share)
+    return placed.join(firsts, by).where((r >= cut) & (r < F.col("_n") - cut)).groupBy(by).agg(F.avg(value).alias("mean"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from psephos.functions import codes, paths
 from psephos.operators import cluster, contests, grouping, layout, pairing, tally, threshold
-from psephos.operators.ranking import dense_ids, global_rank
+from psephos.operators.ranking import dense_ids, global_rank, trimmed_mean
 from psephos.plans import views as v
 from psephos.sources import io
 
@@ -494,13 +494,13 @@ def _(spark, d):
 def _(spark, d):
     i = v.images(spark, d)
     e = i.groupBy("dir_path", "img_ord").agg(F.min("image_path").alias("exemplar"))
-    return i.join(e, ["dir_path", "img_ord"]).select("image_path", F.when(F.col("ballot_id") % 2 == 0, F.col("exemplar")).otherwise(F.col("image_path")).alias("template"))
+    return pairing.templates(i, e, ["dir_path", "img_ord"], F.col("ballot_id") % 2 == 0)
 
 
 @query("c7_attribute_audit", f"WITH {v.ATTR}, k AS (SELECT * FROM attr WHERE ballot_id % 5 <> 0) SELECT b.ballot_id, k.precinct, k.precinct IS NULL AND b.status <> 'quarantined' AS error FROM ballot b LEFT JOIN k USING (ballot_id)")
 def _(spark, d):
     known = v.attributes(spark, d).where("ballot_id % 5 <> 0").select("ballot_id", "precinct")
-    return v.ballots(spark, d).join(known, "ballot_id", "left").select("ballot_id", "precinct", (F.col("precinct").isNull() & (F.col("status") != "quarantined")).alias("error"))
+    return grouping.audited(v.ballots(spark, d), known, "precinct", F.col("status") == "quarantined")
 
 
 @query("c10_spreadsheet_join", "WITH m AS (SELECT 'k' || n_nationkey AS i, 'v' || (n_nationkey % 7) AS o FROM nation WHERE n_nationkey < 20) SELECT c_custkey, m.o AS attr_val, m.o IS NULL AS missing FROM customer LEFT JOIN m ON 'k' || c_nationkey = m.i")
@@ -566,9 +566,8 @@ def _(spark, d):
 
 @query("g4_merge_groups", f"WITH {v.ATTR}, {PROPS}, u AS (SELECT ballot_id, t, v, 0 AS src FROM props UNION ALL SELECT ballot_id, 'party', 'late', 1 FROM ballot WHERE ballot_id % 4 = 0) SELECT ballot_id, t AS attr_type, arg_max(v, src) AS attr_val FROM u GROUP BY ballot_id, t")
 def _(spark, d):
-    later = v.ballots(spark, d).where("ballot_id % 4 = 0").select("ballot_id", F.lit("party").alias("attr_type"), F.lit("late").alias("attr_val"), F.lit(1).alias("src"))
-    u = props(spark, d).withColumn("src", F.lit(0)).unionByName(later)
-    return u.groupBy("ballot_id", "attr_type").agg(F.max_by("attr_val", "src").alias("attr_val"))
+    later = v.ballots(spark, d).where("ballot_id % 4 = 0").select("ballot_id", F.lit("party").alias("attr_type"), F.lit("late").alias("attr_val"))
+    return grouping.merged(props(spark, d), later, ["ballot_id", "attr_type"], "attr_val")
 
 
 @query("g7_value_domain", f"WITH {v.ATTR}, dom AS (SELECT n_name AS precinct, CAST(k AS VARCHAR) AS party FROM nation, range(4) t(k)), n AS (SELECT precinct, CAST(ballot_id % 3 AS VARCHAR) AS party, COUNT(*) AS n FROM attr GROUP BY ALL) SELECT precinct, party, CAST(COALESCE(n, 0) AS BIGINT) AS n FROM dom LEFT JOIN n USING (precinct, party)")
@@ -788,9 +787,7 @@ def _(spark, d):
 @query("c13_boxes_within", f"WITH {BIG} SELECT c.g, c.contest_id, CAST(COUNT(*) AS BIGINT) AS n FROM c JOIN t ON t.g = c.g AND t.x >= c.x - t.w / 3 AND t.y >= c.y - t.h / 3 AND t.x + t.w <= c.x + c.w + t.w / 3 AND t.y + t.h <= c.y + c.h + t.h / 3 GROUP BY ALL")
 def _(spark, d):
     t, c = big(spark, d)
-    t, c = t.alias("t"), c.alias("c")
-    inside = (F.col("t.x") >= F.col("c.x") - F.col("t.w") / 3) & (F.col("t.y") >= F.col("c.y") - F.col("t.h") / 3) & (F.col("t.x") + F.col("t.w") <= F.col("c.x") + F.col("c.w") + F.col("t.w") / 3) & (F.col("t.y") + F.col("t.h") <= F.col("c.y") + F.col("c.h") + F.col("t.h") / 3)
-    return t.join(c, (F.col("t.g") == F.col("c.g")) & inside).groupBy("c.g", "c.contest_id").agg(F.count(F.lit(1)).alias("n"))
+    return layout.targets_within(c, t, ["g"])
 
 
 @query(
@@ -842,7 +839,7 @@ def _(spark, d):
 
 @query("o11_single_contests", f"WITH {BOX} SELECT g, target_id, target_id AS contest_id, x, y FROM bx")
 def _(spark, d):
-    return boxes(spark, d).select("g", "target_id", F.col("target_id").alias("contest_id"), "x", "y")
+    return layout.single_contests(boxes(spark, d)).select("g", "target_id", "contest_id", "x", "y")
 
 
 @query("b17_box_checks", f"WITH {BIG}, r AS (SELECT 'target outside all contests' AS rule, TRUE AS fatal, COUNT(*) AS n FROM asg WHERE contest_id IS NULL UNION ALL SELECT 'contest without targets', FALSE, COUNT(*) FROM c ANTI JOIN (SELECT DISTINCT g, contest_id FROM asg WHERE contest_id IS NOT NULL) a USING (g, contest_id) UNION ALL SELECT 'target of no size', TRUE, COUNT(*) FROM t WHERE w <= 0 OR h <= 0) SELECT rule, fatal, CAST(n AS BIGINT) AS n, n = 0 AS ok FROM r")
@@ -865,16 +862,14 @@ def _(spark, d):
 
 @query("o32_rotation", "SELECT o_custkey % 20 AS k, ROUND(degrees(atan(regr_slope(o_totalprice / 1000, o_orderkey))), 6) AS angle FROM orders GROUP BY 1")
 def _(spark, d):
-    o = v.read(spark, d, "orders")
-    return o.groupBy((F.col("o_custkey") % 20).alias("k")).agg(F.round(F.degrees(F.atan(F.regr_slope(F.col("o_totalprice") / 1000, F.col("o_orderkey")))), 6).alias("angle"))
+    found = layout.slope_angle(v.read(spark, d, "orders"), (F.col("o_custkey") % 20).alias("k"), F.col("o_orderkey"), F.col("o_totalprice") / 1000)
+    return found.select("k", F.round("angle", 6).alias("angle"))
 
 
 @query("o47_trimmed_mean", "WITH r AS (SELECT o_custkey % 20 AS k, o_totalprice AS x, ROW_NUMBER() OVER (PARTITION BY o_custkey % 20 ORDER BY o_totalprice, o_orderkey) AS r, COUNT(*) OVER (PARTITION BY o_custkey % 20) AS n FROM orders) SELECT k, ROUND(AVG(x), 4) AS mean FROM r WHERE r > FLOOR(n / 4) AND r <= n - FLOOR(n / 4) GROUP BY k")
 def _(spark, d):
     o = v.read(spark, d, "orders").withColumn("k", F.col("o_custkey") % 20)
-    w = Window.partitionBy("k")
-    r = o.withColumn("r", F.row_number().over(w.orderBy("o_totalprice", "o_orderkey"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return r.where((F.col("r") > F.floor(F.col("n") / 4)) & (F.col("r") <= F.col("n") - F.floor(F.col("n") / 4))).groupBy("k").agg(F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    return trimmed_mean(o, "k", "o_totalprice", ["o_orderkey"]).select("k", F.round("mean", 4).alias("mean"))
 
 
 # --- contest identity -------------------------------------------------------------------------------
@@ -946,10 +941,10 @@ def _(spark, d):
 
 @query("h28_page_sets", f"WITH {v.IMAGE} SELECT ballot_id, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS pages FROM image GROUP BY 1")
 def _(spark, d):
-    return v.images(spark, d).groupBy("ballot_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("page")), lambda p: p.cast("string")), ",").alias("pages"))
+    return pairing.page_sets(v.images(spark, d))
 
 
-@query("h25_distances", "WITH p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id) SELECT vec_id, ROUND(list_distance(x, y), 6) AS l2, ROUND(list_sum(list_transform(list_zip(x, y), lambda z: abs(z[1] - z[2]))), 6) AS l1 FROM p")
+@query("h25_distances", "WITH p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id) SELECT vec_id, ROUND(list_distance(x, y), 6) AS l2, ROUND(list_sum(list_transform(list_zip(x, y), lambda z: abs(z[1] - z[2]))) / len(x), 6) AS l1 FROM p")
 def _(spark, d):
     e = v.read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     j = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
@@ -980,7 +975,7 @@ def _(spark, d):
     return p.select("vec_id", *[F.round(F.abs(F.col("components")[i]), 6).alias(f"p{i}") for i in range(3)])
 
 
-@query("i6_split_mid", "SELECT label, vec_id, CAST(NTILE(2) OVER (PARTITION BY label ORDER BY vec_id) AS INT) AS half FROM embeddings")
+@query("i6_split_mid", "WITH n AS (SELECT label, vec_id, COUNT(*) OVER (PARTITION BY label) AS n, ROW_NUMBER() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) SELECT label, vec_id, CASE WHEN n = 1 OR k <= n // 2 THEN 1 ELSE 2 END AS half FROM n")
 def _(spark, d):
     return cluster.split_mid(v.read(spark, d, "embeddings").select("label", "vec_id"), ["label"], ["vec_id"])
 
@@ -1003,4 +998,4 @@ def _(spark, d):
 
     return windowed_counts(v.read(spark, d, "events"), "ts", "event_type").withColumn("total", F.round("total", 4))
 
-from psephos.plans import queries_boxes  # noqa: E402, F401  registers its queries
+from psephos.plans import queries_boxes, queries_more  # noqa: E402, F401  register their queries

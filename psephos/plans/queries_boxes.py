@@ -11,7 +11,7 @@ from psephos.operators import pairing, pixels, vendors
 from psephos.plans import views as v
 from psephos.plans.queries import BIG, BOX, HART, WEIGHTS, big, boxes, hart, query
 
-LINES = f"{BOX}, hl AS (SELECT g, target_id AS id, y, x AS x1, x + w AS x2 FROM bx), vl AS (SELECT g, target_id AS id, x, y AS y1, y + h AS y2 FROM bx), cr AS (SELECT hl.g, hl.id AS h_id, vl.id AS v_id, vl.x, hl.y FROM hl JOIN vl ON hl.g = vl.g AND vl.x BETWEEN x1 AND x2 AND hl.y BETWEEN y1 AND y2)"
+LINES = f"{BOX}, hl AS (SELECT g, target_id AS id, y, x AS x1, x + w AS x2 FROM bx), vl AS (SELECT g, target_id AS id, x, y AS y1, y + h AS y2 FROM bx), hm AS MATERIALIZED (SELECT * FROM hl), vm AS MATERIALIZED (SELECT * FROM vl), cr AS (SELECT hm.g, hm.id AS h_id, vm.id AS v_id, vm.x, hm.y FROM hm JOIN vm ON hm.g = vm.g WHERE vm.x BETWEEN x1 AND x2 AND hm.y BETWEEN y1 AND y2)"
 
 
 def lines(spark, d):
@@ -29,12 +29,26 @@ def _(spark, d):
     return bx.score_filter(scored(spark, d), 0.8).select("g", "target_id", "score")
 
 
-@query("c14_greedy_accept")
+@query(
+    "c14_greedy_accept",
+    f"""WITH RECURSIVE {BOX}, sc AS (SELECT g, target_id AS id, x + w / 2 AS cx, y + h / 2 AS cy, w, h, ROW_NUMBER() OVER (PARTITION BY g ORDER BY ROUND((x * 7 + y * 3) % 101 / 100, 2) DESC, target_id) AS k FROM bx),
+s AS (SELECT g, id, k, TRUE AS taken, [struct_pack(a := cx, b := cy)] AS held FROM sc WHERE k = 1
+ UNION ALL SELECT sc.g, sc.id, sc.k, len(list_filter(s.held, lambda t: NOT (abs(cx - t.a) >= 0.5 * w OR abs(cy - t.b) >= 0.5 * h))) = 0,
+  CASE WHEN len(list_filter(s.held, lambda t: NOT (abs(cx - t.a) >= 0.5 * w OR abs(cy - t.b) >= 0.5 * h))) = 0 THEN list_append(s.held, struct_pack(a := cx, b := cy)) ELSE s.held END
+  FROM s JOIN sc ON s.g = sc.g AND s.k + 1 = sc.k)
+SELECT g, id, taken FROM s""",
+)
 def _(spark, d):
     return bx.greedy_accept(scored(spark, d).withColumnRenamed("target_id", "id"), "g")
 
 
-@query("e13_snap_columns")
+@query(
+    "e13_snap_columns",
+    f"""WITH RECURSIVE {BOX}, so AS (SELECT g, target_id AS id, x, y, ROW_NUMBER() OVER (PARTITION BY g ORDER BY target_id) AS k FROM bx),
+s AS (SELECT g, id, k, y, CAST(x AS DOUBLE) AS col, [CAST(x AS DOUBLE)] AS cols FROM so WHERE k = 1
+ UNION ALL SELECT so.g, so.id, so.k, so.y, COALESCE(list_filter(cols, lambda c: abs(c - x) < 15)[1], x), CASE WHEN len(list_filter(cols, lambda c: abs(c - x) < 15)) > 0 THEN cols ELSE list_append(cols, CAST(x AS DOUBLE)) END FROM s JOIN so ON s.g = so.g AND s.k + 1 = so.k)
+SELECT g, id, col, ROW_NUMBER() OVER (PARTITION BY g ORDER BY col, y, id) - 1 AS place FROM s""",
+)
 def _(spark, d):
     return bx.snap_columns(boxes(spark, d).select("g", F.col("target_id").alias("id"), "x", "y", F.lit(300).alias("page_width")), "g")
 
@@ -46,7 +60,7 @@ def _(spark, d):
 
 @query(
     "i14_rectangles",
-    f"WITH {LINES}, top AS (SELECT a.g, a.v_id AS l, b.v_id AS r, a.x AS x1, b.x AS x2, a.y FROM cr a JOIN cr b ON a.g = b.g AND a.h_id = b.h_id AND a.x < b.x) SELECT t.g, t.x1, t.y AS y1, t.x2, u.y AS y2 FROM top t JOIN top u ON t.g = u.g AND t.l = u.l AND t.r = u.r AND t.y < u.y WHERE (t.x2 - t.x1) * (u.y - t.y) >= 4",
+    f"WITH {LINES}, cm AS MATERIALIZED (SELECT * FROM cr), top AS MATERIALIZED (SELECT a.g, a.v_id AS l, b.v_id AS r, a.x AS x1, b.x AS x2, a.y FROM cm a JOIN cm b ON a.g = b.g AND a.h_id = b.h_id WHERE a.x < b.x) SELECT t.g, t.x1, t.y AS y1, t.x2, u.y AS y2 FROM top t JOIN top u ON t.g = u.g AND t.l = u.l AND t.r = u.r WHERE t.y < u.y AND (t.x2 - t.x1) * (u.y - t.y) >= 4",
 )
 def _(spark, d):
     return bx.rectangles(bx.crossings(*lines(spark, d), ["g"]), ["g"], 4)
@@ -108,25 +122,12 @@ def _(spark, d):
     return parts.select("ballot_id", "tag", "partition_id")
 
 
-@query("o35_ordered_attempts", f"WITH a AS (SELECT l_orderkey AS id, unnest([4, 5, 2, 3]) AS col, unnest([1, 2, 3, 4]) AS k FROM (SELECT DISTINCT l_orderkey FROM lineitem)), f AS (SELECT * FROM a WHERE (id * col) % 7 < 3) SELECT id, arg_min(col, k) AS col FROM f GROUP BY id")
-def _(spark, d):
-    ids = v.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("id")).distinct()
-    tries = ids.select("id", F.posexplode(F.array(*[F.lit(c) for c in (4, 5, 2, 3)])).alias("k", "col")).where("id * col % 7 < 3")
-    return tries.groupBy("id").agg(F.min_by("col", "k").alias("col"))
-
-
 @query("o22_o23_exemplar_lists", f"WITH {v.IMAGE}, r AS (SELECT precinct, image_path, ROW_NUMBER() OVER (PARTITION BY precinct ORDER BY image_path) AS k FROM image JOIN attr USING (ballot_id) WHERE img_ord = 0) SELECT precinct, string_agg(image_path, ',' ORDER BY image_path) AS exemplars FROM r WHERE k <= 5 GROUP BY 1")
 def _(spark, d):
     first = v.images(spark, d).where("img_ord = 0").join(v.attributes(spark, d).select("ballot_id", "precinct"), "ballot_id")
     return pairing.first_n(first, ["precinct"], ["image_path"], 5).groupBy("precinct").agg(F.array_join(F.array_sort(F.collect_list("image_path")), ",").alias("exemplars"))
 
 
-@query("o17_multibox_lookup", f"WITH {v.CONTEST}, m AS (SELECT * FROM (VALUES ('A', 1), ('R', 1), ('R', 2)) t(cid, box)) SELECT cid, COUNT(box) > 1 AS multibox, CAST(COUNT(box) AS BIGINT) AS n FROM contest LEFT JOIN m USING (cid) GROUP BY cid")
-def _(spark, d):
-    m = spark.createDataFrame([("A", 1), ("R", 1), ("R", 2)], "cid string, box int")
-    return v.contests(spark).join(m, "cid", "left").groupBy("cid").agg((F.count("box") > 1).alias("multibox"), F.count("box").alias("n"))
-
-
 def _patches(spark, d):
     return v.read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("patch"))
 

@@ -7,8 +7,10 @@ import re
 import shutil
 import tempfile
 import uuid
+import zlib
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,95 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
     return files.where(is_image(F.col("path"))).select(F.col("path").alias("image_path"), "content")
 
 
+def decoded(content: bytes) -> np.ndarray:
+    """A grey image (0 to 255) from PNG (8 bits, not interlaced), binary PGM and PPM, or uncompressed BMP with 8 or 24 bits; colours by the usual weights.  ValueError for anything else."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n":
+        return _png(content)
+    if content[:2] in (b"P5", b"P6"):
+        m = re.match(rb"P[56](?:\s+#[^\n]*)*\s+(\d+)\s+(\d+)\s+(\d+)\s", content)
+        if m is None or int(m[3]) != 255:
+            raise ValueError("not an 8-bit netpbm image")
+        w, h, n = int(m[1]), int(m[2]), 1 if content[1] == 0x35 else 3
+        return _grey(np.frombuffer(content, np.uint8, w * h * n, m.end()).reshape(h, w, n))
+    if content[:2] == b"BM":
+        start, w, h, bits, packing = (int.from_bytes(content[a:b], "little", signed=s) for a, b, s in ((10, 14, False), (18, 22, True), (22, 26, True), (28, 30, False), (30, 34, False)))
+        if packing or bits not in (8, 24):
+            raise ValueError("not an uncompressed BMP image with 8 or 24 bits")
+        n, row = bits // 8, -(-w * bits // 32) * 4
+        pixels = np.frombuffer(content, np.uint8, row * abs(h), start).reshape(abs(h), row)[:, : w * n].reshape(abs(h), w, n)
+        if n == 1:
+            colours = np.frombuffer(content, np.uint8, start - 14 - int.from_bytes(content[14:18], "little"), 14 + int.from_bytes(content[14:18], "little")).reshape(-1, 4)
+            pixels = colours[pixels[:, :, 0], :3]
+        return _grey(pixels[:: -1 if h > 0 else 1, :, ::-1])
+    raise ValueError("an image of a kind that is not read here")
+
+
+def _grey(a: np.ndarray) -> np.ndarray:
+    return a[:, :, 0].astype(np.float64) if a.shape[2] < 3 else np.round(a[:, :, :3] @ np.array([0.299, 0.587, 0.114]))
+
+
+def _png(content: bytes) -> np.ndarray:
+    at, data, palette, head = 8, b"", None, None
+    while at < len(content):
+        n, kind = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8]
+        own = content[at + 8 : at + 8 + n]
+        head, data, palette = (own if kind == b"IHDR" else head), data + (own if kind == b"IDAT" else b""), (own if kind == b"PLTE" else palette)
+        at += 12 + n
+    w, h, bits, colour, interlaced = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), head[8], head[9], head[12]
+    if bits != 8 or interlaced:
+        raise ValueError("not a plain 8-bit PNG image")
+    n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, 1 + w * n)
+    out, above = np.zeros((h, w * n), np.uint8), np.zeros(w * n, np.uint8)
+    for y in range(h):
+        line = raw[y, 1:].astype(np.int64)
+        if raw[y, 0] == 2:
+            line += above
+        elif raw[y, 0] == 1:
+            line = line.reshape(w, n).cumsum(axis=0).ravel()
+        elif raw[y, 0] in (3, 4):
+            left, up = np.zeros(n, np.int64), above.reshape(w, n).astype(np.int64)
+            corner = np.zeros(n, np.int64)
+            for x in range(w):
+                own = line[x * n : x * n + n]
+                if raw[y, 0] == 3:
+                    own = own + (left + up[x]) // 2
+                else:  # the neighbour nearest to left + up - corner, in that order
+                    guess = left + up[x] - corner
+                    d = np.abs(np.stack([left, up[x], corner]) - guess)
+                    own = own + np.choose(d.argmin(axis=0), [left, up[x], corner])
+                line[x * n : x * n + n] = left = own % 256
+                corner = up[x]
+        out[y] = above = (line % 256).astype(np.uint8)
+    pixels = out.reshape(h, w, n)
+    return _grey(np.frombuffer(palette, np.uint8).reshape(-1, 3)[pixels[:, :, 0]] if colour == 3 else pixels)
+
+
+def grey_images(images: DataFrame, scaled: bool = False) -> DataFrame:
+    """image_path, patch (a struct of h, w and data), status: images (image_path, content) as grey values from 0 to 255, or to 1 if scaled; what cannot be read has status err and no patch."""
+    from psephos.operators.patches import PATCH, pack
+
+    def run(it):
+        for pdf in it:
+            patches = []
+            for content in pdf["content"]:
+                try:
+                    patches.append(pack(decoded(bytes(content)) / (255 if scaled else 1)))
+                except (ValueError, KeyError, IndexError, TypeError, zlib.error):  # one bad image is a row of its own kind
+                    patches.append(None)
+            yield pdf[["image_path"]].assign(patch=patches, status=["err" if p is None else "ok" for p in patches])
+
+    return images.select("image_path", "content").mapInPandas(run, f"image_path string, patch {PATCH}, status string")
+
+
+def png(grey: np.ndarray) -> bytes:
+    """A grey image (0 to 255) as PNG."""
+    a = np.asarray(grey).astype(np.uint8)
+    chunk = lambda kind, own: len(own).to_bytes(4, "big") + kind + own + zlib.crc32(kind + own).to_bytes(4, "big")
+    head = a.shape[1].to_bytes(4, "big") + a.shape[0].to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + row.tobytes() for row in a))) + chunk(b"IEND", b"")
+
+
 def save_table(df: DataFrame, project: str, name: str) -> None:
     df.write.mode("overwrite").parquet(f"{project}/{name}")
 
@@ -185,9 +276,11 @@ def load_text(project: str, name: str) -> str:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), one of our own, removed at exit."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset and the master is local (tests), one of our own, removed at exit."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = _OWN.get("root")
         if root is None:
             path = tempfile.mkdtemp(prefix="psephos-")
