@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.llm.common import table, utf8, written
+from psephos.llm.common import spread_join, table, utf8, written
 from psephos.llm.tokens import text_runs
 from psephos.llm.url_filter import host_of, path_of
 
+#: Pages of one host that are joined with its prior in one task; the priors of larger hosts are sent to where their pages are.
+CROWD = 4096
 _BUCKETS = 1 << 14  # trigram hashes: the model has this many numbers per language, whatever the corpus
 _HIDDEN = re.compile(r"(?is)<(script|style|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 _DECLARED = re.compile(r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?([a-z]{2,8})""")
@@ -45,17 +47,15 @@ def _counts(batches):
                 by[lang] += np.bincount(trigrams(t), minlength=_BUCKETS)
         for lang, n in by.items():
             at = np.nonzero(n)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
 
 
-def learn_text(docs: DataFrame, lang: str = "lang", text: str = "text", most_languages: int = 1000) -> tuple[list[str], np.ndarray]:
-    """(languages, log10 P(bucket | language)) from all documents with a language; one number per language and bucket comes to the driver."""
+def learn_text(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray]:
+    """(languages, log P(bucket | language)) from all documents with a language; one number per language and bucket, 128 KB a language, comes to the driver and to each worker."""
     rows = docs.where(F.col(lang).isNotNull()).select(F.lower(F.col(lang)).alias("lang"), F.col(text).alias("text"))
     found = rows.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = written(found, "trigrams")
-    langs = [r.lang for r in found.select("lang").distinct().orderBy("lang").limit(most_languages + 1).collect()]
-    if len(langs) > most_languages:
-        raise ValueError(f"over {most_languages} languages")
+    langs = [r.lang for r in rows.select("lang").distinct().orderBy("lang").collect()]
     counts = np.full((len(langs), _BUCKETS), 0.5)
     cells = found.toArrow()
     at = {x: i for i, x in enumerate(langs)}
@@ -89,60 +89,57 @@ def identify(pages: DataFrame, docs: DataFrame, tempering: float = 0.3, weight:
     smoothed by `weight` pages of its domain's, which is smoothed by its suffix's, and that by all pages'.  The language with the largest posterior wins, the
     first by code of several.
 
-    A page without text rests on the other evidence; with none at all it gets the commonest language.  Null urls are one host, the empty one.
-    Repeated rows are judged each; other columns are ignored; no pages, no rows; without labelled documents lang is null.
+    A page without text, null or empty, rests on the other evidence; with none at all it gets the commonest language.  Null urls are one host, the empty one.
+    Texts and pages of any length are read whole.  Repeated rows are judged each; other columns are ignored, whatever their names; no pages, no rows; without labelled documents lang is null.
+    page_id is cast to long.
     """
     spark = pages.sparkSession
     langs, logs = learn_text(docs)
     host = host_of(F.col(url))
     if not langs:
         null = F.lit(None).cast("string")
-        return pages.select(F.col(page_id).alias("page_id"), host.alias("host"), null.alias("declared"), null.alias("mark"), null.alias("text_lang"), null.alias("lang"), F.lit(None).cast("double").alias("probability"))
+        return pages.select(F.col(page_id).cast("long").alias("page_id"), host.alias("host"), null.alias("declared"), null.alias("mark"), null.alias("text_lang"), null.alias("lang"), F.lit(None).cast("double").alias("probability"))
     last, segment = F.element_at(F.split(host, r"\."), -1), ascii_segment(path_of(F.col(url)))
     mark = F.when(segment.isin(langs), segment).when(last.isin(langs), last)
-    rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), mark.alias("mark"), F.col(page_html).alias("html"))
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), host.alias("host"), mark.alias("mark"), F.col(page_html).alias("html"))
     scored = rows.mapInArrow(_scored(spark.sparkContext.broadcast((langs, logs))), "page_id long, host string, mark string, declared string, loglik array<double>")
-    ll = [F.col("loglik")[i] for i in range(len(langs))]
-    best = F.when(F.array_max("loglik") < 0, F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("loglik", F.array_max("loglik")).cast("int")))
+    names = F.array(*[F.lit(x) for x in langs])
+    best = F.when(F.array_max("loglik") < 0, F.element_at(names, F.array_position("loglik", F.array_max("loglik")).cast("int")))
     said = F.when(F.col("declared").isin(langs), F.col("declared"))
     scored = written(scored.withColumn("text_lang", best).withColumn("said", said), "pages")
 
-    def believed(column: str) -> list:
-        """For each language, log P(value of column | language): a conditional expression over (languages + none) values."""
+    def believed(column: str) -> DataFrame:
+        """For each value of column, none among them, log P(value | language) as an array over languages: a row per language and one more."""
         n = {(r.text_lang, r[column]): r.n for r in scored.where("text_lang is not null").groupBy("text_lang", column).agg(F.count(F.lit(1)).alias("n")).collect()}
         values = [*langs, None]
-        out = []
-        for lang in langs:
-            total = sum(n.get((lang, v), 0) for v in values) + alpha * len(values)
-            p = F.lit(math.log((n.get((lang, None), 0) + alpha) / total))
-            for v in langs:
-                p = F.when(F.col(column) == v, math.log((n.get((lang, v), 0) + alpha) / total)).otherwise(p)
-            out.append(p)
-        return out
+        totals = [sum(n.get((x, v), 0) for v in values) + alpha * len(values) for x in langs]
+        rows = [(v, [math.log((n.get((x, v), 0) + alpha) / t) for x, t in zip(langs, totals)]) for v in values]
+        return F.broadcast(spark.createDataFrame(rows, f"_{column} string, {column}_ll array<double>"))
 
     of = [f"n{i}" for i in range(len(langs))]
     counts = [F.count(F.when(F.col("text_lang") == x, 1)).alias(c) for x, c in zip(langs, of)]
     every = scored.agg(*counts).first()
-    everywhere = [(every[c] + alpha) / (sum(every) + alpha * len(langs)) for c in of]
-    hosts = scored.groupBy("host").agg(*counts).withColumn("labels", F.split("host", r"\."))
+    everywhere = F.array(*[F.lit((every[c] + alpha) / (sum(every) + alpha * len(langs))) for c in of])
+    hosts = scored.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), *counts).withColumn("labels", F.split("host", r"\."))
     hosts = hosts.withColumn("suffix", F.element_at("labels", -1)).withColumn("domain", F.array_join(F.slice("labels", F.greatest(F.lit(1), F.size("labels") - 1), 2), ".")).drop("labels")
     hosts = written(hosts, "hosts")
 
-    def smoothed(by: str, prior: list, level):
-        n = sum((F.col(c) for c in of), F.lit(0))
-        return level.select("*", *[((F.col(c) + weight * p) / (n + weight)).alias(f"{by}_p{i}") for i, (c, p) in enumerate(zip(of, prior))])
+    def smoothed(level: DataFrame, prior, to: str) -> DataFrame:
+        own = level.withColumn("_n", F.array(*of)).withColumn("_all", sum((F.col(c) for c in of), F.lit(0))).withColumn("_prior", prior)
+        return own.withColumn(to, F.zip_with("_n", "_prior", lambda c, p: (c + weight * p) / (F.col("_all") + weight))).drop("_n", "_all", "_prior", *of)
 
-    suffixes = smoothed("suffix", [F.lit(p) for p in everywhere], hosts.groupBy("suffix").agg(*[F.sum(c).alias(c) for c in of])).drop(*of)
+    suffixes = smoothed(hosts.groupBy("suffix").agg(*[F.sum(c).alias(c) for c in of]), everywhere, "suffix_p")
     domains = hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), *[F.sum(c).alias(c) for c in of]).join(suffixes, "suffix")
-    domains = smoothed("domain", [F.col(f"suffix_p{i}") for i in range(len(langs))], domains).select("domain", *[f"domain_p{i}" for i in range(len(langs))])
-    priors = written(hosts.join(domains, "domain").select("host", *of, *[f"domain_p{i}" for i in range(len(langs))]), "hosts")
-    joined = scored.join(priors, "host")
-    own = [F.when(F.col("text_lang") == x, 1).otherwise(0) for x in langs]
-    total = sum((F.col(c) for c in of), F.lit(0)) - sum(own, F.lit(0)) + weight
-    prior = [(F.col(c) - o + weight * F.col(f"domain_p{i}")) / total for i, (c, o) in enumerate(zip(of, own))]
-    posterior = F.array(*[tempering * x + F.log(p) + s + m for x, p, s, m in zip(ll, prior, believed("said"), believed("mark"))])
+    domains = smoothed(domains, F.col("suffix_p"), "domain_p").select("domain", "domain_p")
+    priors = hosts.join(domains, "domain").select("host", "pages", F.array(*of).alias("host_n"), sum((F.col(c) for c in of), F.lit(0)).alias("host_all"), "domain_p")
+    joined = spread_join(scored, written(priors, "hosts"), ["host"], "pages", CROWD)
+    for column in ("said", "mark"):
+        joined = joined.join(believed(column), F.col(column).eqNullSafe(F.col(f"_{column}"))).drop(f"_{column}")
+    joined = joined.withColumn("own", F.coalesce(F.array_position(names, F.col("text_lang")) - 1, F.lit(-1))).withColumn("total", F.col("host_all") - F.when(F.col("own") >= 0, 1).otherwise(0) + weight)
+    prior = lambda i: F.log((F.get("host_n", i) - F.when(i == F.col("own"), 1).otherwise(0) + weight * F.get("domain_p", i)) / F.col("total"))
+    posterior = F.transform(F.sequence(F.lit(0), F.lit(len(langs) - 1)), lambda i: tempering * F.get("loglik", i) + prior(i) + F.get("said_ll", i) + F.get("mark_ll", i))
     out = joined.withColumn("posterior", posterior).withColumn("top", F.array_max("posterior"))
-    lang = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("posterior", F.col("top")).cast("int"))
+    lang = F.element_at(names, F.array_position("posterior", F.col("top")).cast("int"))
     probability = 1 / F.aggregate(F.transform("posterior", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
     return out.select("page_id", "host", "declared", "mark", "text_lang", lang.alias("lang"), probability.alias("probability"))
 
@@ -152,4 +149,5 @@ def ascii_segment(path):
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, declared, mark, text_lang, lang, probability of every page; nulls, long and empty pages, ties, repeated rows and empty tables as in identify."""
     return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents").select("lang", "text"))

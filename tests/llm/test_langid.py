@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 from psephos.llm import langid
 
 
@@ -32,3 +36,68 @@ def test_accuracy(spark, sf):
     rows = langid.identify(pages, docs).collect()
     assert len(rows) == pages.count()
     assert sum(r.lang == r.declared for r in rows) >= 0.97 * len(rows) and sum(r.text_lang == r.declared for r in rows) >= 0.9 * len(rows)
+
+
+def plain_identify(pages, docs, tempering=0.3, weight=4.0, alpha=1.0):
+    """The same by loops over dictionaries: (language, probability) of each page."""
+    def grams(text):
+        b = [32, *[32 if x < 65 and x != 39 else x for x in text.encode().lower()], 32]
+        return [(int.from_bytes(bytes(b[i : i + 3]), "big") * 0x9E3779B97F4A7C15 % 2**64) >> 50 for i in range(len(b) - 2) if b[i] != 32 or b[i + 1] != 32]
+
+    langs = sorted({lang for lang, _ in docs if lang})
+    counts = {x: Counter(g for lang, t in docs if lang == x for g in grams(t or "")) for x in langs}
+    total = {x: sum(counts[x].values()) + 0.5 * 2**14 for x in langs}
+    seen = []
+    for url, page in pages:
+        host = url.split("://", 1)[1].split("/")[0].lower() if url and "://" in url else ""
+        path = url.split("://", 1)[1][len(host) :] if host else ""
+        text = grams(langid.visible(page))
+        ll = [sum(math.log((counts[x][g] + 0.5) / total[x]) for g in text) for x in langs]
+        own = langs[max(range(len(langs)), key=lambda i: (ll[i], -i))] if text else None
+        declared = page.split('lang="')[1].split('"')[0].lower() if page and '<html lang="' in page else None
+        segment = path.split("/")[1].lower() if path.count("/") > 1 else None
+        mark = segment if segment in langs else (host.split(".")[-1] if host.split(".")[-1] in langs else None)
+        seen.append((host, ll, own, declared if declared in langs else None, mark))
+
+    def believed(k, lang, value):
+        of = [s[k] for s in seen if s[2] == lang]
+        return math.log((of.count(value) + alpha) / (len(of) + alpha * (len(langs) + 1)))
+
+    every = Counter(s[2] for s in seen if s[2])
+    everywhere = {x: (every[x] + alpha) / (sum(every.values()) + alpha * len(langs)) for x in langs}
+    part = lambda n: lambda host: ".".join(host.split(".")[-n:])
+
+    def smoothed(level, key, prior):
+        n = Counter(s[2] for s in seen if s[2] and level(s[0]) == key)
+        return {x: (n[x] + weight * prior[x]) / (sum(n.values()) + weight) for x in langs}
+
+    out = []
+    for host, ll, own, said, mark in seen:
+        domain = smoothed(part(2), part(2)(host), smoothed(part(1), part(1)(host), everywhere))
+        n = Counter(s[2] for s in seen if s[2] and s[0] == host)
+        if own:
+            n[own] -= 1
+        prior = {x: (n[x] + weight * domain[x]) / (sum(n.values()) + weight) for x in langs}
+        p = [tempering * a + math.log(prior[x]) + believed(3, x, said) + believed(4, x, mark) for x, a in zip(langs, ll)]
+        best = max(range(len(langs)), key=lambda i: (p[i], -i))
+        out.append((langs[best], 1 / sum(math.exp(x - p[best]) for x in p)))
+    return out
+
+
+def test_against_plain_loops(spark):
+    """Random pages on hosts under shared domains and suffixes, ties, pages without text or url, long ones, against loops."""
+    rnd = random.Random(7)
+    docs = [(lang, t) for lang, t in DOCS if lang] + [("es", "la casa y el jardín del rey"), ("en", None)]
+    words = {"en": "the house garden king and what they have".split(), "de": "das haus der garten königs nicht sie".split(), "fr": "la maison le jardin du roi et".split(), "es": "la casa el jardín rey y".split()}
+    pages = []
+    for _ in range(150):
+        lang = rnd.choice(list(words))
+        text = " ".join(rnd.choice(words[lang]) for _ in range(rnd.choice([0, 1, 3, 8, 20])))
+        host = rnd.choice(["a.x.de", "b.x.de", "y.de", "a.y.org", "z.org", "fr.w.fr", "q.com"])
+        url = rnd.choice([f"http://{host}/{rnd.choice(['en', 'de', 'zz', 'fr'])}/1", f"http://{host}/", f"http://{host}", None, "no scheme"])
+        pages.append((url, rnd.choice([f'<html lang="{rnd.choice(["en", "de", "xx", lang])}"><p>{text}</p>', f"<p>{text}", text, None])))
+    pages += [pages[0], (None, None), ("http://y.de/", "das haus " * 20_000)]
+    frame = spark.createDataFrame([(i, u, h, 0.5, ["x"]) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string, probability double, loglik array<string>").repartition(3)
+    got = {r.page_id: (r.lang, r.probability) for r in langid.identify(frame, spark.createDataFrame(docs, "lang string, text string")).collect()}
+    for i, (lang, p) in enumerate(plain_identify(pages, docs)):
+        assert got[i][0] == lang and abs(got[i][1] - p) < 1e-9, (i, pages[i], got[i], lang, p)
