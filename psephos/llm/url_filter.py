@@ -35,13 +35,35 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def of_rule(host: Column, path: Column, rules: tuple[Rule, ...], what: str) -> Column:
-    """The attribute `what` of the longest rule that fits; null if none does."""
-    found = F.lit(None).cast("string")
-    for i in sorted(range(len(rules)), key=lambda i: (len(rules[i].text), len(rules[i].host))):
-        r = rules[i]
-        found = F.when(((host == r.host) | host.endswith(f".{r.host}")) & path.startswith(r.path), F.lit(getattr(r, what))).otherwise(found)
-    return found
+def fitting(host: str, path: str, paths: dict[str, list[Rule]]) -> Rule | None:
+    """The longest rule that fits; of equally long ones that with the longer host.  paths: the rules of each host, longest first."""
+    best, at = None, 0
+    while True:
+        for r in paths.get(host[at:], ()):
+            if path.startswith(r.path):
+                if best is None or (len(r.text), len(r.host)) > (len(best.text), len(best.host)):
+                    best = r
+                break
+        dot = host.find(".", at)
+        if dot < 0:
+            return best
+        at = dot + 1
+
+
+def with_rules(urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """urls (with string columns host and path) with the text and the action of the rule that fits, null if none does.  Any number of rules: a table by host that each worker holds."""
+    paths: dict[str, list[Rule]] = {}
+    for r in sorted(rules, key=lambda r: -len(r.path)):
+        paths.setdefault(r.host, []).append(r)
+    shared = urls.sparkSession.sparkContext.broadcast(paths)
+
+    def run(batches):
+        for b in batches:
+            found = [fitting(h, p, shared.value) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r and r.text for r in found], pa.string()), pa.array([r and r.action for r in found], pa.string())], names=[*b.schema.names, "rule", "action"])
+
+    kinds = ", ".join(f"`{c}` {k}" for c, k in urls.dtypes)
+    return urls.mapInArrow(run, f"{kinds}, rule string, action string")
 
 
 # --- the cascade --------------------------------------------------------------------------------
@@ -85,7 +107,7 @@ def _filter(keys: DataFrame, level: int, n: int, rate: float, most_bytes: int) -
     bits = max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2))
     hashes = max(1, round(bits / n * math.log(2))) if n * 64 > bits else 8
     if bits > 8 * most_bytes:
-        raise MemoryError(f"a level of {bits // 8} bytes is over the bound of {most_bytes}")
+        raise MemoryError(f"a level of {bits // 8} bytes is over the bound of {most_bytes}: more parts are needed")
 
     def run(batches):
         for b in batches:
@@ -110,42 +132,61 @@ def _tested(level):
     return run
 
 
-def build_cascade(universe: DataFrame, key: str, listed: str, rate: float = 0.02, most_bytes: int = 64 << 20, most_levels: int = 40) -> list[Level] | None:
-    """The cascade for the keys whose boolean column listed is true; universe has every key of the corpus once.
+def parts_needed(n: int, rate: float, most_bytes: int) -> int:
+    """Into how many parts by hash the keys are split, so that the first level for n keys takes at most half of most_bytes in each (later levels are smaller, and parts vary little)."""
+    return max(1, math.ceil(2 * n * -math.log(rate) / math.log(2) ** 2 / (8 * most_bytes)))
+
+
+def build_cascade(universe: DataFrame, key: str, listed: str, rate: float = 0.02, most_bytes: int = 64 << 20, most_levels: int = 40) -> list[list[Level]]:
+    """A cascade for each part of the keys, by hash; the boolean column listed says which are listed, and universe has every key of the corpus once.
 
     Level 1 encodes the listed keys, level 2 the other keys of the universe that level 1 lets pass, level 3
     the listed keys that level 2 lets pass, and so on until none is left over.  Keys are known by 128 hash
-    bits.  None if a level is over most_bytes: then the caller joins instead.
+    bits.  There are as many parts as keep every level under most_bytes, so no list is too long.
     """
-    spark = universe.sparkSession
     keys = written(universe.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2"), F.col(listed).alias("listed")), "cascade")
+    parts = parts_needed(keys.where("listed").count(), rate, most_bytes)
+    while True:
+        try:
+            return [_cascade(keys.where(part_of(F.col("h2"), parts) == part), rate, most_bytes, most_levels) for part in range(parts)]
+        except MemoryError:  # a part has more than its share
+            parts *= 2
+
+
+def _cascade(keys: DataFrame, rate: float, most_bytes: int, most_levels: int) -> list[Level]:
     inside, outside = keys.where("listed").select("h1", "h2"), keys.where("not listed").select("h1", "h2")
     levels: list[Level] = []
     while n := inside.count():
         if len(levels) == most_levels:
             raise RuntimeError("the cascade does not end: two keys agree in 128 hash bits")
-        try:
-            levels.append(_filter(inside, len(levels), n, rate, most_bytes))
-        except MemoryError:
-            return None
-        level = spark.sparkContext.broadcast(levels[-1])
-        passed = written(outside.mapInArrow(_tested(level), "h1 long, h2 long"), "cascade")
-        inside, outside = passed, inside
+        levels.append(_filter(inside, len(levels), n, rate, most_bytes))
+        level = keys.sparkSession.sparkContext.broadcast(levels[-1])
+        inside, outside = written(outside.mapInArrow(_tested(level), "h1 long, h2 long"), "cascade"), inside
     return levels
 
 
-def listed_by_cascade(df: DataFrame, key: str, levels: list[Level], to: str) -> DataFrame:
-    """df with a boolean column `to`: whether the key is listed.  No join and no shuffle; each worker holds the cascade, whose levels are bounded."""
-    shared = df.sparkSession.sparkContext.broadcast(levels)
+def part_of(h2: Column, parts: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(h2, 20), F.lit(parts).cast("long"))
+
+
+def listed_by_cascade(df: DataFrame, key: str, cascades: list[list[Level]], to: str) -> DataFrame:
+    """df with a boolean column `to`: whether the key is listed.  No join and no shuffle; the rows of a part are tested by its cascade, whose levels are bounded, so a worker holds one at a time."""
+    hashed = df.select("*", F.xxhash64(key).alias("_h1"), F.xxhash64(F.lit("second"), key).alias("_h2"))
+    kinds, out = ", ".join(f"`{c}` {k}" for c, k in df.dtypes), None
+    for part, levels in enumerate(cascades):
+        own = hashed.where(part_of(F.col("_h2"), len(cascades)) == part) if len(cascades) > 1 else hashed
+        one = own.mapInArrow(_holding(df.sparkSession.sparkContext.broadcast(levels), to), f"{kinds}, `{to}` boolean")
+        out = one if out is None else out.unionByName(one)
+    return out
+
 
+def _holding(shared, to: str):
     def run(batches):
         for b in batches:
             ok = cascade_holds(shared.value, b.column("_h1").to_numpy(), b.column("_h2").to_numpy())
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(ok)], names=[*b.schema.names[:-2], to])
 
-    hashed = df.select("*", F.xxhash64(key).alias("_h1"), F.xxhash64(F.lit("second"), key).alias("_h2"))
-    kinds = ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
-    return hashed.mapInArrow(run, f"{kinds}, `{to}` boolean")
+    return run
 
 
 # --- the operator -------------------------------------------------------------------------------
@@ -156,28 +197,23 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, page_id: str =
 
     The longest rule that fits decides.  Where none fits, a page is blocked if its host is listed: if the
     rules block at least listed_share of those of its pages that a rule fits.  All hosts of the corpus are the universe of a
-    Bloom cascade that holds the listed ones, so each url is tested where it is read.  Should a level pass
-    most_bytes, the list is joined instead.
+    Bloom cascade that holds the listed ones, so each url is tested where it is read.  No level takes over
+    most_bytes: a longer list is split by hash, and each part has a cascade of its own.
 
-    A null url, or one without "://", has an empty host and path, fits no rule and is allowed.  Repeated
-    rows are judged each; other columns are ignored; an empty table gives no rows.
+    A null url, or one without "://", has an empty host and path, fits no rule and is allowed; urls of any length are
+    taken whole.  Repeated rows are judged each; other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    if len(rules) > 10_000:
-        raise ValueError("rules are compiled into the plan: 10,000 at most; put long lists into the host list")
     split = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    ruled = split.withColumns({to: of_rule(F.col("host"), F.col("path"), rules, what) for to, what in (("rule", "text"), ("action", "action"))})
+    ruled = with_rules(split, rules)
     votes = ruled.groupBy("host").agg(F.count("action").alias("n"), F.count(F.when(F.col("action") == "block", 1)).alias("blocked"))
     hosts = votes.select("host", ((F.col("n") > 0) & (F.col("blocked") >= F.lit(listed_share) * F.col("n"))).alias("is_listed"))
-    levels = build_cascade(hosts, "host", "is_listed", most_bytes=most_bytes)
-    if levels is None:
-        judged = ruled.join(hosts.where("is_listed").select("host", F.lit(True).alias("listed")), "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    else:
-        judged = listed_by_cascade(ruled, "host", levels, "listed")
+    judged = listed_by_cascade(ruled, "host", build_cascade(hosts, "host", "is_listed", most_bytes=most_bytes), "listed")
     verdict = F.coalesce("action", F.when(F.col("listed"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "listed")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict, listed of every page; nulls, repeated rows and empty tables as in judge_urls."""
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
