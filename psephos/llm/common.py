@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.sources.io import shared_path, shared_root, written  # noqa: F401  shared with the operators here
+from psephos.sources.io import removed, shared_path, shared_root, written  # noqa: F401  shared with the operators here
 
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -126,30 +126,35 @@ def _contract(batches):
         yield flush()
 
 
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components", most_rounds: int = 60, crowd: int = 1024) -> DataFrame:
     """Connected components of an edge table with two long columns: (node, root), root the smallest node reachable.
 
     Each partition first contracts its own edges to a spanning forest; then large-star and small-star
     rounds (Kiveris et al., 2014) run until nothing changes.  Every round is a written table, so a
-    lost executor costs one round.  Neighbour minima are aggregated before the shuffle; a hub's rows
-    are joined to a written table, which adaptive execution can split.  Nodes without edges are not returned.
+    lost executor costs one round; the table before it is deleted.  Neighbour minima are aggregated before the shuffle; that of a hub
+    of over `crowd` edges goes to all tasks, so its edges are not moved.  Nodes without edges are not returned.
     """
     a, b = edges.columns
     first = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     e = written(first.mapInArrow(_contract, "a long, b long").distinct(), name)
+    was = _digest(e)
     for _ in range(most_rounds):
         # large star: u's greater neighbours go to the least of u and its neighbours
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, name)
+        both = e.select(F.col("a").alias("u"), "b").unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("b")))
+        least = written(both.groupBy("u").agg(F.least("u", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n")), f"{name}_least")
+        large = written(spread_join(both.where("b > u"), least, ["u"], "n", crowd).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), name)
         # small star: u and its smaller neighbours go to the least of them (edges point to the smaller node)
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = large.join(least, large.a == least.u).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
+        lower = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        small = large.join(lower, large.a == lower.u).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
         after = written(small, name)
-        same = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"), F.countDistinct("a").alias("d")).first()
-        was = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        e = after
-        if (same.n, same.h) == (was.n, was.h) or same.n == 0:
+        removed(e, least, large)
+        e, now = after, _digest(after)
+        if now == was or now.n == 0:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        was = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def _digest(edges: DataFrame):
+    """Number and checksum of edges: whether two rounds left the same."""
+    return edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()

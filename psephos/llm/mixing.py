@@ -26,11 +26,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return caps.withColumn("level", level).withColumn("target", F.least("cap", F.max("level").over(everything) * F.col("w"))).select("skey", "source_size", "target")
 
 
-def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", bits: int = 10, whole: bool = False) -> DataFrame:
+def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", in_range: int = 50_000, whole: bool = False) -> DataFrame:
     """What the mix takes of each document: doc_id, size, source_size, target, taken.
 
     Each document has a hash-random key (MD5 of seed and id).  Keys are range-split by their leading
-    bits, so a source of any size is spread over 2**bits ranges; sums by range, then running sums over
+    bits, into as many ranges (a power of two) as hold about in_range of all documents each; sums by range, then running sums over
     them, give every range its start, and only rows within one range are sorted.  A source takes all its documents as
     often as its target holds its size, then more of them in key order up to the exact word.  With
     whole=True the document on the cut is taken whole if more than half of it lies before the cut, else not at all.
@@ -40,8 +40,9 @@ def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "so
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"), key.alias("key"))
-    rows = rows.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))).withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 4), 16, 10).cast("int"), 16 - bits))
-    rows = written(rows, "mix")
+    rows = written(rows.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))), "mix")
+    bits = min(32, max(4, (rows.count() // in_range).bit_length()))
+    rows = rows.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - bits))
     sums = rows.groupBy("skey", "range").agg(F.sum("size").alias("in_range"), F.first("source").alias("source"))
     by_source = Window.partitionBy("skey")
     starts = sums.select("skey", "range", F.coalesce(F.sum("in_range").over(by_source.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
@@ -56,21 +57,30 @@ def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "so
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, whole, each as often as it is taken; the columns stay as they are.
+    """The documents of the mix, whole, each as often as it is taken; the columns stay as they are, whatever their names.
 
-    Rows that agree in doc_id and size are taken alike, as often as the one taken most.
-    Documents without a word are never taken.
+    Rows that agree in doc_id and size share what they are taken together, the first ones (in no order that matters, as such rows are copies) once more than the others.
+    Documents without a word, null and empty texts among them, are never taken.  An empty table stays empty.
     """
     doc_id = options.get("doc_id", "doc_id")
-    id_, size, own, times = (free_name(docs, n) for n in ("mix_id", "mix_size", "mix_own", "mix_times"))
+    id_, size, own, times, rows, place = (free_name(docs, n) for n in ("mix_id", "mix_size", "mix_own", "mix_times", "mix_rows", "mix_place"))
     sized = docs.withColumn(size, n_words("text"))
     taken = mix(sized, F.col(size), whole=True, **options).where("taken > 0")
-    counts = taken.groupBy(F.col("doc_id").alias(id_), F.col("size").alias(own)).agg(F.max(F.floor(F.col("taken") / F.col("size"))).alias(times))
-    kept = sized.join(counts, F.col(doc_id).eqNullSafe(F.col(id_)) & (F.col(size) == F.col(own)))
-    return kept.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(times)).select(*docs.columns)
+    # rows that are not taken count as well, where others of their id and size are
+    every = sized.groupBy(F.col(doc_id).alias(id_), F.col(size).alias(own)).agg(F.count(F.lit(1)).alias(rows)).where(F.col(rows) > 1)
+    total = taken.groupBy(F.col("doc_id").alias(id_), F.col("size").alias(own)).agg(F.sum(F.floor(F.col("taken") / F.col("size"))).alias(times))
+    every = every.select(F.col(id_).alias("_i"), F.col(own).alias("_o"), rows)
+    counts = written(total.join(every, total[id_].eqNullSafe(F.col("_i")) & (total[own] == F.col("_o")), "left").select(id_, own, times, F.coalesce(rows, F.lit(1)).alias(rows)), "mix_counts")
+    same = F.col(doc_id).eqNullSafe(F.col(id_)) & (F.col(size) == F.col(own))
+    copies = lambda df: df.select(*docs.columns, F.explode(F.when(F.col(times) > 0, F.sequence(F.lit(1), F.col(times).cast("int"))).otherwise(F.array().cast("array<int>"))).alias(times)).select(*docs.columns)
+    alone = sized.join(counts.where(F.col(rows) == 1), same)
+    shared = sized.join(counts.where(F.col(rows) > 1), same).withColumn(place, F.row_number().over(Window.partitionBy(id_, own).orderBy("text")))
+    shared = shared.withColumn(times, F.floor(F.col(times) / F.col(rows)) + (F.col(place) <= F.col(times) % F.col(rows)).cast("long"))
+    return copies(alone).unionByName(copies(shared))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document; nulls, long and empty texts, repeated rows and empty tables as in mix."""
     docs = table(spark, sf_dir, "documents")
     return mix(docs, n_words("text"))
 

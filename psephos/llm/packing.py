@@ -108,7 +108,8 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 1, room
     histogram has room rows at most and is planned on the driver; the plan's size is bounded by room as well, and each piece finds its slot by length
     and rank.  No piece is moved by its text, and no length, however common, meets in one task.
 
-    Null and empty texts are one piece with the end id.  Repeated rows are packed each.  An empty table gives no rows.
+    Null and empty texts are one piece with the end id; long texts are encoded whole.  Repeated rows are packed each; which of equally long pieces goes where does not matter.  doc_id is cast to
+    long; other columns are left out, whatever their names.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_pieces(tokenizer, kind, end, room), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
@@ -122,6 +123,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 1, room
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Every piece of every document and its place; nulls, long and empty texts, repeated rows and empty tables as in pack."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer or public_tokenizers.path("word_bpe_49k.json"))

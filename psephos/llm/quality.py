@@ -130,6 +130,8 @@ def _grow(x: np.ndarray, bad: np.ndarray, cuts: int, most: int) -> Rule:
     ok = np.ones(len(x), bool)
     while len(rule) < most and (ok & ~bad).any():
         p, n = (ok & bad).sum(), (ok & ~bad).sum()
+        if not p:
+            break
         best, gain, xs, ys = None, 1e-9, x[ok], bad[ok]
         for i, f in enumerate(FEATURES):
             v = xs[:, i]
@@ -232,6 +234,7 @@ def judged(docs: DataFrame, rules: list[Rule], text: str = "text") -> tuple[Data
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the counts, base_failed and kept of every document; nulls, long and empty texts, repeated rows and empty tables as in judged."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out, name = judged(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", *[F.col(name)[c].alias(c) for c in (*COUNTS[:5], "base_failed", "kept", "rule")])

@@ -337,7 +337,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, kind: str = "byte",
 
     Columns doc_id, part, start_in_part, n_tokens, ids.  Documents are range-split by id, then encoded where they are written, so
     texts move once and ids never.  Statistics and page indexes on doc_id let a reader skip row groups and pages.  Null and empty
-    texts have the end id only.  An empty table makes an empty file.
+    texts have the end id only; long ones are encoded whole, in parts.  Repeated rows are written each; doc_id is cast to long; other columns are left out, whatever their names.  An empty table makes an empty file.
     """
     dealt = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = dealt.mapInArrow(_encoded(tokenizer, kind, end), "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>")
@@ -374,6 +374,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files; nulls, long and empty texts, repeated rows and empty tables as in write_tokens."""
     import public_tokenizers
 
     path = shared_path(spark, "tokens")

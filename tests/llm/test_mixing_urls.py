@@ -59,7 +59,7 @@ def test_urls_against_sql_and_rules(spark, monkeypatch):
     for r in got:
         rule = brute_rule(r.host, r.path)
         assert r.rule == (rule and rule.text) and (rule is None or r.verdict == rule.action)
-    assert sorted(map(str, map(tuple, url_filter.judge_urls(df, most_bytes=1).collect()))) == want  # the join
+    assert sorted(map(str, map(tuple, url_filter.judge_urls(df, most_bytes=8).collect()))) == want  # a cascade for each part
     assert url_filter.judge_urls(df.where("false")).count() == 0
 
 
@@ -69,6 +69,35 @@ def test_cascade_is_exact(spark):
     df = spark.createDataFrame(keys, "key string, is_listed boolean")
     for rate in (0.02, 0.5):
         levels = url_filter.build_cascade(df, "key", "is_listed", rate=rate)
-        assert len(levels) > 1
+        assert len(levels) == 1 and len(levels[0]) > 1
         assert url_filter.listed_by_cascade(df, "key", levels, "found").where("found <> is_listed").count() == 0
-    assert url_filter.build_cascade(df.withColumn("is_listed", F.lit(False)), "key", "is_listed") == []
+    assert url_filter.build_cascade(df.withColumn("is_listed", F.lit(False)), "key", "is_listed") == [[]]
+    parts = url_filter.build_cascade(df, "key", "is_listed", most_bytes=1500)
+    assert len(parts) > 2 and all(level.bits <= 8 * 1500 for levels in parts for level in levels)
+    assert url_filter.listed_by_cascade(df, "key", parts, "found").where("found <> is_listed").count() == 0
+
+
+def test_many_rules():
+    rnd = random.Random(5)
+    label = lambda: rnd.choice(["a", "b", "cc", "d", "com", "org"])
+    rules = tuple({(h, p): url_filter.Rule(rnd.choice(["block", "allow"]), h, p) for h, p in ((".".join(label() for _ in range(rnd.randint(1, 3))), "/" * rnd.randint(0, 1) + rnd.choice(["", "x", "xy", "y/"])) for _ in range(30_000))}.values())
+    paths = {}
+    for r in sorted(rules, key=lambda r: -len(r.path)):
+        paths.setdefault(r.host, []).append(r)
+    for _ in range(500):
+        host, path = ".".join(label() for _ in range(rnd.randint(0, 4))), "/" + rnd.choice(["", "x", "xyz", "y/1", "z"])
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        assert url_filter.fitting(host, path, paths) == max(fits, key=lambda r: (len(r.text), len(r.host)), default=None)
+
+
+def test_repeated_rows_share_what_is_taken(spark):
+    """Copies under one id do not multiply the mix, and columns of any name stay."""
+    df = spark.createDataFrame([(1, "a b c d", "s", 1)] * 10 + [(None, "x y", "s", 2)] * 5 + [(2, "long " * 40, "t", 3)], "doc_id long, text string, source string, mix_times int")
+    out = mixing.mixed(df).collect()
+    words = sum(len(r.text.split()) for r in out)
+    assert words <= 1.5 * 90 + 40 and all(r.mix_times in (1, 2, 3) for r in out)
+    plain = {(r.doc_id, r.size): 0 for r in mixing.mix(df, n_words("text"), whole=True).collect()}
+    for r in mixing.mix(df, n_words("text"), whole=True).collect():
+        plain[r.doc_id, r.size] += r.taken // max(1, r.size)
+    for (i, size), n in plain.items():
+        assert sum(r.doc_id == i and len(r.text.split()) == size for r in out) == n
