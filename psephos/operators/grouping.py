@@ -156,14 +156,12 @@ def coloured(nodes: DataFrame, edges: DataFrame, on: str, colours: int = 5) -> D
     """A colour from 0 for each node (on, id), so that the ends of an edge (on, a_id, b_id) differ: a search within each style, whose contests are few.  Null where `colours` are not enough."""
     import pandas as pd
 
-    def run(key: tuple, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        ids, near = sorted(own["id"]), {i: set() for i in own["id"]}
-        for a, b in zip(links["a_id"], links["b_id"]):
-            near[a].add(b)
-            near[b].add(a)
-        ids.sort(key=lambda i: (-len(near[i]), i))
-        found: dict = {}
-        at, tried = 0, [-1] * (len(ids) + 1)
+    def search(own, links):
+        near = {i: set() for i in own}
+        for x in links if links is not None else ():
+            near[x["a_id"]].add(x["b_id"])
+            near[x["b_id"]].add(x["a_id"])
+        ids, found, at, tried = sorted(near, key=lambda i: (-len(near[i]), i)), {}, 0, [-1] * (len(near) + 1)
         while 0 <= at < len(ids):
             taken = {found[j] for j in near[ids[at]] if j in found}
             free = next((c for c in range(tried[at] + 1, colours) if c not in taken), None)
@@ -174,10 +172,16 @@ def coloured(nodes: DataFrame, edges: DataFrame, on: str, colours: int = 5) -> D
             else:
                 found[ids[at]] = tried[at] = free
                 at += 1
-        return pd.DataFrame({on: key[0], "id": ids, "colour": pd.array([found.get(i) for i in ids], "Int64")})
+        return [(i, found.get(i)) for i in ids]
 
-    kind = dict(nodes.dtypes)[on]
-    return nodes.select(on, "id").groupBy(on).cogroup(edges.select(on, "a_id", "b_id").groupBy(on)).applyInPandas(run, f"{on} {kind}, id long, colour long").where("id is not null")
+    def run(it):
+        for pdf in it:
+            rows = [(k, *x) for k, own, links in zip(pdf[on], pdf["_ids"], pdf["_links"]) for x in search(own, links)]
+            yield pd.DataFrame(rows, columns=[on, "id", "colour"]).astype({"colour": "Int64"})
+
+    styles = nodes.groupBy(on).agg(F.collect_list("id").alias("_ids")).join(edges.groupBy(on).agg(F.collect_list(F.struct("a_id", "b_id")).alias("_links")), on, "left")
+    kinds = dict(nodes.dtypes)
+    return styles.mapInPandas(run, f"{on} {kinds[on]}, id {kinds['id']}, colour long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
