@@ -74,7 +74,7 @@ def page_counts(images: DataFrame) -> DataFrame:
 def dense_pages(images: DataFrame) -> DataFrame:
     """Page numbers as 0, 1, 2, ... in their order, over all images."""
     pages = images.select("page").distinct().withColumn("norm_page", (F.dense_rank().over(Window.orderBy("page")) - 1).cast("int"))
-    return images.join(F.broadcast(pages), "page")  # page numbers of a ballot are few on paper
+    return images.join(pages, "page")
 
 
 def first_n(df: DataFrame, by: list[str], order: list[Column | str], n: int) -> DataFrame:

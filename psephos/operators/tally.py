@@ -45,31 +45,39 @@ def classify(marks: DataFrame, threshold: int, wrong: DataFrame | None = None) -
 def contest_status(results: DataFrame, contests: DataFrame) -> DataFrame:
     """Per ballot and contest: votes and status.  More votes than allowed is OVERVOTED, none UNDERVOTED; fewer than allowed is OK.
 
-    Several marks on one choice are one vote.  Returns ballot_id, cid, upto, choice, filled, votes, status; filled is 0 unless OK.
+    Several marks on one choice are one vote.  Returns ballot_id, cid, upto, choice, filled, votes, status, first; filled is 0 unless OK, and first is true for one choice of each ballot and
+    contest.  One aggregation: marks that are dealt out by ballot already are not moved, others once.
     """
-    by_ballot = results.repartition("ballot_id")  # the one shuffle of all marks: choices, contests and later joins by ballot all keep to it
-    one = by_ballot.groupBy("ballot_id", "cid", "choice").agg(F.max(F.col("is_filled").cast("int")).alias("filled"))
-    votes = F.sum("filled").over(Window.partitionBy("ballot_id", "cid"))
-    known = one.join(F.broadcast(contests.select("cid", "upto")), "cid")  # as many rows as there are contests on paper
+    own = results.groupBy("ballot_id", "cid").agg(F.collect_set("choice").alias("choices"), F.collect_set(F.when(F.col("is_filled"), F.col("choice"))).alias("marked"))
+    known = own.join(contests.select("cid", "upto"), "cid").withColumn("votes", F.size("marked").cast("long"))
     status = F.when(F.col("votes") > F.col("upto"), "OVERVOTED").when(F.col("votes") == 0, "UNDERVOTED").otherwise("OK")
-    out = known.withColumn("votes", votes).withColumn("status", status)
-    return out.withColumn("filled", F.when(F.col("status") == "OK", F.col("filled")).otherwise(0))
+    out = known.withColumn("status", status).withColumn("least", F.array_min("choices")).select("*", F.explode("choices").alias("choice"))
+    filled = F.when(F.col("status") == "OK", F.array_contains("marked", F.col("choice")).cast("int")).otherwise(0)
+    return out.select("ballot_id", "cid", "upto", "choice", filled.alias("filled"), "votes", "status", (F.col("choice") == F.col("least")).alias("first"))
 
 
 def by_contest(status: DataFrame) -> DataFrame:
     """One row per ballot and contest: ballot_id, cid, votes, status."""
-    return status.groupBy("ballot_id", "cid").agg(F.first("votes").alias("votes"), F.first("status").alias("status"))
+    return status.where("first").select("ballot_id", "cid", "votes", "status")
 
 
 def tally(votes: DataFrame, keys: list[str], sets: list[list[str]]) -> DataFrame:
     """Votes by choice for each grouping set.
 
-    votes: ballot_id, cid, label, filled, status and the keys.  Choices with one label are one.  Nulls of a set that leaves a key out are told
+    votes: cid, label, filled and the keys.  Choices with one label are one.  Nulls of a set that leaves a key out are told
     from null keys by level.  One shuffle: the sets expand rows before a partial aggregation.
     """
-    per_choice = votes.groupBy("ballot_id", "cid", "label", "status", *keys).agg(F.sum("filled").alias("filled"))
-    expanded = _expand(per_choice, keys, sets)
-    return expanded.groupBy("level", *keys, "cid", "label").agg(F.sum("filled").cast("long").alias("votes"))
+    return _expand(votes.select("cid", "label", "filled", *keys), keys, sets).groupBy("level", *keys, "cid", "label").agg(F.sum("filled").cast("long").alias("votes"))
+
+
+def tally_with_counters(votes: DataFrame, keys: list[str], sets: list[list[str]]) -> DataFrame:
+    """tally with the contest's overvoted, undervoted and all ballots beside each label, in one pass (votes also has first): level, keys, cid, label, votes, over, under, ballots."""
+    n = lambda cond: F.sum((F.col("first") & cond).cast("long"))
+    per = _expand(votes, keys, sets).groupBy("level", *keys, "cid", "label").agg(
+        F.sum("filled").cast("long").alias("votes"), n(F.col("status") == "OVERVOTED").alias("over"), n(F.col("status") == "UNDERVOTED").alias("under"), n(F.lit(True)).alias("ballots")
+    )
+    whole = Window.partitionBy("level", *keys, "cid")  # as many rows as there are labels
+    return per.withColumns({c: F.sum(c).over(whole) for c in ("over", "under", "ballots")})
 
 
 def counters(status: DataFrame, keys: list[str], sets: list[list[str]]) -> DataFrame:
@@ -117,9 +125,11 @@ def ancestors(path: Column) -> Column:
 
 
 def tally_by_batch(votes: DataFrame, path: str = "path") -> DataFrame:
-    """Votes by choice in total and under every directory: prefixes are exploded, so containment is an equi-group."""
-    batches = F.concat(F.array(F.lit("TOTAL")), F.when(F.instr(path, "/") > 0, ancestors(F.col(path))).otherwise(F.array().cast("array<string>")))
-    return votes.select(F.explode(batches).alias("batch"), "cid", "label", "filled").groupBy("batch", "cid", "label").agg(F.sum("filled").cast("long").alias("votes"))
+    """Votes by choice in total and under every directory: votes are added up by directory first, whose prefixes are then exploded, so containment is an equi-group."""
+    folder = F.when(F.instr(path, "/") > 0, F.regexp_extract(path, "^(.*)/[^/]*$", 1))
+    per = votes.groupBy(folder.alias("_folder"), "cid", "label").agg(F.sum("filled").cast("long").alias("filled"))
+    above = F.when(F.col("_folder").isNotNull(), ancestors(F.concat("_folder", F.lit("/")))).otherwise(F.array().cast("array<string>"))
+    return per.select(F.explode(F.concat(F.array(F.lit("TOTAL")), above)).alias("batch"), "cid", "label", "filled").groupBy("batch", "cid", "label").agg(F.sum("filled").cast("long").alias("votes"))
 
 
 def contest_key(title: Column, upto: Column, choices: Column) -> Column:

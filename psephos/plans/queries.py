@@ -70,13 +70,13 @@ def _(spark, d):
 @query("c3_target_to_contest", f"WITH {v.MARK}, {v.CONTEST} SELECT DISTINCT page, choice, cid, title, CAST(ASCII(cid) * 10 + choice AS BIGINT) AS global_id FROM mark JOIN contest USING (cid)")
 def _(spark, d):
     boxes = v.marks(spark, d).select("page", "choice", "cid").distinct()
-    return boxes.join(F.broadcast(v.contests(spark)), "cid").select("page", "choice", "cid", "title", (F.ascii("cid") * 10 + F.col("choice")).cast("long").alias("global_id"))
+    return boxes.join(v.contests(spark), "cid").select("page", "choice", "cid", "title", (F.ascii("cid") * 10 + F.col("choice")).cast("long").alias("global_id"))
 
 
 @query("c4_unknown_targets", f"WITH {v.MARK}, {v.CONTEST}, k AS (SELECT * FROM contest WHERE cid <> 'R') SELECT cid, CAST(COUNT(*) AS BIGINT) AS n FROM mark ANTI JOIN k USING (cid) GROUP BY cid")
 def _(spark, d):
     known = v.contests(spark).where("cid <> 'R'")
-    return v.marks(spark, d).join(F.broadcast(known), "cid", "left_anti").groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
+    return v.marks(spark, d).join(known, "cid", "left_anti").groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c5_voted_flag", f"WITH {v.MARK}, f AS (SELECT DISTINCT ballot_id, page FROM mark WHERE intensity < 15) SELECT ballot_id, page, target_id, f.ballot_id IS NOT NULL AS voted FROM mark LEFT JOIN f USING (ballot_id, page)")
@@ -94,7 +94,7 @@ def _(spark, d):
 @query("d10_manual_status", f"WITH {v.MARK}, m AS (SELECT ballot_id, cid, list(intensity < 60 ORDER BY target_id) AS votes FROM mark WHERE page = 1 GROUP BY ALL), {v.CONTEST}, n AS (SELECT m.*, upto, len(list_filter(votes, lambda x: x)) AS n FROM m JOIN contest USING (cid)) SELECT ballot_id, cid, CAST(n AS BIGINT) AS n, CASE WHEN n > upto THEN 'OVERVOTED' WHEN n = 0 THEN 'UNDERVOTED' ELSE 'OK' END AS status FROM n")
 def _(spark, d):
     own = F.transform(F.array_sort(F.collect_list(F.struct("target_id", (F.col("intensity") < 60).alias("t")))), lambda x: x["t"])
-    manual = v.marks(spark, d).where("page = 1").groupBy("ballot_id", "cid").agg(own.alias("votes")).join(F.broadcast(v.contests(spark).select("cid", "upto")), "cid")
+    manual = v.marks(spark, d).where("page = 1").groupBy("ballot_id", "cid").agg(own.alias("votes")).join(v.contests(spark).select("cid", "upto"), "cid")
     return tally.manual_status(manual).select("ballot_id", "cid", *long("n"), "status")
 
 
@@ -105,15 +105,13 @@ def labelled(spark, d) -> DataFrame:
 
 @query("d11_final_tally", f"WITH {STATUS}, l AS (SELECT cid, {v.LABEL} AS label, CAST(SUM(filled) AS BIGINT) AS votes FROM status GROUP BY ALL), c AS (SELECT cid, CAST(COUNT(*) FILTER (WHERE status = 'OVERVOTED') AS BIGINT) AS over, CAST(COUNT(*) FILTER (WHERE status = 'UNDERVOTED') AS BIGINT) AS under, CAST(COUNT(*) AS BIGINT) AS ballots FROM bc GROUP BY cid) SELECT title, label, votes, over, under, ballots FROM l JOIN c USING (cid) JOIN contest USING (cid)")
 def _(spark, d):
-    s = labelled(spark, d)
-    votes = tally.tally(s, [], [[]])
-    counts = tally.counters(tally.by_contest(s), [], [[]])
-    return votes.join(counts, ["level", "cid"]).join(F.broadcast(v.contests(spark)), "cid").select("title", "label", "votes", *long("over", "under", "ballots"))
+    t = tally.tally_with_counters(labelled(spark, d), [], [[]])
+    return t.join(v.contests(spark), "cid").select("title", "label", "votes", *long("over", "under", "ballots"))
 
 
 @query("d12_overvoted", f"WITH {v.FILLED}, {v.CONTEST} SELECT ballot_id, page, cid, CAST(SUM(CAST(is_filled AS INT)) AS BIGINT) AS votes FROM result JOIN contest USING (cid) GROUP BY ballot_id, page, cid, upto HAVING SUM(CAST(is_filled AS INT)) > upto")
 def _(spark, d):
-    r = results(spark, d).join(F.broadcast(v.contests(spark).select("cid", "upto")), "cid")
+    r = results(spark, d).join(v.contests(spark).select("cid", "upto"), "cid")
     n = r.groupBy("ballot_id", "page", "cid", "upto").agg(F.sum(F.col("is_filled").cast("int")).alias("votes"))
     return n.where("votes > upto").select("ballot_id", "page", "cid", *long("votes"))
 
@@ -175,7 +173,7 @@ def _(spark, d):
 
 @query("a9_cvr_texts", f"WITH {STATUS}, {v.ATTR}, l AS (SELECT a.path, c.title, s.status, {v.LABEL} AS label, s.filled FROM status s JOIN attr a USING (ballot_id) JOIN contest c USING (cid)), t AS (SELECT path, title, title || CASE WHEN MIN(status) = 'OK' THEN string_agg(chr(10) || chr(9) || label, '' ORDER BY label) FILTER (WHERE filled = 1) ELSE chr(10) || chr(9) || MIN(status) END AS t FROM l GROUP BY path, title) SELECT path, string_agg(t, chr(10) ORDER BY title) AS text FROM t GROUP BY path")
 def _(spark, d):
-    s = labelled(spark, d).join(v.attributes(spark, d).select("ballot_id", "path"), "ballot_id").join(F.broadcast(v.contests(spark).select("cid", "title")), "cid")
+    s = labelled(spark, d).join(v.attributes(spark, d).select("ballot_id", "path"), "ballot_id").join(v.contests(spark).select("cid", "title"), "cid")
     return io.cvr_texts(s)
 
 

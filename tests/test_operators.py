@@ -87,8 +87,9 @@ def test_agglomerate(spark):
 
 def test_outliers_go_on_while_flagged(spark):
     df = spark.createDataFrame([("g", float(x), i) for i, x in enumerate([100, 99, 10, 9, 8])], "g string, e double, id int")
-    got = {r.e: r.outlier for r in threshold.outliers(df, ["g"], "e", ["id"], 1).collect()}
+    got = {r.e: r.outlier for r in threshold.outliers(df, ["g"], "e", ["id"], 2).collect()}
     assert got == {100.0: True, 99.0: True, 10.0: False, 9.0: False, 8.0: False}
+    assert not any(r.outlier for r in threshold.outliers(df, ["g"], "e", ["id"], 1).collect())  # one value ahead: 99 is near 100
 
 
 def test_clusters(spark):
