@@ -141,8 +141,12 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     for _ in range(most_rounds):
         # large star: u's greater neighbours go to the least of u and its neighbours
         both = e.select(F.col("a").alias("u"), "b").unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("b")))
-        least = written(both.groupBy("u").agg(F.least("u", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n")), f"{name}_least")
-        large = written(spread_join(both.where("b > u"), least, ["u"], "n", crowd).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), name)
+        least = both.groupBy("u").agg(F.least("u", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+        hubs = least.agg(F.max("n")).first()[0] or 0
+        least = written(least, f"{name}_least") if hubs > crowd else least.drop("n")
+        upward = both.where("b > u")
+        met = spread_join(upward, least, ["u"], "n", crowd) if hubs > crowd else upward.join(least, "u")
+        large = written(met.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), name)
         # small star: u and its smaller neighbours go to the least of them (edges point to the smaller node)
         lower = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(lower, large.a == lower.u).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()

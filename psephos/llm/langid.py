@@ -54,7 +54,6 @@ def learn_text(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple
     """(languages, log P(bucket | language)) from all documents with a language; one number per language and bucket, 128 KB a language, comes to the driver and to each worker."""
     rows = docs.where(F.col(lang).isNotNull()).select(F.lower(F.col(lang)).alias("lang"), F.col(text).alias("text"))
     found = rows.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = written(found, "trigrams")
     langs = [r.lang for r in rows.select("lang").distinct().orderBy("lang").collect()]
     counts = np.full((len(langs), _BUCKETS), 0.5)
     cells = found.toArrow()
@@ -132,7 +131,7 @@ def identify(pages: DataFrame, docs: DataFrame, tempering: float = 0.3, weight:
     domains = hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), *[F.sum(c).alias(c) for c in of]).join(suffixes, "suffix")
     domains = smoothed(domains, F.col("suffix_p"), "domain_p").select("domain", "domain_p")
     priors = hosts.join(domains, "domain").select("host", "pages", F.array(*of).alias("host_n"), sum((F.col(c) for c in of), F.lit(0)).alias("host_all"), "domain_p")
-    joined = spread_join(scored, written(priors, "hosts"), ["host"], "pages", CROWD)
+    joined = spread_join(scored, priors, ["host"], "pages", CROWD)
     for column in ("said", "mark"):
         joined = joined.join(believed(column), F.col(column).eqNullSafe(F.col(f"_{column}"))).drop(f"_{column}")
     joined = joined.withColumn("own", F.coalesce(F.array_position(names, F.col("text_lang")) - 1, F.lit(-1))).withColumn("total", F.col("host_all") - F.when(F.col("own") >= 0, 1).otherwise(0) + weight)

@@ -241,19 +241,26 @@ def proposed(sketches: DataFrame, words: list[str], radius: int, most: int, segm
     return linked(sketches.select(keys, "node", *[w for w in words if w != "node"]), words, Near(most), BLOCK, name, F.lit(1))
 
 
-def with_sketches(docs: DataFrame, shingle: int, names: list[str], text: str) -> DataFrame:
-    """docs with each text's sketch as long columns `names`: one, of the shingles with repeats; several, those of set_sketch."""
+#: Texts whose sketches, and sets, leave a worker at once.
+_AT_ONCE = 1024
+
+
+def with_sketches(docs: DataFrame, shingle: int, names: list[str], text: str, keep: bool = True) -> DataFrame:
+    """docs with each text's sketch as long columns `names`: one, of the shingles with repeats; several, those of set_sketch.  The text itself goes unless `keep`."""
+    rest = [c for c in docs.columns if keep or c != text]
 
     def run(batches):
-        for b in batches:
-            texts = b.column(b.schema.get_field_index(text)).cast(pa.large_binary())
-            rows = [sketch(t.as_py(), shingle) if len(names) == 1 else set_sketch(shingle_set(t.as_py(), shingle), len(names) - 1) for t in texts]
-            s = np.array(rows, np.uint64).reshape(-1, len(names)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(np.ascontiguousarray(s[:, k])) for k in range(len(names))]], names=[*b.schema.names, *names])
+        for whole in batches:
+            for f in range(0, whole.num_rows, _AT_ONCE):
+                b = whole.slice(f, _AT_ONCE)
+                texts = b.column(b.schema.get_field_index(text)).cast(pa.large_binary())
+                rows = [sketch(t.as_py(), shingle) if len(names) == 1 else set_sketch(shingle_set(t.as_py(), shingle), len(names) - 1) for t in texts]
+                s = np.array(rows, np.uint64).reshape(-1, len(names)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in rest], *[pa.array(np.ascontiguousarray(s[:, k])) for k in range(len(names))]], names=[*rest, *names])
         give_back_memory()
 
-    kinds = [f"`{c}` {k}" for c, k in docs.dtypes]
-    return docs.mapInArrow(run, ", ".join([*kinds, *[f"`{n}` long" for n in names]]))
+    kinds = dict(docs.dtypes)
+    return docs.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in rest], *[f"`{n}` long" for n in names]]))
 
 
 def _similar_in_run(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -297,9 +304,10 @@ def confirmed(docs: DataFrame, classes: DataFrame, groups: DataFrame, shingle: i
     own = narrow.join(few_or_join(ids, reps.count()), F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("_text")
 
     def run(batches):
-        for b in batches:
-            x = [shingle_set(t.as_py(), shingle) for t in b.column(0).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([pa.array([int(set_sketch(h, 0)[0].view(np.int64)) for h in x], pa.int64()), pa.array([h.tobytes() for h in x], pa.binary())], names=["set_id", "hashes"])
+        for whole in batches:
+            for f in range(0, whole.num_rows, _AT_ONCE):
+                x = [shingle_set(t.as_py(), shingle) for t in whole.column(0).slice(f, _AT_ONCE).cast(pa.large_binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([int(set_sketch(h, 0)[0].view(np.int64)) for h in x], pa.int64()), pa.array([h.tobytes() for h in x], pa.binary())], names=["set_id", "hashes"])
         give_back_memory()
 
     sets = own.mapInArrow(run, "set_id long, hashes binary").join(reps.select("set_id", "node", F.col("root").alias("key")), "set_id").select("key", "node", "hashes").dropDuplicates(["node"])
@@ -320,7 +328,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, words: i
     sketched = [f"w{k}" for k in range(words)]
     all_words = [*sketched, f"w{words}"] if sets else sketched
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    prints = written(with_sketches(narrow, shingle, all_words, "_text").drop("_text"), "fingerprints")
+    prints = written(with_sketches(narrow, shingle, all_words, "_text", keep=False), "fingerprints")
     node = F.xxhash64(*all_words) if sets else F.col("w0")
     classes = written(prints.groupBy(*all_words).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("node", node), "classes")
     groups = proposed(classes.select("node", *(all_words if sets else [])), sketched if sets else ["node"], radius, radius if most is None else most, segments)
