@@ -19,4 +19,5 @@ QUERIES = {
 SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op2_url_filter": url_filter.OP2_SQL,
+    "op5_embedding_near_dedup": embeddings.OP5_SQL,
 }
