@@ -91,10 +91,11 @@ def pca(vectors: DataFrame, n: int, vector: str = "embedding") -> DataFrame:
     return PCA(k=n, inputCol="_v", outputCol="_p").fit(data).transform(data).withColumn("components", vector_to_array("_p")).drop("_v", "_p")
 
 
-def kmeans_in_groups(vectors: DataFrame, group: str, k: int, key: str, vector: str = "embedding", rounds: int = 200) -> DataFrame:
+def kmeans_in_groups(vectors: DataFrame, group: str, k: int, key: str, vector: str = "embedding", rounds: int = 200, most: int = 75_000) -> DataFrame:
     """k-means within each group, for vectors that may hold NaN: means and distances take the components that are there.
 
     Seeds are spread over the group in key order; an empty cluster gets the vector farthest from its own centre; groups no larger than k split evenly.
+    Groups of `most` or more are cut along the key into parts of `most`, which are clustered each (clusters k to 2k - 1 are of the second part, and so on).
     """
     def run(key_: tuple, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(key)
@@ -114,14 +115,14 @@ def kmeans_in_groups(vectors: DataFrame, group: str, k: int, key: str, vector: s
                     break
                 assign = new
                 centres = np.array([np.nanmean(x[assign == c], axis=0) for c in range(k)])
-        return pd.DataFrame({group: key_[0], key: own[key].to_numpy(), "cluster": assign})
+        return pd.DataFrame({group: key_[0], key: own[key].to_numpy(), "cluster": assign + k * key_[1]})
 
     kinds = dict(vectors.dtypes)
-    return vectors.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long")
+    return trimmed(vectors, [group], [key], most).groupBy(group, "part").applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long")
 
 
-def kmedoids_in_groups(vectors: DataFrame, group: str, k: int, key: str, vector: str = "embedding", rounds: int = 200) -> DataFrame:
-    """k-medoids on the distance matrix of each group (groups are cut to a bounded size before)."""
+def kmedoids_in_groups(vectors: DataFrame, group: str, k: int, key: str, vector: str = "embedding", rounds: int = 200, most: int = 10_000) -> DataFrame:
+    """k-medoids on the distance matrix of each group; groups of `most` or more are cut as in kmeans_in_groups, which bounds the matrix (800 MB)."""
     def run(key_: tuple, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(key)
         x = np.array(own[vector].tolist(), float)
@@ -133,10 +134,10 @@ def kmedoids_in_groups(vectors: DataFrame, group: str, k: int, key: str, vector:
             if (new == medoids).all():
                 break
             medoids = new
-        return pd.DataFrame({group: key_[0], key: own[key].to_numpy(), "cluster": d[:, medoids].argmin(axis=1), "medoid": own[key].to_numpy()[medoids[d[:, medoids].argmin(axis=1)]]})
+        return pd.DataFrame({group: key_[0], key: own[key].to_numpy(), "cluster": d[:, medoids].argmin(axis=1) + k * key_[1], "medoid": own[key].to_numpy()[medoids[d[:, medoids].argmin(axis=1)]]})
 
     kinds = dict(vectors.dtypes)
-    return vectors.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long, medoid {kinds[key]}")
+    return trimmed(vectors, [group], [key], most).groupBy(group, "part").applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long, medoid {kinds[key]}")
 
 
 def split_mid(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -100,6 +100,8 @@ def test_clusters(spark):
     for fn in (cluster.kmeans_in_groups,):
         out = {r.vec_id: r.cluster for r in fn(df, "label", 2, "vec_id").collect()}
         assert len(out) == 40 and len({(i % 2, c) for i, c in out.items()}) == 2
+    parts = {r.vec_id: r.cluster for r in cluster.kmeans_in_groups(df, "label", 2, "vec_id", most=16).collect()}
+    assert {i: c // 2 for i, c in parts.items()} == {i: i // 16 for i in range(40)} and len({(i % 2, c) for i, c in parts.items()}) == 6
     whole = df.where("vec_id <> 3")
     out = {r.vec_id: r.cluster for r in cluster.kmedoids_in_groups(whole, "label", 2, "vec_id").collect()}
     assert len({(i % 2, c) for i, c in out.items()}) == 2
