@@ -138,6 +138,8 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     first = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     e = written(first.mapInArrow(_contract, "a long, b long").distinct(), name)
     was = _digest(e)
+    if not was.n:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(most_rounds):
         # large star: u's greater neighbours go to the least of u and its neighbours
         both = e.select(F.col("a").alias("u"), "b").unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("b")))

@@ -41,7 +41,7 @@ def test_mixed_keeps_rows_and_columns(spark):
     assert abs(sum(len((r.text or "").split()) for r in rows) / (1.5 * sum(len((t or "").split()) for _, t, _ in docs())) - 1) < 0.1
 
 
-URLS = [(1, "http://a.com/en/1"), (2, "http://A.EXAMPLE.com/en/77?x"), (3, "https://example.net/de/8#x"), (4, "x://example.net/de/"), (5, "http://xexample.net/de/8"), (6, None), (7, "no scheme"), (8, "http://a.com"), (9, "http://b.org/es/"), (10, "http://b.org/"), (1, "http://a.com/en/1"), (11, "://://c.com/en/"), (12, "http://a.com/zz\n/q")]
+URLS = [(1, "http://a.com/en/1"), (2, "http://A.EXAMPLE.com/en/77?x"), (3, "https://example.net/de/8#x"), (4, "x://example.net/de/"), (5, "http://xexample.net/de/8"), (6, None), (7, "no scheme"), (8, "http://a.com"), (9, "http://b.org/es/"), (10, "http://b.org/"), (1, "http://a.com/en/1"), (11, "://://c.com/en/"), (12, "http://a.com/zz\n/q"), (13, "http://" + "long." * 5000 + "com/en/" + "x" * 50_000)]
 
 
 def brute_rule(host, path):
