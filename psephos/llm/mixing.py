@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from psephos.llm.common import free_name, n_words, table, written
+from psephos.llm.common import few_or_join, free_name, n_words, table, written
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -38,9 +38,24 @@ def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "so
     Null text or size counts 0 words; such documents take 0.  Null is a source of its own.  Rows with equal
     ids are documents of their own, one after another.  Other columns are ignored.  An empty table gives no rows.
     """
+    part = F.greatest(F.lit(0).cast("long"), F.least("size", "left"))
+    if whole:
+        part = F.when(F.col("left") * 2 > F.col("size"), F.col("size")).otherwise(F.lit(0))
+    placed = _placed(docs, size, doc_id, source, weights, share, most, seed, in_range)
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size") + part).cast("long").alias("taken"))
+
+
+def _keys(doc_id: str, source: str, seed: str) -> tuple[Column, Column]:
+    """A document's hash-random key and the name of its source, which is never null."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"), key.alias("key"))
-    rows = written(rows.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))), "mix")
+    return key, F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("-"))
+
+
+def _placed(docs: DataFrame, size: Column, doc_id: str, source: str, weights: tuple[float, ...], share: float, most: float, seed: str, in_range: int) -> DataFrame:
+    """skey, key, doc_id, size, source_size, target, times, left: how often a source is taken whole, and what its budget has left beyond that before each document in key order."""
+    key, skey = _keys(doc_id, source, seed)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"), key.alias("key"), skey.alias("skey"))
+    rows = written(rows, "mix")
     bits = min(32, max(4, (rows.count() // in_range).bit_length()))
     rows = rows.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - bits))
     sums = rows.groupBy("skey", "range").agg(F.sum("size").alias("in_range"), F.first("source").alias("source"))
@@ -51,32 +66,35 @@ def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "so
     within = Window.partitionBy("skey", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(ranges, ["skey", "range"]).withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    left = F.floor(F.col("target") - times * F.col("source_size")) - F.col("before")
-    part = F.when(left * 2 > F.col("size"), F.col("size")).otherwise(F.lit(0)) if whole else F.greatest(F.lit(0).cast("long"), F.least("size", left))
-    return placed.select("doc_id", "size", "source_size", "target", (times * F.col("size") + part).cast("long").alias("taken"))
+    placed = placed.withColumn("times", times).withColumn("left", F.floor(F.col("target") - F.col("times") * F.col("source_size")) - F.col("before"))
+    return placed.select("skey", "key", "doc_id", "size", "source_size", "target", "times", "left")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", in_range: int = 50_000) -> DataFrame:
     """The documents of the mix, whole, each as often as it is taken; the columns stay as they are, whatever their names.
 
-    Rows that agree in doc_id and size share what they are taken together, the first ones (in no order that matters, as such rows are copies) once more than the others.
-    Documents without a word, null and empty texts among them, are never taken.  An empty table stays empty.
+    What a source takes beyond whole rounds is the start of its key order, up to a document.  So a row for each source, with that document's key, id and size, says of every text where it is read how
+    often it is taken, and no text is moved.  Of rows that agree in key, id and size with the last one, as many are taken as fit, the first by text.
+    Documents without a word, null and empty texts among them, are never taken.  A null source is a source of its own.  An empty table stays empty.
     """
-    doc_id = options.get("doc_id", "doc_id")
-    id_, size, own, times, rows, place = (free_name(docs, n) for n in ("mix_id", "mix_size", "mix_own", "mix_times", "mix_rows", "mix_place"))
-    sized = docs.withColumn(size, n_words("text"))
-    taken = mix(sized, F.col(size), whole=True, **options).where("taken > 0")
-    # rows that are not taken count as well, where others of their id and size are
-    every = sized.groupBy(F.col(doc_id).alias(id_), F.col(size).alias(own)).agg(F.count(F.lit(1)).alias(rows)).where(F.col(rows) > 1)
-    total = taken.groupBy(F.col("doc_id").alias(id_), F.col("size").alias(own)).agg(F.sum(F.floor(F.col("taken") / F.col("size"))).alias(times))
-    every = every.select(F.col(id_).alias("_i"), F.col(own).alias("_o"), rows)
-    counts = written(total.join(every, total[id_].eqNullSafe(F.col("_i")) & (total[own] == F.col("_o")), "left").select(id_, own, times, F.coalesce(rows, F.lit(1)).alias(rows)), "mix_counts")
-    same = F.col(doc_id).eqNullSafe(F.col(id_)) & (F.col(size) == F.col(own))
-    copies = lambda df: df.select(*docs.columns, F.explode(F.when(F.col(times) > 0, F.sequence(F.lit(1), F.col(times).cast("int"))).otherwise(F.array().cast("array<int>"))).alias(times)).select(*docs.columns)
-    alone = sized.join(counts.where(F.col(rows) == 1), same)
-    shared = sized.join(counts.where(F.col(rows) > 1), same).withColumn(place, F.row_number().over(Window.partitionBy(id_, own).orderBy("text")))
-    shared = shared.withColumn(times, F.floor(F.col(times) / F.col(rows)) + (F.col(place) <= F.col(times) % F.col(rows)).cast("long"))
-    return copies(alone).unionByName(copies(shared))
+    size, key_, skey_, id_, times, place = (free_name(docs, n) for n in ("mix_size", "mix_key", "mix_source", "mix_id", "mix_times", "mix_place"))
+    sized = docs.withColumn(size, n_words(text))
+    placed = written(_placed(sized, F.col(size), doc_id, source, weights, share, most, seed, in_range), "mix_placed")
+    more = (F.col("left") * 2 > F.col("size")) & (F.col("size") > 0)
+    at = F.struct("key", "doc_id", "size")
+    plan = placed.groupBy("skey").agg(F.max("times").alias("_times"), F.max(F.when(more, at)).alias("_last"))
+    plan = written(plan, "mix_plan")
+    sources = plan.count()
+    last = placed.join(few_or_join(plan, sources), "skey").where(at == F.col("_last")).groupBy("skey").agg(F.count(F.lit(1)).alias("_alike"), F.count(F.when(more, 1)).alias("_fit"))
+    plan = written(plan.join(last, "skey", "left").select(F.col("skey").alias(skey_), "_times", "_last", "_alike", "_fit"), "mix_plan")
+    key, skey = _keys(doc_id, source, seed)
+    own = F.struct(F.col(key_).alias("key"), F.col(id_).alias("doc_id"), F.col(size).alias("size"))
+    judged = sized.withColumn(key_, key).withColumn(skey_, skey).withColumn(id_, F.col(doc_id)).where(F.col(size) > 0).join(few_or_join(plan, sources), skey_)
+    on_last = F.coalesce(own == F.col("_last"), F.lit(False)) & (F.col("_alike") > 1)
+    sure = judged.where(~on_last).withColumn(times, F.col("_times") + F.coalesce((own <= F.col("_last")).cast("long"), F.lit(0)))
+    tied = judged.where(on_last).withColumn(place, F.row_number().over(Window.partitionBy(skey_).orderBy(text))).withColumn(times, F.col("_times") + (F.col(place) <= F.col("_fit")).cast("long"))
+    copies = lambda df: df.where(F.col(times) > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(times)).select(*docs.columns)
+    return copies(sure).unionByName(copies(tied))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
