@@ -14,7 +14,7 @@ from psephos.llm.tokens import span_hashes
 #: Sketches that are compared in one task at once; keys with more are dealt out in blocks of half as many.
 BLOCK = 4096
 #: Shingles that are compared in one task at once, likewise.
-SHINGLES = 1 << 21
+SHINGLES = 1 << 19
 #: Factors that make the words of a wide sketch from a shingle's hash.
 _WORDS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 2**64) for k in range(16)], np.uint64)
 
@@ -301,7 +301,8 @@ def confirmed(docs: DataFrame, classes: DataFrame, groups: DataFrame, shingle: i
     reps = written(classes.select("node", F.col("least").alias("_id"), F.col(set_id).alias("set_id")).join(members, "node"), "proposed")
     ids = reps.select("_id").distinct()
     narrow = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text"))
-    own = narrow.join(few_or_join(ids, reps.count()), F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("_text")
+    many = reps.count()
+    own = narrow.join(few_or_join(ids, many), F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("_text")
 
     def run(batches):
         for whole in batches:
@@ -310,8 +311,10 @@ def confirmed(docs: DataFrame, classes: DataFrame, groups: DataFrame, shingle: i
                 yield pa.RecordBatch.from_arrays([pa.array([int(set_sketch(h, 0)[0].view(np.int64)) for h in x], pa.int64()), pa.array([h.tobytes() for h in x], pa.binary())], names=["set_id", "hashes"])
         give_back_memory()
 
-    sets = own.mapInArrow(run, "set_id long, hashes binary").join(reps.select("set_id", "node", F.col("root").alias("key")), "set_id").select("key", "node", "hashes").dropDuplicates(["node"])
-    return linked(written(sets, "sets"), ["hashes"], Similar(least), SHINGLES, "similar", F.octet_length("hashes") / 8 + 64)
+    # the sets are not moved to find their groups: a row for each class goes where they are made; rows with the id and the set of a class are its copies and do no harm
+    named = few_or_join(reps.select("set_id", "node", F.col("root").alias("key")), many)
+    sets = written(own.mapInArrow(run, "set_id long, hashes binary").join(named, "set_id").select("key", "node", "hashes"), "sets")
+    return linked(sets, ["hashes"], Similar(least), SHINGLES, "similar", F.octet_length("hashes") / 8 + 64)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, words: int = 1, most: int | None = None, segments: int = 1, doc_id: str = "doc_id", text: str = "text", jaccard: float | None = None) -> DataFrame:
