@@ -19,14 +19,21 @@ def ranked(marks: DataFrame) -> DataFrame:
 def cut(marks: DataFrame, threshold: int) -> DataFrame:
     """One row: the mark of rank `threshold` as a struct; null if there are fewer marks.
 
-    Counts by intensity say in which bin it lies; only that bin's marks are ranked.
+    Counts by intensity, and within the intensity that holds it by runs of 4096 ballots, say in which run it lies; only that run's marks are ranked, so no other mark is moved.
     """
-    bins = marks.groupBy("intensity").agg(F.count(F.lit(1)).alias("_n"))
-    up_to = F.sum("_n").over(Window.orderBy("intensity"))  # as many rows as there are intensities
-    edge = bins.select("intensity", (up_to - F.col("_n")).alias("_before"), up_to.alias("_after")).where((F.col("_before") <= threshold) & (F.col("_after") > threshold))
-    own = marks.select(*_PLACE).join(F.broadcast(edge.select("intensity", "_before")), "intensity")  # one row
-    found = global_rank(own, [F.shiftright("ballot_id", 12)], ["ballot_id", "page", "target_id"])
-    return found.where(F.col("rnk") + F.col("_before") == threshold).agg(F.first(F.struct(*_PLACE)).alias("_cut"))
+    bins = marks.groupBy("intensity", F.shiftright("ballot_id", 12).alias("_run")).agg(F.count(F.lit(1)).alias("_n"))
+    first = _holding(bins.groupBy("intensity").agg(F.sum("_n").alias("_n")), "intensity", F.lit(threshold))  # as many rows as there are intensities
+    runs = bins.join(F.broadcast(first.select("intensity", "_rank")), "intensity")  # one row
+    run = _holding(runs, "_run", F.col("_rank")).select(F.col("intensity").alias("_i"), F.col("_run").alias("_r"), "_rank")
+    own = marks.select(*_PLACE).join(F.broadcast(run), (F.col("intensity") == F.col("_i")) & (F.shiftright("ballot_id", 12) == F.col("_r")))  # one row
+    placed = own.withColumn("_k", F.row_number().over(Window.orderBy(*_PLACE)) - 1)  # one intensity's marks on 4096 ballots
+    return placed.where("_k = _rank").agg(F.first(F.struct(*_PLACE)).alias("_cut"))
+
+
+def _holding(counts: DataFrame, by: str, rank: Column) -> DataFrame:
+    """The row that holds the rank-th of all that are counted (_n) in the order of `by`, with the rank within it as _rank."""
+    up_to = counts.withColumn("_to", F.sum("_n").over(Window.orderBy(by))).withColumn("_rank", rank - F.col("_to") + F.col("_n"))
+    return up_to.where("_rank >= 0 and _rank < _n").drop("_to")
 
 
 def classify(marks: DataFrame, threshold: int, wrong: DataFrame | None = None) -> DataFrame:

@@ -323,11 +323,12 @@ def _(spark, d):
     return v.read(spark, d, "part").select("p_partkey", grouping.current_label(F.split("p_name", " "), F.col("p_partkey")).alias("label"))
 
 
-@query("d26_combined_lists", "SELECT o_custkey % 50 AS k, list(o_orderkey ORDER BY o_custkey, o_orderkey) AS found FROM orders GROUP BY 1")
+@query("d26_combined_lists", "SELECT o_custkey % 50 AS k, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_custkey, o_orderkey) AS found FROM orders GROUP BY 1")
 def _(spark, d):
     """Tasks, a customer each, found lists of orders; the lists of each key on end."""
     o = v.read(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("found"))
-    return grouping.combined_lists(o.withColumn("k", F.col("o_custkey") % 50), "k", "found", ["o_custkey"])
+    lists = grouping.combined_lists(o.withColumn("k", F.col("o_custkey") % 50), "k", "found", ["o_custkey"])
+    return lists.select("k", F.array_join(F.transform("found", lambda x: x.cast("string")), ",").alias("found"))
 
 
 @query("f3_sorted_by_keys", "WITH k AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey END AS k FROM orders) SELECT l_orderkey AS o_orderkey, CAST(ROW_NUMBER() OVER (ORDER BY k, l_orderkey) - 1 AS BIGINT) AS place FROM (SELECT DISTINCT l_orderkey FROM lineitem) JOIN k ON l_orderkey = o_orderkey WHERE k IS NOT NULL")

@@ -40,10 +40,10 @@ def test_other_queries_run(name, spark, sf):
 
 def exchanges(df) -> int:
     """Shuffles of a plan before adaptive execution."""
-    return df._jdf.queryExecution().sparkPlan().getClass() and df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
 
-@pytest.mark.parametrize("name,most", [("d11_final_tally", 12), ("d13_tally_precinct_mode", 14), ("d14_tally_by_batch", 13), ("d9_contest_status", 8)])
+@pytest.mark.parametrize("name,most", [("d11_final_tally", 10), ("d13_tally_precinct_mode", 10), ("d14_tally_by_batch", 10), ("d9_contest_status", 6)])
 def test_marks_are_moved_once(name, most, spark, sf):
     """Status needs no shuffle beside the one that numbers a ballot's marks."""
     assert exchanges(QUERIES[name](spark, sf)) <= most
