@@ -124,19 +124,25 @@ def _contract(batches):
             held, n = [], 0
     if n:
         yield flush()
+    give_back_memory()
 
 
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 60, crowd: int = 1024) -> DataFrame:
+def contracted(fn):
+    """A function of batches that yields edges, and its edges contracted as they come: one worker does both."""
+    return lambda batches: _contract(fn(batches))
+
+
+def components(edges: DataFrame, name: str = "components", most_rounds: int = 60, crowd: int = 1024, contract: bool = True) -> DataFrame:
     """Connected components of an edge table with two long columns: (node, root), root the smallest node reachable.
 
     Each partition first contracts its own edges to a spanning forest; then large-star and small-star
     rounds (Kiveris et al., 2014) run until nothing changes.  Every round is a written table, so a
     lost executor costs one round; the table before it is deleted.  Neighbour minima are aggregated before the shuffle; that of a hub
-    of over `crowd` edges goes to all tasks, so its edges are not moved.  Nodes without edges are not returned.
+    of over `crowd` edges goes to all tasks, so its edges are not moved.  Nodes without edges are not returned.  contract=False: the edges' partitions are contracted already.
     """
     a, b = edges.columns
     first = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    e = written(first.mapInArrow(_contract, "a long, b long").distinct(), name)
+    e = written((first.mapInArrow(_contract, "a long, b long") if contract else first).distinct(), name)
     was = _digest(e)
     if not was.n:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

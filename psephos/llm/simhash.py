@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from psephos.llm.common import FEW, components, few_or_join, forest, free_name, give_back_memory, spread_join, table, utf8, written
+from psephos.llm.common import FEW, components, contracted, few_or_join, forest, free_name, give_back_memory, spread_join, table, utf8, written
 from psephos.llm.tokens import span_hashes
 
 #: Sketches that are compared in one task at once; keys with more are dealt out in blocks of half as many.
@@ -201,7 +201,7 @@ def linked(keyed: DataFrame, columns: list[str], compare, limit: int, name: str,
     """
     kinds, flat = "a long, b long", columns != ["hashes"]
     carried = ["node", *[c for c in columns if c != "node"]]
-    fn = _runs(compare, columns, flat)
+    fn = contracted(_runs(compare, columns, flat))
     rows = keyed.select("key", *carried)
     heavy = written(rows.groupBy("key").agg(F.sum(weight).alias("size")).where(F.col("size") > limit), f"{name}_heavy")
     many = heavy.count()
@@ -209,12 +209,12 @@ def linked(keyed: DataFrame, columns: list[str], compare, limit: int, name: str,
     met = light.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("key", *carried)
     edges = met.mapInArrow(fn, kinds)
     if not many:
-        return components(edges, name)
+        return components(edges, name, contract=False)
     dealt = lambda df: df.repartition("key").sortWithinPartitions("key").select("key", *carried).mapInArrow(fn, kinds)
     parts = F.ceil(F.col("size") * 2 / limit).cast("int")
     hot = rows.join(few_or_join(heavy, many), "key").withColumn("blocks", parts).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("size")
     hot = written(hot, f"{name}_hot")
-    found = components(edges.unionByName(dealt(hot.withColumn("key", F.xxhash64("key", "block")))), name)
+    found = components(edges.unionByName(dealt(hot.withColumn("key", F.xxhash64("key", "block")))), name, contract=False)
     at = written(hot.select("key", "node", weight.alias("weight")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), f"{name}_at")
     main = at.groupBy("key", "root").agg(F.sum("weight").alias("w")).groupBy("key").agg(F.max_by("root", F.struct("w", "root")).alias("main"))
     outside = written(at.join(few_or_join(main, many), "key").where("root <> main").select("key", "node", "weight"), f"{name}_outside")
@@ -227,7 +227,7 @@ def linked(keyed: DataFrame, columns: list[str], compare, limit: int, name: str,
     pair = lambda df, i, j: df.withColumn("key", F.xxhash64("key", i, j)).select("key", *carried)
     one = pair(few.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "other", "j")
     two = pair(all_.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1))), "i", "block")
-    return components(dealt(one.unionByName(two)).unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), name)
+    return components(dealt(one.unionByName(two)).unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), name, contract=False)
 
 
 def proposed(sketches: DataFrame, words: list[str], radius: int, most: int, segments: int = 1, name: str = "simhash") -> DataFrame:

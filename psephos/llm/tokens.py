@@ -60,6 +60,13 @@ def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return h ^ (h >> np.uint64(32))
 
 
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    """x at the start of an array of n; the rest of it takes no memory until it is used."""
+    out = np.empty(n, x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 class Encoder:
     """Encodes texts chunk by chunk; a chunk that is known needs no second encoding.
 
@@ -111,9 +118,9 @@ class Encoder:
         """New entries; their numbers."""
         n, used = self.n + len(starts), self.used + len(flat)
         if n > len(self.starts):
-            self.starts, self.lengths, self.met = (np.concatenate([x[: self.n], np.zeros(2 * n - self.n, x.dtype)]) for x in (self.starts, self.lengths, self.met))
+            self.starts, self.lengths, self.met = (_grown(x[: self.n], 2 * n) for x in (self.starts, self.lengths, self.met))
         if used > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(2 * used - self.used, np.int32)])
+            self.flat = _grown(self.flat[: self.used], 2 * used)
         own = np.arange(self.n, n)
         self.starts[own], self.lengths[own], self.met[own] = starts + self.used, lengths, True
         self.flat[self.used : used] = flat
@@ -230,7 +237,7 @@ class Encoder:
             lengths[short], offsets[short] = self.lengths[at], self.starts[at]
             lengths[long], offsets[long] = n, self.used + own
             if self.used + len(more) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(len(more) + self.used, np.int32)])
+                self.flat = _grown(self.flat[: self.used], 2 * self.used + len(more))
             self.flat[self.used : self.used + len(more)] = more  # beyond what is used: for this run only
             flat = self.flat
         else:
