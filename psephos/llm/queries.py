@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from psephos.llm import embeddings, langid, lm, mixing, packing, quality, secrets, simhash, tokens, url_filter
+from psephos.llm import codebooks, embeddings, langid, lm, mixing, packing, quality, secrets, simhash, tokens, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_lm_score": lm.op8_lm_score,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_vector_codes": codebooks.op11_vector_codes,
 }
 SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op2_url_filter": url_filter.OP2_SQL,
     "op5_embedding_near_dedup": embeddings.OP5_SQL,
+    "op11_vector_codes": codebooks.OP11_SQL,
 }
