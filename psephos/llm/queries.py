@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from psephos.llm import codebooks, embeddings, langid, lm, mixing, packing, quality, secrets, simhash, tokens, url_filter
+from psephos.llm import codebooks, divergence, embeddings, langid, lm, mixing, packing, quality, secrets, simhash, tokens, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_secret_scan": secrets.op10_secret_scan,
     "op11_vector_codes": codebooks.op11_vector_codes,
+    "op12_source_divergence": divergence.op12_source_divergence,
 }
 SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op2_url_filter": url_filter.OP2_SQL,
     "op5_embedding_near_dedup": embeddings.OP5_SQL,
     "op11_vector_codes": codebooks.OP11_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
 }
