@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from psephos.llm import codebooks, divergence, embeddings, langid, lm, mixing, packing, quality, secrets, simhash, tokens, url_filter
+from psephos.llm import chat, codebooks, divergence, embeddings, langid, lm, mixing, packing, quality, secrets, simhash, tokens, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secret_scan": secrets.op10_secret_scan,
     "op11_vector_codes": codebooks.op11_vector_codes,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_chat_format": chat.op13_chat_format,
 }
 SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
@@ -24,4 +25,5 @@ SQL = {
     "op5_embedding_near_dedup": embeddings.OP5_SQL,
     "op11_vector_codes": codebooks.OP11_SQL,
     "op12_source_divergence": divergence.OP12_SQL,
+    "op13_chat_format": chat.OP13_SQL,
 }
