@@ -996,4 +996,4 @@ def _(spark, d):
 
     return windowed_counts(v.read(spark, d, "events"), "ts", "event_type").withColumn("total", F.round("total", 4))
 
-from psephos.plans import queries_boxes, queries_more  # noqa: E402, F401  register their queries
+from psephos.plans import queries_boxes, queries_more, queries_pages  # noqa: E402, F401  register their queries
