@@ -105,29 +105,76 @@ def border(a: np.ndarray, dark: float = 0.2) -> tuple[int, int, int, int]:
     return edge(a), edge(a[::-1]), edge(a.T), edge(a.T[::-1])
 
 
+def nearest_parabola(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For columns f (n, lines): min over q of f[q] + (p - q)^2 for every p, and the q; in time in proportion to n, all lines at once.
+
+    The lower envelope of the parabolas is kept as a stack for each line (Felzenszwalb and Huttenlocher, 2012).  Infinite costs are allowed.
+    """
+    n, lines = f.shape
+    at, cost = np.arange(lines), np.where(np.isinf(f), 1e30, f)
+    top, centre, begin = np.zeros(lines, int), np.zeros((n, lines), int), np.full((n + 1, lines), np.inf)
+    begin[0] = -np.inf
+    for q in range(1, n):
+        live = at
+        meet = np.empty(lines)
+        while len(live):  # parabolas that the new one hides are taken off
+            o = centre[top[live], live]
+            meet[live] = ((cost[q, live] + q * q) - (cost[o, live] + o * o)) / (2 * (q - o))
+            live = live[meet[live] <= begin[top[live], live]]
+            top[live] -= 1
+        top += 1
+        centre[top, at], begin[top, at] = q, meet
+        begin[np.minimum(top + 1, n), at] = np.inf
+    value, which = np.empty(f.shape), np.empty(f.shape, int)
+    now = np.zeros(lines, int)
+    for p in range(n):
+        while (on := begin[now + 1, at] < p).any():
+            now += on
+        which[p] = centre[now, at]
+        value[p] = f[which[p], at] + (p - which[p]) ** 2
+    return value, which
+
+
 def distance_transform(cost: np.ndarray) -> np.ndarray:
     """Generalised squared distance transform in two dimensions: min over q of cost(q) + |p - q|^2."""
-    def one(f):
-        q = np.arange(f.shape[0])
-        return (f[None, :, :] + ((q[:, None] - q[None, :]) ** 2)[:, :, None]).min(axis=1)
-
-    return one(one(cost).T).T
+    return nearest_parabola(nearest_parabola(cost)[0].T)[0].T
+
+
+def best_behind(gain: np.ndarray, space: float, stiffness: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each x: max over y < x of gain[y] - stiffness * (x - y - space)^2, and the y (-inf and 0 for the first).
+
+    Parabolas join the envelope as x passes them, so that none counts before its place; each joins and leaves once.
+    """
+    cost = (-np.asarray(gain, float) / stiffness).tolist()
+    out, who, stack, begin, at = [np.inf], [0], [], [], 0
+    for x in range(1, len(cost)):
+        new, meet = x - 1, -np.inf
+        while stack:
+            old = stack[-1]
+            meet = ((cost[new] - cost[old]) / (new - old) + new + old + 2 * space) / 2
+            if meet > begin[-1]:
+                break
+            stack.pop(), begin.pop()
+            meet = -np.inf
+        stack.append(new), begin.append(meet)
+        at = min(at, len(stack) - 1)
+        while at + 1 < len(stack) and begin[at + 1] < x:
+            at += 1
+        out.append(cost[stack[at]] + (x - stack[at] - space) ** 2)
+        who.append(stack[at])
+    return -stiffness * np.array(out), np.array(who)
 
 
 def digit_rows(image: np.ndarray, digits: dict[str, np.ndarray], n: int, space: int, stiffness: float = 0.01) -> tuple[str, list[int]]:
-    """Reads n digits in a row: each place's score by cross-correlation, gaps near `space` by a quadratic cost, best chain by dynamic programming."""
+    """Reads n digits in a row: each place's score by cross-correlation, gaps near `space` by a quadratic cost, best chain by dynamic programming, linear in the row's width."""
     names = sorted(digits)
     score = np.stack([ncc_map(image, digits[d]).max(axis=0) for d in names])
     best, which = score.max(axis=0), score.argmax(axis=0)
-    width = len(best)
-    x = np.arange(width)
-    gap = x[None, :] - x[:, None]
-    link = np.where(gap > 0, -stiffness * (gap - space) ** 2, -np.inf)
     total, back = best.copy(), []
     for _ in range(n - 1):
-        t = total[:, None] + link
-        back.append(t.argmax(axis=0))
-        total = t.max(axis=0) + best
+        behind, who = best_behind(total, space, stiffness)
+        back.append(who)
+        total = behind + best
     at = [int(total.argmax())]
     for b in reversed(back):
         at.append(int(b[at[-1]]))

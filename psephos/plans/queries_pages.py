@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from psephos.operators import align, patches, pixels, strokes
+from psephos.operators import align, digits, patches, pixels, strokes
 from psephos.plans import views as v
 from psephos.plans.queries import long, query
 
@@ -150,3 +150,41 @@ def _(spark, d):
         return scanned(pixels.affine(words, pixels.rigid(0, 0, (k % 33 - 16) / 4, page.shape), 1.0), k, 0.08)
 
     return patches.map_patch(drawn(suppliers(spark, d).select("s_suppkey"), draw, "s_suppkey"), lambda a: {"angle": round(align.hough_angle(a, most=4.5) * 4) / 4}, "angle double")
+
+
+@query("o28_numbers_on_pages", "SELECT s_suppkey, lpad(CAST(s_suppkey * 7919 % 1000000 AS VARCHAR), 6, '0') AS number, CAST(18 + s_suppkey % 5 AS INT) AS x, CAST(27 + s_suppkey % 9 AS INT) AS y FROM supplier")
+def _(spark, d):
+    """Six-digit numbers some pixels off their box, on pages with a black border, every other one upside down: the digits and where the first one stands."""
+    from psephos.plans.queries_more import glyphs
+
+    signs = glyphs()
+
+    def draw(k, code):
+        a = np.ones((76, 130))
+        for i, c in enumerate(code):
+            x, y = 18 + k % 5 + 10 * i, 27 + k % 9
+            a[y : y + 8, x : x + 6] = signs[c]
+        a = np.pad(scanned(a, k), ((k % 4, 0), (k % 3, 0)))
+        return pixels.flip(a) if k % 2 else a
+
+    s = suppliers(spark, d).select("s_suppkey", F.lpad((F.col("s_suppkey") * 7919 % 1000000).cast("string"), 6, "0").alias("code"), (F.col("s_suppkey") % 2 == 1).alias("turned"))
+    found = digits.numbers(drawn(s, draw, "s_suppkey", "code"), "s_suppkey", signs, 6, 10, (18, 28, 82, 40), "turned")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "digit"))), lambda z: z["digit"]), "")
+    first = found.groupBy("s_suppkey").agg(joined.alias("number"), F.min(F.struct("place", "x", "y")).alias("at"))
+    border = F.col("s_suppkey")
+    return first.select("s_suppkey", "number", (F.col("at.x") - border % 3).cast("int").alias("x"), (F.col("at.y") - border % 4).cast("int").alias("y"))
+
+
+@query("j7_labels_by_halving", "SELECT s_suppkey, 'a' || s_suppkey % 8 AS label, 20 + s_suppkey % 7 AS x, 14 + s_suppkey % 5 AS y, 15::BIGINT AS correlations, 'ok' AS status FROM supplier")
+def _(spark, d):
+    """One of eight patterns some pixels from its box: told from the others with 15 correlations instead of 32."""
+    rng = np.random.default_rng(4)
+    signs = {f"a{k}": pixels.resize(rng.random((7, 7)), (24, 28)) for k in range(8)}
+
+    def draw(k):
+        a = np.ones((60, 70))
+        a[14 + k % 5 : 38 + k % 5, 20 + k % 7 : 48 + k % 7] = signs[f"a{k % 8}"]
+        return scanned(a, k)
+
+    pages = drawn(suppliers(spark, d).select("s_suppkey"), draw, "s_suppkey")
+    return digits.attributes_by_halving(pages, signs, (20, 14, 48, 38)).select("s_suppkey", "label", "x", "y", "correlations", "status")
