@@ -206,3 +206,38 @@ def multibox(contests: DataFrame, boxes: DataFrame, on: str) -> DataFrame:
     """on, n, multibox: how many boxes a contest has, and whether it goes on in another."""
     n = boxes.groupBy(on).agg(F.count(F.lit(1)).alias("n"))
     return contests.select(on).join(n, on, "left").select(on, F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) > 1).alias("multibox"))
+
+
+def multibox_pairs(boxes: DataFrame, order: DataFrame, known: DataFrame, most: float = 0.2) -> DataFrame:
+    """Pairs of boxes that are, on their ballot, what a known pair is on its own: one contest that goes on in a second box.
+
+    boxes: ballot, box, texts (the title, then the choices); order: ballot, a, b, the pairs of boxes that may follow each other; known: ballot, a, b.  The texts of both boxes on end are compared
+    with a known pair's, under the best rotation, if they are as many; a pair nearer than `most` is returned once for each known pair it matches: ballot, a, b, known_ballot, known_a, known_b,
+    distance, turn (from which place the pair's choices are to be read to follow the known one's).  Texts that are the same on many ballots are compared once; the number of texts is the index.
+    """
+    from psephos.sources.io import written
+
+    def with_texts_of(pairs):
+        own = pairs.select("ballot", "a", "b").distinct()
+        for side in ("a", "b"):
+            own = own.join(boxes.select("ballot", F.col("box").alias(side), F.col("texts").alias(f"_{side}")), ["ballot", side])
+        return own.select("ballot", "a", "b", F.concat("_a", "_b").alias("texts")).withColumn("key", F.xxhash64("texts"))
+
+    pairs, models = written(with_texts_of(order), "pairs"), written(with_texts_of(known), "known_pairs")
+    unlike = pairs.select("key", "texts", F.size("texts").alias("n")).distinct()
+    wanted = models.select(F.col("key").alias("known_key"), F.col("texts").alias("known_texts"), F.size("texts").alias("n")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= 10_000 else wanted  # decisions of people: few; else by a shuffle
+    title, choices = (lambda c: F.get(c, F.lit(0))), (lambda c: F.slice(c, 2, F.size(c)))
+    d = rotation_distance(title(F.col("known_texts")), title(F.col("texts")), choices(F.col("known_texts")), choices(F.col("texts")))
+    total = F.transform(rotations(choices(F.col("texts"))), lambda r: F.aggregate(F.zip_with(choices(F.col("known_texts")), r, lambda x, y: F.levenshtein(x, y)), F.lit(0), lambda s, x: s + x))
+    turn = (F.array_position(total, F.array_min(total)) - 1).cast("int")
+    near = unlike.join(wanted, "n").where(F.col("n") > 1).select("key", "texts", "known_key", "known_texts", d.alias("distance"), turn.alias("turn")).where(F.col("distance") < most)
+    named = models.select(F.col("ballot").alias("known_ballot"), F.col("a").alias("known_a"), F.col("b").alias("known_b"), F.col("key").alias("known_key"), F.col("texts").alias("known_texts"))
+    found = pairs.join(near, ["key", "texts"]).join(named, ["known_key", "known_texts"])
+    return found.select("ballot", "a", "b", "known_ballot", "known_a", "known_b", "distance", "turn")
+
+
+def merged_boxes(boxes: DataFrame, found: DataFrame) -> DataFrame:
+    """boxes with the box each one belongs to (`into`): the second box of a pair goes into the first; a box that is in no pair stays."""
+    second = found.groupBy("ballot", F.col("b").alias("box")).agg(F.min("a").alias("into"))
+    return boxes.join(second, ["ballot", "box"], "left").withColumn("into", F.coalesce("into", "box"))

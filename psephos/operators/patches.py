@@ -33,24 +33,33 @@ def from_array(df: DataFrame, column: str, width: int, to: str = "patch") -> Dat
     return df.mapInPandas(run, f"{kinds}, `{to}` {PATCH}")
 
 
-def map_patch(df: DataFrame, fn: Callable[[np.ndarray], dict], schema: str, patch: str = "patch") -> DataFrame:
-    """df without the patch, with the columns that fn makes of it; a patch that fails gives status 'err' and nulls instead of ending the job."""
+#: What images that are not as they should be raise; other errors are the function's own and end the job.
+BAD_IMAGE = (ValueError, ArithmeticError, LookupError, np.linalg.LinAlgError)
+
+
+def map_patch(df: DataFrame, fn: Callable[[np.ndarray], dict], schema: str, patch: str = "patch", message: str | None = None) -> DataFrame:
+    """df without the patch, with the columns that fn makes of it; a bad image (or none) gives status 'err' and nulls instead of ending the job, and what was wrong in the column `message`, if it is named."""
     names = [c.split()[0] for c in schema.split(", ")]
     rest = [c for c in df.columns if c != patch]
+    last = ["status", *([message] if message else [])]
 
     def run(it):
         for pdf in it:
             rows = []
             for p in pdf[patch]:
                 try:
-                    rows.append({**fn(unpack(p)), "status": "ok"})
-                except Exception:  # one bad image is a row of its own kind
-                    rows.append({"status": "err"})
-            made = pd.DataFrame(rows, columns=[*names, "status"])
+                    if p is None:
+                        raise ValueError("no image")
+                    found = fn(unpack(p))
+                    rows.append((*(found.get(n) for n in names), "ok", None))
+                except BAD_IMAGE as e:  # one bad image is a row of its own kind
+                    rows.append((*(None for _ in names), "err", f"{type(e).__name__}: {e}"))
+            columns = list(zip(*rows)) if rows else [()] * (len(names) + 2)
+            made = pd.DataFrame({n: pd.Series(list(c), dtype=None if None not in c else object) for n, c in zip([*names, *last], columns)})
             yield pd.concat([pdf[rest].reset_index(drop=True), made], axis=1)
 
     kinds = dict(df.dtypes)
-    return df.mapInPandas(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in rest], schema, "status string"]))
+    return df.mapInPandas(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in rest], schema, *[f"{c} string" for c in last]]))
 
 
 def match_exemplars(df: DataFrame, exemplars: dict[str, np.ndarray]) -> DataFrame:

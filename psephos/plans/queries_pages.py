@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from psephos.operators import align, digits, patches, pixels, strokes
+from psephos.operators import align, contests, digits, edges, patches, pixels, strokes
 from psephos.plans import views as v
 from psephos.plans.queries import long, query
 
@@ -188,3 +188,50 @@ def _(spark, d):
 
     pages = drawn(suppliers(spark, d).select("s_suppkey"), draw, "s_suppkey")
     return digits.attributes_by_halving(pages, signs, (20, 14, 48, 38)).select("s_suppkey", "label", "x", "y", "correlations", "status")
+
+
+def _at(dy: int, dx: int) -> str:
+    return f"e[LEAST(GREATEST(y + {dy}, 0), 7) * 8 + LEAST(GREATEST(x + {dx}, 0), 7) + 1]"
+
+
+GX, GY = (" + ".join(f"{k} * ({_at(*(d, 1) if along else (1, d))} - {_at(*(d, -1) if along else (-1, d))})" for d, k in ((-1, 1), (0, 2), (1, 1))) for along in (True, False))
+
+
+@query(
+    "o26_edges",
+    f"""WITH RECURSIVE i AS (SELECT vec_id, embedding::DOUBLE[] AS e, p // 8 AS y, p % 8 AS x FROM embeddings, range(64) r(p)),
+g AS MATERIALIZED (SELECT vec_id, y, x, {GX} AS gx, {GY} AS gy FROM i),
+s AS MATERIALIZED (SELECT vec_id, y, x, sqrt(gx * gx + gy * gy) AS s, (CAST(ROUND(atan2(gy, gx) * 4 / pi()) AS INT) % 4 + 4) % 4 AS k FROM g),
+w AS (SELECT *, CASE WHEN k = 2 THEN 0 WHEN k = 3 THEN -1 ELSE 1 END AS dx, CASE WHEN k = 0 THEN 0 ELSE 1 END AS dy FROM s),
+r AS MATERIALIZED (SELECT w.vec_id, w.y, w.x, w.s FROM w LEFT JOIN s a ON a.vec_id = w.vec_id AND a.y = w.y + dy AND a.x = w.x + dx LEFT JOIN s b ON b.vec_id = w.vec_id AND b.y = w.y - dy AND b.x = w.x - dx
+ WHERE w.s > 0.5 AND w.s >= COALESCE(a.s, -1) AND w.s > COALESCE(b.s, -1)),
+f AS (SELECT vec_id, y, x FROM r WHERE s > 0.9 UNION SELECT r.vec_id, r.y, r.x FROM f JOIN r ON r.vec_id = f.vec_id AND abs(r.y - f.y) <= 1 AND abs(r.x - f.x) <= 1)
+SELECT e.vec_id, CAST(COUNT(f.y) AS BIGINT) AS n_edge, CAST(COALESCE(SUM(f.y * 8 + f.x), 0) AS BIGINT) AS places FROM embeddings e LEFT JOIN f ON e.vec_id = f.vec_id GROUP BY e.vec_id""",
+)
+def _(spark, d):
+    """Vectors as images of 8 by 8: how many pixels their edges have, and the sum of these pixels' places."""
+    images = patches.from_array(v.read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x")), "x", 8).drop("x")
+
+    def found(a):
+        at = np.flatnonzero(edges.edges(a, 0.5, 0.9, 0))
+        return {"n_edge": len(at), "places": int(at.sum())}
+
+    return patches.map_patch(images, found, "n_edge long, places long").drop("status")
+
+
+PAIRED = "bx AS (SELECT p_partkey AS ballot, ['Measure ' || p_partkey % 3, p_name, p_brand, 'goes on', p_type, 'Size ' || p_size] AS t FROM part)"
+
+
+@query(
+    "i12_multibox_pairs",
+    f"""WITH {PAIRED}, k AS (SELECT ballot AS known_ballot, t AS u FROM bx WHERE ballot <= 3),
+d AS (SELECT ballot, known_ballot, (levenshtein(t[1], u[1]) + list_min(list_transform(range(5), lambda r: list_sum(list_transform(range(5), lambda j: levenshtein(u[j + 2], t[(j + r) % 5 + 2])))))) / (len(array_to_string(t, '')) + len(array_to_string(u, ''))) AS distance FROM bx, k)
+SELECT ballot, known_ballot, 0::BIGINT AS a, 1::BIGINT AS b, ROUND(distance, 6) AS distance FROM d WHERE distance < 0.2""",
+)
+def _(spark, d):
+    """Measures in two boxes: those on all ballots that read like one of the three known ones."""
+    p = v.read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("ballot"), F.array(F.concat(F.lit("Measure "), (F.col("p_partkey") % 3).cast("string")), "p_name", "p_brand").alias("first"), F.array(F.lit("goes on"), F.col("p_type"), F.concat(F.lit("Size "), F.col("p_size").cast("string"))).alias("second"))
+    box = lambda k, c: p.select("ballot", F.lit(k).cast("long").alias("box"), F.col(c).alias("texts"))
+    order = p.select("ballot", F.lit(0).cast("long").alias("a"), F.lit(1).cast("long").alias("b"))
+    found = contests.multibox_pairs(box(0, "first").unionByName(box(1, "second")), order, order.where("ballot <= 3"))
+    return found.select("ballot", "known_ballot", "a", "b", F.round("distance", 6).alias("distance"))
