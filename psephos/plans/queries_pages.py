@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from psephos.operators import align, contests, digits, edges, patches, pixels, strokes
 from psephos.plans import views as v
 from psephos.plans.queries import long, query
+from psephos.sources import io, tiff
 
 
 def drawn(df: DataFrame, draw, *columns: str, at_once: int = 8) -> DataFrame:
@@ -235,3 +237,22 @@ def _(spark, d):
     order = p.select("ballot", F.lit(0).cast("long").alias("a"), F.lit(1).cast("long").alias("b"))
     found = contests.multibox_pairs(box(0, "first").unionByName(box(1, "second")), order, order.where("ballot <= 3"))
     return found.select("ballot", "known_ballot", "a", "b", F.round("distance", 6).alias("distance"))
+
+
+@query("a3_tiff_scans", "WITH p AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) SELECT a.vec_id, CAST(COUNT(*) FILTER (WHERE a.v < b.v) AS BIGINT) AS n_dark, CAST(COALESCE(SUM(a.i * 64 + b.i) FILTER (WHERE a.v < b.v), 0) AS BIGINT) AS places, 'ok' AS status FROM p a JOIN p b ON a.vec_id = b.vec_id GROUP BY a.vec_id")
+def _(spark, d):
+    """Which component is less than which, as a scan of two levels in a TIFF file coded by runs, read back: how many pixels are dark, and the sum of their places."""
+    def write(it):
+        for pdf in it:
+            scans = [tiff.scan(np.less.outer(x, x)) for x in (np.asarray(x, float) for x in pdf["x"])]
+            yield pd.DataFrame({"image_path": pdf["vec_id"].astype(str) + ".tif", "content": scans})
+
+    vectors = v.read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    read = io.grey_images(vectors.mapInPandas(write, "image_path string, content binary"))
+
+    def dark(a):
+        at = np.flatnonzero(a == 0)
+        return {"n_dark": len(at), "places": int(at.sum())}
+
+    found = patches.map_patch(read.drop("status"), dark, "n_dark long, places long")
+    return found.select(F.split("image_path", r"\.")[0].cast("long").alias("vec_id"), "n_dark", "places", "status")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from psephos.functions.paths import is_image
+from psephos.sources.tiff import tiff
 
 
 def list_images(spark: SparkSession, root: str) -> DataFrame:
@@ -30,7 +31,12 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
 
 
 def decoded(content: bytes) -> np.ndarray:
-    """A grey image (0 to 255) from PNG (8 bits, not interlaced), binary PGM and PPM, or uncompressed BMP with 8 or 24 bits; colours by the usual weights.  ValueError for anything else."""
+    """A grey image (0 to 255) from PNG (8 bits, not interlaced), TIFF (see psephos.sources.tiff), binary PGM and PPM, or uncompressed BMP with 8 or 24 bits; colours by the usual weights.
+
+    ValueError for anything else.
+    """
+    if content[:4] in (b"II*\0", b"MM\0*"):
+        return tiff(content)
     if content[:8] == b"\x89PNG\r\n\x1a\n":
         return _png(content)
     if content[:2] in (b"P5", b"P6"):
