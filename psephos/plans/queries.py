@@ -692,7 +692,7 @@ def _(spark, d):
     return threshold.histogram(v.marks(spark, d)).select("intensity", "n")
 
 
-GAUSS = f"""h AS (SELECT CAST(k AS INT) AS i, COALESCE(m.n, 0) AS n FROM range(256) t(k) LEFT JOIN (SELECT intensity, COUNT(*) AS n FROM mark WHERE intensity < 100 OR intensity > 190 GROUP BY 1) m ON m.intensity = k),
+GAUSS = f"""h AS (SELECT CAST(k AS INT) AS i, COALESCE(m.n, 0) AS n FROM range(256) t(k) LEFT JOIN (SELECT intensity, COUNT(*) AS n FROM mark GROUP BY 1) m ON m.intensity = k),
 b AS (SELECT CAST(l AS INT) AS line, i, n, i >= l AS side FROM range(1, 255) t(l), h),
 s AS (SELECT line, side, SUM(n) AS total, SUM(i * n) / SUM(n) AS mean FROM b GROUP BY ALL HAVING COUNT(*) FILTER (WHERE n > 0) > 1),
 d AS (SELECT b.line, b.side, total, mean, sqrt(SUM((mean - i) * (mean - i) * (n / total))) AS dev FROM b JOIN s USING (line, side) GROUP BY ALL),
@@ -700,7 +700,7 @@ e AS (SELECT b.line, COALESCE(SUM(ABS(n / total - pow(2.71, -((i - mean) * (i -
 
 
 def _split_marks(spark, d):
-    return threshold.histogram(v.marks(spark, d).where("intensity < 100 or intensity > 190"))
+    return threshold.histogram(v.marks(spark, d))
 
 
 @query("e10_threshold_errors", f"WITH {v.MARK}, {GAUSS} SELECT line, ROUND(error, 6) AS error FROM e")

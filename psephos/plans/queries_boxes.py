@@ -11,7 +11,7 @@ from psephos.operators import pairing, pixels, vendors
 from psephos.plans import views as v
 from psephos.plans.queries import BIG, BOX, HART, WEIGHTS, big, boxes, hart, query
 
-LINES = f"{BOX}, hl AS (SELECT g, target_id AS id, y, x AS x1, x + w AS x2 FROM bx), vl AS (SELECT g, target_id AS id, x, y AS y1, y + h AS y2 FROM bx), hm AS MATERIALIZED (SELECT * FROM hl), vm AS MATERIALIZED (SELECT * FROM vl), cr AS (SELECT hm.g, hm.id AS h_id, vm.id AS v_id, vm.x, hm.y FROM hm JOIN vm ON hm.g = vm.g WHERE vm.x BETWEEN x1 AND x2 AND hm.y BETWEEN y1 AND y2)"
+LINES = f"{BOX}, hl AS (SELECT g, target_id AS id, y, x AS x1, x + w AS x2 FROM bx), vl AS (SELECT g, target_id AS id, x, y AS y1, y + h AS y2 FROM bx), hm AS MATERIALIZED (SELECT * FROM hl), vm AS MATERIALIZED (SELECT * FROM vl), hv AS MATERIALIZED (SELECT hm.g, hm.id AS h_id, vm.id AS v_id, vm.x, hm.y, x1, x2, y1, y2 FROM hm JOIN vm ON hm.g = vm.g), cr AS (SELECT g, h_id, v_id, x, y FROM hv WHERE x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2)"
 
 
 def lines(spark, d):
@@ -60,7 +60,7 @@ def _(spark, d):
 
 @query(
     "i14_rectangles",
-    f"WITH {LINES}, cm AS MATERIALIZED (SELECT * FROM cr), top AS MATERIALIZED (SELECT a.g, a.v_id AS l, b.v_id AS r, a.x AS x1, b.x AS x2, a.y FROM cm a JOIN cm b ON a.g = b.g AND a.h_id = b.h_id WHERE a.x < b.x) SELECT t.g, t.x1, t.y AS y1, t.x2, u.y AS y2 FROM top t JOIN top u ON t.g = u.g AND t.l = u.l AND t.r = u.r WHERE t.y < u.y AND (t.x2 - t.x1) * (u.y - t.y) >= 4",
+    f"WITH {LINES}, cm AS MATERIALIZED (SELECT * FROM cr), ab AS MATERIALIZED (SELECT a.g, a.v_id AS l, b.v_id AS r, a.x AS x1, b.x AS x2, a.y FROM cm a JOIN cm b ON a.g = b.g AND a.h_id = b.h_id), top AS MATERIALIZED (SELECT * FROM ab WHERE x1 < x2), tu AS MATERIALIZED (SELECT t.g, t.x1, t.y AS y1, t.x2, u.y AS y2 FROM top t JOIN top u ON t.g = u.g AND t.l = u.l AND t.r = u.r) SELECT * FROM tu WHERE y1 < y2 AND (x2 - x1) * (y2 - y1) >= 4",
 )
 def _(spark, d):
     return bx.rectangles(bx.crossings(*lines(spark, d), ["g"]), ["g"], 4)

@@ -364,11 +364,11 @@ def _(spark, d):
     return io.read_csv(spark, path, "c_custkey long, c_name string, c_mktsegment string")
 
 
-@query("a13_box_files", f"WITH {BOX} SELECT 'target' AS kind, CAST(target_id AS INT) AS box_id, CAST(target_id AS INT) AS contest_local_id, x, y, w, h, CAST(g AS INT) AS group_id, CAST(target_id % 2 AS INT) AS side FROM bx WHERE g < 100")
+@query("a13_box_files", f"WITH {BOX} SELECT 'target' AS kind, CAST(target_id AS INT) AS box_id, CAST(target_id AS INT) AS contest_local_id, x, y, w, h, CAST(g % 64 AS INT) AS group_id, CAST(target_id % 2 AS INT) AS side FROM bx")
 def _(spark, d):
-    """The boxes of the styles below 100, a folder per style and side."""
+    """The boxes of all styles, a folder per group of 64 styles and side."""
     path = io.shared_path(spark, "boxes")
-    own = boxes(spark, d).where("g < 100").select(F.lit("target").alias("kind"), F.col("target_id").cast("int").alias("box_id"), F.col("target_id").cast("int").alias("contest_local_id"), "x", "y", "w", F.col("h").cast("int").alias("h"), F.col("g").cast("int").alias("group_id"), (F.col("target_id") % 2).cast("int").alias("side"))
+    own = boxes(spark, d).select(F.lit("target").alias("kind"), F.col("target_id").cast("int").alias("box_id"), F.col("target_id").cast("int").alias("contest_local_id"), "x", "y", "w", F.col("h").cast("int").alias("h"), (F.col("g") % 64).cast("int").alias("group_id"), (F.col("target_id") % 2).cast("int").alias("side"))
     io.write_boxes(own, path)
     return io.read_boxes(spark, path)
 

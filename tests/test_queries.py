@@ -4,6 +4,8 @@ import duckdb
 import pandas as pd
 import pytest
 
+from psephos.operators import threshold
+from psephos.plans import views
 from psephos.plans.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -65,5 +67,6 @@ def test_with_marks_on_both_sides_of_the_threshold(name, spark):
 
 def test_threshold_of_the_whole_histogram(spark):
     """A figure worked out beforehand from the definition, for quantities under 20 or over 38."""
-    (row,) = QUERIES["e10_best_line"](spark, "/root/testdata/sf0.01").collect()
+    marks = views.marks(spark, "/root/testdata/sf0.01").where("intensity < 100 or intensity > 190")
+    (row,) = threshold.best_line(threshold.threshold_errors(threshold.histogram(marks))).collect()
     assert (row.line, round(row.error, 9)) == (5, 1.664412923)
