@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from psephos.operators.lloyd import kmeans_in_groups, kmedoids_in_groups  # noqa: F401  by their old place as well
 from psephos.operators.ranking import global_rank
 from psephos.sources.io import written
 
@@ -91,55 +92,6 @@ def pca(vectors: DataFrame, n: int, vector: str = "embedding") -> DataFrame:
     return PCA(k=n, inputCol="_v", outputCol="_p").fit(data).transform(data).withColumn("components", vector_to_array("_p")).drop("_v", "_p")
 
 
-def kmeans_in_groups(vectors: DataFrame, group: str, k: int, key: str, vector: str = "embedding", rounds: int = 200, most: int = 75_000) -> DataFrame:
-    """k-means within each group, for vectors that may hold NaN: means and distances take the components that are there.
-
-    Seeds are spread over the group in key order; an empty cluster gets the vector farthest from its own centre; groups no larger than k split evenly.
-    Groups of `most` or more are cut along the key into parts of `most`, which are clustered each (clusters k to 2k - 1 are of the second part, and so on).
-    """
-    def run(key_: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(key)
-        x = np.array(own[vector].tolist(), float)
-        if len(x) <= k:
-            assign = np.arange(len(x))
-        else:
-            centres = x[np.linspace(0, len(x) - 1, k).astype(int)]
-            assign = np.full(len(x), -1)
-            for _ in range(rounds):
-                d = np.nansum((x[:, None] - centres[None]) ** 2, axis=2)
-                new = d.argmin(axis=1)
-                for c in range(k):
-                    if not (new == c).any():
-                        new[d[np.arange(len(x)), new].argmax()] = c
-                if (new == assign).all():
-                    break
-                assign = new
-                centres = np.array([np.nanmean(x[assign == c], axis=0) for c in range(k)])
-        return pd.DataFrame({group: key_[0], key: own[key].to_numpy(), "cluster": assign + k * key_[1]})
-
-    kinds = dict(vectors.dtypes)
-    return trimmed(vectors, [group], [key], most).groupBy(group, "part").applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long")
-
-
-def kmedoids_in_groups(vectors: DataFrame, group: str, k: int, key: str, vector: str = "embedding", rounds: int = 200, most: int = 10_000) -> DataFrame:
-    """k-medoids on the distance matrix of each group; groups of `most` or more are cut as in kmeans_in_groups, which bounds the matrix (800 MB)."""
-    def run(key_: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(key)
-        x = np.array(own[vector].tolist(), float)
-        d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T))
-        medoids = np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)
-        for _ in range(rounds):
-            assign = d[:, medoids].argmin(axis=1)
-            new = np.array([np.nonzero(assign == c)[0][d[np.ix_(assign == c, assign == c)].sum(axis=1).argmin()] if (assign == c).any() else m for c, m in enumerate(medoids)])
-            if (new == medoids).all():
-                break
-            medoids = new
-        return pd.DataFrame({group: key_[0], key: own[key].to_numpy(), "cluster": d[:, medoids].argmin(axis=1) + k * key_[1], "medoid": own[key].to_numpy()[medoids[d[:, medoids].argmin(axis=1)]]})
-
-    kinds = dict(vectors.dtypes)
-    return trimmed(vectors, [group], [key], most).groupBy(group, "part").applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long, medoid {kinds[key]}")
-
-
 def split_mid(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Two halves of each group, the second the larger if they differ; a group of one stays whole (half 1)."""
     w = Window.partitionBy(*by)

@@ -41,6 +41,22 @@ def running_sum(df: DataFrame, by: str, bins: list[Column], order: list[str], va
     return binned.join(starts, same).withColumn(to, F.col("_start") + own).drop(*names, *[f"{n}_" for n in names], "_by", "_start")
 
 
+def placed_within(df: DataFrame, by: list[str], order: list[str], to: str = "place") -> DataFrame:
+    """Adds the place of each row, from 0, within its group, in the order of `order`; groups may be of any size.
+
+    Rows are range-split by group and order and numbered where they are; the number of rows of a group in earlier ranges, a small table, is added.
+    """
+    from psephos.sources.io import written
+
+    ranged = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    numbered = written(ranged.withColumns({"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "placed")
+    own = numbered.groupBy(*by, "_range").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = own.select(*by, "_range", "_first", before.alias("_before"))  # a row for each group and range
+    few = starts.count() <= 1_000_000
+    return numbered.join(F.broadcast(starts) if few else starts, [*by, "_range"]).withColumn(to, F.col("_row") - F.col("_first") + F.col("_before")).drop("_range", "_row", "_first", "_before")
+
+
 def dense_ids(df: DataFrame, key: list[str], to: str) -> DataFrame:
     """Adds dense ids from 0 in the order of the distinct values of a string key.  Keys are made distinct first and ranked by leading characters."""
     (name,) = key
