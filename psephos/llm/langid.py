@@ -18,13 +18,60 @@ from psephos.llm.url_filter import host_of, path_of
 #: Pages of one host that are joined with its prior in one task; the priors of larger hosts are sent to where their pages are.
 CROWD = 4096
 _BUCKETS = 1 << 14  # trigram hashes: the model has this many numbers per language, whatever the corpus
-_HIDDEN = re.compile(r"(?is)<(script|style|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_DECLARED = re.compile(r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?([a-z]{2,8})""")
+_SCRIPT = re.compile(r"(?is)<(script|style|template)\b")
+_SCRIPT_END = {n: re.compile(rf"(?is)</{n}\s*>") for n in ("script", "style", "template")}
+_HTML = re.compile(r"(?is)<html\b")
+_LANG = re.compile(r"""(?is)\slang\s*=\s*["']?([a-z]{2,8})""")
+_LONG_NUMBER = re.compile(r"&#([0-9]{8,});?")
+
+
+def unescaped(text: str) -> str:
+    """Character references resolved; a number with any digits, beyond the last character, is the replacement character."""
+    short = _LONG_NUMBER.sub(lambda m: "\ufffd" if len(n := m[1].lstrip("0")) > 7 else f"&#{n or 0};", text)
+    return html.unescape(short)
 
 
 def visible(page: str | None) -> str:
-    """The text of a page without scripts, styles, comments and tags."""
-    return html.unescape(_HIDDEN.sub(" ", page or ""))
+    """The text of a page without scripts, styles, templates, comments and tags, each a space.
+
+    One pass: a script, style or template goes to its end, a comment to its own, any other tag to the next `>`; what has no end is looked for once and remembered, and then counts as a tag.
+    After the last `>` all is text.
+    """
+    t, out, at = page or "", [], 0
+    endless, comments = set(), True
+    while (i := t.find("<", at)) >= 0:
+        end = -1
+        if m := _SCRIPT.match(t, i):
+            name = m[1].lower().replace("\u017f", "s")  # a long s is an s to the pattern
+            closing = None if name in endless else _SCRIPT_END[name].search(t, m.end())
+            if closing:
+                end = closing.end()
+            else:
+                endless.add(name)
+        if end < 0 and comments and t.startswith("<!--", i):
+            end = t.find("-->", i + 4) + 3
+            comments = end > 2
+            end = end if comments else -1
+        if end < 0:
+            end = t.find(">", i) + 1
+            if not end:
+                break
+        out.append(t[at:i])
+        at = end
+    out.append(t[at:])
+    return unescaped(" ".join(out))
+
+
+def declared(page: str | None) -> str | None:
+    """The language that a page's html tag names.  A tag goes to the next `>`, or to the end; it is searched once, whatever begins within it."""
+    t, at = page or "", 0
+    while m := _HTML.search(t, at):
+        end = t.find(">", m.end())
+        end = len(t) if end < 0 else end
+        if found := _LANG.search(t, m.end(), end):
+            return found[1].lower()
+        at = end
+    return None
 
 
 def trigrams(text: bytes) -> np.ndarray:
@@ -66,15 +113,14 @@ def _scored(shared):
     def run(batches):
         langs, logs = shared.value
         for b in batches:
-            out, declared = [], []
+            out, said = [], []
             for page in b.column("html").to_pylist():
-                m = _DECLARED.search(page or "")
-                declared.append(m[1].lower() if m else None)
+                said.append(declared(page))
                 g = trigrams(utf8(visible(page)))
                 out.append(logs[:, g].sum(axis=1) if len(g) else np.zeros(len(langs)))
             flat = np.concatenate([*out, np.zeros(0)])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(langs)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), b.column("mark"), pa.array(declared, pa.string()), lists], names=["page_id", "host", "mark", "declared", "loglik"])
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), b.column("mark"), pa.array(said, pa.string()), lists], names=["page_id", "host", "mark", "declared", "loglik"])
 
     return run
 
@@ -89,7 +135,7 @@ def identify(pages: DataFrame, docs: DataFrame, tempering: float = 0.3, weight:
     first by code of several.
 
     A page without text, null or empty, rests on the other evidence; with none at all it gets the commonest language.  Null urls are one host, the empty one.
-    Texts and pages of any length are read whole.  Repeated rows are judged each; other columns are ignored, whatever their names; no pages, no rows; without labelled documents lang is null.
+    Texts and pages of any length are read whole, in time in proportion to it whatever their markup.  Repeated rows are judged each; other columns are ignored, whatever their names; no pages, no rows; without labelled documents lang is null.
     page_id is cast to long.
     """
     spark = pages.sparkSession

@@ -1,10 +1,36 @@
+import html
 import math
 import random
+import re
+import time
 from collections import Counter
 
 from psephos.llm import langid
 
 
+def test_one_pass_as_the_patterns():
+    """The patterns say what is meant; one pass gives the same."""
+    hidden = re.compile(r"(?is)<(script|style|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+    said = re.compile(r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?([a-z]{2,8})""")
+    bits = ["<", ">", "<script>", "</script >", "<Style a=1>", "</STYLE>", "<template", "</template>", "<!--", "-->", "<!-->", "a", " b ", "<p>", "</p>", "&amp;", "&#65;", "<html", " lang=", " lang = 'fr'", "de>", "\n", "<scripts>", "--"]
+    rnd = random.Random(2)
+    for _ in range(20_000):
+        page = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 14)))
+        assert langid.visible(page) == html.unescape(hidden.sub(" ", page)), page
+        m = said.search(page)
+        assert langid.declared(page) == (m[1].lower() if m else None), page
+
+
+def test_hostile_pages_take_no_longer():
+    for bit in ("<", "<script>", "<!--", "<!-- >", "<style>", "<html ", "<html lang", "&#", "&", "<script>x</scrip", "<template></template ", "</script", "< lang="):
+        page = bit * (5_000_000 // len(bit))
+        began = time.process_time()
+        for p in (page, page + ">", page + "-->"):
+            langid.visible(p), langid.declared(p)
+        assert time.process_time() - began < 25, bit
+    assert langid.unescaped("&#" + "1" * 10_000 + ";x") == "\ufffdx" and langid.unescaped("&#" + "0" * 9000 + "65;") == "A" and langid.unescaped("&#0000000065x") == "Ax"
+
+
 def test_visible():
     assert langid.visible("<p>a<b>b</b></p><script>x<y</script><!-- c --> &amp;").split() == ["a", "b", "&"]
     assert langid.visible(None) == ""
