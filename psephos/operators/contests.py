@@ -49,6 +49,67 @@ def pairs_in_blocks(texts: DataFrame, block: list[str], most: float) -> DataFram
     return a.join(b, cond).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), d.alias("distance")).where(F.col("distance") <= most)
 
 
+def _grams(texts: Column, q: int) -> Column:
+    """All runs of q characters of an array of texts."""
+    own = F.transform(texts, lambda t: F.when(F.length(t) >= q, F.transform(F.sequence(F.lit(1), F.length(t) - (q - 1)), lambda i: t.substr(i, F.lit(q)))).otherwise(F.array().cast("array<string>")))
+    return F.flatten(own)
+
+
+def text_classes(texts: DataFrame, block: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(one row for each distinct text of a block, with the least id of those that share it; every id and that least id as `rep`).  Choices that are rotations of each other are the same text."""
+    first = F.array_min(rotations(F.col("choices")))
+    keyed = texts.withColumn("_first", F.when(F.size("choices") > 0, first).otherwise(F.col("choices")))
+    reps = keyed.groupBy(*block, "title", "_first").agg(F.min("id").alias("rep"))
+    same = F.lit(True)
+    for c in (*block, "title", "_first"):
+        same = same & F.col(f"k.{c}").eqNullSafe(F.col(f"r.{c}"))
+    members = keyed.alias("k").join(reps.alias("r"), same).select(F.col("k.id").alias("id"), F.col("r.rep").alias("rep"))
+    return texts.join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), members
+
+
+def similar_pairs(texts: DataFrame, block: list[str], most: float, q: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(a_id, b_id, distance of the pairs of distinct texts of a block that are at most `most` apart; id and rep of all texts): a join by an index of rare runs of characters.
+
+    The distance of rotation_distance counts edits over all characters of both texts.  An edit changes at most q of a text's runs of q characters (counted over title and choices, so a rotation
+    changes none), and texts so near cannot differ much in length; so a text shares with each near one all but a bounded number of its runs, and at least one among as many of its rarest
+    ones.  Only these are joined, by block, run and how often it came before in the text; pairs that share too few runs in all are dropped before distances are computed.  Texts that may
+    share none (short ones, or all where `most` is a third or more) are compared with the block by length, as in pairs_in_blocks.  So no pair is lost.  q is from 4 to 1, the smaller the larger
+    `most` is; from 0.2 on the index is of single characters and rules little out.  texts: id, block, title, choices, size (characters of the choices); they have no nulls.
+    """
+    from psephos.sources.io import written
+
+    q = q or (max(1, min(4, int((1 - most) / (4 * most)))) if most > 0 else 4)  # so that half of the runs stand as long as possible
+    distinct, members = text_classes(texts, block)
+    rows = distinct.select("id", *block, "title", "choices", "size", (F.length("title") + F.col("size")).alias("long"), _grams(F.concat(F.array("title"), "choices"), q).alias("runs"))
+    rows = written(rows.withColumn("differ", (q * F.floor(F.lit(2 * most / (1 - most)) * F.col("long") + 1e-9)).cast("int")), "texts")
+    indexed = F.size("runs") > F.col("differ")
+    elements = rows.where(indexed).select("id", *block, "differ", "long", F.explode("runs").alias("run")).groupBy("id", *block, "differ", "long", "run").agg(F.count(F.lit(1)).alias("_n"))
+    elements = elements.select("id", *block, "differ", "long", "run", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("k"))
+    rare = elements.groupBy(*block, "run", "k").agg(F.count(F.lit(1)).alias("often"))
+    placed = elements.join(rare, [*block, "run", "k"]).withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("often", "run", "k")))
+    keys = written(placed.where((F.col("place") <= F.col("differ") + 1) & (F.col("often") > 1)).select("id", *block, "run", "k", "long"), "rare_runs")
+    near = F.abs(F.col("a.long") - F.col("b.long")) <= most * (F.col("a.long") + F.col("b.long"))
+    cond = (F.col("a.id") < F.col("b.id")) & near
+    for c in (*block, "run", "k"):
+        cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    met = keys.alias("a").join(keys.alias("b"), cond).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id")).distinct()
+    numbered = F.transform("runs", lambda r, i: F.concat(r, F.lit("#"), F.size(F.filter(F.slice(F.col("runs"), F.lit(1), i), lambda z: z == r)).cast("string")))
+    full = rows.select("id", "title", "choices", "size", "long", numbered.alias("own"))
+    a, b = full.alias("a"), full.alias("b")
+    both = met.join(a, F.col("a_id") == F.col("a.id")).join(b, F.col("b_id") == F.col("b.id"))
+    need = F.greatest(F.size("a.own"), F.size("b.own")) - q * F.floor(F.lit(most) * (F.col("a.long") + F.col("b.long")) + 1e-9)
+    d = rotation_distance(F.col("a.title"), F.col("b.title"), F.col("a.choices"), F.col("b.choices"))
+    alike = F.size("a.choices") == F.size("b.choices")
+    found = both.where(alike & (F.size(F.array_intersect("a.own", "b.own")) >= need)).select("a_id", "b_id", d.alias("distance")).where(F.col("distance") <= most)
+    open_ = rows.where(~indexed).select("id", *block, "title", "choices", "size", "long")
+    x, y = open_.alias("a"), rows.select("id", *block, "title", "choices", "size", "long", indexed.alias("indexed")).alias("b")
+    cond = (F.col("a.id") != F.col("b.id")) & (F.col("b.indexed") | (F.col("a.id") < F.col("b.id"))) & near & alike
+    for c in block:
+        cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    rest = x.join(y, cond).select(F.least("a.id", "b.id").alias("a_id"), F.greatest("a.id", "b.id").alias("b_id"), d.alias("distance")).where(F.col("distance") <= most)
+    return found.unionByName(rest), members
+
+
 def _next_longer(texts: DataFrame, by: str) -> DataFrame:
     """id, text, place and the next longer text of the same `by` (next_id, next_text; null for the last): rows are placed by counts, so a key of any size has many tasks."""
     placed = global_rank(texts.select(by, "id", "text"), [F.col(by), F.length("text")], ["id"], "place")
@@ -173,8 +234,10 @@ def equivalence_classes(texts: DataFrame, most_in_block: int | None = None) -> D
         cut = F.floor((F.row_number().over(w) - 1) / most_in_block)
     blocked = sized.withColumn("linkage", known).withColumn("block", F.concat_ws("/", "language", F.col("n").cast("string"), cut.cast("string")))
     # distances in units of the language's constant, so that one linkage serves all blocks
-    near = pairs_in_blocks(blocked, ["block"], max(LINKAGE.values())).join(blocked.select(F.col("id").alias("a_id"), "linkage"), "a_id").where("distance < linkage")
-    group = components(near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    found, members = similar_pairs(blocked, ["block"], max(LINKAGE.values()))
+    near = found.join(blocked.select(F.col("id").alias("a_id"), "linkage"), "a_id").where("distance < linkage")
+    links = near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).unionByName(members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    group = components(links)
     grouped = blocked.drop("block").join(group.select(F.col("node").alias("id"), F.col("root").alias("_root")), "id", "left").withColumn("block", F.coalesce("_root", "id"))
     pairs = pairs_in_blocks(grouped, ["block"], 1.0).join(grouped.select(F.col("id").alias("a_id"), "block", "linkage"), "a_id")
     return agglomerate(pairs.select("block", "a_id", "b_id", (F.col("distance") / F.col("linkage")).alias("distance")), grouped.select("block", "id"), "block", 1.0).select("id", F.col("cluster").alias("class"))

@@ -256,3 +256,19 @@ def _(spark, d):
 
     found = patches.map_patch(read.drop("status"), dark, "n_dark long, places long")
     return found.select(F.split("image_path", r"\.")[0].cast("long").alias("vec_id"), "n_dark", "places", "status")
+
+
+@query(
+    "c17_similar_texts",
+    """WITH t AS (SELECT p_partkey AS id, p_size AS block, p_name AS title, [p_brand, p_type, 'Size ' || p_partkey % 7] AS c FROM part),
+k AS (SELECT *, list_min([c, [c[2], c[3], c[1]], [c[3], c[1], c[2]]]) AS f FROM t),
+r AS MATERIALIZED (SELECT MIN(id) AS id, block, title, f AS c, length(title) + length(f[1]) + length(f[2]) + length(f[3]) AS n FROM k GROUP BY block, title, f),
+p AS MATERIALIZED (SELECT a.id AS a_id, b.id AS b_id, a.title AS ta, b.title AS tb, a.c AS x, b.c AS y, a.n + b.n AS n FROM r a JOIN r b ON a.block = b.block AND a.id < b.id),
+d AS (SELECT a_id, b_id, (levenshtein(ta, tb) + list_min(list_transform(range(3), lambda r: list_sum(list_transform(range(3), lambda j: levenshtein(x[j + 1], y[(j + r) % 3 + 1])))))) / n AS distance FROM p)
+SELECT a_id, b_id, ROUND(distance, 6) AS distance FROM d WHERE distance <= 0.18""",
+)
+def _(spark, d):
+    """Names and three lines each, in blocks of one size: pairs of distinct texts that are near, by an index of rare characters."""
+    part = v.read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_size").alias("block"), F.col("p_name").alias("title"), F.array("p_brand", "p_type", F.concat(F.lit("Size "), (F.col("p_partkey") % 7).cast("string"))).alias("choices"))
+    pairs, _ = contests.similar_pairs(part.withColumn("size", F.aggregate("choices", F.lit(0), lambda s, t: s + F.length(t))), ["block"], 0.18)
+    return pairs.select("a_id", "b_id", F.round("distance", 6).alias("distance"))
