@@ -54,12 +54,15 @@ def image_distortion(a: np.ndarray, b: np.ndarray, m: int = 3, clipped: bool = F
     if clipped:
         level = min(_numpy_level(a), _numpy_level(b))
         a, b = (np.where(x < level, 0.0, x) for x in (a, b))
-    total = 0.0
-    for i, j in np.ndindex(a.shape):
-        near = np.abs(a[i, j] - b[max(0, i - m) : min(a.shape[0] - 1, i + m), max(0, j - m) : min(a.shape[1] - 1, j + m)])
-        near = near[~np.isnan(near)]
-        total += near.min() if len(near) else 0.0
-    return float(total)
+    h, w = a.shape
+    least = np.full(a.shape, np.inf)
+    for dy in range(-m, m):  # all pixels at once, a shift at a time
+        for dx in range(-m, m):
+            y1, y2, x1, x2 = max(0, -dy), min(h, h - 1 - dy), max(0, -dx), min(w, w - 1 - dx)
+            if y1 < y2 and x1 < x2:
+                own = least[y1:y2, x1:x2]
+                np.fmin(own, np.abs(a[y1:y2, x1:x2] - b[y1 + dy : y2 + dy, x1 + dx : x2 + dx]), out=own)
+    return float(least[np.isfinite(least)].sum())
 
 
 def _numpy_level(x: np.ndarray) -> float:

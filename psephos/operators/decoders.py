@@ -149,6 +149,12 @@ def marks_in_row(image: np.ndarray, n: int, mark: int, gap: int) -> str | None:
     return bits if bits is not None and bits[0] == bits[-1] == "1" else None
 
 
+def diebold(image: np.ndarray, mark: int, gap: int) -> str | None:
+    """The 34 bits of a row of marks, guards included; None unless the ones among the first 30 between the guards, modulo 4, are what the last two say."""
+    raw = marks_in_row(image, 34, mark, gap)
+    return raw if raw is not None and raw[1:31].count("1") % 4 == int(raw[31:33], 2) else None
+
+
 def side_bits(image: np.ndarray, zero: np.ndarray, one: np.ndarray, n: int, least: float = 0.87) -> str | None:
     """The bits of marks that look like `zero` or `one`, from the top; None unless there are n."""
     found = [(y, bit, score) for bit, mark in (("0", zero), ("1", one)) for _, y, score in pixels.matches(image, mark, least)]

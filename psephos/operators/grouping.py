@@ -152,8 +152,54 @@ def audited(everybody: DataFrame, known: DataFrame, value: str, excused: Column,
     return everybody.join(known.select(on, value), on, "left").select(on, value, (F.col(value).isNull() & ~excused).alias("error"))
 
 
-def coloured(nodes: DataFrame, edges: DataFrame, on: str, colours: int = 5) -> DataFrame:
-    """A colour from 0 for each node (on, id), so that the ends of an edge (on, a_id, b_id) differ: a search within each style, whose contests are few.  Null where `colours` are not enough."""
+def five_colours(near: dict, colours: int = 5) -> dict | None:
+    """A colour for each node of a graph (node: neighbours), neighbours unlike: for planar graphs five always do.  None if a node finds none.
+
+    Nodes are taken off, one with the fewest neighbours left at a time, and coloured in the opposite order.  Where all colours stand around a node, two of them are exchanged along the chain of
+    nodes of these two colours from a neighbour, if that chain does not come back to the node.
+    """
+    left, order = {i: set(own) for i, own in near.items()}, []
+    while left:
+        i = min(left, key=lambda x: (len(left[x]), x))
+        for j in left.pop(i):
+            left[j].discard(i)
+        order.append(i)
+    found: dict = {}
+
+    def chain(start, one, other):
+        seen, todo = {start}, [start]
+        while todo:
+            todo += (more := {j for j in near[todo.pop()] if found.get(j) in (one, other)} - seen)
+            seen |= more
+        return seen
+
+    for i in reversed(order):
+        by = {}
+        for j in near[i]:
+            if j in found:
+                by.setdefault(found[j], []).append(j)
+        free = next((c for c in range(colours) if c not in by), None)
+        for one in sorted(by) if free is None else ():
+            for other in sorted(by):
+                moved = set().union(*(chain(j, one, other) for j in by[one])) if one != other else None
+                if moved is not None and not moved & set(by[other]):
+                    for j in moved:
+                        found[j] = other if found[j] == one else one
+                    free = one
+                    break
+            if free is not None:
+                break
+        if free is None:
+            return None
+        found[i] = free
+    return found
+
+
+def coloured(nodes: DataFrame, edges: DataFrame, on: str, colours: int = 5, steps: int = 100_000) -> DataFrame:
+    """A colour from 0 for each node (on, id), so that the ends of an edge (on, a_id, b_id) differ, style by style.
+
+    five_colours first, which does for planar graphs with five colours and takes polynomial time; where it finds none, a search of at most `steps` steps.  Null for a style without a result.
+    """
     import pandas as pd
 
     def search(own, links):
@@ -161,8 +207,12 @@ def coloured(nodes: DataFrame, edges: DataFrame, on: str, colours: int = 5) -> D
         for x in links if links is not None else ():
             near[x["a_id"]].add(x["b_id"])
             near[x["b_id"]].add(x["a_id"])
-        ids, found, at, tried = sorted(near, key=lambda i: (-len(near[i]), i)), {}, 0, [-1] * (len(near) + 1)
-        while 0 <= at < len(ids):
+        quick = five_colours(near, colours)
+        if quick is not None:
+            return sorted(quick.items())
+        ids, found, at, tried, left = sorted(near, key=lambda i: (-len(near[i]), i)), {}, 0, [-1] * (len(near) + 1), steps
+        while 0 <= at < len(ids) and left:
+            left -= 1
             taken = {found[j] for j in near[ids[at]] if j in found}
             free = next((c for c in range(tried[at] + 1, colours) if c not in taken), None)
             if free is None:
@@ -172,7 +222,7 @@ def coloured(nodes: DataFrame, edges: DataFrame, on: str, colours: int = 5) -> D
             else:
                 found[ids[at]] = tried[at] = free
                 at += 1
-        return [(i, found.get(i)) for i in ids]
+        return [(i, found.get(i) if at == len(ids) else None) for i in ids]
 
     def run(it):
         for pdf in it:

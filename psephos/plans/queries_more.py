@@ -16,12 +16,14 @@ from psephos.sources import io
 
 
 def drawn(df: DataFrame, draw, *columns: str) -> DataFrame:
-    """df with the image that draw makes of a row's columns as patch."""
+    """df with the image that draw makes of a row's columns as patch; narrow rows are dealt out to all tasks first, as an image is much work, and a few images are held at a time."""
     def run(it):
         for pdf in it:
-            yield pdf.assign(patch=[patches.pack(draw(*row)) for row in zip(*[pdf[c] for c in columns])])
+            for f in range(0, len(pdf), 64):
+                own = pdf.iloc[f : f + 64]
+                yield own.assign(patch=[patches.pack(draw(*row)) for row in zip(*[own[c] for c in columns])])
 
-    return df.mapInPandas(run, ", ".join([*[f"`{c}` {k}" for c, k in df.dtypes], f"patch {patches.PATCH}"]))
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, ", ".join([*[f"`{c}` {k}" for c, k in df.dtypes], f"patch {patches.PATCH}"]))
 
 
 def noisy(image: np.ndarray, seed: int, turned: bool = False) -> np.ndarray:
@@ -69,10 +71,22 @@ def _(spark, d):
     return decoders.decode(images, decoders.retried(lambda a: decoders.timing(a, 12, 4, 6)))
 
 
-@query("j10_diebold_images", f"WITH b AS (SELECT p_partkey, {BITS12} AS b FROM part, range(32) t(k) GROUP BY p_partkey) SELECT p_partkey, '1' || b || '1' AS raw, p_partkey % 2 = 1 AND b <> reverse(b) AND FALSE AS is_flipped, 'ok' AS status FROM b")
+_FITS = "length(replace(substr({0}, 2, 30), '0', '')) % 4 = CAST(substr({0}, 32, 1) AS INT) * 2 + CAST(substr({0}, 33, 1) AS INT)"
+
+
+@query(
+    "j10_diebold_images",
+    f"""WITH b AS (SELECT p_partkey, {BITS12} AS b FROM part, range(30) t(k) GROUP BY p_partkey), n AS (SELECT *, length(replace(b, '0', '')) % 4 AS n FROM b),
+r AS (SELECT p_partkey, '1' || b || (n // 2) || (n % 2) || '1' AS raw FROM n), s AS (SELECT *, reverse(raw) AS turned, p_partkey % 2 = 1 AS odd FROM r)
+SELECT p_partkey, CASE WHEN odd AND {_FITS.format('turned')} THEN turned ELSE raw END AS raw, odd AND NOT ({_FITS.format('turned')}) AS is_flipped, 'ok' AS status FROM s""",
+)
 def _(spark, d):
-    images = drawn(bits(spark, d, 32), lambda truth, k: noisy(decoders.row_image(f"1{truth}1"), k), "truth", "p_partkey").drop("truth")
-    return decoders.decode(images, decoders.retried(lambda a: decoders.marks_in_row(a, 34, 5, 3)))
+    """Rows of marks with check bits, every other one upside down: read turned unless the bits fit their check as they stand, which those of some turned ones do."""
+    own = bits(spark, d, 30)
+    ones = codes.ones(F.col("truth")) % 4
+    own = own.withColumn("truth", F.concat(F.lit("1"), "truth", F.floor(ones / 2).cast("string"), (ones % 2).cast("string"), F.lit("1")))
+    images = drawn(own, lambda truth, k: noisy(decoders.row_image(truth), k, bool(k % 2)), "truth", "p_partkey").drop("truth")
+    return decoders.decode(images, decoders.retried(lambda a: decoders.diebold(a, 5, 3)))
 
 
 @query("f5_j10_sequoia_images", f"SELECT p_partkey, {BITS12} AS raw, FALSE AS is_flipped, 'ok' AS status FROM part, range(8) t(k) GROUP BY p_partkey")
