@@ -230,6 +230,42 @@ def find_and_align(image: np.ndarray, patch: np.ndarray, box: tuple[int, int, in
     return (x, y, after, np.where(np.isnan(moved), area, moved)) if after > score else (x, y, score, area)
 
 
+def fitted(a: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """An image cut or filled up with white, at the right and below, to a shape."""
+    out = np.ones(shape)
+    h, w = min(a.shape[0], shape[0]), min(a.shape[1], shape[1])
+    out[:h, :w] = a[:h, :w]
+    return out
+
+
+def onto_first(df: DataFrame, by: list[str], key: str, free: str = "shift", patch: str = "patch") -> DataFrame:
+    """df with each patch moved onto its group's first by key (cut or filled up to that one's size; what comes from outside is white), and dx, dy, degrees and error.
+
+    free: shift, or rigid for a turn as well.  The first patches are a table of their own that is joined by group, so every patch is a row by itself and a group of any size is many tasks' work.
+    """
+    from pyspark.sql import functions as F
+
+    first = df.groupBy(*by).agg(F.min_by(patch, key).alias("_first"))
+    kinds = dict(df.dtypes)
+
+    def run(it):
+        for pdf in it:
+            rows = []
+            for p, r in zip(pdf[patch], pdf["_first"]):
+                want = unpack(r)
+                a = fitted(unpack(p), want.shape)
+                x, y = phase_shift(a, want)
+                start = min(np.eye(3), np.array([[1, 0, x], [0, 1, y], [0, 0, 1.0]]), key=lambda m: _error(pixels.affine(a, m), want))  # noqa: B023
+                h = refined(a, want, start, free, blurs=(2, 0))
+                dx, dy, turn, _ = parts(h, want.shape)
+                rows.append((pack(pixels.affine(a, h, 1.0)), dx, dy, turn, _error(pixels.affine(a, h), want)))
+            moved, *numbers = zip(*rows) if rows else ((),) * 5
+            yield pdf.drop(columns="_first").assign(**{patch: list(moved)}, **dict(zip(("dx", "dy", "degrees", "error"), map(list, numbers))))
+
+    schema = ", ".join(f"`{c}` {k if c != patch else PATCH}" for c, k in kinds.items())
+    return df.join(first, by).select(*df.columns, "_first").mapInPandas(run, f"{schema}, dx double, dy double, degrees double, error double")
+
+
 # --- straightening by lines ------------------------------------------------------------------------
 
 

@@ -272,6 +272,19 @@ def decompose(h: np.ndarray) -> tuple[float, float, float]:
     return float(h[0, 2]), float(h[1, 2]), float(np.degrees(np.arctan2(h[1, 0], h[0, 0])))
 
 
+def background(a: np.ndarray) -> float:
+    """An image's background: the lower edge of the fullest of ten bins from its least to its greatest value, the first of several; unknown pixels count as white."""
+    n, edges = np.histogram(np.where(np.isnan(a), 1.0, a))
+    return float(edges[n.argmax()])
+
+
+def difference_above(image: np.ndarray, patch: np.ndarray) -> float:
+    """Sum of the absolute differences that exceed half the way from the darkest pixel to the background, of the image or the patch, whichever is less."""
+    level = min((background(a) - np.nanmin(a)) / 2 for a in (image, patch))
+    d = np.abs(image - patch)
+    return float(d[d > level].sum())
+
+
 def variable_difference(image: np.ndarray, patch: np.ndarray) -> float:
     """Mean difference after taking each one's background (its commonest light level) as white."""
     def lifted(a):

@@ -18,6 +18,9 @@ class Vendor(Protocol):
     def tag(self, code: Column) -> Column:
         """The part of a code by which ballots are of one style."""
 
+    #: Columns that decode adds beside the code, by which ballots may be grouped as well; a vendor may leave this out.
+    properties: tuple[str, ...]
+
 
 def _status(df: DataFrame, ok: Column, code: Column) -> DataFrame:
     return df.withColumn("code", F.when(ok, code)).withColumn("status", F.when(F.col("raw").isNull(), "ioerr").when(F.col("code").isNull(), "err").otherwise("ok"))
@@ -26,6 +29,8 @@ def _status(df: DataFrame, ok: Column, code: Column) -> DataFrame:
 class Hart:
     """14 digits with a checksum; precinct, language and party are those of the ballot's first image."""
 
+    properties = ("precinct",)
+
     def decode(self, images: DataFrame) -> DataFrame:
         own = _status(images, codes.hart_valid(F.col("raw")), F.col("raw"))
         first = F.first(F.substring("code", 2, 6), ignorenulls=True).over(Window.partitionBy("ballot_id").orderBy("page").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -96,6 +101,29 @@ class SingleTemplate:
 VENDORS: dict[str, type] = {"hart": Hart, "diebold": Diebold, "ess": EsS, "sequoia": Sequoia, "dirname": DirectoryName, "single": SingleTemplate}
 
 
+def grouping_properties(vendor: str) -> tuple[str, ...]:
+    """What a vendor's decode says of a ballot beside its code."""
+    return tuple(getattr(VENDORS[vendor], "properties", ()))
+
+
+def contest_stripes(contests: DataFrame, targets: DataFrame, on: list[str], above: int = 10) -> DataFrame:
+    """on, stripe, upper, lower: where to cut a contest (on, y1, y2) into its title and a stripe for each target (on, x1, y1), in the contest's own rows.
+
+    Where targets spread more down than across, a stripe begins `above` pixels over its target; otherwise one stripe below the title holds all targets.  A first target at the very top leaves
+    an empty title.
+    """
+    spread = targets.groupBy(*on).agg((F.max("y1") - F.min("y1") > F.max("x1") - F.min("x1")).alias("_down"), F.array_sort(F.collect_list("y1")).alias("_tops"))  # a contest's targets are few
+    own = contests.join(spread, on)
+    height = F.col("y2") - F.col("y1")
+    starts = F.transform("_tops", lambda y: y - F.col("y1") - above)
+    first = F.get(starts, F.lit(0))
+    cuts = F.concat(F.array(F.lit(0).cast("long"), F.greatest(first, F.lit(0)).cast("long")), F.transform(F.slice(starts, 2, F.size(starts)), lambda y: y.cast("long")), F.array(F.col("y2").cast("long")))
+    cuts = F.when(F.col("_down"), cuts).otherwise(F.slice(cuts, 1, 2))
+    pairs = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_cuts") - 1), lambda i: F.struct(F.get("_cuts", i - 1).alias("upper"), F.get("_cuts", i).alias("lower")))).alias("stripe", "s")
+    last = F.when(F.col("_down"), F.array().cast("array<bigint>")).otherwise(F.array(F.col("y2").cast("long"), F.col("y2").cast("long")))
+    return own.withColumn("_cuts", F.concat(cuts, last)).where(height >= 0).select(*on, pairs).select(*on, "stripe", "s.upper", "s.lower")
+
+
 def partition(images: DataFrame, vendor: str, manual: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(partitions of the ballots that decode, images that do not).  manual: image_path, code given by people, put in whole.
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from psephos.operators import align, contests, digits, edges, patches, pixels, strokes
+from psephos.operators import align, contests, digits, edges, patches, pixels, strokes, vendors
 from psephos.plans import views as v
 from psephos.plans.queries import long, query
 from psephos.sources import io, tiff
@@ -272,3 +272,55 @@ def _(spark, d):
     part = v.read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_size").alias("block"), F.col("p_name").alias("title"), F.array("p_brand", "p_type", F.concat(F.lit("Size "), (F.col("p_partkey") % 7).cast("string"))).alias("choices"))
     pairs, _ = contests.similar_pairs(part.withColumn("size", F.aggregate("choices", F.lit(0), lambda s, t: s + F.length(t))), ["block"], 0.18)
     return pairs.select("a_id", "b_id", F.round("distance", 6).alias("distance"))
+
+
+@query("j2_background", "WITH p AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x FROM embeddings), m AS (SELECT *, MIN(x) OVER (PARTITION BY vec_id) AS lo, MAX(x) OVER (PARTITION BY vec_id) AS hi FROM p), b AS (SELECT vec_id, lo, hi, LEAST(9, FLOOR((x - lo) * 10 / (hi - lo))) AS bin, COUNT(*) AS n FROM m GROUP BY ALL), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY n DESC, bin) AS r FROM b) SELECT vec_id, ROUND(lo + bin * (hi - lo) / 10, 6) AS background, 'ok' AS status FROM r WHERE r = 1")
+def _(spark, d):
+    images = patches.from_array(v.read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x")), "x", 8).drop("x")
+    return patches.map_patch(images, lambda a: {"background": round(pixels.background(a), 6)}, "background double")
+
+
+@query("o20_o45_aligned_groups", "WITH f AS (SELECT s_nationkey, MIN(s_suppkey) AS first FROM supplier GROUP BY 1) SELECT s_suppkey, CAST(s_nationkey AS BIGINT) AS s_nationkey, first % 5 - s_suppkey % 5 AS dx, first % 7 - s_suppkey % 7 AS dy, first % 3 - s_suppkey % 3 AS degrees FROM supplier JOIN f USING (s_nationkey)")
+def _(spark, d):
+    """Scans of one form in groups, each moved and turned by its key: the motion that brings each onto its group's first."""
+    page = form(150, 130, 11)
+
+    def draw(k):
+        return scanned(pixels.affine(page, pixels.rigid(k % 5 - 2, k % 7 - 3, k % 3 - 1, page.shape), 1.0), k, 0.02)
+
+    pages = drawn(suppliers(spark, d), draw, "s_suppkey")
+    found = align.onto_first(pages, ["s_nationkey"], "s_suppkey", "rigid")
+    # about the middle, the shifts of two rigid motions differ by the first one's shift turned by up to two degrees: under a fifth of a pixel
+    return found.select("s_suppkey", "s_nationkey", *[F.round(c).cast("long").alias(c) for c in ("dx", "dy", "degrees")])
+
+
+BIT = "string_agg(CAST((p_partkey * 2654435761 // CAST(pow(2, k) AS BIGINT)) % 2 AS VARCHAR), '' ORDER BY k)"
+
+
+@query(
+    "l1_vendor_codes",
+    f"""WITH b AS (SELECT p_partkey, {BIT} AS b FROM part, range(30) t(k) GROUP BY p_partkey),
+r AS (SELECT p_partkey, 'diebold' AS vendor, CASE WHEN p_partkey % 5 = 1 THEN '0' ELSE '1' END || b || (length(replace(b, '0', '')) % 4 // 2) || (length(replace(b, '0', '')) % 2) || '1' AS raw FROM b
+ UNION ALL SELECT p_partkey, 'ess', b || CASE WHEN p_partkey % 5 = 1 THEN 'x' ELSE '' END FROM b
+ UNION ALL SELECT p_partkey, 'sequoia', CASE WHEN p_partkey % 2 = 1 THEN 'BACK' ELSE substr(b, 1, 8) || ',' || CASE WHEN p_partkey % 5 = 1 THEN '' ELSE substr(b, 9, 8) END END FROM b),
+k AS (SELECT *, CASE WHEN p_partkey % 5 = 0 AND raw <> 'BACK' THEN 'ioerr' WHEN p_partkey % 5 = 1 AND raw <> 'BACK' THEN 'err' ELSE 'ok' END AS status FROM r)
+SELECT vendor, p_partkey, CASE WHEN status = 'ok' THEN CASE vendor WHEN 'diebold' THEN substr(raw, 2, 32) ELSE raw END END AS code, status FROM k""",
+)
+def _(spark, d):
+    """Bit strings of three vendors, one in five missing and one in five not valid: codes and statuses."""
+    from psephos.functions import codes
+    from psephos.plans.queries_more import bits
+
+    b, k = bits(spark, d, 30), F.col("p_partkey")
+    ones = codes.ones(F.col("truth")) % 4
+    raws = {
+        "diebold": F.concat(F.when(k % 5 == 1, "0").otherwise("1"), "truth", F.floor(ones / 2).cast("string"), (ones % 2).cast("string"), F.lit("1")),
+        "ess": F.concat("truth", F.when(k % 5 == 1, "x").otherwise("")),
+        "sequoia": F.concat(F.substring("truth", 1, 8), F.lit(","), F.when(k % 5 == 1, "").otherwise(F.substring("truth", 9, 8))),
+    }
+    out = None
+    for name, raw in raws.items():
+        rows = b.select("p_partkey", k.alias("ballot_id"), (k % 2).cast("int").alias("page"), F.when(k % 5 != 0, raw).alias("raw"), F.concat(k.cast("string"), F.lit(".png")).alias("image_path"))
+        one = vendors.VENDORS[name]().decode(rows).select(F.lit(name).alias("vendor"), "p_partkey", "code", "status")
+        out = one if out is None else out.unionByName(one)
+    return out

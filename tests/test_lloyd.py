@@ -84,3 +84,16 @@ def test_places_within_groups(spark):
     for g, i, _ in rows:
         assert got[i] == seen.get(g, 0)
         seen[g] = seen.get(g, 0) + 1
+
+
+@pytest.mark.parametrize("name", ["i2_kmeans_in_groups", "i3_kmedoids_in_groups"])
+def test_queries_against_plain_ones(spark, sf, name):
+    from psephos.plans.queries import QUERIES
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    want = {}
+    for label in {r.label for r in e}:
+        own = [r for r in e if r.label == label]
+        x = np.array([r.embedding for r in own], float)
+        want |= {r.vec_id: c for r, c in zip(own, plain_kmeans(x, 2) if "means" in name else plain_kmedoids(x, 2)[0])}
+    assert {r.vec_id: r.cluster for r in QUERIES[name](spark, sf).collect()} == want
