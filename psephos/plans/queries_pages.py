@@ -288,8 +288,9 @@ def _(spark, d):
     def draw(k):
         return scanned(pixels.affine(page, pixels.rigid(k % 5 - 2, k % 7 - 3, k % 3 - 1, page.shape), 1.0), k, 0.02)
 
-    pages = drawn(suppliers(spark, d), draw, "s_suppkey")
-    found = align.onto_first(pages, ["s_nationkey"], "s_suppkey", "rigid")
+    keys = suppliers(spark, d)
+    firsts = drawn(keys.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("s_suppkey")), draw, "s_suppkey")
+    found = align.onto_first(drawn(keys, draw, "s_suppkey"), ["s_nationkey"], "s_suppkey", "rigid", firsts=firsts)
     # about the middle, the shifts of two rigid motions differ by the first one's shift turned by up to two degrees: under a fifth of a pixel
     return found.select("s_suppkey", "s_nationkey", *[F.round(c).cast("long").alias(c) for c in ("dx", "dy", "degrees")])
 
