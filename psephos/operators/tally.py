@@ -53,10 +53,11 @@ def contest_status(results: DataFrame, contests: DataFrame) -> DataFrame:
     """Per ballot and contest: votes and status.  More votes than allowed is OVERVOTED, none UNDERVOTED; fewer than allowed is OK.
 
     Several marks on one choice are one vote.  Returns ballot_id, cid, upto, choice, filled, votes, status, first; filled is 0 unless OK, and first is true for one choice of each ballot and
-    contest.  One aggregation: marks that are dealt out by ballot already are not moved, others once.
+    contest.  One aggregation: marks that are dealt out by ballot already are not moved, others once.  The contests, one row each, go to all tasks: joined by a shuffle, each contest's ballots
+    would be one task's.
     """
     own = results.groupBy("ballot_id", "cid").agg(F.collect_set("choice").alias("choices"), F.collect_set(F.when(F.col("is_filled"), F.col("choice"))).alias("marked"))
-    known = own.join(contests.select("cid", "upto"), "cid").withColumn("votes", F.size("marked").cast("long"))
+    known = own.join(F.broadcast(contests.select("cid", "upto")), "cid").withColumn("votes", F.size("marked").cast("long"))
     status = F.when(F.col("votes") > F.col("upto"), "OVERVOTED").when(F.col("votes") == 0, "UNDERVOTED").otherwise("OK")
     out = known.withColumn("status", status).withColumn("least", F.array_min("choices")).select("*", F.explode("choices").alias("choice"))
     filled = F.when(F.col("status") == "OK", F.array_contains("marked", F.col("choice")).cast("int")).otherwise(0)
