@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from psephos.operators.ranking import dense_ids
+from psephos.operators.ranking import dense_ids, sent_if_few
 
 
 def partition_by_code(codes: DataFrame) -> DataFrame:
@@ -41,8 +41,8 @@ def group_by_properties(attrs: DataFrame, ignore: list[str]) -> DataFrame:
 
 
 def spread(values: DataFrame, members: DataFrame, on: str) -> DataFrame:
-    """What holds for a partition or group holds for each of its members."""
-    return members.join(values, on)
+    """What holds for a partition or group holds for each of its members, of which there may be any number."""
+    return members.join(sent_if_few(values, "spread"), on)
 
 
 def worst_status(events: DataFrame) -> DataFrame:

@@ -6,6 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows up to which a narrow table is sent to all tasks.
+FEW = 100_000
+
+
+def sent_if_few(df: DataFrame, name: str) -> DataFrame:
+    """df, written and counted, to be joined by a key that any number of the other side's rows may share: sent to all tasks if it is small, so that these rows are not moved to one task."""
+    from psephos.sources.io import written
+
+    table = written(df, name)
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
 def global_rank(df: DataFrame, bins: list[Column], order: list[str], to: str = "rnk") -> DataFrame:
     """Adds the place of each row, from 0, in the order of `bins` and then `order`.
 
@@ -58,11 +70,11 @@ def placed_within(df: DataFrame, by: list[str], order: list[str], to: str = "pla
 
 
 def dense_ids(df: DataFrame, key: list[str], to: str) -> DataFrame:
-    """Adds dense ids from 0 in the order of the distinct values of a string key.  Keys are made distinct first and ranked by leading characters."""
+    """Adds dense ids from 0 in the order of the distinct values of a string key.  Keys are made distinct first and ranked by leading characters; a key may have any number of rows."""
     (name,) = key
     keys = df.select(name).distinct().where(F.col(name).isNotNull())
     ordered = global_rank(keys, [F.substring(name, 1, 4), F.substring(name, 1, 16)], [name], to)
-    return df.join(ordered.withColumn(to, F.col(to).cast("long")), name)
+    return df.join(sent_if_few(ordered.select(name, F.col(to).cast("long").alias(to)), "dense_ids"), name)
 
 
 def islands(df: DataFrame, partition: list[str], order: list[str], starts: Column, to: str) -> DataFrame:
