@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -96,6 +98,7 @@ def _(spark, d):
     return decoders.decode(images, decoders.retried(lambda a: decoders.side_bits(a, zero, one, 8)))
 
 
+@lru_cache
 def glyphs() -> dict[str, np.ndarray]:
     """Ten patterns that stand for printed digits."""
     rng = np.random.default_rng(12)
@@ -103,9 +106,9 @@ def glyphs() -> dict[str, np.ndarray]:
 
 
 def row_of_digits(code: str) -> np.ndarray:
-    out = np.ones((12, 10 * len(code) + 4))
+    out, signs = np.ones((12, 10 * len(code) + 4)), glyphs()
     for i, c in enumerate(code):
-        out[2:10, 10 * i + 3 : 10 * i + 9] = glyphs()[c]
+        out[2:10, 10 * i + 3 : 10 * i + 9] = signs[c]
     return out
 
 
@@ -114,7 +117,13 @@ def _(spark, d):
     """Rows of six drawn digits, read place by place and as the best chain."""
     six = v.read(spark, d, "part").select("p_partkey", F.lpad((F.col("p_partkey") * 7919 % 1000000).cast("string"), 6, "0").alias("truth"))
     images = drawn(six, lambda truth, k: noisy(row_of_digits(truth), k), "truth", "p_partkey").drop("truth")
-    return patches.map_patch(images, lambda a: {"greedy": pixels.greedy_digits(a, glyphs(), 6)[0], "chained": pixels.digit_rows(a, glyphs(), 6, 10)[0]}, "greedy string, chained string")
+    signs = glyphs()
+
+    def read(a):
+        maps = pixels.ncc_maps(a, [signs[k] for k in sorted(signs)])
+        return {"greedy": pixels.greedy_digits(a, signs, 6, maps)[0], "chained": pixels.digit_rows(a, signs, 6, 10, maps=maps)[0]}
+
+    return patches.map_patch(images, read, "greedy string, chained string")
 
 
 # --- pixels ---------------------------------------------------------------------------------------

@@ -127,3 +127,37 @@ def test_halving_with_several_exemplars(spark):
     found = digits.attributes_by_halving(df, many, (18, 12, 46, 36), least=0.5).orderBy("k").collect()
     assert (found[0].label, found[0].x, found[0].y, found[0].exemplar) == ("a1", 20, 14, 1) and found[1].label is None
     assert digits.coarsest_scale({"one": own["a0"], "same": own["a0"]}) == 1.0
+
+
+def test_maps_of_many_patches_are_those_of_each():
+    rng = np.random.default_rng(5)
+    image = rng.random((14, 40))
+    image[:, 20:34] = 0.5  # windows without any contrast
+    own = [rng.random((8, 6)), np.ones((8, 6)), rng.random((5, 7)), rng.random((8, 6))]
+    for m, p in zip(pixels.ncc_maps(image, own), own):
+        assert np.allclose(m, pixels.ncc_map(image, p), atol=1e-9)
+
+
+def test_windows_of_an_image_are_made_once_for_all_digits(monkeypatch):
+    """Ten digits read in two ways: one pass over the windows."""
+    from psephos.plans.queries_more import glyphs, noisy, row_of_digits
+
+    n, view = [], np.lib.stride_tricks.sliding_window_view
+    monkeypatch.setattr(np.lib.stride_tricks, "sliding_window_view", lambda *a, **k: n.append(1) or view(*a, **k))
+    signs = glyphs()
+    for code in ("007919", "123456", "999999"):
+        a = noisy(row_of_digits(code), 4)
+        n.clear()
+        maps = pixels.ncc_maps(a, [signs[k] for k in sorted(signs)])
+        assert pixels.greedy_digits(a, signs, 6, maps)[0] == pixels.digit_rows(a, signs, 6, 10, maps=maps)[0] == code and len(n) == 1
+
+
+def test_short_and_long_lines_have_the_same_chains(monkeypatch):
+    rng = np.random.default_rng(8)
+    for k in range(30):
+        gain = rng.normal(size=int(rng.integers(1, 90)))
+        quick = pixels.best_behind(gain, 7.0, 0.01 + k / 50)
+        monkeypatch.setattr(pixels, "SHORT", 0)
+        slow = pixels.best_behind(gain, 7.0, 0.01 + k / 50)
+        monkeypatch.setattr(pixels, "SHORT", 128)
+        assert np.allclose(quick[0], slow[0]) and (quick[1] == slow[1]).all()
