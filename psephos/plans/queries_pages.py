@@ -128,9 +128,8 @@ def _(spark, d):
         flat = with_marks(page, [level(k, i) / 10 for i in range(16)])
         out = np.ones(flat.shape)
         for q in range(4):
-            moved = pixels.affine(flat, pixels.rigid((k + q) % 5 - 2, (k + 2 * q) % 5 - 2, ((k + q) % 7 - 3) / 10, flat.shape), 1.0)
             y, x = q // 2 * 160, q % 2 * 140
-            out[y : y + 160, x : x + 140] = moved[y : y + 160, x : x + 140]
+            out[y : y + 160, x : x + 140] = pixels.affine(flat, pixels.rigid((k + q) % 5 - 2, (k + 2 * q) % 5 - 2, ((k + q) % 7 - 3) / 10, flat.shape), 1.0, (x, y, x + 140, y + 160))
         return out
 
     found = align.extract_by_cells(drawn(suppliers(spark, d).select("s_suppkey"), draw, "s_suppkey"), blank, SPOTS)

@@ -120,3 +120,41 @@ def test_pages_are_turned_straight(spark):
     scan = pixels.affine(a, pixels.rigid(0, 0, 3.0, a.shape), 1.0)
     (row,) = align.straightened(spark.createDataFrame([(1, patches.pack(scan))], f"k int, patch {patches.PATCH}")).collect()
     assert abs(row.angle - 3) <= 0.1 and abs(align.hough_angle(patches.unpack(row.patch.asDict()))) <= 0.2
+
+
+def plain_affine(a, h, fill=np.nan):
+    """All pixels at once, by the definition."""
+    ys, xs = np.mgrid[0 : a.shape[0], 0 : a.shape[1]]
+    u, v, w = np.linalg.inv(h) @ np.stack([xs.ravel(), ys.ravel(), np.ones(a.size)])
+    u, v = np.round(u / w, 9), np.round(v / w, 9)
+    x0, y0 = np.floor(u).astype(int), np.floor(v).astype(int)
+    out, ok = np.zeros(a.size), (u >= 0) & (v >= 0) & (u <= a.shape[1] - 1) & (v <= a.shape[0] - 1)
+    for dy, wy in ((0, 1 - v + y0), (1, v - y0)):
+        for dx, wx in ((0, 1 - u + x0), (1, u - x0)):
+            out += wx * wy * a[np.clip(y0 + dy, 0, a.shape[0] - 1), np.clip(x0 + dx, 0, a.shape[1] - 1)]
+    return np.where(ok, out, fill).reshape(a.shape)
+
+
+def test_warps_and_parts_of_them():
+    rng = np.random.default_rng(2)
+    for k in range(60):
+        shape = tuple(int(n) for n in rng.integers(2, 150, 2))
+        a = rng.random(shape)
+        h = pixels.rigid(*rng.integers(-5, 5, 2), rng.choice([0, 90, 180, -1, 0.3, 7]), shape)
+        if k % 3 == 0:
+            h = h + [[0.1, 0, 0], [0, -0.1, 0], [0.0005, -0.0003, 0]]
+        want = plain_affine(a, h)
+        assert np.allclose(pixels.affine(a, h), want, atol=1e-9, equal_nan=True)
+        x1, y1, x2, y2 = (int(n) for n in rng.integers(0, 150, 4))
+        assert np.allclose(pixels.affine(a, h, box=(x1, y1, x2, y2)), want[y1:y2, x1:x2], atol=1e-9, equal_nan=True)
+
+
+def test_targets_are_warped_by_themselves(monkeypatch):
+    """Of the page as a whole, one warp; for each cell, its region and its targets."""
+    a = form(200, 160)
+    boxes = [(20 + 60 * c, 20 + 40 * r, 28 + 60 * c, 24 + 40 * r) for r in range(4) for c in range(2)]
+    n, plain = [], pixels.affine
+    monkeypatch.setattr(pixels, "affine", lambda image, *rest, **more: n.append(image.size if len(rest) < 3 else 0) or plain(image, *rest, **more))
+    found = align.read_targets(a, a, boxes, whole=lambda image, reference: np.eye(3))
+    assert [i for i, *_ in found] == list(range(8)) and n.count(a.size) == 1
+    assert all(np.allclose(p, a[y1:y2, x1:x2], atol=0.05) for (_, p, _, _), (x1, y1, x2, y2) in zip(found, boxes))
