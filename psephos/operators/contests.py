@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from psephos.operators.ranking import global_rank, running_sum
+from psephos.operators.ranking import global_rank, running_sum, sent_if_few
 
 #: The factor of distances by language (English, Spanish, French, German, others).
 LANGUAGE_CODES = {"english": "eng", "spanish": "spa", "french": "fra", "german": "deu", "chinese": "chi_sim", "vietnamese": "vie", "korean": "kor"}
@@ -67,6 +67,27 @@ def text_classes(texts: DataFrame, block: list[str]) -> tuple[DataFrame, DataFra
     return texts.join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), members
 
 
+#: Texts of a block that one task compares with the block at a time.
+PIECE = 256
+
+
+def _all_near(rows: DataFrame, block: list[str], most: float) -> DataFrame:
+    """a_id, b_id, distance of the pairs of a block (rows: id, block, title, choices, size, long) that are at most `most` apart, lengths and then titles first: each block is cut in pieces of some
+    256 texts, each of which meets the whole block in a task, so only texts are moved and no pairs are."""
+    sizes = sent_if_few(rows.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("_pieces")), "pieces")
+    dealt = rows.join(sizes, block)
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, sizes.agg(F.sum("_pieces")).first()[0] or 0))
+    a = dealt.withColumn("_piece", F.pmod(F.xxhash64("id"), "_pieces").cast("int")).repartition(n, *block, "_piece").alias("a")
+    b = dealt.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).repartition(n, *block, "_piece").alias("b")
+    long_ = F.col("a.long") + F.col("b.long")
+    cond = (F.col("a.id") < F.col("b.id")) & (F.size("a.choices") == F.size("b.choices")) & (F.abs(F.col("a.long") - F.col("b.long")) <= most * long_)
+    for c in (*block, "_piece"):
+        cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    d = rotation_distance(F.col("a.title"), F.col("b.title"), F.col("a.choices"), F.col("b.choices"))
+    met = a.join(b, cond & (F.levenshtein("a.title", "b.title") <= most * long_ + 1e-9))
+    return met.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), d.alias("distance")).where(F.col("distance") <= most)
+
+
 def similar_pairs(texts: DataFrame, block: list[str], most: float, q: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(a_id, b_id, distance of the pairs of distinct texts of a block that are at most `most` apart; id and rep of all texts): a join by an index of rare runs of characters.
 
@@ -74,12 +95,16 @@ def similar_pairs(texts: DataFrame, block: list[str], most: float, q: int | None
     changes none), and texts so near cannot differ much in length; so a text shares with each near one all but a bounded number of its runs, and at least one among as many of its rarest
     ones.  Only these are joined, by block, run and how often it came before in the text; pairs that share too few runs in all are dropped before distances are computed.  Texts that may
     share none (short ones, or all where `most` is a third or more) are compared with the block by length, as in pairs_in_blocks.  So no pair is lost.  q is from 4 to 1, the smaller the larger
-    `most` is; from 0.2 on the index is of single characters and rules little out.  texts: id, block, title, choices, size (characters of the choices); they have no nulls.
+    `most` is.  Runs of single characters rule little out, and nearly all pairs would meet by several of them: with q = 1 (`most` from 0.11 on) the texts of a block are compared in pieces, which
+    moves texts only; that is as much work as there are pairs of distinct texts.  texts: id, block, title, choices, size (characters of the choices); they have no nulls.
     """
     from psephos.sources.io import written
 
     q = q or (max(1, min(4, int((1 - most) / (4 * most)))) if most > 0 else 4)  # so that half of the runs stand as long as possible
     distinct, members = text_classes(texts, block)
+    if q == 1:
+        rows = written(distinct.select("id", *block, "title", "choices", "size", (F.length("title") + F.col("size")).alias("long")), "texts")
+        return _all_near(rows, block, most), members
     rows = distinct.select("id", *block, "title", "choices", "size", (F.length("title") + F.col("size")).alias("long"), _grams(F.concat(F.array("title"), "choices"), q).alias("runs"))
     rows = written(rows.withColumn("differ", (q * F.floor(F.lit(2 * most / (1 - most)) * F.col("long") + 1e-9)).cast("int")), "texts")
     indexed = F.size("runs") > F.col("differ")

@@ -77,3 +77,18 @@ def test_candidates_are_few(spark, monkeypatch):
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("block", "n", "run", "k")] + [F.col("a.id") < F.col("b.id")]
     met = a.join(b, on).select("a.id", "b.id").distinct().count()
     assert met < n / 4, (met, n)
+
+
+def test_pairs_are_not_moved_where_the_index_rules_little_out(spark, monkeypatch):
+    """Only texts are shuffled: pairs go neither through a distinct nor through joins by id."""
+    monkeypatch.setattr(contests, "PIECE", 7)
+    rows = [(k, k % 2, f"name {k % 13}", [f"one {k % 5}", f"two {k % 3}", f"three {k % 4}"]) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, block int, title string, choices array<string>")
+    df = df.withColumn("size", F.aggregate("choices", F.lit(0), lambda s, t: s + F.length(t)))
+    pairs, members = contests.similar_pairs(df, ["block"], 0.18)
+    text = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(runs" not in text and text.count("Join") <= 3
+    reps = df.join(members.where("id = rep").select("id"), "id", "left_semi")
+    want = contests.pairs_in_blocks(reps, ["block"], 0.18)
+    key = lambda x: sorted((r.a_id, r.b_id, round(r.distance, 9)) for r in x.collect())
+    assert key(pairs) == key(want) and len(key(pairs)) > 100
