@@ -242,7 +242,7 @@ def _(spark, d):
 def _(spark, d):
     """Which component is less than which, as a scan of two levels in a TIFF file coded by runs, read back: how many pixels are dark, and the sum of their places."""
     def write(it):
-        for pdf in it:
+        for pdf in (batch.iloc[f : f + io.AT_ONCE] for batch in it for f in range(0, len(batch), io.AT_ONCE)):
             scans = [tiff.scan(np.less.outer(x, x)) for x in (np.asarray(x, float) for x in pdf["x"])]
             yield pd.DataFrame({"image_path": pdf["vec_id"].astype(str) + ".tif", "content": scans})
 

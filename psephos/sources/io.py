@@ -99,12 +99,16 @@ def _png(content: bytes) -> np.ndarray:
     return _grey(np.frombuffer(palette, np.uint8).reshape(-1, 3)[pixels[:, :, 0]] if colour == 3 else pixels)
 
 
+#: Decoded images that a task holds at a time: files are much smaller than their pixels.
+AT_ONCE = 64
+
+
 def grey_images(images: DataFrame, scaled: bool = False) -> DataFrame:
     """image_path, patch (a struct of h, w and data), status: images (image_path, content) as grey values from 0 to 255, or to 1 if scaled; what cannot be read has status err and no patch."""
     from psephos.operators.patches import PATCH, pack
 
     def run(it):
-        for pdf in it:
+        for pdf in (batch.iloc[f : f + AT_ONCE] for batch in it for f in range(0, len(batch), AT_ONCE)):
             patches = []
             for content in pdf["content"]:
                 try:

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from psephos.sources import io, tiff
@@ -169,3 +170,23 @@ def test_what_cannot_be_read(spark):
     df = spark.createDataFrame([(f"{k}.tif", c) for k, c in enumerate([good, *bad, *noise])], "image_path string, content binary")
     rows = {r.image_path: r.status for r in io.grey_images(df).collect()}
     assert rows["0.tif"] == "ok" and all(rows[f"{k}.tif"] == "err" for k in range(1, 6)) and len(rows) == 66
+
+
+def test_few_decoded_images_are_held_at_a_time(spark, monkeypatch):
+    """A batch of many small files is not decoded into one batch of pixels."""
+    from psephos.sources import io
+
+    class Images:
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    content = tiff.scan(np.eye(40) > 0)
+    run = io.grey_images(Images())
+    out = list(run(iter([pd.DataFrame({"image_path": [f"{k}.tif" for k in range(300)], "content": [content] * 299 + [b"no image"]})])))
+    assert max(map(len, out)) <= 64 and sum(map(len, out)) == 300
+    assert [s for o in out for s in o["status"]] == ["ok"] * 299 + ["err"]
