@@ -87,14 +87,17 @@ def crossings(horizontal: DataFrame, vertical: DataFrame, on: list[str]) -> Data
     return h.join(v, cond).select(*[F.col(f"h.{k}") for k in on], F.col("h.id").alias("h_id"), F.col("v.id").alias("v_id"), F.col("v.x").alias("x"), F.col("h.y").alias("y"))
 
 
-def rectangles(cross: DataFrame, on: list[str], least_area: int) -> DataFrame:
-    """Four crossings of two horizontal with two vertical lines: 4-cycles of the line graph, of least_area or more."""
+def rectangles(cross: DataFrame, on: list[str], least_area: int, parts: int | None = None) -> DataFrame:
+    """Four crossings of two horizontal with two vertical lines: 4-cycles of the line graph, of least_area or more.  parts: crossings and sides are dealt into so many parts, if given."""
+    dealt = lambda df, *by: df if parts is None else df.repartition(parts, *by)
+    cross = dealt(cross, *on, "h_id")
     a, b = cross.alias("a"), cross.alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in on]
     side = (F.col("a.h_id") == F.col("b.h_id")) & (F.col("a.x") < F.col("b.x"))
     for s in same:
         side = side & s
     top = a.join(b, side).select(*[F.col(f"a.{k}") for k in on], F.col("a.v_id").alias("left"), F.col("b.v_id").alias("right"), F.col("a.x").alias("x1"), F.col("b.x").alias("x2"), F.col("a.y").alias("y"))
+    top = dealt(top, *on, "left", "right")
     t, u = top.alias("t"), top.alias("u")
     cond = (F.col("t.left") == F.col("u.left")) & (F.col("t.right") == F.col("u.right")) & (F.col("t.y") < F.col("u.y"))
     for k in on:
@@ -150,6 +153,14 @@ def alignment_grid(errors: DataFrame, tolerances: list[float]) -> DataFrame:
 
 # --- contests from lines -------------------------------------------------------------------------
 
+#: Lines and targets of the styles that one task holds, but for a style that has more.
+ROWS = 500_000
+
+
+def parts_of(spark, rows: int) -> int:
+    """Parts for so many lines and targets.  The number is given to Spark, which otherwise sizes tasks by what is shuffled, and knows nothing of what is made of it."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS))
+
 
 def _same(a: str, b: str, on: list[str]):
     cond = F.lit(True)
@@ -167,9 +178,8 @@ def extended(horizontal: DataFrame, vertical: DataFrame, on: list[str], width: i
     h, v = horizontal.alias("h"), vertical.alias("v")
     start, stop = F.floor((F.col("h.x1") + 9 * F.col("h.x2")) / 10), F.least(F.col("h.x2") + F.floor((F.col("h.x2") - F.col("h.x1")) / 2), F.lit(width))
     cond = _same("h", "v", on) & (F.col("v.y1") <= F.col("h.y1")) & (F.col("h.y1") < F.col("v.y2")) & (F.greatest(start, "v.x1") < F.least(stop, F.col("v.x2")))
-    keys = [*on, "id"]
-    met = h.join(v, cond).groupBy(*[F.col(f"h.{k}").alias(k) for k in keys]).agg(F.min(F.greatest(start, "v.x1")).alias("_at"))
-    out = horizontal.join(met, keys, "left")
+    at = F.when(F.col("v.x1").isNotNull(), F.greatest(start, "v.x1"))
+    out = h.join(v, cond, "left").groupBy(*[F.col(f"h.{c}").alias(c) for c in horizontal.columns]).agg(F.min(at).alias("_at"))  # within the style: no line is moved again
     end = F.when(F.col("_at") >= F.col("x2"), F.col("_at") + F.floor((F.col("_at") - F.col("x1")) / 10)).otherwise(F.col("x2"))
     return out.withColumn("x2", end.cast("long")).drop("_at")
 
@@ -197,14 +207,21 @@ def holding(squares: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
     return t.join(b, _same("b", "t", on) & inside).groupBy(*[F.col(f"t.{k}").alias(k) for k in [*on, "target_id"]]).agg(best).select(*on, "target_id", "m.x1", "m.y1", "m.x2", "m.y2")
 
 
-def extract_contests(horizontal: DataFrame, vertical: DataFrame, targets: DataFrame, on: list[str], width: int, height: int) -> DataFrame:
+def extract_contests(horizontal: DataFrame, vertical: DataFrame, targets: DataFrame, on: list[str], width: int, height: int, dealt: int | None = None) -> DataFrame:
     """The contest box of each target, from a style's lines: on, target_id, x1, y1, x2, y2.
 
     Short lines go, horizontal ones are drawn on to vertical ones, lines that no target lies beside go, crossings make rectangles, small rectangles go, and each target takes the smallest that
-    holds it.  All by joins on the style, so styles of any number are spread over tasks.  Lines and targets: on, id or target_id, x1, y1, x2, y2.
+    holds it.  All by joins on the style; styles are dealt into parts by their number of rows, so a task's memory does not grow with the tables.  Lines and targets: on, id or target_id, x1, y1,
+    x2, y2.  dealt: the number of parts (see parts_of) that the caller has dealt all three tables into by `on` already.
     """
+    parts = dealt
+    if parts is None:
+        parts = parts_of(targets.sparkSession, sum(df.count() for df in (horizontal, vertical, targets)))
+        horizontal, vertical, targets = (df.repartition(parts, *on) for df in (horizontal, vertical, targets))
     long_ = (F.col("x2") - F.col("x1") > width // 10) | (F.col("y2") - F.col("y1") > height // 30)
     h, v = horizontal.where(long_), vertical.where(long_)
     h = beside_targets(extended(h, v, on, width), targets, on, "x").select(*on, "id", F.col("y1").alias("y"), "x1", "x2")
     v = beside_targets(v, targets, on, "y").select(*on, "id", F.col("x1").alias("x"), "y1", "y2")
-    return holding(large_squares(rectangles(crossings(h, v, on), on, 1).distinct(), targets, on), targets, on)
+    many = parts if parts > int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None  # else as many as Spark makes, and it sizes them by these very rows
+    found = rectangles(crossings(h, v, on), on, 1, many).repartition(parts, *on).distinct()
+    return holding(large_squares(found, targets, on), targets, on)

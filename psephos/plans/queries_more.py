@@ -269,13 +269,15 @@ def _(spark, d):
 @query("o16_extracted_contests", "WITH n AS (SELECT l_orderkey AS g, COUNT(*) AS n FROM lineitem GROUP BY 1) SELECT g, k AS target_id, 10::BIGINT AS x1, 30 * k AS y1, 110::BIGINT AS x2, 30 * k + 20 AS y2 FROM n, range(60) t(k) WHERE k < n")
 def _(spark, d):
     """Styles of contest boxes below each other, with upper and lower lines that stop short of the right one, short lines of letters, and one target each: the boxes come back."""
-    n = v.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("g")).agg(F.count(F.lit(1)).alias("n")).select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    items = v.read(spark, d, "lineitem")
+    parts = bx.parts_of(spark, 7 * items.count())  # six lines and a target of each line item
+    n = items.groupBy(F.col("l_orderkey").alias("g")).agg(F.count(F.lit(1)).alias("n")).repartition(parts, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
     line = lambda no, x1, y1, x2, y2: F.struct((F.col("k") * 10 + no).alias("id"), F.lit(x1).cast("long").alias("x1"), (F.col("k") * 30 + y1).alias("y1"), F.lit(x2).cast("long").alias("x2"), (F.col("k") * 30 + y2).alias("y2"))
     strokes_of = lambda *xs: n.select("g", F.explode(F.array(*xs)).alias("s")).select("g", "s.*")
     h = strokes_of(line(0, 10, 0, 104, 0), line(1, 10, 20, 104, 20), line(2, 40, 10, 46, 10))
     w = strokes_of(line(0, 10, 0, 10, 20).withField("x2", F.lit(11).cast("long")).withField("y2", F.col("k") * 30 + 21), line(1, 110, 0, 111, 21), line(2, 150, 3, 151, 5))
     t = n.select("g", F.col("k").alias("target_id"), F.lit(15).cast("long").alias("x1"), (F.col("k") * 30 + 8).alias("y1"), F.lit(22).cast("long").alias("x2"), (F.col("k") * 30 + 13).alias("y2"))
-    return bx.extract_contests(h, w, t, ["g"], 160, 300)
+    return bx.extract_contests(h, w, t, ["g"], 160, 300, parts)
 
 
 @query("i13_coloured", f"WITH {BIG} SELECT CAST(COUNT(*) AS BIGINT) AS contests, 0::BIGINT AS alike, 0::BIGINT AS without FROM c")

@@ -40,3 +40,15 @@ def test_many_keys_are_joined_by_a_shuffle(spark, monkeypatch):
     tags = spark.range(50).select("id", (F.col("id") % 10).cast("string").alias("tag"))
     dense = ranking.dense_ids(tags, ["tag"], "n")
     assert sorted({(r.tag, r.n) for r in dense.collect()}) == [(str(k), k) for k in range(10)]
+
+
+def test_lines_are_dealt_by_their_number(spark, sf, monkeypatch):
+    """Six lines and a target of each line item are dealt into parts by their number, not by the size of the table they are made from; the boxes are the same."""
+    from psephos.operators import boxes
+    from psephos.plans.queries import QUERIES
+
+    rows = lambda: QUERIES["o16_extracted_contests"](spark, sf)
+    want = sorted(map(tuple, rows().collect()))
+    monkeypatch.setattr(boxes, "ROWS", 1000)
+    parts = -(-7 * spark.read.parquet(f"{sf}/lineitem.parquet").count() // 1000)
+    assert rows().rdd.getNumPartitions() == parts and sorted(map(tuple, rows().collect())) == want
