@@ -97,3 +97,44 @@ def test_queries_against_plain_ones(spark, sf, name):
         x = np.array([r.embedding for r in own], float)
         want |= {r.vec_id: c for r, c in zip(own, plain_kmeans(x, 2) if "means" in name else plain_kmedoids(x, 2)[0])}
     assert {r.vec_id: r.cluster for r in QUERIES[name](spark, sf).collect()} == want
+
+
+def tables(monkeypatch):
+    """(name, rows) of the tables that are written from now on."""
+    found, own = [], lloyd.written
+
+    def counted(df, name):
+        out = own(df, name)
+        found.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(lloyd, "written", counted)
+    return found
+
+
+def test_kmeans_rounds_are_a_pass_each(spark, monkeypatch):
+    """A round of few centres writes nothing; centres of any number give the same."""
+    x = np.round(np.random.default_rng(3).random((300, 4)), 6)
+    df = spark.createDataFrame([(1, i, r.tolist()) for i, r in enumerate(x)], SCHEMA).repartition(5)
+    found = tables(monkeypatch)
+    got = {r.id: r.cluster for r in lloyd.kmeans_in_groups(df, "g", 2, "id", "x").collect()}
+    assert [got[i] for i in range(300)] == plain_kmeans(x, 2) and len(found) <= 5
+    monkeypatch.setattr(lloyd, "FEW", 0)
+    assert got == {r.id: r.cluster for r in lloyd.kmeans_in_groups(df, "g", 2, "id", "x", rounds=60).collect()}
+
+
+def test_kmedoids_leaves_settled_groups(spark, monkeypatch):
+    own = groups(7)
+    df = spark.createDataFrame([(g, i, r.tolist()) for g, x in own.items() for i, r in enumerate(x)], SCHEMA).repartition(5)
+    found = tables(monkeypatch)
+    lloyd.kmedoids_in_groups(df, "g", 2, "id", "x").count()
+    rounds = [n for name, n in found if name == "assigned"]
+    assert rounds[0] == sum(map(len, own.values())) > rounds[-1]
+
+
+def test_distances_from_products():
+    """Also of vectors that are far out, close to each other or equal."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.random((50, 8)), 100 + rng.random((50, 8)), 100 + 1e-6 * rng.random((50, 8))])
+    x = np.concatenate([x, x[:20]])
+    assert np.allclose(lloyd._apart(x, x), np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), rtol=1e-10, atol=0)
