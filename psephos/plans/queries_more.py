@@ -28,6 +28,12 @@ def drawn(df: DataFrame, draw, *columns: str) -> DataFrame:
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, ", ".join([*[f"`{c}` {k}" for c, k in df.dtypes], f"patch {patches.PATCH}"]))
 
 
+def read_drawn(df: DataFrame, draw, read) -> DataFrame:
+    """What `read` finds in the images that draw makes of truth and p_partkey; rows are dealt out to all tasks, as drawn does, and an image is read where it is drawn."""
+    dealt = df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+    return decoders.decode(dealt, read, image=draw, columns=("truth", "p_partkey")).drop("truth")
+
+
 def noisy(image: np.ndarray, seed: int, turned: bool = False) -> np.ndarray:
     out = np.clip(image + np.random.default_rng(int(seed)).normal(0, 0.05, image.shape), 0, 1)
     return pixels.flip(out) if turned else out
@@ -55,8 +61,7 @@ def _(spark, d):
             image[6:12, 60:140] = 0
         return noisy(image, k, bool(k % 2))
 
-    images = drawn(code14(spark, d), draw, "truth", "p_partkey").drop("truth")
-    return decoders.decode(images, decoders.hart)
+    return read_drawn(code14(spark, d), draw, decoders.hart)
 
 
 BITS12 = "string_agg(CAST((p_partkey * 2654435761 // CAST(pow(2, k) AS BIGINT)) % 2 AS VARCHAR), '' ORDER BY k)"
@@ -69,8 +74,7 @@ def bits(spark, d, n: int) -> DataFrame:
 
 @query("j10_ess_images", f"SELECT p_partkey, {BITS12} AS raw, FALSE AS is_flipped, 'ok' AS status FROM part, range(12) t(k) GROUP BY p_partkey")
 def _(spark, d):
-    images = drawn(bits(spark, d, 12), lambda truth, k: noisy(decoders.timing_image(truth), k), "truth", "p_partkey").drop("truth")
-    return decoders.decode(images, decoders.retried(lambda a: decoders.timing(a, 12, 4, 6)))
+    return read_drawn(bits(spark, d, 12), lambda truth, k: noisy(decoders.timing_image(truth), k), decoders.retried(lambda a: decoders.timing(a, 12, 4, 6)))
 
 
 _FITS = "length(replace(substr({0}, 2, 30), '0', '')) % 4 = CAST(substr({0}, 32, 1) AS INT) * 2 + CAST(substr({0}, 33, 1) AS INT)"
@@ -87,15 +91,13 @@ def _(spark, d):
     own = bits(spark, d, 30)
     ones = codes.ones(F.col("truth")) % 4
     own = own.withColumn("truth", F.concat(F.lit("1"), "truth", F.floor(ones / 2).cast("string"), (ones % 2).cast("string"), F.lit("1")))
-    images = drawn(own, lambda truth, k: noisy(decoders.row_image(truth), k, bool(k % 2)), "truth", "p_partkey").drop("truth")
-    return decoders.decode(images, decoders.retried(lambda a: decoders.diebold(a, 5, 3)))
+    return read_drawn(own, lambda truth, k: noisy(decoders.row_image(truth), k, bool(k % 2)), decoders.retried(lambda a: decoders.diebold(a, 5, 3)))
 
 
 @query("f5_j10_sequoia_images", f"SELECT p_partkey, {BITS12} AS raw, FALSE AS is_flipped, 'ok' AS status FROM part, range(8) t(k) GROUP BY p_partkey")
 def _(spark, d):
     zero, one = decoders.tall_and_short()
-    images = drawn(bits(spark, d, 8), lambda truth, k: noisy(decoders.side_image(truth), k), "truth", "p_partkey").drop("truth")
-    return decoders.decode(images, decoders.retried(lambda a: decoders.side_bits(a, zero, one, 8)))
+    return read_drawn(bits(spark, d, 8), lambda truth, k: noisy(decoders.side_image(truth), k), decoders.retried(lambda a: decoders.side_bits(a, zero, one, 8)))
 
 
 @lru_cache

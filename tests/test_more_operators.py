@@ -224,3 +224,21 @@ def test_straightening_and_exemplars(spark):
 def test_sort_by_keys_of_another_table(spark):
     rows, keys = spark.createDataFrame([(i,) for i in range(6)], "id long"), spark.createDataFrame([(0, 5), (1, None), (2, 1), (3, 5), (9, 0)], "id long, k int")
     assert [r.id for r in ranking.sorted_by_keys(rows, keys, ["id"], "k").orderBy("place").collect()] == [2, 0, 3]
+
+
+@pytest.mark.parametrize("name", ["o33_o35_j10_hart_images", "j10_ess_images", "j10_diebold_images", "f5_j10_sequoia_images"])
+def test_images_are_read_where_they_are_drawn(spark, sf, name):
+    """One step in Python, so no image goes from one process to another."""
+    from psephos.plans.queries import QUERIES
+
+    assert QUERIES[name](spark, sf)._jdf.queryExecution().analyzed().toString().count("MapInPandas") == 1
+
+
+def test_decode_of_patches_and_of_images_it_makes(spark):
+    from psephos.operators import decoders, patches
+
+    codes = ["010011010101", "111111111111", "000000000000"]
+    read = decoders.retried(lambda a: decoders.timing(a, 12, 4, 6))
+    given = spark.createDataFrame([(c, patches.pack(decoders.timing_image(c))) for c in codes], f"truth string, patch {patches.PATCH}")
+    by_patch, made = decoders.decode(given, read), decoders.decode(given.select("truth"), read, image=decoders.timing_image, columns=("truth",))
+    assert made.columns == by_patch.columns and sorted(made.collect()) == sorted(by_patch.collect()) and {r.raw for r in made.collect()} == set(codes)
