@@ -169,8 +169,19 @@ def _vardiff(a: np.ndarray, b: np.ndarray) -> float:
     return float(d[d > min(_numpy_level(a), _numpy_level(b))].sum() / np.count_nonzero(~np.isnan(a)))
 
 
+#: Numbers of the vectors whose distances _nearest sums up at a time (32 MB).
+HELD = 1 << 22
+
+
 def _nearest(x: np.ndarray, e: np.ndarray, e_id: list) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of x its nearest row of e, by the distance to 9 digits and then by id: (distance, row).  NaN is infinitely far."""
+    """For each row of x its nearest row of e, by the distance to 9 digits and then by id: (distance, row).  NaN is infinitely far.
+
+    Some rows of x at a time, as all pairs may be equally near: of equal exemplars, each is.
+    """
+    some = max(1, HELD // (1024 * max(1, x.shape[1])))
+    if len(x) > some:
+        parts = [_nearest(x[f : f + some], e, e_id) for f in range(0, len(x), some)]
+        return np.concatenate([d for d, _ in parts]), np.concatenate([at for _, at in parts])
     by_id = np.array(sorted(range(len(e_id)), key=e_id.__getitem__))
     e = e[by_id]
     best, at = np.full(len(x), np.inf), np.zeros(len(x), np.int64)

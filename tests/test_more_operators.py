@@ -242,3 +242,17 @@ def test_decode_of_patches_and_of_images_it_makes(spark):
     given = spark.createDataFrame([(c, patches.pack(decoders.timing_image(c))) for c in codes], f"truth string, patch {patches.PATCH}")
     by_patch, made = decoders.decode(given, read), decoders.decode(given.select("truth"), read, image=decoders.timing_image, columns=("truth",))
     assert made.columns == by_patch.columns and sorted(made.collect()) == sorted(by_patch.collect()) and {r.raw for r in made.collect()} == set(codes)
+
+
+def test_equal_exemplars_take_bounded_memory():
+    """All pairs of items and equal exemplars are equally near; the least id is taken."""
+    import tracemalloc
+
+    from psephos.operators.cluster import _nearest
+
+    x, e = np.random.default_rng(1).random((1024, 64)), np.full((3000, 64), 0.5)
+    tracemalloc.start()
+    _, at = _nearest(x, e, list(range(3000, 0, -1)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (at == 2999).all() and most < 300e6
