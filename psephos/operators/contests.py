@@ -67,25 +67,135 @@ def text_classes(texts: DataFrame, block: list[str]) -> tuple[DataFrame, DataFra
     return texts.join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), members
 
 
-#: Texts of a block that one task compares with the block at a time.
-PIECE = 256
+#: Texts of a piece of a block; two pieces are compared at a time.
+PIECE = 2048
 
 
 def _all_near(rows: DataFrame, block: list[str], most: float) -> DataFrame:
-    """a_id, b_id, distance of the pairs of a block (rows: id, block, title, choices, size, long) that are at most `most` apart, lengths and then titles first: each block is cut in pieces of some
-    256 texts, each of which meets the whole block in a task, so only texts are moved and no pairs are."""
-    sizes = sent_if_few(rows.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("_pieces")), "pieces")
-    dealt = rows.join(sizes, block)
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, sizes.agg(F.sum("_pieces")).first()[0] or 0))
-    a = dealt.withColumn("_piece", F.pmod(F.xxhash64("id"), "_pieces").cast("int")).repartition(n, *block, "_piece").alias("a")
-    b = dealt.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).repartition(n, *block, "_piece").alias("b")
-    long_ = F.col("a.long") + F.col("b.long")
-    cond = (F.col("a.id") < F.col("b.id")) & (F.size("a.choices") == F.size("b.choices")) & (F.abs(F.col("a.long") - F.col("b.long")) <= most * long_)
-    for c in (*block, "_piece"):
-        cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    d = rotation_distance(F.col("a.title"), F.col("b.title"), F.col("a.choices"), F.col("b.choices"))
-    met = a.join(b, cond & (F.levenshtein("a.title", "b.title") <= most * long_ + 1e-9))
-    return met.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), d.alias("distance")).where(F.col("distance") <= most)
+    """a_id, b_id, distance of the pairs of a block (rows: id, block, title, choices, size, long) that are at most `most` apart: each block is cut in pieces of some 2048 texts, and a task has two
+    of them at a time, so only texts are moved (each as often as its block has pieces) and no pairs are.  Within, equal titles and equal choices are compared once (_near_of_two)."""
+    known = F.col("title").isNotNull() & ~F.exists("choices", lambda c: c.isNull())
+    for c in block:
+        known = known & F.col(c).isNotNull()
+    rows = rows.where(known).withColumn("_n", F.size("choices"))
+    own = [*block, "_n"]
+    sizes = sent_if_few(rows.groupBy(*own).agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("_pieces")), "pieces")
+    meetings = sizes.agg(F.sum(F.col("_pieces").cast("long") * (F.col("_pieces") + 1) / 2)).first()[0] or 0
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(min(10_000, meetings)))
+    piece = F.pmod(F.xxhash64("id"), "_pieces").cast("int")
+    dealt = rows.join(sizes, own).withColumn("_piece", piece).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
+    dealt = dealt.select("id", *own, "title", "choices", "long", "_piece", F.least("_piece", "_other").alias("_low"), F.greatest("_piece", "_other").alias("_high")).repartition(n, *own, "_low", "_high")
+    kind = dict(rows.dtypes)["id"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = int(pdf["_low"].iloc[0]), int(pdf["_high"].iloc[0])
+        a, b = (pdf[pdf["_piece"] == k] for k in (low, high))
+        i, j, d = _near_of_two(a, b, most, low == high)
+        x, y = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
+        return pd.DataFrame({"a_id": np.minimum(x, y), "b_id": np.maximum(x, y), "distance": d})
+
+    return dealt.groupBy(*own, "_low", "_high").applyInPandas(run, f"a_id {kind}, b_id {kind}, distance double")
+
+
+#: Pairs that are looked at together within a task (some 30 bytes for each).
+TOGETHER = 1 << 19
+
+
+def _near_of_two(a: pd.DataFrame, b: pd.DataFrame, most: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a, rows of b and distance (as rotation_distance has it) of the pairs that are at most `most` apart; of one piece with itself (same), each pair once.  Lengths and titles rule pairs
+    out first; the distances of titles, and of choices under the best rotation, are worked out once for equal ones."""
+    (ta, titles_a), (tb, titles_b), (ca, choices_a), (cb, choices_b) = (pd.factorize(x[c].map(tuple) if c == "choices" else x[c]) for c in ("title", "choices") for x in (a, b))
+    la, lb = (x["long"].to_numpy(np.int64) for x in (a, b))
+    titles, choices = _Distances(titles_a, titles_b, _edits), _Distances(choices_a, choices_b, _turned_edits)
+    out: list = []
+    for f in range(0, len(a), max(1, TOGETHER // max(1, len(b)))):
+        rows = slice(f, f + max(1, TOGETHER // max(1, len(b))))
+        long_ = la[rows, None] + lb
+        may = np.abs(la[rows, None] - lb) <= most * long_
+        if same:
+            may &= np.arange(f, f + len(long_))[:, None] < np.arange(len(b))
+        i, j = np.nonzero(may)
+        n = long_[i, j]
+        i += f
+        t = titles.of(ta[i], tb[j])
+        own = np.flatnonzero(t <= most * n + 1e-9)
+        i, j, n, t = i[own], j[own], n[own], t[own]
+        d = (t + choices.of(ca[i], cb[j])) / np.maximum(1, n)
+        own = np.flatnonzero(d <= most)
+        out.append((i[own], j[own], d[own]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+class _Distances:
+    """Distances between the distinct values of two pieces, by their numbers: each is worked out when it is first asked for."""
+
+    def __init__(self, a, b, between):
+        self.a, self.b, self.between, self.known = list(a), list(b), between, np.full((len(a), len(b)), -1, np.int32)
+
+    def of(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        d = self.known[i, j]
+        if len(new := np.flatnonzero(d < 0)):
+            new = np.unique(i[new].astype(np.int64) * len(self.b) + j[new])
+            self.known.ravel()[new] = self.between([self.a[k] for k in new // len(self.b)], [self.b[k] for k in new % len(self.b)])
+            d = self.known[i, j]
+        return d
+
+
+def _turned_edits(x: list[tuple], y: list[tuple]) -> np.ndarray:
+    """The sum of edits of choices (as many on either side) under the best rotation."""
+    n, out = len(x[0]), np.zeros(len(x), np.int32)
+    if not n:
+        return out
+    number: dict[str, int] = {}
+    at, some = (np.array([[number.setdefault(t, len(number)) for t in c] for c in side]) for side in (x, y)), max(1, TOGETHER // (n * n))
+    at_x, at_y = at
+    texts = list(number)
+    for f in range(0, len(x), some):
+        pairs = at_x[f : f + some, :, None].astype(np.int64) * len(texts) + at_y[f : f + some, None]
+        once, back = np.unique(pairs, return_inverse=True)
+        d = _edits([texts[k] for k in once // len(texts)], [texts[k] for k in once % len(texts)])[back.reshape(pairs.shape)]
+        places = np.arange(n)
+        out[f : f + some] = np.min([d[:, places, (places + r) % n].sum(axis=1) for r in range(n)], axis=0)
+    return out
+
+
+def _edits(x: list[str], y: list[str]) -> np.ndarray:
+    """Edit distances of pairs of texts, a row of the table for many pairs at a time; pairs of like lengths go together."""
+    out, sizes = np.zeros(len(x), np.int32), np.array([(len(s), len(t)) for s, t in zip(x, y)]).reshape(-1, 2)
+    order, f = np.lexsort((sizes[:, 1], sizes[:, 0])), 0
+    while f < len(order):
+        # as many pairs as TOGETHER allows for, by the sizes of the next ones
+        own = order[f : f + max(1, (TOGETHER >> 1) // (1 + int(sizes[order[f : f + 2048]].max())))][:2048]
+        f += len(own)
+        m, n = sizes[own].max(axis=0)
+        a, b = (_letters([side[k] for k in own], size) for side, size in ((x, m), (y, n)))
+        kind = np.int16 if m + n < 1 << 14 else np.int32
+        place = np.arange(n + 1, dtype=kind)[:, None]
+        # a row is kept less its places, so that along it the least so far is the best
+        row, new, unlike = (np.zeros((n + 1, len(own)), kind) for _ in range(3))
+        done = sizes[own, 0] == 0
+        out[own[done]] = sizes[own[done], 1]
+        for k in range(m):
+            np.add(row, 1, out=new)
+            np.not_equal(b, a[k], out=unlike[1:], casting="unsafe")
+            unlike[1:] += row[:-1]
+            unlike[1:] -= 1
+            np.minimum(new[1:], unlike[1:], out=new[1:])
+            if len(own) < 256:
+                np.minimum.accumulate(new, axis=0, out=new)
+            else:
+                for before, after in zip(new, new[1:]):
+                    np.minimum(before, after, out=after)
+            row, new = new, row
+            done = np.flatnonzero(sizes[own, 0] == k + 1)
+            if len(done):
+                out[own[done]] = (row + place)[sizes[own[done], 1], done]
+    return out
+
+
+def _letters(texts: list[str], size: int) -> np.ndarray:
+    """Code points, a column for each text, filled up below."""
+    return np.array(texts, f"U{max(1, size)}").view(np.uint32).reshape(len(texts), -1).T[:size].copy()
 
 
 def similar_pairs(texts: DataFrame, block: list[str], most: float, q: int | None = None) -> tuple[DataFrame, DataFrame]:

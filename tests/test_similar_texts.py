@@ -92,3 +92,41 @@ def test_pairs_are_not_moved_where_the_index_rules_little_out(spark, monkeypatch
     want = contests.pairs_in_blocks(reps, ["block"], 0.18)
     key = lambda x: sorted((r.a_id, r.b_id, round(r.distance, 9)) for r in x.collect())
     assert key(pairs) == key(want) and len(key(pairs)) > 100
+
+
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edits_are_as_by_plain_loops():
+    rnd = random.Random(1)
+    word = lambda m: "".join(rnd.choice("abcé😀\0 ") for _ in range(rnd.randint(0, m)))
+    x, y = [word(12) for _ in range(1500)] + ["", "", "a" * 300, "ab"], [word(9) for _ in range(1500)] + ["", "xyz", "b" * 200, ""]
+    assert contests._edits(x, y).tolist() == [plain_edits(a, b) for a, b in zip(x, y)]
+    a, b = ([tuple(word(5) for _ in range(4)) for _ in range(200)] for _ in range(2))
+    assert contests._turned_edits(a, b).tolist() == [min(sum(plain_edits(p[i], q[(i + r) % 4]) for i in range(4)) for r in range(4)) for p, q in zip(a, b)]
+
+
+def test_equal_titles_and_choices_are_compared_once(spark, monkeypatch):
+    """Of 400 texts with 20 titles and 20 lists of choices there are 79,800 pairs, and at most 400 pairs of titles and 400 of lists to work out; no pair of texts meets an edit distance in the plan."""
+    import pandas as pd
+
+    own = pd.DataFrame([(20 * i + j, f"title no {i * i}", [f"one {j * j}", f"two {j}"]) for i in range(20) for j in range(20)], columns=["id", "title", "choices"])
+    own["long"] = own["title"].str.len() + own["choices"].map(lambda c: sum(map(len, c)))
+    n, plain = [], contests._edits
+    monkeypatch.setattr(contests, "_edits", lambda x, y: n.append(len(x)) or plain(x, y))
+    i, j, d = contests._near_of_two(own, own, 0.25, True)
+    assert sum(n) <= 400 + 4 * 400 and (i < j).all()
+    df = spark.createDataFrame(own[["id", "title", "choices"]]).selectExpr("cast(id as long) id", "title", "choices", "1 as block").withColumn("size", F.aggregate("choices", F.lit(0), lambda s, t: s + F.length(t)))
+    monkeypatch.setattr(contests, "PIECE", 64)
+    pairs, _ = contests.similar_pairs(df, ["block"], 0.25)
+    assert "levenshtein" not in pairs._jdf.queryExecution().executedPlan().toString()
+    got = {(r.a_id, r.b_id, round(r.distance, 9)) for r in pairs.collect()}
+    assert got == {(r.a_id, r.b_id, round(r.distance, 9)) for r in contests.pairs_in_blocks(df, ["block"], 0.25).collect()}
+    assert got == {(a, b, round(x, 9)) for a, b, x in zip(own["id"].to_numpy()[i], own["id"].to_numpy()[j], d)} and len(got) > 1000
