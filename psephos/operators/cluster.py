@@ -178,27 +178,39 @@ def _nearest(x: np.ndarray, e: np.ndarray, e_id: list) -> tuple[np.ndarray, np.n
 
     Some rows of x at a time, as all pairs may be equally near: of equal exemplars, each is.
     """
-    some = max(1, HELD // (1024 * max(1, x.shape[1])))
-    if len(x) > some:
-        parts = [_nearest(x[f : f + some], e, e_id) for f in range(0, len(x), some)]
-        return np.concatenate([d for d, _ in parts]), np.concatenate([at for _, at in parts])
     by_id = np.array(sorted(range(len(e_id)), key=e_id.__getitem__))
     e = e[by_id]
     best, at = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
-    square = (x * x).sum(axis=1)
+    square, size, some = (x * x).sum(axis=1), (e * e).sum(axis=1), max(1, HELD // (1024 * max(1, x.shape[1])))
+    known = bool(np.isfinite(square.sum() + size.sum()))
     for f in range(0, len(e), 1024):
-        own = e[f : f + 1024]
-        # products find who may be nearest; the distance itself is summed up from differences
-        rough = np.nan_to_num(square[:, None] + (own * own).sum(axis=1) - 2 * (x @ own.T), nan=np.inf)
-        least = rough.min(axis=1)
-        slack = 1e-9 * (1 + np.nan_to_num(square) + np.nan_to_num((own * own).sum(axis=1)).max()) + 1e-8 * np.sqrt(np.maximum(np.where(np.isfinite(least), least, 0.0), 0.0))
-        i, j = np.nonzero(rough <= (least + slack)[:, None])
-        d = _distances(x[i], own[j])
-        order = np.lexsort((j, d, i))
-        first = order[np.concatenate([[True], i[order][1:] != i[order][:-1]])]
-        better = (d[first] < best[i[first]]) | ((f == 0) & np.isinf(d[first]))
-        k = first[better]
-        best[i[k]], at[i[k]] = d[k], f + j[k]
+        own, most = e[f : f + 1024], np.nan_to_num(size[f : f + 1024]).max()
+        turned = np.ascontiguousarray(-2 * own.T)
+        for g in range(0, len(x), some):
+            rows = slice(g, g + some)
+            # products find who may be nearest, but for the row's own square; the distance itself is summed up from differences
+            rough = x[rows] @ turned
+            rough += size[f : f + 1024]
+            if not known:
+                rough = np.nan_to_num(square[rows, None] + rough, nan=np.inf)
+            least = rough.min(axis=1)
+            near = least + square[rows] if known else least
+            slack = 1e-9 * (1 + np.nan_to_num(square[rows]) + most) + 1e-8 * np.sqrt(np.maximum(np.where(np.isfinite(near), near, 0.0), 0.0))
+            if known:  # most parts have nothing as near as what was found before: their distances are not summed up
+                open_ = np.flatnonzero(near - slack <= best[rows] ** 2 * (1 + 1e-9) + 1e-8 * (1 + best[rows]))
+                if not len(open_):
+                    continue
+                rough, least, slack = rough[open_], least[open_], slack[open_]
+            else:
+                open_ = np.arange(len(rough))
+            i, j = np.nonzero(rough <= (least + slack)[:, None])
+            i = open_[i] + g
+            d = _distances(x[i], own[j])
+            order = np.lexsort((j, d, i))
+            first = order[np.concatenate([[True], i[order][1:] != i[order][:-1]])]
+            better = (d[first] < best[i[first]]) | ((f == 0) & np.isinf(d[first]))
+            k = first[better]
+            best[i[k]], at[i[k]] = d[k], f + j[k]
     return best, by_id[at]
 
 

@@ -256,3 +256,26 @@ def test_equal_exemplars_take_bounded_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert (at == 2999).all() and most < 300e6
+
+
+def test_exemplars_are_put_in_order_once():
+    """However many parts of rows their distances take."""
+    import numpy as np
+
+    from psephos.operators.cluster import _nearest
+
+    class Ids(list):
+        n = 0
+
+        def __getitem__(self, k):
+            Ids.n += 1
+            return super().__getitem__(k)
+
+    rng = np.random.default_rng(2)
+    x, e = rng.integers(0, 3, (600, 64)).astype(float), rng.integers(0, 3, (1500, 64)).astype(float)
+    e[700:900] = x[0]
+    ids = Ids(rng.permutation(1500).tolist())
+    d, at = _nearest(x, e, ids)
+    assert Ids.n == 1500
+    every = np.round(np.sqrt(((x[:, None] - e[None]) ** 2).sum(axis=2)), 9)
+    assert [(a, list(ids)[k]) for a, k in zip(d, at)] == [min(zip(r.tolist(), list(ids))) for r in every]
